@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from docquery.llm import packing, token_output
+from docquery.llm import decontamination, near_dedup, packing, token_output
 
 QUERIES = {
+    "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_token_output": token_output.op4_token_output,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": near_dedup.ORACLE,
+    "op9_benchmark_decontamination": decontamination.ORACLE,
+}
