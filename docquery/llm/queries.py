@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docquery.llm import decontamination, licenses, near_dedup, packing, token_output
+from docquery.llm import decontamination, licenses, maxscore, near_dedup, packing, token_output
 
 QUERIES = {
+    "op1_exact_top_k": maxscore.op1_exact_top_k,
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_token_output": token_output.op4_token_output,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": maxscore.ORACLE,
     "op3_minhash_near_dedup": near_dedup.ORACLE,
     "op9_benchmark_decontamination": decontamination.ORACLE,
 }
