@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docquery.llm import decontamination, licenses, maxscore, near_dedup, packing, token_output
+from docquery.llm import decontamination, langid, licenses, maxscore, near_dedup, packing, token_output
 
 QUERIES = {
     "op1_exact_top_k": maxscore.op1_exact_top_k,
+    "op2_language_id": langid.op2_language_id,
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_token_output": token_output.op4_token_output,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
