@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docquery.llm import decontamination, langid, licenses, maxscore, near_dedup, packing, token_output
+from docquery.llm import decontamination, langid, licenses, maxscore, near_dedup, packing, quality, token_output
 
 QUERIES = {
     "op1_exact_top_k": maxscore.op1_exact_top_k,
     "op2_language_id": langid.op2_language_id,
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_token_output": token_output.op4_token_output,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_license_scans": licenses.op10_license_scans,
