@@ -154,11 +154,11 @@ def file_at(uri: str):
 def write_file(uri: str, content: bytes) -> None:
     system, path = file_at(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         out.write(content)
 
 
 def read_file(uri: str) -> bytes:
     system, path = file_at(uri)
-    with system.open_input_stream(path) as source:
+    with system.open_input_stream(path, compression=None) as source:
         return source.read()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquery.llm import decontamination, langid, licenses, maxscore, near_dedup, packing, quality, token_output
+from docquery.llm import decontamination, langid, licenses, maxscore, near_dedup, packing, quality, token_output, warc
 
 QUERIES = {
     "op1_exact_top_k": maxscore.op1_exact_top_k,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_token_output": token_output.op4_token_output,
     "op5_quality_classifier": quality.op5_quality_classifier,
+    "op6_warc": warc.op6_warc,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_license_scans": licenses.op10_license_scans,
