@@ -1,7 +1,7 @@
 """WARC archives with revisit records, and a two-level capture index over them.
 
 Each record is a gzip member of its own, so a record can be read by its range. The index sorts lines by reversed-host
-URL key into compressed blocks; a sparse directory keeps the first key and range of each block. Reading binary-searches
+URL key into compressed blocks; a sparse directory keeps the first and last key and the range of each block. Reading binary-searches
 the directory, then the block, and then reads the record's range.
 """
 
@@ -127,18 +127,18 @@ def write_archives(pages: DataFrame, folder: str, dedup_bytes: int = 0) -> DataF
 
 
 def build_index(lines: DataFrame, folder: str) -> DataFrame:
-    """Sort capture lines by key into compressed blocks and return the directory: first_key, path, offset, length, n_lines."""
+    """Sort capture lines by key into compressed blocks and return the directory: first_key, last_key, path, offset, length, n_lines."""
 
     def write(batches):
         path, held, size = f"{folder}/{uuid.uuid4().hex}.idx", [], 0
         entries: list[tuple] = []
         waiting: list[str] = []
-        first = None
+        first = last = None
 
         def close():
             nonlocal waiting, size
             block = zlib.compress("\n".join(waiting).encode(), 6)
-            entries.append((first, path, size, len(block), len(waiting)))
+            entries.append((first, last, path, size, len(block), len(waiting)))
             held.append(block)
             size += len(block)
             waiting = []
@@ -147,6 +147,7 @@ def build_index(lines: DataFrame, folder: str) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not waiting:
                     first = row[0]
+                last = row[0]
                 waiting.append(json.dumps(row))
                 if len(waiting) >= BLOCK_LINES:
                     close()
@@ -156,9 +157,9 @@ def build_index(lines: DataFrame, folder: str) -> DataFrame:
             common.write_file(path, b"".join(held))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries, strict=True), kinds, strict=True)], names=names)
 
-    names, kinds = ["first_key", "path", "offset", "length", "n_lines"], [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    names, kinds = ["first_key", "last_key", "path", "offset", "length", "n_lines"], [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
     ordered = lines.repartitionByRange(common.task_count(lines.sparkSession), "key", "page_id").sortWithinPartitions("key", "page_id")
-    return ordered.mapInArrow(write, "first_key string, path string, offset long, length long, n_lines long")
+    return ordered.mapInArrow(write, "first_key string, last_key string, path string, offset long, length long, n_lines long")
 
 
 class _Ranges:
@@ -201,8 +202,7 @@ def read_archives(directory: DataFrame, with_payload: bool = True) -> DataFrame:
 def find(directory: DataFrame, url: str) -> list[dict]:
     """The records captured for a URL: the directory gives the blocks that can hold its key, a binary search its lines."""
     key = url_key(url)
-    blocks = directory.filter(F.col("first_key") < key).orderBy(F.desc("first_key"), F.desc("path"), F.desc("offset")).limit(1).collect()
-    blocks += directory.filter(F.col("first_key") == key).collect()
+    blocks = directory.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect()  # one, or those that repeat the key
     files, out = _Ranges(), []
     for b in blocks:
         lines = block_lines(files, b.path, b.offset, b.length)
