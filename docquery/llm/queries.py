@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquery.llm import decontamination, langid, licenses, maxscore, near_dedup, packing, quality, token_output, warc
+from docquery.llm import decontamination, langid, licenses, maxscore, near_dedup, packing, quality, substring_dedup, token_output, warc
 
 QUERIES = {
     "op1_exact_top_k": maxscore.op1_exact_top_k,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_warc": warc.op6_warc,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_suffix_array_dedup": substring_dedup.op8_suffix_array_dedup,
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_license_scans": licenses.op10_license_scans,
 }
