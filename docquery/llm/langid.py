@@ -204,3 +204,17 @@ def held_out() -> Column:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(common.table(spark, sf_dir, "documents"), ~held_out())
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, may_learn: Column, least: float = 0.4, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """Only the rows whose text has a language at a probability of at least `least`; all columns as they were."""
+    model = train(docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"), per_language)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each language
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in common.slices(batches):
+            got = [shared.value.predict(t) for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array([name != "und" and p >= least for name, p in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

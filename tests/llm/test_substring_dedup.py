@@ -32,6 +32,7 @@ def run(spark, data, length, gram):
     out = {}
     for r in substring_dedup.remove_repeats(df, length, gram).collect():
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
+        assert r.n_removed - 6 * r.n_spans <= r.n_bytes - len(r.text.encode()) <= r.n_removed
         out.setdefault(repr(r.doc_id), []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
     return {k: sorted(v) for k, v in out.items()}
 
@@ -74,3 +75,10 @@ def test_equal_windows_have_equal_grams():
         if lead == 0:
             want = per_window[: 300 - 99]
         assert (per_window[lead : lead + 201] == want).all()
+
+
+def test_characters_stay_whole():
+    text = "aéb日c".encode()
+    assert substring_dedup._whole_characters(text, [[2, 5]]) == "aé日c"
+    assert substring_dedup._whole_characters(text, [[1, 6]]) == "a日c"
+    assert substring_dedup._whole_characters(text, [[0, 7]]) == "c"
