@@ -2,5 +2,349 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docquery.functions import text as T
+from docquery.operators import catalog, dense, evaluate, lexical, ranking
+from docquery.sources.tables import chunks, docs, table
+from docquery.streaming import debounce
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# SQL fragments that several statements share
+_DOCS = "d AS (SELECT doc_id, source || '/' || doc_id || '.md' AS rel_path, source AS project, lang, source, strlen(text) AS size, text FROM documents)"
+_TOKENS = r"t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w, length(text) AS n_chars FROM documents)"
+_QUERIES = r"q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:3] AS w FROM benchmark)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _queries(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
+    """The first words of every benchmark item as query terms."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.simple_tokens("text"), 1, n).alias("terms"))
+
+
+# --- catalog and scope
+
+
+@query(f"WITH {_DOCS} SELECT rel_path, doc_id, size FROM d WHERE rel_path > 'src1' ORDER BY rel_path LIMIT 50")
+def list_docs_page(spark, sf_dir):
+    return catalog.page(docs(spark, sf_dir), "src1").select("rel_path", "doc_id", F.col("size").cast("long").alias("size"))
+
+
+@query("SELECT doc_id, (SELECT count(*) FROM conversations c WHERE c.conv_id = d.doc_id) AS chunks FROM documents d")
+def doc_chunk_counts(spark, sf_dir):
+    return catalog.chunk_counts(docs(spark, sf_dir), chunks(spark, sf_dir))
+
+
+@query(f"WITH {_DOCS}, n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT project, count(*) AS docs, CAST(sum(coalesce(n, 0)) AS BIGINT) AS chunks, CAST(sum(size) AS BIGINT) AS bytes, CAST(max(size) AS BIGINT) AS largest FROM d LEFT JOIN n ON n.conv_id = doc_id GROUP BY 1")
+def project_counts(spark, sf_dir):
+    out = catalog.project_counts(docs(spark, sf_dir), chunks(spark, sf_dir))
+    return out.withColumn("largest", F.col("largest").cast("long"))
+
+
+@query("SELECT h.conv_id AS doc_id, h.turn AS hit_seq, c.turn AS seq, (c.conv_id << 32) + c.turn AS chunk_id, c.role AS heading_path, CAST(length(c.text) AS BIGINT) AS n_chars FROM conversations h JOIN conversations c ON c.conv_id = h.conv_id AND c.turn BETWEEN h.turn - 1 AND h.turn + 1")
+def read_neighbors(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return catalog.neighbours(c, c).withColumn("n_chars", F.col("n_chars").cast("long"))
+
+
+@query(f"WITH {_DOCS} SELECT (conv_id << 32) + turn AS chunk_id, rel_path, role AS heading_path, turn AS seq FROM conversations JOIN d ON doc_id = conv_id WHERE role = 'user'")
+def citations_lookup(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return catalog.citations(c.filter("heading_path = 'user'").select("doc_id", "seq"), c, docs(spark, sf_dir))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, rel_path FROM d WHERE starts_with(rel_path, 'src1')")
+def scope_prefix(spark, sf_dir):
+    return catalog.path_prefix(docs(spark, sf_dir), "src1").select("doc_id", "rel_path")
+
+
+@query("SELECT doc_id FROM documents WHERE list_has_all([lang, source], ['en', 'src3'])")
+def scope_tags_all(spark, sf_dir):
+    return catalog.has_tags(docs(spark, sf_dir), ["en", "src3"]).select("doc_id")
+
+
+@query(f"WITH {_DOCS}, o AS (SELECT rel_path, sha256(text) AS h FROM d WHERE doc_id % 10 <> 0), n AS (SELECT rel_path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM d WHERE doc_id % 7 <> 0) SELECT coalesce(o.rel_path, n.rel_path) AS rel_path, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'removed' WHEN o.h = n.h THEN 'same' ELSE 'changed' END AS state FROM o FULL JOIN n ON o.rel_path = n.rel_path")
+def index_diff(spark, sf_dir):
+    """Two snapshots of the documents: the newer lacks some, has others besides, and changes a fifth."""
+    d = docs(spark, sf_dir)
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = d.filter("doc_id % 7 <> 0").withColumn("content_hash", F.sha2(changed, 256))
+    return catalog.diff(d.filter("doc_id % 10 <> 0"), new)
+
+
+def _jobs(spark, sf_dir):
+    states = F.when(F.col("event_type") == "click", "running").when(F.col("event_type") == "error", "error").otherwise("done")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("project"), states.alias("state"), F.unix_timestamp("ts").alias("started_at"))
+
+
+_JOBS = "j AS (SELECT event_id AS job_id, user_id AS project, CASE event_type WHEN 'click' THEN 'running' WHEN 'error' THEN 'error' ELSE 'done' END AS state, CAST(floor(epoch(ts)) AS BIGINT) AS started_at FROM events)"
+
+
+@query(f"WITH {_JOBS} SELECT project, job_id, state, started_at FROM j QUALIFY row_number() OVER (PARTITION BY project ORDER BY started_at DESC, job_id DESC) = 1")
+def latest_job(spark, sf_dir):
+    return catalog.latest_job(_jobs(spark, sf_dir))
+
+
+@query(f"WITH {_JOBS} SELECT * FROM j WHERE state = 'running' UNION ALL SELECT * FROM j WHERE state <> 'running' QUALIFY row_number() OVER (PARTITION BY project ORDER BY started_at DESC, job_id DESC) <= 5")
+def prune_jobs(spark, sf_dir):
+    return catalog.prune_jobs(_jobs(spark, sf_dir), 5)
+
+
+@query("WITH e AS (SELECT user_id AS model_id, event_id AS key, CAST(epoch_us(ts) AS BIGINT) AS used_at, CAST(strlen(props) AS BIGINT) AS bytes FROM events), r AS (SELECT *, row_number() OVER w AS nth, sum(bytes) OVER (PARTITION BY model_id ORDER BY used_at DESC, key DESC ROWS UNBOUNDED PRECEDING) AS total FROM e WINDOW w AS (PARTITION BY model_id ORDER BY used_at DESC, key DESC)) SELECT model_id, key, used_at, bytes FROM r WHERE (nth <= 20 AND total <= 400) OR key % 50 = 0")
+def lru_evict(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("model_id"), F.col("event_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("used_at"), F.octet_length("props").cast("long").alias("bytes"))
+    return catalog.lru_keep(e, 20, 400, e.filter("key % 50 = 0")).select("model_id", "key", "used_at", "bytes")
+
+
+@query("SELECT sha256(text) AS chunk_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0) GROUP BY 1")
+def embed_missing_dedupe(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return catalog.first_occurrences(d, d.filter("doc_id % 10 = 0").select(F.col("content_hash").alias("chunk_hash")))
+
+
+@query("SELECT count(*) AS total, count(vec_id) AS present FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) ON vec_id = doc_id")
+def vector_coverage(spark, sf_dir):
+    return catalog.coverage(docs(spark, sf_dir), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+
+
+# --- text
+
+
+@query(None)
+def fold_text(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.fold("text").alias("folded"))
+
+
+ORACLE_SQL["fold_text"] = f"SELECT doc_id, translate(text, '{T._FROM}', '{T._TO.replace(chr(39), chr(39) * 2)}') AS folded FROM documents"
+
+
+@query(None)
+def script_of_text(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.script_of("text").alias("script"), *[c.cast("long").alias(f"n_{n}") for n, c in zip(T.SCRIPTS, T.script_counts("text"), strict=True)])
+
+
+_COUNTS = ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS n_{n}" for n, p in T.SCRIPTS.items())
+ORACLE_SQL["script_of_text"] = f"WITH c AS (SELECT doc_id, {_COUNTS} FROM documents), m AS (SELECT *, greatest(n_latin, n_cyrillic, n_cjk, n_arabic) AS m FROM c) SELECT doc_id, CASE WHEN m = 0 THEN 'other' WHEN n_latin = m THEN 'latin' WHEN n_cyrillic = m THEN 'cyrillic' WHEN n_cjk = m THEN 'cjk' ELSE 'arabic' END AS script, n_latin, n_cyrillic, n_cjk, n_arabic FROM m"
+
+
+@query(r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]') AND regexp_matches(w, '[^\p{L}\p{N}]')), ' ') AS identifiers FROM documents")
+def identifier_words(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.identifier_words("text").alias("identifiers"))
+
+
+@query("SELECT doc_id, CASE WHEN substr(text, 240, 2) = chr(13) || chr(10) THEN substr(text, 1, 239) ELSE substr(text, 1, 240) END AS snippet, length(text) > 240 AS truncated FROM documents")
+def snippets(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.snippet("text").alias("snippet"), (F.length("text") > T.SNIPPET_CHARS).alias("truncated"))
+
+
+@query("SELECT doc_id, strlen(text) AS size, CAST(CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS BIGINT) AS lines FROM documents")
+def document_facts(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.col("size").cast("long").alias("size"), T.line_count(F.col("text")).cast("long").alias("lines"))
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, u AS term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS u FROM t) GROUP BY 1, 2")
+def postings_tf(spark, sf_dir):
+    return lexical.postings(docs(spark, sf_dir))
+
+
+@query(f"WITH {_TOKENS} SELECT u AS term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS u FROM t) GROUP BY 1")
+def term_df(spark, sf_dir):
+    return lexical.term_df(docs(spark, sf_dir))
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, CAST(len(w) AS BIGINT) AS dl FROM t")
+def doc_len(spark, sf_dir):
+    return lexical.analyzed(docs(spark, sf_dir)).select("doc_id", F.col("dl").cast("long").alias("dl"))
+
+
+# --- search
+
+_BM25 = f"""
+WITH {_TOKENS}, {_QUERIES}, c AS (SELECT DISTINCT query_id, unnest(w) AS term FROM q),
+p AS (SELECT doc_id, u AS term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS u FROM t) WHERE u IN (SELECT term FROM c) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+x AS (
+  SELECT query_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t.w) / avgdl))) AS score, any_value(n_chars) AS n_chars
+  FROM p JOIN df USING (term) JOIN c USING (term) JOIN t ON t.doc_id = p.doc_id, s
+  WHERE {{scope}} GROUP BY 1, 2
+), r AS (SELECT query_id, doc_id, round(score * CASE WHEN n_chars > 1650 THEN 0.5 ELSE 1.0 END, 6) AS score FROM x),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r)
+"""
+_ALL, _SCOPED = _BM25.replace("{scope}", "true"), _BM25.replace("{scope}", "p.doc_id IN (SELECT doc_id FROM documents WHERE starts_with(source, 'src1'))")
+
+
+@query(_ALL + "SELECT * FROM k WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    return lexical.top(lexical.bm25(docs(spark, sf_dir), _queries(spark, sf_dir)))
+
+
+@query(_SCOPED + "SELECT * FROM k WHERE rank <= 10")
+def bm25_scoped_topk(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return lexical.top(lexical.bm25(d, _queries(spark, sf_dir), catalog.path_prefix(d, "src1")))
+
+
+@query(f"WITH {_TOKENS}, {_QUERIES}, g AS (SELECT doc_id, unnest(range(1, len(w))) AS i, w FROM t) SELECT query_id AS phrase_id, doc_id, count(*) AS n FROM g JOIN q ON g.w[i] = q.w[1] AND g.w[i + 1] = q.w[2] GROUP BY 1, 2")
+def phrase_match(spark, sf_dir):
+    p = _queries(spark, sf_dir, 2).withColumnRenamed("query_id", "phrase_id").filter(F.size("terms") == 2)
+    return lexical.phrase_matches(docs(spark, sf_dir), p)
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, CAST(1 + CASE WHEN list_contains(w, 'of') THEN 1 ELSE 0 END + CASE WHEN list_contains(w, 'and') THEN 1 ELSE 0 END AS BIGINT) AS matched FROM t WHERE list_contains(w, 'the') AND NOT list_contains(w, 'it')")
+def bool_and_or_not(spark, sf_dir):
+    return lexical.boolean(docs(spark, sf_dir), ["the"], ["of", "and"], ["it"]).withColumn("matched", F.col("matched").cast("long"))
+
+
+@query(_ALL + ", z AS (SELECT query_id, doc_id, source, rank FROM k JOIN documents USING (doc_id) WHERE rank <= 50) SELECT query_id, doc_id, source, rank FROM z QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) <= 2")
+def dedupe_per_source(spark, sf_dir):
+    hits = lexical.top(lexical.bm25(docs(spark, sf_dir), _queries(spark, sf_dir)), 50)
+    named = hits.join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    return ranking.cap_per_document(named, 2, doc="source").select("query_id", "doc_id", "source", "rank")
+
+
+def _query_vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0 AND embedding IS NOT NULL").select("vec_id", "embedding").orderBy("vec_id")
+    return [(r.vec_id, list(r.embedding)) for r in rows.toLocalIterator()]
+
+
+_COSINE = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)"
+
+
+@query(f"WITH {_COSINE} SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
+def cosine_topk(spark, sf_dir):
+    return dense.cosine_top_k(table(spark, sf_dir, "embeddings"), _query_vectors(spark, sf_dir))
+
+
+@query(f"WITH {_COSINE} SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s WHERE label IN (1, 2) QUALIFY rank <= 10")
+def cosine_scoped(spark, sf_dir):
+    return dense.cosine_top_k(table(spark, sf_dir, "embeddings").filter("label IN (1, 2)"), _query_vectors(spark, sf_dir))
+
+
+_RRF = _ALL + """, a AS (SELECT query_id, doc_id, rank, score FROM k WHERE rank <= 50),
+b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM (SELECT query_id, p.doc_id, count(*) AS hits FROM p JOIN c USING (term) GROUP BY 1, 2) QUALIFY rank <= 50),
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS ra, b.rank AS rb, a.score AS sa,
+  round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 12) AS score
+  FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, (ra IS NOT NULL AND rb IS NOT NULL) DESC, least(ra, rb), sa DESC NULLS LAST, doc_id) AS INTEGER) AS rank FROM f
+"""
+
+
+@query(_RRF)
+def rrf_fuse(spark, sf_dir):
+    """BM25's list fused with a list by the number of query terms that a document holds."""
+    d, q = docs(spark, sf_dir), _queries(spark, sf_dir)
+    lex = lexical.top(lexical.bm25(d, q), 50)
+    terms = q.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    held = lexical.analyzed(d).select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term")
+    other = lexical.top(held.groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")), 50)
+    return ranking.rrf(lex, other)
+
+
+@query(_ALL + ", o AS (SELECT query_id, p.doc_id, count(*) AS n FROM p JOIN c USING (term) WHERE p.doc_id % 3 <> 0 GROUP BY 1, 2) SELECT query_id, doc_id, coalesce(CAST(n AS DOUBLE), 0) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n IS NULL, n DESC, rank) AS INTEGER) AS rank FROM k LEFT JOIN o USING (query_id, doc_id) WHERE k.rank <= 20")
+def rerank_overlap(spark, sf_dir):
+    """A provider that scores two thirds of the documents by shared terms."""
+    d, q = docs(spark, sf_dir), _queries(spark, sf_dir)
+    hits = lexical.top(lexical.bm25(d, q), 20)
+    terms = q.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    scored = lexical.postings(d.filter("doc_id % 3 <> 0")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("provider_score"))
+    return ranking.rerank(hits, scored)
+
+
+# --- evaluation
+
+
+def _cases(spark, sf_dir):
+    """Sources as cases: documents by length are the hits, labelled ones the expected."""
+    d = table(spark, sf_dir, "documents")
+    hits = d.select(F.col("source").alias("case_id"), F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"), F.col("doc_id").alias("path"))
+    expected = d.join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("source").alias("case_id"), F.col("doc_id").alias("path"), (F.col("quality") + 1 - F.col("toxic")).alias("grade")).filter("grade >= 1")
+    return hits, expected
+
+
+_CASES = """
+h AS (SELECT source AS case_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, doc_id AS path FROM documents),
+x AS (SELECT source AS case_id, doc_id AS path, quality + 1 - toxic AS grade FROM documents JOIN labels USING (doc_id) WHERE quality + 1 - toxic >= 1),
+f AS (SELECT case_id, sum(CASE WHEN rank <= 20 THEN (2.0 ** grade - 1) / log2(rank + 1) ELSE 0 END) AS dcg, count(*) AS relevant, min(rank) AS first FROM h JOIN x USING (case_id, path) WHERE rank <= {k} GROUP BY 1),
+i AS (SELECT case_id, sum(CASE WHEN r <= {k} THEN (2.0 ** grade - 1) / log2(r + 1) END) AS idcg, count(*) AS wanted FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, path) AS r FROM x) GROUP BY 1),
+m AS (SELECT case_id, coalesce(relevant, 0) > 0 AS hit, round(CASE WHEN coalesce(wanted, 0) = 0 THEN 1.0 ELSE coalesce(relevant, 0) / wanted END, 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS mrr,
+  round(CASE WHEN coalesce(idcg, 0) = 0 THEN 1.0 ELSE coalesce(dcg, 0) / idcg END, 6) AS ndcg, 0.0::DOUBLE AS duplicate_path_ratio
+  FROM (SELECT DISTINCT case_id FROM h) LEFT JOIN f USING (case_id) LEFT JOIN i USING (case_id))
+"""
+
+
+@query(f"WITH {_CASES.format(k=10)} SELECT * FROM m")
+def case_metrics(spark, sf_dir):
+    return evaluate.metrics(*_cases(spark, sf_dir), 10)
+
+
+@query(f"WITH {_CASES.format(k=3)} SELECT right(case_id, 1) AS slice, count(*) AS cases, round(avg(CAST(hit AS INTEGER)), 6) AS hit_rate, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM m GROUP BY 1")
+def early_metric_slices(spark, sf_dir):
+    cases = evaluate.metrics(*_cases(spark, sf_dir), 3).withColumn("slice", F.expr("right(case_id, 1)"))
+    return evaluate.slices(cases, "slice")
+
+
+@query("WITH o AS (SELECT lang AS slice, source AS case_id, bool_and(quality = 1) AS a, bool_or(quality = 1) AS b FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2) SELECT slice, count(*) FILTER (a) AS all_hit, count(*) FILTER (NOT b) AS all_miss, count(*) FILTER (b AND NOT a) AS mixed FROM o GROUP BY 1")
+def outcome_matrix(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return evaluate.outcome_matrix(rows.select(F.col("lang").alias("slice"), F.col("source").alias("case_id"), (F.col("quality") == 1).alias("hit")), "slice")
+
+
+@query("WITH a AS (SELECT user_id AS case_id, avg(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id AS case_id, user_id % 4 AS slice, avg(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2) SELECT slice, count(*) FILTER (b.v - a.v > 1e-9) AS wins, count(*) FILTER (b.v - a.v < -1e-9) AS losses, count(*) FILTER (abs(b.v - a.v) <= 1e-9) AS ties, round(avg(b.v - a.v), 6) AS mean_delta FROM a JOIN b USING (case_id) GROUP BY 1")
+def delta_wins(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("case_id", F.col("user_id"))
+    a = e.filter("event_id % 2 = 0").groupBy("case_id").agg(F.avg("value").alias("v"))
+    b = e.filter("event_id % 2 = 1").groupBy("case_id", (F.col("user_id") % 4).alias("slice")).agg(F.avg("value").alias("v"))
+    return evaluate.deltas(a, b, "v", "slice")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.95), 6) AS p95_nearest FROM events GROUP BY 1")
+def latency_percentiles(spark, sf_dir):
+    return evaluate.percentiles(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("WITH p AS (SELECT p_brand, p_partkey, p_size, p_retailprice FROM part) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.p_brand = p.p_brand AND o.p_size >= p.p_size AND o.p_retailprice <= p.p_retailprice AND (o.p_size > p.p_size OR o.p_retailprice < p.p_retailprice))")
+def pareto(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", "p_retailprice")
+    return evaluate.pareto(rows, "p_size", "p_retailprice", "p_brand").select("p_brand", "p_partkey", "p_size", "p_retailprice")
+
+
+@query(r"WITH b AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark) SELECT l.id AS left_id, r.id AS right_id, round(len(list_intersect(l.w, r.w)) / (len(l.w) + len(r.w) - len(list_intersect(l.w, r.w))), 6) AS similarity FROM b l JOIN b r ON len(list_intersect(l.w, r.w)) > 0")
+def jaccard_pairs(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), T.simple_tokens("text").alias("tokens"))
+    return evaluate.jaccard(b, b)
+
+
+# --- change events
+
+_DEBOUNCE = """
+WITH RECURSIVE e AS (
+  SELECT CAST(user_id AS VARCHAR) AS key, event_type AS path, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS i FROM events
+), r AS (
+  SELECT key, path, ts, i, ts AS opened, CAST(1 AS BIGINT) AS batch FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.key, e.path, e.ts, e.i,
+    CASE WHEN e.ts - r.ts > INTERVAL 6 HOUR OR e.ts - r.opened > INTERVAL 12 HOUR THEN e.ts ELSE r.opened END,
+    r.batch + CASE WHEN e.ts - r.ts > INTERVAL 6 HOUR OR e.ts - r.opened > INTERVAL 12 HOUR THEN 1 ELSE 0 END
+  FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1
+)
+SELECT key, batch, min(ts) AS opened, max(ts) AS closed, count(*) AS events, count(DISTINCT path) AS paths FROM r GROUP BY 1, 2
+"""
+
+
+@query(_DEBOUNCE)
+def debounce_sessions(spark, sf_dir):
+    """Debounced batches of each user's events, with the gap and the longest span scaled to the table's times."""
+    return debounce.batches(debounce.session_events(table(spark, sf_dir, "events")), 6 * 3600, 12 * 3600)
