@@ -23,7 +23,7 @@ MAGIC = b"PFR1"
 BLOCK = 128
 PERCENTILE = 90
 #: Ids after which a task closes its file and begins another.
-FILE_IDS = 4_000_000
+FILE_IDS = 1_000_000
 NO_ID = -(1 << 63)
 
 _HEADER = struct.Struct("<4sIQ")

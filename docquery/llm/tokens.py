@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 import struct
 
-#: Words kept by a Python worker; at the bound the cache starts anew.
-CACHE_WORDS = 700_000
+#: Words that a Python worker keeps at most: half recent ones, and half those before; words in use move on.
+CACHE_WORDS = 400_000
 
 #: A space between two white-space characters (or at the end after one): there a text may not be cut.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
@@ -34,18 +34,32 @@ class _Words(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
-    def _piece(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join([self.letters[b] for b in text.encode()]))]
+    def _piece(self, text: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in text.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, word: str) -> bytes:
+        if (m := _SIMPLE.fullmatch(word)) is None:
+            ids = self.tokenizer.encode(" " + word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        letters, marks = m.groups()
+        if not marks:
+            return self._piece(" " + letters)
+        if marks not in self.marks:
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            self.marks[marks] = self._piece(marks)
+        return self[letters] + self.marks[marks]
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        out = self.older.get(word) or self._ids(word)
+        if len(self) >= CACHE_WORDS // 2:
+            self.older = dict(self)
             self.clear()
-        if (m := _SIMPLE.fullmatch(word)) is not None:
-            ids = self._piece(" " + m[1]) + (self._piece(m[2]) if m[2] else [])
-        else:
-            ids = self.tokenizer.encode(" " + word, add_special_tokens=False).ids
-        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
         return out
 
 
