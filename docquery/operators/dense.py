@@ -49,3 +49,40 @@ def cosine_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
         found = found.union(rows.mapInArrow(search, schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def ann_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 8, bucket: float = 0.7, reach: float = 1.6) -> DataFrame:
+    """Approximate tier: candidates that share a random-projection bucket on unit vectors, scored exactly; query_id, vec_id, score, rank.
+
+    reach is the largest Euclidean distance of unit vectors that counts; rows further away are not returned.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    unit = Normalizer(inputCol="raw", outputCol="unit")
+    ready = lambda df: unit.transform(df.filter(F.col("embedding").isNotNull()).select("vec_id", array_to_vector("embedding").alias("raw"))).select("vec_id", "unit")
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=bucket, numHashTables=tables, seed=7).fit(ready(vectors))
+    near = model.approxSimilarityJoin(ready(queries), ready(vectors), reach, "distance")
+    score = 1 - F.col("distance") * F.col("distance") / 2
+    rows = near.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), F.round(score, 9).alias("score")).filter("query_id != vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def embed_missing(texts: DataFrame, known: DataFrame, embed, dim: int) -> DataFrame:
+    """chunk_hash and vector of every distinct text: known ones as they are, the others by embed (a list of texts to a list of vectors).
+
+    A vector of another length than dim is an error before anything is returned for its batch.
+    """
+    distinct = texts.select(F.sha2("text", 256).alias("chunk_hash"), "text").dropDuplicates(["chunk_hash"])
+    missing = distinct.join(known.select("chunk_hash"), "chunk_hash", "left_anti")
+
+    def run(batches):
+        for batch in batches:
+            new = embed(batch.column(1).to_pylist())
+            if len(new) != batch.num_rows or any(len(v) != dim for v in new):
+                raise ValueError("an embedding has the wrong length")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.list_(pa.float32()))], names=["chunk_hash", "vector"])
+
+    made = missing.mapInArrow(run, "chunk_hash string, vector array<float>")
+    return known.select("chunk_hash", "vector").join(distinct.select("chunk_hash"), "chunk_hash", "left_semi").unionByName(made)
