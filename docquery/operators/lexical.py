@@ -90,3 +90,38 @@ def boolean(docs: DataFrame, must: list[str], should: list[str], must_not: list[
     out = analyzed(docs).select("doc_id", F.size(has(must)).alias("m"), F.size(has(should)).alias("s"), F.size(has(must_not)).alias("x"))
     wanted = (F.col("m") == len(set(must))) & (F.col("x") == 0) & ((F.col("s") > 0) | F.lit(bool(must)))
     return out.filter(wanted).select("doc_id", (F.col("m") + F.col("s")).alias("matched"))
+
+
+# What a field's score counts in the sum.
+FIELD_BOOSTS = {"text": 1.0, "title": 2.0, "heading_path": 1.5, "identifiers": 2.5}
+
+
+def fielded_bm25(chunks: DataFrame, queries: DataFrame, scope: DataFrame | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
+    """query_id, doc_id and score over several text fields: BM25 of each field times its boost, long chunks counting half.
+
+    chunks: doc_id and the fields; queries: query_id and terms. One pass: each row gives its tokens field by field, and
+    document frequency, length and average length are those of the field.
+    """
+    boosts = FIELD_BOOSTS if boosts is None else boosts
+    clauses = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    wanted = clauses.select("term").distinct()
+    n_wanted = wanted.count()
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(b).alias("boost"), simple_tokens(f).alias("tokens")) for f, b in boosts.items()])
+    rows = chunks.select("doc_id", F.length("text").alias("n_chars"), F.inline(fields)).withColumn("dl", F.size("tokens"))
+    stats = {r.field: (r.n, r.total) for r in rows.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()}  # a row for each field
+    average = F.create_map(*[F.lit(x) for f, (n, total) in stats.items() for x in (f, max((total or 0) / n, 1e-9))]) if stats else F.lit(None)
+    n_docs = max((n for n, _ in stats.values()), default=0)
+    hits = (
+        rows.select("doc_id", "n_chars", "field", "boost", "dl", F.explode("tokens").alias("term"))
+        .join(_small(wanted, n_wanted), "term", "left_semi")
+        .groupBy("doc_id", "field", "term")
+        .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("boost").alias("boost"), F.first("n_chars").alias("n_chars"))
+    )
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    if scope is not None:
+        hits = hits.join(scope.select("doc_id"), "doc_id", "left_semi")
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average[F.col("field")]))
+    scored = hits.join(_small(df, n_wanted), ["field", "term"]).withColumn("part", part).join(_small(clauses, n_wanted), "term")
+    out = scored.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.first("n_chars").alias("n_chars"))
+    return out.withColumn("score", F.when(F.col("n_chars") > LONG_CHUNK_CHARS, F.col("score") * LONG_CHUNK_FACTOR).otherwise(F.col("score"))).drop("n_chars")
