@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquery.functions import analyzer
 from docquery.functions import text as T
-from docquery.operators import catalog, dense, evaluate, lexical, ranking
+from docquery.operators import catalog, chunking, dense, evaluate, lexical, ranking
 from docquery.sources.tables import chunks, docs, table
 from docquery.streaming import debounce
 
@@ -215,6 +216,45 @@ def dedupe_per_source(spark, sf_dir):
     return ranking.cap_per_document(named, 2, doc="source").select("query_id", "doc_id", "source", "rank")
 
 
+_FIELDED = rf"""
+WITH t AS (
+  SELECT (conv_id << 32) + turn AS doc_id, 'text' AS field, 1.0::DOUBLE AS boost, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w, length(text) AS n_chars FROM conversations
+  UNION ALL SELECT (conv_id << 32) + turn, 'title', 2.0, regexp_extract_all(lower(role), '[\p{{L}}\p{{N}}]+'), length(text) FROM conversations
+), q AS (SELECT item_id AS query_id, list_append(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')[1:3], 'user') AS w FROM benchmark),
+c AS (SELECT DISTINCT query_id, unnest(w) AS term FROM q),
+p AS (SELECT doc_id, field, u AS term, count(*) AS tf FROM (SELECT doc_id, field, unnest(w) AS u FROM t) WHERE u IN (SELECT term FROM c) GROUP BY 1, 2, 3),
+df AS (SELECT field, term, count(*) AS df FROM p GROUP BY 1, 2),
+s AS (SELECT field, count(*) AS n, avg(len(w)) AS avgdl FROM t GROUP BY 1),
+x AS (
+  SELECT query_id, p.doc_id, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t.w) / avgdl))) AS score, any_value(n_chars) AS n_chars
+  FROM p JOIN df USING (field, term) JOIN c USING (term) JOIN t ON t.doc_id = p.doc_id AND t.field = p.field JOIN s ON s.field = p.field GROUP BY 1, 2
+), r AS (SELECT query_id, doc_id, round(score * CASE WHEN n_chars > 1650 THEN 0.5 ELSE 1.0 END, 6) AS score FROM x)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10
+"""
+
+
+@query(_FIELDED)
+def bm25_fielded_topk(spark, sf_dir):
+    """Turns by their text and their role as title, with the title's boost."""
+    c = table(spark, sf_dir, "conversations").select(F.shiftleft(F.col("conv_id"), 32).alias("base"), "turn", "text", F.col("role").alias("title"))
+    c = c.select((F.col("base") + F.col("turn")).alias("doc_id"), "text", "title")
+    q = _queries(spark, sf_dir).withColumn("terms", F.concat("terms", F.array(F.lit("user"))))
+    return lexical.top(lexical.fielded_bm25(c, q, boosts={"text": 1.0, "title": 2.0}))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    """Every chunk of every document with its lines, kind and heading path."""
+    out = chunking.chunk(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "seq", "kind", "lang", "line_start", "line_end", F.array_join("heading_path", " > ").alias("heading_path"), F.sha2("text", 256).alias("chunk_hash"))
+
+
+@query()
+def analyzer_terms(spark, sf_dir):
+    """Frequency of every analyzed term of every document."""
+    return analyzer.tokens(docs(spark, sf_dir)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
 def _query_vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0 AND embedding IS NOT NULL").select("vec_id", "embedding").orderBy("vec_id")
     return [(r.vec_id, list(r.embedding)) for r in rows.toLocalIterator()]
