@@ -20,7 +20,10 @@ from docquery.llm.components import components
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Rounds of hubs before the pairs left between components of a bucket are compared one by one.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Buckets with more members than this are not paired row by row: their members are compared block by block.
+SMALL_BUCKET = 64
+BLOCK = 256
 
 SEPARATORS = common.byte_class([(0x20, 0x20), (0x09, 0x0D)])
 _SEEDS = common.mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64))
@@ -101,7 +104,9 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate(sets) if sets else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"])
 
-    return docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "node long, shingles array<long>")
+    # a shuffle at every size: whether the nodes could be broadcast depends on the corpus
+    named = nodes.select(F.col("node").alias("doc_id")).hint("merge")
+    return docs.select("doc_id", "text").join(named, "doc_id", "left_semi").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _could(percent: int):
@@ -115,13 +120,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(f"100 * common >= {percent} * (size(us) + size(vs) - common)").select("u", "v")
 
 
+def common_sizes(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Intersection sizes of all pairs of a bounded list of sets, as products of 0/1 matrices of some shingles at a time."""
+    lengths = [len(x) for x in sets]
+    row = np.repeat(np.arange(len(sets)), lengths)
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(seen > 1) - 1
+    keep = seen[column] > 1
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        a, b = np.searchsorted(column, [low, low + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _block_links(placed: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of large buckets. Members that such buckets connect are cut into blocks, and each pair of blocks is a task of bounded size that returns links only."""
+    inside = placed.join(large.select("bucket"), "bucket")
+    hubs = inside.groupBy("bucket").agg(F.min("node").alias("hub"))
+    clusters = common.stored(components(inside.join(hubs, "bucket").select(F.col("node").alias("u"), F.col("hub").alias("v"))), "clusters")
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = inside.select("node", F.col("component").alias("own")).distinct().join(clusters, "node").join(sizes, "component")
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = spread.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "own")
+
+    def verify(table: pa.Table) -> pa.Table:
+        node, own, block = (table[c].to_numpy() for c in ("node", "own", "block"))
+        lists = table["shingles"].combine_chunks()
+        sets = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+        n = np.array([len(x) for x in sets])
+        both = common_sizes(sets)
+        linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        linked &= (own[:, None] != own[None, :]) & (node[:, None] > node[None, :])
+        if table["i"][0].as_py() != table["j"][0].as_py():
+            linked &= block[:, None] != block[None, :]
+        u, v = np.nonzero(linked)
+        return pa.table([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
+
+    return keyed.join(sets, "node").groupBy("component", "i", "j").applyInArrow(verify, "u long, v long")
+
+
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable through links) of every row.
 
     Documents with equal sets are one node, named by their smallest doc_id. Each bucket's members are first compared
     with its hub, the member whose buckets are largest; members still in other components are compared with the hubs
-    of those, and after HUB_ROUNDS rounds all pairs between components of a bucket are, so no candidate is left out
-    and a group that a hub connects is never paired within itself.
+    of those, and after HUB_ROUNDS rounds all pairs between components of a bucket are (in blocks, where it is large),
+    so no candidate is left out and a group that a hub connects is never paired within itself.
     Null and empty texts have an empty set and are linked with nothing. Rows with the same doc_id are one node. A
     null doc_id is a node of its own that takes no part and keeps a null component. Other columns are ignored.
     """
@@ -130,26 +181,28 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     classes = common.stored(nodes.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
     rows = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
+    # stored, so that both sides of the join are shuffled by it alone and a large bucket can be split
+    shared = common.stored(rows.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "shared-buckets")
     members = rows.join(shared, "bucket").distinct()
     weight = members.groupBy("node").agg(F.sum("m").alias("weight"))
     members = common.stored(members.join(weight, "node").select("bucket", "node", "n", "weight"), "members")
     sets = common.stored(full_sets(docs, members.select("node").distinct(), size), "sets")
 
-    done = links = None
-    labels = None
+    done = links = labels = None
     for k in range(HUB_ROUNDS + 1):
         placed = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if k == 0:
             hubs = placed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"), "n", "component")).alias("h"))
         else:
             by_component = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.max(F.struct("weight", (-F.col("node")).alias("node"), "n", "component")).alias("h"))
-            largest = by_component.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("m", F.col("component").alias("c"))).alias("top")).filter("k > 1")
+            largest = by_component.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("m").alias("size"), F.max(F.struct("m", F.col("component").alias("c"))).alias("top")).filter("k > 1")
             others = by_component.join(largest, "bucket").filter("component != top.c")
             if k < HUB_ROUNDS:  # the hub of the largest component that is not the bucket's first
                 hubs = others.groupBy("bucket").agg(F.max(F.struct("m", "h")).alias("x")).select("bucket", F.col("x.h").alias("h"))
             else:
-                outside = placed.join(largest, "bucket").filter("component != top.c")
+                largest = common.stored(largest, "open-buckets")
+                large = largest.filter(F.col("size") > SMALL_BUCKET)
+                outside = placed.join(largest.filter(F.col("size") <= SMALL_BUCKET), "bucket").filter("component != top.c")
                 hubs = outside.select("bucket", F.struct("weight", (-F.col("node")).alias("node"), "n", "component").alias("h"))
         pairs = (
             placed.join(hubs, "bucket")
@@ -160,20 +213,16 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             .distinct()
         )
         pairs = common.stored(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if k == HUB_ROUNDS:
-                break
-            continue
-        new = common.stored(_verified(pairs, sets, percent), "links")
+        new = _verified(pairs, sets, percent)
+        if k == HUB_ROUNDS and not large.isEmpty():
+            new = new.union(_block_links(placed, large, sets, percent))
+        new = common.stored(new, "links")
         done = pairs if done is None else done.union(pairs)
         links = new if links is None else links.union(new)
         labels = common.stored(components(links), "labels")
 
     named = classes.select("d1", "d2", "node")
-    if labels is not None:
-        named = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    else:
-        named = named.withColumn("component", F.col("node"))
+    named = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     out = signs.join(named.select("d1", "d2", "component"), ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))

@@ -35,9 +35,13 @@ def brute_groups(data, size, percent):
     return {(d, len(sets[d]), root(d)) for d in ids}
 
 
-def test_near_dedup_brute_force(spark):
+@pytest.mark.parametrize(("small", "block"), [(64, 256), (2, 4), (2, 1000)])
+def test_near_dedup_brute_force(spark, monkeypatch, small, block):
     import random
 
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     data = [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "one two"), (1004, "ONE\ttwo"), (1005, "one two three"), (1006, "x" * 100_000)]
