@@ -88,12 +88,14 @@ def write_archives(pages: DataFrame, folder: str, dedup_bytes: int = 0) -> DataF
 
     Of rows with equal payloads of at least dedup_bytes bytes, that with the largest page_id is the response and the
     others revisit it; rows that repeat the response's page_id are responses too. Null html is an empty payload; a
-    null page_id is a response unless another row holds its payload; a null url has an empty key. Other columns are
+    null page_id is a response unless a row with an id holds its payload; a null url has an empty key. Other columns are
     ignored. Files are named by attempt, and only those of committed attempts are in the result.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("n_bytes", F.octet_length("html"))
-    first = rows.filter(F.col("n_bytes") >= dedup_bytes).groupBy("digest").agg(F.max("page_id").alias("response"))
+    same = rows.filter(F.col("n_bytes") >= dedup_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
+    # stored and merged at every size, so that a payload with very many pages can be split between tasks
+    first = common.stored(same.filter("n > 1").select("digest", "response"), "payloads").hint("merge")
     joined = rows.join(first, "digest", "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     ready = joined.select("page_id", "url", "digest", "n_bytes", F.when(~revisit, F.col("html")).alias("html"), F.when(revisit, F.col("response")).alias("refers_to"))
