@@ -16,60 +16,30 @@ def batches(events: DataFrame, gap_s: float, longest_s: float) -> DataFrame:
     """key, batch (from 1), opened, closed, events and distinct paths of each batch of a bounded table (key, path, ts).
 
     An event joins the open batch if it comes no later than gap_s after the last one and longest_s after the first.
-    Keys are independent; a key's events are read in order of time, a batch at a time in memory.
+    Keys are independent, and a key's events are read in order of time.
     """
 
-    def run(keys, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = None
-        n, number, paths = 0, 0, set()
-
-        def closed():
-            return pd.DataFrame({"key": [keys[0]], "batch": [number], "opened": [first], "closed": [last], "events": [n], "paths": [len(paths)]})
-
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "batch", "opened", "closed", "events", "paths"]
+        current: list | None = None  # the open batch, its paths as a set
+        closed: list[list] = []
         for part in parts:
-            for ts, path in zip(part["ts"], part["path"], strict=True):
-                if first is None or (ts - last).total_seconds() > gap_s or (ts - first).total_seconds() > longest_s:
-                    if first is not None:
-                        yield closed()
-                    first, n, paths = ts, 0, set()
-                    number += 1
-                last = ts
-                n += 1
-                paths.add(path)
-        if first is not None:
-            yield closed()
-
-    # sorted by Spark within each key, so that a key's rows stream through in bounded parts
-    by_key = events.select("key", "path", "ts").repartition("key").sortWithinPartitions("key", "ts", "path")
-
-    def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows():
-            for part in parts:
-                start = 0
-                keys = part["key"].to_numpy()
-                for i in range(1, len(keys) + 1):
-                    if i == len(keys) or keys[i] != keys[start]:
-                        yield keys[start], part.iloc[start:i]
-                        start = i
-
-        pending = rows()
-        held = next(pending, None)
-        while held is not None:
-            key, following = held[0], None
-
-            def own(first=held, key=key):
-                nonlocal following
-                yield first[1]
-                for nxt, part in pending:
-                    if nxt != key:
-                        following = (nxt, part)
-                        return
-                    yield part
-
-            yield from run((key,), own())
-            held = following
-
-    return by_key.mapInPandas(stream, BATCH)
+            for key, path, ts in zip(part["key"], part["path"], part["ts"], strict=True):
+                same_key = current is not None and current[0] == key
+                if same_key and (ts - current[3]).total_seconds() <= gap_s and (ts - current[2]).total_seconds() <= longest_s:
+                    current[3], current[4] = ts, current[4] + 1
+                    current[5].add(path)
+                    continue
+                if current is not None:
+                    closed.append([*current[:5], len(current[5])])
+                current = [key, current[1] + 1 if same_key else 1, ts, ts, 1, {path}]
+            yield pd.DataFrame(closed, columns=columns)
+            closed = []
+        if current is not None:
+            yield pd.DataFrame([[*current[:5], len(current[5])]], columns=columns)
+
+    # sorted by Spark within each key, so that rows stream through and only the open batch is held
+    return events.select("key", "path", "ts").repartition("key").sortWithinPartitions("key", "ts", "path").mapInPandas(run, BATCH)
 
 
 class Debounce(StatefulProcessor):
