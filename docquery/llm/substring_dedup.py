@@ -254,17 +254,26 @@ def _inside(many: DataFrame, length: int) -> DataFrame:
     return many.repartition(common.task_count(many.sparkSession), "h").mapInArrow(run, "bucket int, idx int, start long, stop long")
 
 
-def _exploded(many: DataFrame, length: int) -> DataFrame:
-    """A row for each window of the runs, with the hash of its bytes."""
+def _windows_by_hash(many: DataFrame, length: int) -> DataFrame:
+    """bucket, h, w (hash of a window's bytes) and where the window stands in that bucket: docs, idx, start (arrays), and the first of these places."""
 
     def run(batches):
-        for batch in common.slices(batches, 2048):
+        for batch in common.slices(batches, 8192):
             bucket, idx, docs, i0, n, h = (batch.column(c).to_numpy() for c in range(6))
             data, at, of, start = _windows([i0, n, batch.column(6).to_pylist()], length)
-            w = common.span_hash(common.prefix_hash(data), at, at + length)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[of]), pa.array(idx[of]), pa.array(docs[of]), pa.array(start), pa.array(h[of]), pa.array(common.signed(w))], names=["bucket", "idx", "doc_id", "start", "h", "w"])
+            w = common.signed(common.span_hash(common.prefix_hash(data), at, at + length))
+            order = np.lexsort((start, docs[of], w, h[of], bucket[of]))
+            of, start, w = of[order], start[order], w[order]
+            head = np.ones(len(order), bool)
+            head[1:] = (w[1:] != w[:-1]) | (h[of][1:] != h[of][:-1]) | (bucket[of][1:] != bucket[of][:-1])
+            edge = np.append(np.flatnonzero(head), len(order)).astype(np.int32)
+            first = edge[:-1]
+            lists = [pa.ListArray.from_arrays(edge, x) for x in (docs[of], idx[of], start)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[of][first]), pa.array(h[of][first]), pa.array(w[first]), *lists, pa.array(docs[of][first]), pa.array(start[first])], names=names)
 
-    return many.select("bucket", "idx", "doc_id", "i0", "n", "h", "bytes").mapInArrow(run, "bucket int, idx int, doc_id long, start long, h long, w long")
+    names = ["bucket", "h", "w", "docs", "idx", "start", "doc_id", "at"]
+    together = many.select("bucket", "idx", "doc_id", "i0", "n", "h", "bytes").repartition(common.task_count(many.sparkSession), "bucket")
+    return together.mapInArrow(run, "bucket int, h long, w long, docs array<long>, idx array<int>, start array<long>, doc_id long, at long")
 
 
 def _copies(buckets: DataFrame, folder: str, length: int) -> DataFrame:
@@ -279,6 +288,7 @@ def _copies(buckets: DataFrame, folder: str, length: int) -> DataFrame:
 
     rows = common.stored(buckets.mapInArrow(run, "bucket int, idx int, doc_id long, d1 long, d2 long, size long").filter(F.col("size") >= length), "texts")
     first = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    first = common.stored(first, "first-texts")
     return rows.join(first, ["d1", "d2"]).filter("doc_id != first").select("bucket", "idx", F.lit(0).cast("long").alias("start"), F.col("size").alias("stop"))
 
 
@@ -301,8 +311,7 @@ def _finish(spans: DataFrame, folder: str, with_text: bool) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        table = table.filter(pc.is_valid(table["idx"]))
-        idx, start, stop = (table[c].to_numpy() for c in ("idx", "start", "stop"))
+        idx, start, stop = (table[c].combine_chunks().flatten().to_numpy() for c in ("idx", "start", "stop"))
         order = np.lexsort((start, idx))
         idx, start, stop = idx[order], start[order], stop[order]
         out = []
@@ -338,19 +347,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     found = common.stored(_occurrences(survivors, folder, length, gram), "runs")
 
     firsts = found.groupBy("h", "v").agg(F.min(F.struct("doc_id", "i0")).alias("lead"))
-    variants = firsts.groupBy("h").agg(F.count("*").alias("variants"))
-    led = common.stored(firsts.join(variants, "h"), "first-runs")
+    # tables that a join reads are stored, so that it alone shuffles both sides and a frequent key can be split
+    firsts = common.stored(firsts, "firsts")
+    variants = common.stored(firsts.groupBy("h").agg(F.count("*").alias("variants")).filter("variants > 1"), "variants")
+    led = common.stored(firsts.join(variants, "h", "left").withColumn("variants", F.coalesce("variants", F.lit(1))), "first-runs")
     judged = found.join(led, ["h", "v"])
     leads = (F.col("doc_id") == F.col("lead.doc_id")) & (F.col("i0") == F.col("lead.i0"))
     whole = judged.filter(~leads).select("bucket", "idx", F.col("i0").alias("start"), (F.col("i0") + F.col("n") - 1 + length).alias("stop"))
     open_ = common.stored(judged.filter(leads & (F.col("variants") > 1) & F.col("bytes").isNotNull()).drop("lead"), "open-runs")
     inside = _inside(open_.filter(F.col("variants") <= MANY_RUNS), length)
-    windows = common.stored(_exploded(open_.filter(F.col("variants") > MANY_RUNS), length), "windows")
-    earliest = windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "start")).alias("lead"), F.count("*").alias("m")).filter("m > 1")
-    later = windows.join(earliest, ["h", "w"]).filter((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("start") != F.col("lead.start")))
-    later = later.select("bucket", "idx", "start", (F.col("start") + length).alias("stop"))
-    every = buckets.select("bucket", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"))
-    spans = whole.union(inside).union(later).union(_copies(buckets, folder, length)).union(every)
+    windows = common.stored(_windows_by_hash(open_.filter(F.col("variants") > MANY_RUNS), length), "windows")
+    earliest = windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "at")).alias("lead"), F.sum(F.size("idx")).alias("m")).filter("m > 1")
+    places = F.arrays_zip("docs", "idx", "start")
+    later = F.filter(places, lambda x: (x.docs != F.col("lead.doc_id")) | (x.start != F.col("lead.at")))
+    hashed = windows.join(common.stored(earliest, "first-windows"), ["h", "w"]).select("bucket", later.alias("x"))
+    hashed = hashed.select("bucket", F.col("x.idx").alias("idx"), F.col("x.start").alias("start"), F.transform("x.start", lambda s: s + length).alias("stop"))
+    single = whole.union(inside).union(_copies(buckets, folder, length)).select("bucket", F.array("idx").alias("idx"), F.array("start").alias("start"), F.array("stop").alias("stop"))
+    none = F.array().cast("array<long>")
+    every = buckets.select("bucket", none.cast("array<int>").alias("idx"), none.alias("start"), none.alias("stop"))
+    spans = single.union(hashed).union(every)
     return _finish(spans, folder, with_text)
 
 
