@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +20,21 @@ def session(app: str = "docquery", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     return builder.config(map=defaults | conf).getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package, where neither PYTHONPATH nor the working folder already does."""
+    root = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if app in _shipped or any(p and Path(p).resolve() == root for p in known):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="docquery-")) / "docquery.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted((root / "docquery").rglob("*.py")):
+            out.write(source, source.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
