@@ -183,16 +183,20 @@ def _occurrences(survivors: DataFrame, folder: str, length: int, gram: int) -> D
             if len(row):
                 v = common.signed(common.span_hash(prefix, first, first + n - 1 + length))
                 docs = pc.fill_null(batch.column(0), NO_ID).to_numpy()[row]
-                content = [data[a:b].tobytes() for a, b in zip(first.tolist(), (first + n - 1 + length).tolist(), strict=True)]
-                out.append((first_row + row, docs, first - offsets[row], n, h, v, content))
+                out.append((first_row + row, docs, first - offsets[row], n, h, v))
         if not out:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        idx, docs, i0, n, h, v = (np.concatenate(x) for x in list(zip(*out, strict=True))[:6])
-        content = np.array([c for o in out for c in o[6]], object)
+        idx, docs, i0, n, h, v = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.lexsort((i0, docs, v, h))
-        again = np.zeros(len(order), bool)
-        again[1:] = (h[order][1:] == h[order][:-1]) & (v[order][1:] == v[order][:-1])
-        content[order[again]] = None
+        lead = np.ones(len(order), bool)
+        lead[order[1:]] = (h[order][1:] != h[order][:-1]) | (v[order][1:] != v[order][:-1])
+        # the file is read again for the bytes of first runs alone, so that the others are never held
+        content: list[bytes | None] = [None] * len(idx)
+        for first_row, batch in _batches(folder, bucket, ["text"]):
+            low, high = np.searchsorted(idx, [first_row, first_row + batch.num_rows])
+            texts = batch.column(0)
+            for k in (low + np.flatnonzero(lead[low:high])).tolist():
+                content[k] = texts[int(idx[k]) - first_row].as_buffer()[int(i0[k]) : int(i0[k] + n[k]) - 1 + length].to_pybytes()
         return pa.table([pa.array(np.full(len(idx), bucket), pa.int32()), pa.array(idx, pa.int32()), pa.array(docs), pa.array(i0), pa.array(n, pa.int32()), pa.array(h), pa.array(v), pa.array(content, pa.binary())], names=names)
 
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
