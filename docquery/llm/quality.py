@@ -127,24 +127,32 @@ def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, decay: floa
     return net.p | {"mean": mean, "spread": spread}
 
 
-def train(rows: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> dict[str, np.ndarray] | None:
-    """Fit on rows (text, y in 0 and 1): about per_label of each. None without both labels."""
-    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+def train(docs: DataFrame, known: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> dict[str, np.ndarray] | None:
+    """Fit on documents (doc_id, text) with labels (doc_id, y in 0 and 1): about per_label of each. None without both labels.
+
+    The sample is drawn from the labels, so that only its rows' texts are moved.
+    """
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     if set(counts) != {0, 1}:
         return None
     scale = 1 << 30
     share = {y: min(scale, per_label * scale // n) for y, n in counts.items()}
     most = F.when(F.col("y") == 1, share[1]).otherwise(share[0])
-    keyed = rows.select("text", "y", F.xxhash64("text").alias("h"))
-    sample = keyed.filter(F.pmod(F.col("h"), F.lit(scale)) < most)
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < most)
+    # about twice per_label rows, whatever the corpus
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("text").alias("h"))
     weight = {y: counts[y] / sum(counts.values()) for y in (0, 1)}
 
     def run(batches):
         held = sorted((h, y, t or "") for b in batches for t, y, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
-        x, per = passages(pa.array([t for _, _, t in held], pa.string()))
-        edges = np.cumsum(per)[:-1]
+        bags: list[np.ndarray] = []
+        for low in range(0, len(held), 64):
+            x, per = passages(pa.array([t for _, _, t in held[low : low + 64]], pa.string()))
+            bags += np.split(x, np.cumsum(per)[:-1])
         y = np.array([v for _, v, _ in held], float)
-        p = fit(np.split(x, edges), y)
+        if set(y) != {0.0, 1.0}:
+            return
+        p = fit(bags, y)
         # the sample holds more of the rarer label than the rows do: move the log odds back
         rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
         p["b"] = p["b"] + np.log(weight[1] / weight[0]) - np.log(rate / (1 - rate))
@@ -152,7 +160,7 @@ def train(rows: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> dict[str, np.nd
 
     # the sample's size is a parameter's multiple, whatever the corpus
     found = sample.repartition(1).mapInArrow(run, "name string, values binary, shape array<long>").collect()
-    return {r.name: np.frombuffer(r["values"], np.float64).reshape(r["shape"]) for r in found}
+    return {r.name: np.frombuffer(r["values"], np.float64).reshape(r["shape"]) for r in found} or None
 
 
 def predict(docs: DataFrame, params: dict[str, np.ndarray] | None) -> DataFrame:
@@ -160,7 +168,7 @@ def predict(docs: DataFrame, params: dict[str, np.ndarray] | None) -> DataFrame:
 
     def run(batches):
         net = Network({k: v.astype(np.float32) for k, v in params.items()}) if params else None
-        for batch in common.slices(batches, 128):
+        for batch in common.slices(batches, 64):
             x, per = passages(batch.column(1))
             score = np.full(batch.num_rows, 0.5)
             if net:
@@ -171,13 +179,13 @@ def predict(docs: DataFrame, params: dict[str, np.ndarray] | None) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """Learn quality from the labelled rows where may_learn holds, and score every whole text.
+    """Learn quality from the labels where may_learn (a condition on doc_id) holds, and score every whole text.
 
     Null and empty texts are one empty passage. Labels other than 0 and 1 teach nothing; a document that is labelled
     more than once counts each time. Repeated rows and null ids are scored as any other row; other columns are ignored.
     """
-    known = labels.filter("quality IN (0, 1)").select("doc_id", F.col("quality").alias("y"))
-    params = train(docs.filter(may_learn).select("doc_id", "text").join(known, "doc_id").select("text", "y"), per_label)
+    known = labels.filter(F.col("quality").isin(0, 1) & may_learn).select("doc_id", F.col("quality").alias("y"))
+    params = train(docs.select("doc_id", "text"), known, per_label)
     return predict(docs, params)
 
 
