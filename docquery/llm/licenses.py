@@ -38,7 +38,7 @@ FAMILIES = [
     ("mit", f"mit {LIC}|mit x11 {LIC}|expat {LIC}", "mit expat", ""),
     ("bsd-4-clause", f"(?:original|4 clause|four clause) bsd {LIC}|bsd 4 clause(?: {LIC})?", "bsd", ""),
     ("bsd-3-clause", f"(?:new|modified|revised|3 clause|three clause) bsd {LIC}|bsd 3 clause(?: {LIC})?", "bsd", ""),
-    ("bsd-2-clause", f"(?:simplified|freebsd|2 clause|two clause) (?:bsd )?{LIC}|bsd 2 clause(?: {LIC})?", "bsd simplified freebsd", ""),
+    ("bsd-2-clause", f"(?:simplified|freebsd|2 clause|two clause) (?:bsd )?{LIC}|bsd 2 clause(?: {LIC})?", "bsd simplified freebsd clause", ""),
     ("0bsd", f"(?:zero clause|0 clause) bsd {LIC}|0bsd", "bsd 0bsd", ""),
     ("bsd", f"bsd(?: style)? {LIC}", "bsd", ""),
     ("mpl", f"mozilla public {LIC}|mpl", "mozilla mpl", "1 0|1 1|2 0"),
@@ -120,7 +120,7 @@ def rules() -> tuple[Rule, ...]:
     """All rules in order of priority: full notices, then by form and family, then weak notices."""
     notices = [_rule(label, text, words, words, sure) for label, text, words, sure in NOTICES]
     named = [
-        _rule(label, form.format(name=name, version=version or "(?!)", lic=LIC, label=label.replace("-", " ")), words, any_of.split(), sure)
+        _rule(label, form.format(name=name, version=version or "(?!)", lic=LIC, label=label.replace("-", " ")), words, [*any_of.split(), *(label.split("-")[:1] if "{label}" in form else [])], sure)
         for form, words, sure in FORMS
         for label, name, any_of, version in FAMILIES
         if version or "{name}) (?:version |v)(?:{version})" not in form
