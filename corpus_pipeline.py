@@ -5,6 +5,9 @@ Each stage works on all that its predecessor kept. All but the last return the c
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +19,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, ~langid.held_out())
 
 
+def _left_out(docs: DataFrame, gone: DataFrame, on: dict) -> DataFrame:
+    """docs without the rows whose expressions (the values of on) equal the named columns of gone, null-safely."""
+    gone = gone.select(*[F.col(c).alias(f"__{c}") for c in on]).distinct()
+    rows = docs.withColumns({f"__own_{c}": x for c, x in on.items()})
+    same = [F.col(f"__own_{c}").eqNullSafe(F.col(f"__{c}")) for c in on]
+    return rows.join(gone, reduce(and_, same), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at a similarity of 0.8 on five-word shingles, the document with the smallest doc_id stays."""
-    gone = near_dedup.link(docs, size=5, percent=80).filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group linked at a similarity of 0.8 on five-word shingles, the document with the smallest doc_id stays.
+
+    A document is a doc_id with a text, so rows that share a doc_id or have none are linked by their own texts. Of one
+    group's documents with the same doc_id one stays, and one without a doc_id only if none has any. Equal rows with a
+    doc_id are one document; of equal texts without a doc_id one row stays.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = near_dedup.link(docs.select(key.alias("doc_id"), "text"), size=5, percent=80)
+    linked = found.filter("doc_id != component_id").select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
+    linked = common.stored(linked.union(linked.select("component", "component").distinct()), "linked")
+    ids = docs.select(key.alias("key"), "doc_id").join(linked, "key").select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("row"))
+    first = common.stored(ids.groupBy("component").agg(F.min("row").alias("first")).select("component", F.col("first.key").alias("first")), "first-documents")
+    kept = _left_out(docs, linked.join(first, "component").filter("key != first"), {"key": key})
+    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.filter(~nameless).union(kept.filter(nameless).dropDuplicates(["text"]))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that stand earlier are cut out (characters stay whole); a document left without text goes."""
     cut = substring_dedup.remove_repeats(docs).filter("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("n_bytes").alias("__n"), F.col("text").alias("__cut")).dropDuplicates(["__id", "__n"])
-    rows = docs.withColumn("__bytes", F.octet_length("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__bytes") == F.col("__n"))
+    cut = cut.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("text").alias("__cut")).dropDuplicates(["__id", "__digest"])
+    rows = docs.withColumn("__own", F.unhex(F.md5("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
     joined = rows.join(cut, same, "left")
     text = F.coalesce("__cut", "text")
     kept = joined.filter(F.col("__cut").isNull() | (F.col("__cut") != ""))
@@ -37,8 +60,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a window of a benchmark item go."""
-    found = decontamination.scan(docs, common.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = decontamination.scan(docs, common.table(spark, sf_dir, "benchmark")).filter("contaminated")
+    return _left_out(docs, found, {"doc_id": F.col("doc_id"), "h": decontamination.text_hash("text")})
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

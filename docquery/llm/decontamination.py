@@ -34,6 +34,11 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select("item_id", F.array_join("words", " ").alias("key"), "words", F.size("words").alias("len")).dropDuplicates(["item_id", "key"])
 
 
+def text_hash(text: str) -> Column:
+    """What tells apart the texts of rows that share a doc_id, or have none: two 64-bit hashes of unlike seeds."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def _sized(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
@@ -57,7 +62,7 @@ def prefix_table(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
 
 def occurrences(docs: DataFrame, prefix: DataFrame, small: bool) -> DataFrame:
     """One row for each place where a window stands, and one with a null key for each document; columns: row (doc_id and text hash), key, start, len, n_words."""
-    base = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("row"), words_of(F.col("text")).alias("words"))
+    base = docs.select(F.struct("doc_id", text_hash("text").alias("h")).alias("row"), words_of(F.col("text")).alias("words"))
     # no word is empty: an empty one at the end stands for the document itself, so that its count needs no second scan
     ended = base.withColumn("ended", F.concat("words", F.array(F.lit("")))).select("row", "words", F.posexplode("ended").alias("at", "word"))
     mark = prefix.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(None).cast("string").alias("key"), F.array().cast("array<string>").alias("window"), F.lit(0).alias("len"), F.lit(0).alias("offset"))
@@ -78,8 +83,8 @@ def occurrences(docs: DataFrame, prefix: DataFrame, small: bool) -> DataFrame:
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """What each document shares with the benchmark items.
 
-    Result: doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, item_ids (sorted as strings),
-    contaminated. Null texts have no words; null item ids count as hits but not as items; equal rows give equal rows,
+    Result: doc_id, h (text_hash), n_words, n_hit (words inside any occurrence of a window), n_items, item_ids (sorted
+    as strings), contaminated. Null texts have no words; null item ids count as hits but not as items; equal rows give equal rows,
     one each; an empty items table leaves all documents clean. Other columns are ignored.
     """
     windows = item_windows(items, window)
@@ -99,9 +104,9 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_wind
     )
     n_hit = F.aggregate("spans", zero, add, lambda acc: acc.total.cast("long"))
     return grouped.select(
-        F.col("row.doc_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("ids").cast("long").alias("n_items"),
+        F.col("row.doc_id").alias("doc_id"), F.col("row.h").alias("h"), "n_words", n_hit.alias("n_hit"), F.size("ids").cast("long").alias("n_items"),
         F.array_sort(F.transform("ids", lambda x: x.cast("string"))).alias("item_ids"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one"),
-    ).select("doc_id", "n_words", "n_hit", "n_items", "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
+    ).select("doc_id", "h", "n_words", "n_hit", "n_items", "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

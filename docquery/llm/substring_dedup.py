@@ -310,8 +310,8 @@ def _whole_characters(text: bytes, spans: list[list[int]]) -> str:
 
 
 def _finish(spans: DataFrame, folder: str, with_text: bool) -> DataFrame:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "text"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.string()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "text", "digest"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.string(), pa.binary()]
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
@@ -330,18 +330,18 @@ def _finish(spans: DataFrame, folder: str, with_text: bool) -> DataFrame:
                         merged.append([a, b])
                 bounds = [0, *(x for span in merged for x in span), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)) if merged else text
-                out.append((doc, len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), bounds[1:-1], *((kept, _whole_characters(text, merged)) if with_text else (None, None))))
+                out.append((doc, len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), bounds[1:-1], *((kept, _whole_characters(text, merged), hashlib.md5(text).digest()) if with_text else (None, None, None))))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
 
-    return spans.groupBy("bucket").applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary, text string")
+    return spans.groupBy("bucket").applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary, text string, digest binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """Remove each byte that a string of `length` bytes covers which also starts earlier (smaller doc_id, or same and earlier).
 
     Result, one row for each row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, spans
-    (starts and stops of the removed runs), kept (the remaining bytes, which may cut a character) and text (a character
-    cut by a run's edge stays whole). Null and empty texts have no bytes. Rows that repeat a doc_id are one place: neither is earlier than the other. A null doc_id
+    (starts and stops of the removed runs), kept (the remaining bytes, which may cut a character), text (a character
+    cut by a run's edge stays whole) and digest (MD5 of the whole text, which with doc_id tells rows apart). Null and empty texts have no bytes. Rows that repeat a doc_id are one place: neither is earlier than the other. A null doc_id
     comes before all others. Other columns are ignored.
     """
     spark = docs.sparkSession

@@ -55,3 +55,34 @@ def test_empty_and_extra_columns(spark, sf):
             out = stage(spark, data, sf)
             assert out.count() == data.count() or data.count()
             assert name == "best_fit_packing" or out.columns == data.columns
+
+
+def test_rows_that_share_a_doc_id_or_have_none(spark, sf):
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"{rng.randrange(10**7):07d}" for _ in range(n))
+
+    def run(stage, rows):
+        docs = spark.createDataFrame([(d, t, None, None, len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        out = stage(spark, docs, sf).collect()
+        assert all(r.n_chars == len(r.text) for r in out)
+        return sorted(((r.doc_id, r.text) for r in out), key=str)
+
+    a, b, c, d, e, f = (say(60) for _ in range(6))
+    near = lambda t, x: f"{t[:-7]}{x:07d}"
+    rows = [(1, a), (5, near(a, 1)), (5, b), (None, near(a, 2)), (None, c), (None, c), (None, d), (7, near(e, 1)), (7, near(e, 2)), (3, f), (3, f), (8, ""), (None, ""), (None, "")]
+    got = run(p.minhash_near_dedup, rows)
+    assert len([t for i, t in got if i == 7]) == 1
+    assert [x for x in got if x[0] != 7] == sorted([(1, a), (5, b), (None, c), (None, d), (3, f), (3, f), (8, ""), (None, ""), (None, "")], key=str)
+
+    passage, own, again, between = f"{say(20)}<", f">{say(20)}", f"{say(20)}<", f">{say(20)}|"
+    twice = again + between + again
+    rows = [(1, f"{passage}{say(3)}"), (2, passage + own), (2, say(80)[: len(passage + own)]), (None, twice), (None, say(80)[: len(twice)])]
+    assert run(p.suffix_array_dedup, rows) == sorted([rows[0], (2, own), rows[2], (None, again + between), rows[4]], key=str)
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(4, f"{say(3)} {item}"), (4, b), (None, item), (None, c), (6, d)]
+    assert run(p.benchmark_decontamination, rows) == sorted([(4, b), (None, c), (6, d)], key=str)
