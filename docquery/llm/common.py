@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 512
 
 MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bases of two unrelated hashes of byte spans; where 64 bits may not do, both are used.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,29 +119,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_BYTE_VALUES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base)) for base in _BASES]
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers[kind]
-    if len(have) < n:
-        factor = np.full(max(n, 1 << 16), _BASE if kind == "up" else _INVERSE, np.uint64)
+def _power(family: int, inverse: bool, n: int) -> np.ndarray:
+    have = _powers.get((family, inverse))
+    if have is None or len(have) < n:
+        base = _BASES[family]
+        factor = np.full(max(n, 1 << 16), pow(base, -1, 1 << 64) if inverse else base, np.uint64)
         factor[0] = 1
-        have = _powers[kind] = np.cumprod(factor, dtype=np.uint64)
+        have = _powers[family, inverse] = np.cumprod(factor, dtype=np.uint64)
     return have[:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, family: int = 0) -> np.ndarray:
     """Sums of byte value times base^position modulo 2^64, before each byte and at the end."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * _power("up", len(data)), out=out[1:])
+    np.cumsum(_BYTE_VALUES[family][data] * _power(family, False, len(data)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for each pair, whatever the place."""
-    raw = (prefix[ends] - prefix[starts]) * _power("down", len(prefix))[starts]
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """64-bit hash of data[start:end] for each pair, whatever the place; the prefix must be of the same family."""
+    raw = (prefix[ends] - prefix[starts]) * _power(family, True, len(prefix))[starts]
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 

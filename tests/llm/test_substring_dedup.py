@@ -27,19 +27,19 @@ def brute(data, length):
     return {k: sorted(v) for k, v in out.items()}
 
 
-def run(spark, data, length, gram):
+def run(spark, data, length, gram, piece=substring_dedup.PIECE):
     df = spark.createDataFrame([(d, t, 1, "b") for d, t in data], "doc_id long, text string, start int, bytes string").repartition(3, "doc_id")
     out = {}
-    for r in substring_dedup.remove_repeats(df, length, gram).collect():
+    for r in substring_dedup.remove_repeats(df, length, gram, piece=piece).collect():
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
         assert r.n_removed - 6 * r.n_spans <= r.n_bytes - len(r.text.encode()) <= r.n_removed
         out.setdefault(repr(r.doc_id), []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
     return {k: sorted(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("many", [200, 1])
-def test_brute_force(spark, monkeypatch, many):
-    monkeypatch.setattr(substring_dedup, "MANY_RUNS", many)
+@pytest.mark.parametrize("piece", [substring_dedup.PIECE, 64])
+def test_brute_force(spark, piece):
+    """Also with long texts hashed in parts, here of 64 bytes."""
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abé ") for _ in range(rng.randint(1, 9)))
     passages = [" ".join(word() for _ in range(30)) for _ in range(6)]
@@ -52,7 +52,7 @@ def test_brute_force(spark, monkeypatch, many):
             parts += [p[a : a + rng.randint(10, 120)], word()]
         data.append((i * 7 % 100, "".join(parts)))
     data += [(200, data[3][1]), (201, data[3][1]), (202, "a" * 400), (203, "ab" * 200), (204, None), (205, ""), (206, "short"), (207, "short"), (204, None), (300, data[5][1]), (300, data[5][1]), (None, data[8][1]), (301, "xyz" + "é" * 200), (302, "z" * 3 + "q".join(["é" * 200] * 2))]
-    assert run(spark, data, 40, 12) == brute(data, 40)
+    assert run(spark, data, 40, 12, piece) == brute(data, 40)
 
 
 def test_threshold_edges(spark):
@@ -69,7 +69,7 @@ def test_equal_windows_have_equal_grams():
     block = rng.integers(97, 101, 300).astype(np.uint8)
     for lead in (0, 1, 7, 50):
         data = np.concatenate([rng.integers(97, 101, lead).astype(np.uint8), block, rng.integers(97, 101, 30).astype(np.uint8)])
-        _, first, n, h, _ = substring_dedup.runs(data, np.array([0, len(data)]), 100, 32)
+        _, first, n, h, *_ = substring_dedup.runs(data, np.array([0, len(data)]), 100, 32)
         per_window = np.repeat(h, n)
         assert len(per_window) == len(data) - 99
         if lead == 0:
