@@ -3,13 +3,12 @@
 The plan is a configuration linear program: a configuration is a set of lengths that fits one sequence, and the
 program covers every length's count with as few as possible. Multiplicative weights hold a price for each length,
 falling with its coverage; a knapsack by dynamic programming finds the best-priced configurations. The solution is
-rounded down and the rest goes to the fullest sequence that has room (best fit, longest first). All of it sees at
+rounded down and solved again for the rest; what is left then goes to the fullest sequence that has room (best fit, longest first). All of it sees at
 most `capacity` lengths, so the driver's work and the plan's size do not grow with the documents.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import numpy as np
@@ -22,24 +21,29 @@ from docquery.llm import common, tokens
 
 CAPACITY = 1024
 ROUNDS = 200
+#: Rows whose texts share the encoder's dictionary of words.
+ROWS = 4096
 #: Configurations taken at one set of prices: the least covered lengths, each with its best-priced company.
 SEEDS = 32
-#: Shares of the program's solution that rounding tries; 0 leaves all to best fit.
-SHARES = (1.0, 0.75, 0.5, 0.25, 0.1, 0.0)
+#: Shares of the program's solution that rounding tries.
+SHARES = (1.0, 0.75, 0.5, 0.25)
 
 Config = tuple[tuple[int, int], ...]
 
 
-def _price_table(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
-    """For every space, the index of the length that the best-priced filling takes next; -1: none fits."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def _price_table(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every space that lengths fill without a gap, the index of the one that the best-priced filling takes next; and the largest such space up to each."""
+    best, pick = np.full(capacity + 1, -np.inf), np.full(capacity + 1, -1)
+    best[0] = 0.0
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for space in range(1, capacity + 1):
         if k := fits[space]:
             value = best[space - lengths[:k]] + price[:k]
-            pick[space] = j = int(value.argmax())
-            best[space] = value[j]
-    return pick
+            j = int(value.argmax())
+            if value[j] > -np.inf:
+                pick[space], best[space] = j, value[j]
+    filled = np.where((pick >= 0) | (np.arange(capacity + 1) == 0), np.arange(capacity + 1), 0)
+    return pick, np.maximum.accumulate(filled)
 
 
 def cover(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, eta: float = 12.0) -> dict[Config, float]:
@@ -56,10 +60,10 @@ def cover(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, et
         if used >= 0.99 * least:
             break
         ratio = covered / need
-        pick = _price_table(lengths, lengths / capacity * np.exp(np.clip(-eta * (ratio - used / least), -8, 4)), capacity)
+        pick, filled = _price_table(lengths, lengths / capacity * np.exp(np.clip(-eta * (ratio - used / least), -8, 4)), capacity)
         for seed in np.argsort(ratio, kind="stable")[:SEEDS]:
-            config, space = {int(seed): 1}, capacity - lengths[seed]
-            while space > 0 and pick[space] >= 0:
+            config, space = {int(seed): 1}, int(filled[capacity - lengths[seed]])
+            while space > 0:
                 j = int(pick[space])
                 config[j] = config.get(j, 0) + 1
                 space -= lengths[j]
@@ -99,24 +103,30 @@ def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Config,
     return [x for groups in open_.values() for x in groups]
 
 
+def _rounded(fractional: dict[Config, float], counts: np.ndarray, share: float) -> tuple[list[tuple[Config, int]], np.ndarray]:
+    """Whole numbers of a share of each configuration, and the pieces that are left."""
+    rest, chosen = counts.copy(), []
+    for config, x in sorted(fractional.items(), key=lambda x: (-x[1], x[0])):
+        n = min([int(share * x + 1e-9), *(int(rest[length]) // copies for length, copies in config)])
+        if n > 0:
+            chosen.append((config, n))
+            for length, copies in config:
+                rest[length] -= n * copies
+    return chosen, rest
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Config, int]]:
-    """How many sequences hold which lengths; every counted piece has a place exactly once."""
-    fractional = sorted(cover(counts, capacity).items(), key=lambda x: (-x[1], x[0]))
-    best: list[tuple[Config, int]] = []
-    fewest = None
-    for share in SHARES:
-        rest, chosen = counts.copy(), []
-        for config, x in fractional if share else ():
-            n = min([int(share * x + 1e-9), *(int(rest[length]) // copies for length, copies in config)])
-            if n > 0:
-                chosen.append((config, n))
-                for length, copies in config:
-                    rest[length] -= n * copies
-        chosen += best_fit(rest, capacity)
-        total = sum(n for _, n in chosen)
-        if fewest is None or total < fewest:
-            best, fewest = chosen, total
-    return best
+    """How many sequences hold which lengths; every counted piece has a place exactly once.
+
+    The program's solution is rounded down at some shares; what the largest leaves is also solved again and rounded.
+    The rest of each goes best fit, and the plan with the fewest sequences is taken (ties: the larger share).
+    """
+    fractional = cover(counts, capacity)
+    plans = [_rounded(fractional, counts, share) for share in SHARES]
+    chosen, rest = plans[0]
+    more, left = _rounded(cover(rest, capacity, ROUNDS // 2), rest, 1.0)
+    plans.append((chosen + more, left))
+    return min((chosen + best_fit(rest, capacity) for chosen, rest in plans), key=lambda p: sum(n for _, n in p))
 
 
 def slots(chosen: list[tuple[Config, int]], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
@@ -142,21 +152,29 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAP
     """
 
     def cut(batches):
-        encode = tokens.encoder(tokenizer).encode
-        end, part, seen = struct.pack("<I", end_id), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in common.slices(batches, 256):
-            out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
-                n = len(ids) // 4
+        encoder, part, seen = tokens.encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in common.slices(batches, ROWS):
+            ids, counts = encoder.encode_closed(batch.column(1), end_id)
+            raw, base = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
+            per, starts, lengths, crc = [], [], [], []
+            for n in counts.tolist():
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    out.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), part, int(seen[b - a])))
-                    seen[b - a] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                per.append(len(edges) - 1)
+                starts += edges[:-1]
+                lengths += [b - a for a, b in zip(edges, edges[1:], strict=False)]
+                crc += [zlib.crc32(raw[4 * (base + a) : 4 * (base + b)]) for a, b in zip(edges, edges[1:], strict=False)]
+                base += n
+            row, length = np.repeat(np.arange(batch.num_rows), per), np.array(lengths, np.int64)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+            order = np.argsort(length, kind="stable")
+            first = np.searchsorted(length[order], length[order])
+            local = np.empty(len(length), np.int64)
+            local[order] = seen[length[order]] + np.arange(len(length)) - first
+            seen += np.bincount(length, minlength=capacity + 1)
+            columns = [batch.column(0).take(pa.array(row)), pa.array(nth, pa.int32()), pa.array(starts, pa.int64()), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(local)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long")
 
 
@@ -187,9 +205,15 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents with their places. Rows that repeat a doc_id are packed each; an empty table gives none."""
+    """Pieces of all documents with their places.
+
+    Null and empty texts are their end id alone; a null doc_id stays null; very long texts are encoded in parts with
+    the same ids. Rows that repeat a doc_id are packed each; which of equally long pieces takes which place is any.
+    Other columns are ignored; an empty table gives no rows.
+    """
     return place(common.stored(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens for whole documents. Nulls, long texts, ties, repeated rows, empty tables and extra columns: as pack states."""
     return pack(common.table(spark, sf_dir, "documents"), tokens.default_path())

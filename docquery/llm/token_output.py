@@ -1,7 +1,7 @@
 """Token ids as binary files of patched frame-of-reference blocks.
 
-A file holds whole documents: a header, the documents' ids and token counts, for each block of 128 ids its minimum,
-width, number of exceptions and start, and then the blocks. A block is its ids less the minimum, packed at the width
+A file holds whole documents: a header, the documents' ids (and whether each has one) and token counts, for each block
+of 128 ids its minimum, width, number of exceptions and start, and then the blocks. A block is its ids less the minimum, packed at the width
 that the 90th percentile needs; ids too large for it stand in the block's exception list (positions, then values).
 Block starts make a range of ids readable without the blocks before it.
 """
@@ -13,18 +13,21 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquery.llm import common, tokens
 
-MAGIC = b"PFR1"
+MAGIC = b"PFR2"
 BLOCK = 128
 PERCENTILE = 90
-#: Ids after which a task closes its file and begins another.
-FILE_IDS = 1_000_000
-NO_ID = -(1 << 63)
+#: Ids after which a task closes its file and begins another (about 2 bytes each), and blocks that are packed at once.
+FILE_IDS = 8_000_000
+CHUNK_BLOCKS = 4096
+#: Rows whose texts share the encoder's dictionary of words.
+ROWS = 4096
 
 _HEADER = struct.Struct("<4sIQ")
 
@@ -57,29 +60,39 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.int64)
 
 
-def encode_ids(ids: np.ndarray) -> bytes:
-    """Block table and blocks of a uint32 array."""
-    n_blocks = -(-len(ids) // BLOCK)
-    full = np.concatenate([ids, np.repeat(ids[-1:], n_blocks * BLOCK - len(ids))]).reshape(n_blocks, BLOCK)
-    least = full.min(axis=1) if n_blocks else np.zeros(0, np.uint32)
+def _blocks(full: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Minimum, width, number of exceptions, size and bytes of each row of (n, BLOCK) ids; the bytes are laid end to end."""
+    least = full.min(axis=1)
     values = full - least[:, None]
     rank = BLOCK * PERCENTILE // 100 - 1
-    width = _bits(np.partition(values, rank, axis=1)[:, rank]) if n_blocks else np.zeros(0, np.int64)
-    odd = (values.astype(np.uint64) >> width.astype(np.uint64)[:, None]) > 0
+    width = _bits(np.partition(values, rank, axis=1)[:, rank])
+    odd = values > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     n_odd = odd.sum(axis=1)
-    starts = np.concatenate([[0], np.cumsum(16 * width + 5 * n_odd)]).astype(np.int64)
-    blocks = np.zeros(starts[-1], np.uint8)
+    size = 16 * width + 5 * n_odd
+    starts = np.cumsum(size) - size
+    blocks = np.zeros(int(size.sum()), np.uint8)
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
             blocks[starts[rows][:, None] + np.arange(16 * w)] = _pack(values[rows] & np.uint32((1 << int(w)) - 1), int(w))
     which, where = np.nonzero(odd)
     if len(which):
-        nth = np.arange(len(which)) - np.concatenate([[0], np.cumsum(n_odd)])[which]
+        nth = np.arange(len(which)) - (np.cumsum(n_odd) - n_odd)[which]
         lists = starts[which] + 16 * width[which]
         blocks[lists + nth] = where
         blocks[(lists + n_odd[which] + 4 * nth)[:, None] + np.arange(4)] = values[which, where].astype("<u4").view(np.uint8).reshape(-1, 4)
-    return b"".join([least.astype("<u4").tobytes(), width.astype(np.uint8).tobytes(), n_odd.astype(np.uint8).tobytes(), starts.astype("<u8").tobytes(), blocks.tobytes()])
+    return least, width, n_odd, size, blocks
+
+
+def encode_ids(ids: np.ndarray) -> bytes:
+    """Block table and blocks of a uint32 array."""
+    n_blocks = -(-len(ids) // BLOCK)
+    full = np.concatenate([ids, np.repeat(ids[-1:], n_blocks * BLOCK - len(ids))]).reshape(n_blocks, BLOCK)
+    none = [(np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint8))]
+    parts = [_blocks(full[low : low + CHUNK_BLOCKS]) for low in range(0, n_blocks, CHUNK_BLOCKS)] or none
+    least, width, n_odd, size = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:4])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    return b"".join([least.astype("<u4").tobytes(), width.astype(np.uint8).tobytes(), n_odd.astype(np.uint8).tobytes(), starts.astype("<u8").tobytes(), *(x[4].tobytes() for x in parts)])
 
 
 def _table(content: bytes, n_ids: int, at: int) -> tuple:
@@ -113,53 +126,55 @@ def decode_ids(content: bytes, n_ids: int, at: int = 0, first: int = 0, count: i
     return (out + least[:, None]).reshape(-1)[first - low * BLOCK :][:count]
 
 
-def encode_file(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
-    return _HEADER.pack(MAGIC, len(doc_ids), len(ids)) + np.array(doc_ids, "<i8").tobytes() + np.array(counts, "<u8").tobytes() + encode_ids(ids)
+def encode_file(doc_ids: list[int | None] | pa.Array, counts: list[int] | np.ndarray, ids: np.ndarray) -> bytes:
+    doc_ids = pa.array(doc_ids, pa.int64()) if isinstance(doc_ids, list) else doc_ids
+    known = pc.is_valid(doc_ids).to_numpy(zero_copy_only=False).astype(np.uint8)
+    numbers = pc.fill_null(doc_ids, 0).to_numpy()
+    return _HEADER.pack(MAGIC, len(doc_ids), len(ids)) + known.tobytes() + numbers.astype("<i8").tobytes() + np.array(counts, "<u8").tobytes() + encode_ids(ids)
 
 
-def decode_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode_file(content: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Document ids, their token counts, and all ids of a file."""
     magic, n_docs, n_ids = _HEADER.unpack_from(content)
     if magic != MAGIC:
         raise ValueError("not a token file")
     at = _HEADER.size
-    docs, counts = np.frombuffer(content, "<i8", n_docs, at), np.frombuffer(content, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
-    return docs, counts, decode_ids(content, n_ids, at + 16 * n_docs)
+    known, docs = np.frombuffer(content, np.uint8, n_docs, at), np.frombuffer(content, "<i8", n_docs, at + n_docs)
+    counts = np.frombuffer(content, "<u8", n_docs, at + 9 * n_docs).astype(np.int64)
+    return pa.array(docs, mask=known == 0), counts, decode_ids(content, n_ids, at + 17 * n_docs)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
     """Write the ids of every text, each document closed by end_id, in ascending doc_id order (repeated ids: by text).
 
-    Null and empty texts are their end id alone; a null doc_id sorts first and comes back null; other columns are
-    ignored. Returns the manifest: one row for each file, with its order, and the number of ids before it. A task
+    Null and empty texts are their end id alone; a null doc_id sorts first and comes back null; very long texts are
+    encoded in parts with the same ids; other columns are ignored; an empty table gives no files. Returns the manifest: one row for each file, with its order, and the number of ids before it. A task
     that runs again writes files of new names, and only those of the attempt that Spark commits are in the manifest.
     """
     spark = docs.sparkSession
     folder = folder or common.fresh_dir(spark, "token-files")
 
     def write(batches):
-        encode = tokens.encoder(tokenizer).encode
-        end, part, n_file = struct.pack("<I", end_id), TaskContext.get().partitionId(), 0
-        held: list[tuple[int, int, bytes]] = []
+        encoder, part, n_file = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
+        shape = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = 0
 
         def close():
             nonlocal held, size, n_file
             path = f"{folder}/{part:06d}-{n_file:05d}-{uuid.uuid4().hex}.pfr"
-            ids = np.frombuffer(b"".join([x[2] for x in held]), "<u4")
-            common.write_file(path, encode_file([x[0] for x in held], [x[1] for x in held], ids))
-            row = pa.RecordBatch.from_pydict({"part": [part], "nth": [n_file], "path": [path], "n_docs": [len(held)], "n_ids": [len(ids)]}, schema=shape)
+            docs, counts, ids = pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[i] for x in held]) for i in (1, 2))
+            common.write_file(path, encode_file(docs, counts, ids))
+            row = pa.RecordBatch.from_pydict({"part": [part], "nth": [n_file], "path": [path], "n_docs": [len(docs)], "n_ids": [len(ids)]}, schema=shape)
             held, size, n_file = [], 0, n_file + 1
             return row
 
-        shape = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-        for batch in common.slices(batches, 64):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
-                held.append((NO_ID if doc is None else doc, len(ids) // 4, ids))
-                size += len(ids) // 4
-                if size >= FILE_IDS:
-                    yield close()
+        for batch in common.slices(batches, ROWS):
+            ids, counts = encoder.encode_closed(batch.column(1), end_id)
+            held.append((batch.column(0), counts, ids))
+            size += len(ids)
+            if size >= FILE_IDS:
+                yield close()
         if held:
             yield close()
 
@@ -170,29 +185,32 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Every document of the files in order: doc_id, start (ids before it), n_tokens and the ids' bytes, little-endian."""
     spark = manifest.sparkSession
-    # one row a file: the only window over all of them sees file totals, not ids
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.withColumn("base", before).select("path", "base").repartition(common.task_count(spark), "path")
+    # totals of a task's files first: the only window over all rows sees one row for each task that wrote
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("total"))
+    parts = parts.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lead"))
+    own = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.withColumn("own", own).join(parts, "part").select("path", (F.col("lead") + F.col("own")).alias("base"))
+    files = files.repartition(common.task_count(spark), "path")
 
     def read(batches):
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 docs, counts, ids = decode_file(common.read_file(path))
-                ends = np.cumsum(counts)
-                ids = ids.astype("<u4", copy=False)
-                for low in range(0, len(docs), 256):
-                    span = range(low, min(low + 256, len(docs)))
+                edges = np.concatenate([[0], np.cumsum(counts)])
+                raw = pa.py_buffer(ids.astype("<u4", copy=False).tobytes())
+                for low in range(0, len(docs), ROWS):
+                    high = min(low + ROWS, len(docs))
+                    spans = pa.py_buffer((edges[low : high + 1] * 4).astype(np.int64))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([None if docs[i] == NO_ID else int(docs[i]) for i in span], pa.int64()),
-                        pa.array([base + int(ends[i] - counts[i]) for i in span], pa.int64()),
-                        pa.array([int(counts[i]) for i in span], pa.int64()),
-                        pa.array([ids[ends[i] - counts[i] : ends[i]].tobytes() for i in span], pa.binary()),
+                        docs.slice(low, high - low), pa.array(base + edges[low:high]), pa.array(counts[low:high]),
+                        pa.Array.from_buffers(pa.large_binary(), high - low, [None, spans, raw]).cast(pa.binary()),
                     ], names=["doc_id", "start", "n_tokens", "ids"])
 
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of whole documents, read back. Nulls, long texts, ties, repeated rows, empty tables and extra columns: as write_tokens states."""
     files = write_tokens(common.table(spark, sf_dir, "documents"), tokens.default_path())
     return read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -1,17 +1,25 @@
-"""Token ids of whole texts with a byte-level BPE of the tokenizers library, through a bounded cache of words."""
+"""Token ids of whole texts with a byte-level BPE of the tokenizers library, which sees each distinct word of a group of texts once."""
 
 from __future__ import annotations
 
-import re
-import struct
+from collections.abc import Iterator
 
-#: Words that a Python worker keeps at most: half recent ones, and half those before; words in use move on.
-CACHE_WORDS = 400_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A space between two white-space characters (or at the end after one): there a text may not be cut.
-_UNSAFE = re.compile(r"\s (?:\s|\Z)")
-#: Letters and then marks: each is one piece of the tokenizer's own split.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#-&(-/:-@\[-`{-~]*)")
+from docquery.llm import common
+
+#: Bytes of text that share a dictionary of words, and bytes that the tokenizer sees in one call.
+GROUP = 1 << 24
+CALL = 1 << 18
+#: Words whose ids are laid out at once.
+WORDS = 1 << 18
+
+_SPACE = 0x20
+_ASCII_WHITE = common.byte_class([(0x09, 0x0D), (0x1C, 0x20)])
+# The white-space characters beyond ASCII, in UTF-8.
+_WIDE_WHITE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 def default_path() -> str:
@@ -21,74 +29,156 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_letters() -> list[str]:
-    """Byte-level BPE writes printable bytes as themselves and the others as the letters from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
-class _Words(dict):
-    """From a word to the ids of a space and that word, as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
-        self.older: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _piece(self, text: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in text.encode()]))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _ids(self, word: str) -> bytes:
-        if (m := _SIMPLE.fullmatch(word)) is None:
-            ids = self.tokenizer.encode(" " + word, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        letters, marks = m.groups()
-        if not marks:
-            return self._piece(" " + letters)
-        if marks not in self.marks:
-            if len(self.marks) >= 10_000:
-                self.marks.clear()
-            self.marks[marks] = self._piece(marks)
-        return self[letters] + self.marks[marks]
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.older.get(word) or self._ids(word)
-        if len(self) >= CACHE_WORDS // 2:
-            self.older = dict(self)
-            self.clear()
-        self[word] = out
-        return out
+def _white(data: np.ndarray, at: np.ndarray, before: bool) -> np.ndarray:
+    """Whether the character that ends before each place (or that begins there) is white space; places inside data."""
+    near = data[at - 1] if before else data[at]
+    out = _ASCII_WHITE[near]
+    wide = np.flatnonzero(near >= 0x80)
+    for white in _WIDE_WHITE:
+        first = at[wide] - len(white) if before else at[wide]
+        ok = (first >= 0) & (first + len(white) <= len(data))
+        for j, byte in enumerate(white):
+            ok[ok] = data[first[ok] + j] == byte
+        out[wide[ok]] = True
+    return out
+
+
+def safe_cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Places of the spaces between two characters of a row that are not white space: there its ids may be taken apart."""
+    edge = np.zeros(len(data) + 2, bool)
+    edge[edges] = True
+    at = np.flatnonzero(data == _SPACE)
+    at = at[~(edge[at] | edge[at + 1])]
+    at = at[~_white(data, at, True)]
+    return at[~_white(data, at + 1, False)]
 
 
 class TextEncoder:
-    """encode(text) is the tokenizer's own result for the whole text.
+    """Ids are the tokenizer's own result for each whole text, as unsigned 32-bit integers.
 
-    The tokenizer never joins bytes across a space that follows or precedes a character other than white space, so
-    a text may be cut before such spaces and each word looked up; texts with other spaces, or with the string of a
-    special token, go to the tokenizer whole.
+    The tokenizer never joins bytes across a space between two characters that are not white space, so a text is a
+    row of words that begin with such a space. Each distinct word of a group of texts is encoded once, many in one
+    call: the ids fall to the words by the number of bytes that each id stands for. Words that begin or end otherwise
+    (the first of a text, or with white space at its end) and those with a special token's string go alone.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, group: int = GROUP):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.group = Tokenizer.from_file(path), group
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = _Words(self.tokenizer)
-
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # byte-level: a letter for each byte
+
+    def whole(self, text: str) -> np.ndarray:
+        return self._calls([text])[0]
+
+    def _calls(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words laid end to end, and how many each has."""
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8)
+        begin, end = offsets[:-1], offsets[1:]
+        alone = (data[begin] != _SPACE) | (end - begin < 2) | _white(data, end, True)
+        longer = np.flatnonzero(~alone)
+        alone[longer] = _white(data, begin[longer] + 1, False)
+        for mark in self.special:
+            alone |= pc.match_substring(words.view(pa.string()), mark).to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(words), np.int64)
+        order, found = [], []
+        which = np.flatnonzero(~alone)
+        sizes = (end - begin)[which]
+        total = np.cumsum(sizes)
+        low = 0
+        while low < len(which):
+            high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + CALL, side="right")))
+            part = words.take(pa.array(which[low:high]))
+            (ids,) = self._calls([np.frombuffer(part.buffers()[2], np.uint8).tobytes().decode()])
+            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum(sizes[low:high])
+            at = np.searchsorted(ends, wanted)
+            if not np.array_equal(ends[np.minimum(at, len(ends) - 1)], wanted):
+                raise ValueError("an id of the tokenizer crosses two words")
+            counts[which[low:high]] = np.diff(at, prepend=-1)
+            order.append(which[low:high])
+            found.append(ids)
+            low = high
+        single = np.flatnonzero(alone)
+        for low in range(0, len(single), 1024):
+            part = single[low : low + 1024]
+            got = self._calls([x.decode() for x in words.take(pa.array(part)).to_pylist()])
+            counts[part] = [len(x) for x in got]
+            order.append(part)
+            found += got
+        # the ids were found in another order than the words'
+        order, ids = np.concatenate(order), np.concatenate(found)
+        placed = np.empty(len(ids), np.uint32)
+        before = np.cumsum(counts) - counts
+        placed[_spread(before[order], counts[order])] = ids
+        return placed, counts
+
+    def _segment(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of the rows of a group in parts, and the number of ids of each row."""
+        rows = offsets[:-1][np.diff(offsets) > 0]
+        cuts = np.sort(np.concatenate([safe_cuts(data, offsets), rows]), kind="stable")
+        if not len(cuts):
+            return [], np.zeros(len(offsets) - 1, np.int64)
+        words = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = words.dictionary_encode()
+        ids, counts = self._word_ids(coded.dictionary)
+        starts, which = np.cumsum(counts) - counts, coded.indices.to_numpy()
+        before = np.concatenate([[0], np.cumsum(counts[which])])
+        per_row = np.diff(before[np.searchsorted(cuts, offsets)])
+        return [ids[_spread(starts[w], counts[w])] for w in (which[low : low + WORDS] for low in range(0, len(which), WORDS))], per_row
+
+    def _groups(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """First row, last row + 1, start and stop of parts of about `group` bytes; a longer row is cut at safe spaces."""
+        low, n = 0, len(offsets) - 1
+        while low < n:
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + self.group, side="right")) - 1)
+            start, stop = int(offsets[low]), int(offsets[high])
+            while stop - start > self.group:
+                cut, at = stop, start + self.group
+                while cut == stop and at < stop:
+                    near = data[at - 1 : min(stop, at + CALL)]
+                    if len(found := safe_cuts(near, np.array([0, len(near)]))):
+                        cut = at - 1 + int(found[0])
+                    at += len(near) - 1 if len(near) > 4 else len(near)
+                yield low, high, start, cut
+                start = cut
+            if start < stop or low == high - 1:
+                yield low, high, start, stop
+            low = high
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a string column laid end to end, and how many each row has. Null: none."""
+        data, offsets = common.text_buffer(texts)
+        found, counts = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        for low, high, start, stop in self._groups(data, offsets):
+            ids, per_row = self._segment(data[start:stop], np.clip(offsets[low : high + 1] - start, 0, stop - start))
+            found += ids
+            counts[low:high] += per_row
+        return np.concatenate(found), counts
+
+    def encode_closed(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_column, with the end id after each row."""
+        ids, counts = self.encode_column(texts)
+        counts += 1
+        out = np.full(len(ids) + len(counts), end_id, np.uint32)
+        own = np.ones(len(out), bool)
+        own[np.cumsum(counts) - 1] = False
+        out[own] = ids
+        return out, counts
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _UNSAFE.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return (self.whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
+        return self.encode_column(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for counts[0] places, and so on."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
 _encoders: dict[str, TextEncoder] = {}

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,12 +23,26 @@ CASES = ["", "a", " a", "  a", "a  b", "a   b", "a ", "a  ", "x \ny", "x\n \ny",
 @given(st.text(alphabet=st.sampled_from("ab é,.'!\n\t ½日7"), max_size=30))
 def test_encoder_equals_tokenizer(text):
     e = tokens.encoder(tokens.default_path())
-    assert e.encode(text) == e.whole(text)
+    assert e.encode(text) == e.whole(text).astype("<u4").tobytes()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["a", "bc", " ", " ", "é", "\n", "\u3000", "<|endoftext|>", "日"]), max_size=40).map("".join)), max_size=6), st.integers(1, 20))
+def test_columns_in_small_groups(texts, group):
+    """Texts longer than a group are cut, and words are shared between rows."""
+    e = tokens.encoder(tokens.default_path())
+    e.group, kept = group, e.group
+    try:
+        ids, counts = e.encode_column(pa.array(texts, pa.string()))
+    finally:
+        e.group = kept
+    want = [e.whole(t or "") for t in texts]
+    assert counts.tolist() == [len(x) for x in want] and (ids == np.concatenate([*want, np.zeros(0, np.uint32)])).all()
 
 
 def test_block_codec_round_trip():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 127, 128, 129, 1000, 5000):
+    for n in (0, 1, 127, 128, 129, 1000, 5000, 700_000):
         ids = np.where(rng.random(n) < 0.05, rng.integers(0, 2**32, n), rng.integers(0, 300, n)).astype(np.uint32)
         content = token_output.encode_file([1, 2], [n, 0], ids)
         docs, counts, back = token_output.decode_file(content)
@@ -77,12 +92,28 @@ def check_packing(out, docs, tokenizer, capacity=1024):
 def test_packing_places_every_piece(spark, tokenizer, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     data = [tuple(r) for r in docs.collect()] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "w " * 5000)]
-    out = packing.pack(spark.createDataFrame(data, "doc_id long, text string"), tokens.default_path()).collect()
+    frame = spark.createDataFrame([(*x, 1, "p") for x in data], "doc_id long, text string, length int, sequence_id string")
+    out = packing.pack(frame, tokens.default_path()).collect()
     n = check_packing(out, data, tokenizer)
     assert n <= 1.06 * -(-sum(r.length for r in out) // 1024)
     assert packing.pack(docs.limit(0), tokens.default_path()).count() == 0
 
 
+def test_packing_of_repeated_rows_and_null_ids(spark, tokenizer):
+    data = [(None, "w " * 700), (None, "other"), (5, "same text"), (5, "same text"), (-(2**63), "least")]
+    out = packing.pack(spark.createDataFrame(data, "doc_id long, text string"), tokens.default_path()).collect()
+    numbered = {}
+    for d, t in data:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) % 1024 or 1024
+        for a, b in [(0, first), *((x, x + 1024) for x in range(first, len(ids), 1024))]:
+            key = (d, a, b - a, zlib.crc32(ids[a:b].tobytes()))
+            numbered[key] = numbered.get(key, 0) + 1
+    for r in out:
+        numbered[r.doc_id, r.start, r.length, r.ids_crc32] -= 1
+    assert not any(numbered.values()) and len({(r.sequence_id, r.offset) for r in out}) == len(out)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=120))
 def test_plan_covers_exactly(lengths):
