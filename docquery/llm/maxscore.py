@@ -1,33 +1,35 @@
-"""Exact top-k search by inner product with MaxScore, in blocks of queries against shards of vectors.
-
-A dimension is a term and its postings are a shard's integer weights. Per shard, a term's bound for a query is the
-largest contribution that any posting can give. Terms with the smallest bounds, as long as these sum to a part of the
-query's threshold, are non-essential: a vector is scored on the essential postings first, and the others are probed
-only while that score plus their bounds still reaches the threshold. Shards' lists are merged at the end.
+"""Exact top-k search by inner product with MaxScore over postings of integer weights.
+
+A dimension is a term and its postings are the weights of a shard's vectors, laid out by term, in blocks that know their
+largest and smallest weight. A term's bound for a query is the most that any of its postings can give. The terms with
+the smallest bounds, as long as these sum to no more than the query's threshold, are non-essential: only the essential
+terms' postings are traversed, in the blocks whose bounds can still reach the threshold, and the other terms are
+probed for those vectors alone whose score so far is still competitive. A first shard gives every query a threshold
+to start from; no candidate is moved, and the shards' lists are merged at the end.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquery.llm import common
 
 SHARD_ROWS = 8192
+BLOCK_ROWS = 128
+#: Queries that a task holds at once.
 BLOCK_QUERIES = 2048
-#: Vectors of a shard that are scored first, when nothing is known; each further chunk is as large as all before it.
-FIRST_CHUNK = 128
-#: Part of the threshold that the non-essential terms' bounds may sum to.
-SLACK = 0.25
+#: Components that are as large make a vector take no part: sums of products could leave the range of a long.
+LARGEST = 1 << 20
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Integer rows of a list column, shorter ones filled with zeros."""
-    column = column.combine_chunks()
     lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.zeros((len(lengths), width), np.int64)
     row = np.repeat(np.arange(len(lengths)), lengths)
@@ -35,93 +37,152 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def _number_type(queries: np.ndarray, weights: np.ndarray):
+def _number_type(largest_query: int, largest_weight: int, width: int):
     """The smallest type whose sums of these products are exact."""
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(weights).max(initial=0)) * max(1, queries.shape[1])
+    most = largest_query * largest_weight * max(1, width)
     return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
 
 
-def _best(query, score, vec, k):
-    """The k best of each query: highest score, then smallest id."""
-    order = np.lexsort((vec, -score, query))
-    query, score, vec = query[order], score[order], vec[order]
-    first = np.searchsorted(query, query)
-    keep = np.arange(len(query)) - first < k
-    return query[keep], score[keep], vec[keep]
-
-
-def search_shard(query_ids: np.ndarray, queries: np.ndarray, vec_ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every query its k best vectors of the shard, itself left out: (query index, score, vec_id)."""
-    kind = _number_type(queries, weights)
-    q, w = queries.astype(kind), weights.astype(kind)
-    bound = np.maximum(q * w.max(axis=0), q * w.min(axis=0))
-    by_bound = np.argsort(bound, axis=1, kind="stable")
-    sums = np.cumsum(np.maximum(np.take_along_axis(bound, by_bound, axis=1), 0), axis=1)
-    threshold = np.full(len(q), -np.inf)
-    found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    low, size = 0, FIRST_CHUNK
-    while low < len(w):
-        chunk, ids = w[low : low + size], vec_ids[low : low + size]
-        allowed = np.where(threshold > 0, SLACK * threshold, -1.0)
-        outside = np.zeros(q.shape, bool)
-        np.put_along_axis(outside, by_bound, sums <= allowed[:, None], axis=1)
-        left = np.where(outside, bound, 0).sum(axis=1)
-        essential = np.where(outside, 0, q) @ chunk.T
-        who, what = np.nonzero(essential + left[:, None] >= threshold[:, None])
-        mine = query_ids[who] != ids[what]
-        who, what = who[mine], what[mine]
-        score = np.empty(len(who), np.int64)
-        rest = np.where(outside, q, 0)
-        for a in range(0, len(who), 1 << 15):
-            b = slice(a, a + (1 << 15))
-            score[b] = np.rint(essential[who[b], what[b]] + (rest[who[b]] * chunk[what[b]]).sum(axis=1)).astype(np.int64) if kind is not np.int64 else essential[who[b], what[b]] + (rest[who[b]] * chunk[what[b]]).sum(axis=1)
-        found = _best(*(np.concatenate(x) for x in zip(found, (who, score, ids[what]), strict=True)), k)
-        full = np.flatnonzero(np.bincount(found[0], minlength=len(q)) >= k)
-        threshold[full] = found[1][np.searchsorted(found[0], full, side="right") - 1]
-        low += size
-        size = low
-    return found
+class Postings:
+    """A shard's weights by term. Vectors are ordered by their strongest term, so that a block's weights are alike."""
+
+    def __init__(self, ids: np.ndarray, weights: np.ndarray):
+        order = np.argsort(np.abs(weights).argmax(axis=1), kind="stable") if weights.size else np.arange(len(ids))
+        self.ids, self.largest = ids[order], int(np.abs(weights).max(initial=0))
+        self.lists = np.ascontiguousarray(weights[order].T)
+        self.edges = np.arange(0, len(ids), BLOCK_ROWS)
+        self.high = np.maximum.reduceat(self.lists, self.edges, axis=1)
+        self.low = np.minimum.reduceat(self.lists, self.edges, axis=1)
+        self._typed: dict = {}
+
+    def typed(self, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if kind not in self._typed:
+            self._typed = {kind: tuple(x.astype(kind) for x in (self.lists, self.high, self.low))}
+        return self._typed[kind]
+
+
+def search(postings: Postings, query_id: int, query: np.ndarray, k: int, found: tuple[np.ndarray, np.ndarray], threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (score, vec_id) of those found and of the shard's vectors but the query's own.
+
+    threshold: a score that the k best of all shards are known to reach, if there is one.
+    """
+    scores, ids = found
+    if len(scores) == k:
+        threshold = int(scores[-1]) if threshold is None else max(threshold, int(scores[-1]))
+    kind = _number_type(int(np.abs(query).max(initial=0)), postings.largest, len(query))
+    lists, high, low = postings.typed(kind)
+    q = query.astype(kind)
+    by_block = np.maximum(q[:, None] * high, q[:, None] * low)
+    bound = by_block.max(axis=1)
+    if threshold is None:
+        essential, probed, left = np.arange(len(q)), np.zeros(0, np.int64), 0
+        live = np.arange(len(postings.ids))
+    else:
+        order = np.argsort(bound, kind="stable")
+        sums = np.cumsum(np.maximum(bound[order], 0))
+        n = int(np.searchsorted(sums, threshold, side="right")) if threshold > 0 else 0
+        probed, essential = order[:n], np.sort(order[n:])
+        left = sums[n - 1] if n else 0
+        blocks = np.flatnonzero(by_block[essential].sum(axis=0) + left >= threshold)
+        if not len(blocks):
+            return found
+        live = None if len(blocks) == len(postings.edges) else _rows_of(postings.edges[blocks], len(postings.ids))
+    part = lists[essential] if live is None or len(live) == len(postings.ids) else lists[np.ix_(essential, live)]
+    live = np.arange(len(postings.ids)) if live is None else live
+    score = q[essential] @ part
+    if threshold is not None:
+        near = np.flatnonzero(score + left >= threshold)
+        live, score = live[near], score[near]
+        if len(probed):
+            score = score + q[probed] @ lists[np.ix_(probed, live)]
+            near = np.flatnonzero(score >= threshold)
+            live, score = live[near], score[near]
+    own = postings.ids[live] != query_id
+    scores = np.concatenate([scores, np.rint(score[own]).astype(np.int64) if kind is not np.int64 else score[own]])
+    ids = np.concatenate([ids, postings.ids[live[own]]])
+    if len(scores) > 4 * k:  # those that cannot be among the k best go before the rest is sorted
+        keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        scores, ids = scores[keep], ids[keep]
+    best = np.lexsort((ids, -scores))[:k]
+    return scores[best], ids[best]
+
+
+def _rows_of(edges: np.ndarray, n: int) -> np.ndarray:
+    rows = (edges[:, None] + np.arange(BLOCK_ROWS)).ravel()
+    return rows[rows < n]
 
 
 def vectors(embeddings: DataFrame, scale: int) -> DataFrame:
-    """vec_id and integer weights floor(scale * x). Null vectors and those with a null or non-finite component are left out; a repeated vec_id counts once, with its smallest vector."""
-    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    """vec_id and integer weights floor(scale * x). Left out: null vectors, and those with a component that is null, not finite or LARGEST or more in size; a repeated vec_id counts once, with its smallest vector."""
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))
     weights = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     rows = embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(whole)
     return rows.groupBy("vec_id").agg(F.min(weights).alias("weights"))
 
 
-def top_k(embeddings: DataFrame, is_query, k: int = 20, scale: int = 64) -> DataFrame:
+def _query_blocks(paths: list[str], width: int) -> Iterator[tuple[list[int], np.ndarray, list[int | None]]]:
+    """Ids, weights and starting thresholds of the stored queries, some at a time."""
+    for uri in paths:
+        system, path = common.file_at(uri)
+        with system.open_input_file(path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=BLOCK_QUERIES, columns=["vec_id", "weights", "threshold"]):
+                yield batch.column(0).to_pylist(), _matrix(batch.column(1), width), batch.column(2).to_pylist()
+
+
+def _search_all(rows: DataFrame, queries: DataFrame, k: int, width: int) -> DataFrame:
+    """query_id, vec_id and score of the k best rows of each task for every query; rows stay where they are, and each task reads the queries from their files."""
+    paths = queries.inputFiles()
+
+    def run(batches):
+        shards, held = [], 0
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for low in range(0, batch.num_rows, SHARD_ROWS):
+                part = batch.slice(low, SHARD_ROWS)
+                waiting.append((part.column(0).to_numpy(), _matrix(part.column(1), width)))
+                held += part.num_rows
+                if held >= SHARD_ROWS:
+                    shards.append(Postings(*(np.concatenate(x) for x in zip(*waiting, strict=True))))
+                    waiting, held = [], 0
+        if held:
+            shards.append(Postings(*(np.concatenate(x) for x in zip(*waiting, strict=True))))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for ids, weights, thresholds in _query_blocks(paths, width) if shards else ():
+            out = []
+            for query_id, query, threshold in zip(ids, weights, thresholds, strict=True):
+                found = none
+                for shard in shards:
+                    found = search(shard, query_id, query, k, found, threshold)
+                out.append((np.full(len(found[0]), query_id), found[1], found[0]))
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    return rows.select("vec_id", "weights").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k highest inner products; ties go to the smaller vec_id.
 
     Queries are the rows for which the condition is_query on vec_id holds; candidates are all rows but the query's
-    own. A query with fewer candidates gets all of them; an empty table gives no rows. Other columns are ignored.
+    own. A query with fewer candidates gets all of them; an empty table gives no rows. Vectors with null, non-finite
+    or huge components (LARGEST) take no part, and a repeated vec_id counts once. Other columns are ignored.
     """
-    spark = embeddings.sparkSession
     rows = common.stored(vectors(embeddings, scale), "vectors")
-    n, n_queries, width = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("weights"))).first()
-    width = width or 0
-    shards = max(math.ceil(n / SHARD_ROWS), min(common.task_count(spark), 64))
-    blocks = max(1, math.ceil(n_queries / BLOCK_QUERIES))
-    everywhere = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    at = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
-    candidates = rows.select(at(shards, 1).alias("shard"), everywhere(blocks).alias("block"), "vec_id", "weights")
-    queries = rows.filter(is_query).select(everywhere(shards).alias("shard"), at(blocks, 2).alias("block"), "vec_id", "weights")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names=names)
-        ids, own = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        who, score, vec = search_shard(own, _matrix(right.column("weights"), width), ids, _matrix(left.column("weights"), width), k)
-        return pa.table([pa.array(own[who]), pa.array(vec), pa.array(score)], names=names)
-
-    found = candidates.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score long")
+    n, width = rows.agg(F.count("*"), F.max(F.size("weights"))).first()
+    asked = rows.filter(is_query)
+    first = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // SHARD_ROWS))) == 0
+    start = common.stored(asked.withColumn("threshold", F.lit(None).cast("long")), "queries")
+    # about SHARD_ROWS rows of any table: the k-th score among them is one that the k best of all rows reach
+    sample = common.stored(_search_all(rows.filter(first).repartition(1), start, k, width or 0), "first-shard")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    reached = sample.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("threshold"))
+    queries = common.stored(asked.join(reached, "vec_id", "left").select("vec_id", "weights", "threshold"), "queries")
+    found = sample.union(_search_all(rows.filter(~first), queries, k, width or 0))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all other vectors for every 20th. Nulls, ties, repeated rows, empty tables and extra columns: as top_k states."""
     return top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
@@ -130,7 +191,7 @@ WITH v AS (
   SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS w
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x) OR abs(x) >= 1048576)) = 0
   GROUP BY vec_id
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,

@@ -9,7 +9,7 @@ from docquery.llm import maxscore
 def brute(data, k):
     rows = {}
     for vec, e, _ in data:
-        if vec is None or e is None or any(x is None or not math.isfinite(x) for x in e):
+        if vec is None or e is None or any(x is None or not math.isfinite(x) or abs(x) >= 2**20 for x in e):
             continue
         w = [math.floor(64 * float(np.float32(x))) for x in e]
         rows[vec] = min(rows.get(vec, w), w)
@@ -25,11 +25,9 @@ def test_top_k_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = [(i, rng.normal(size=8).tolist(), 1) for i in range(300)]
     data += [(400 + i, data[7][1], 1) for i in range(40)] + [(500 + i, [0.0] * 8, 1) for i in range(30)]
-    data += [(600, None, 1), (601, [1.0, None] * 4, 1), (602, [float("nan")] * 8, 1), (603, [float("inf")] * 8, 1), (None, [1.0] * 8, 1), (7, data[7][1], 1), (9, [9.0] * 8, 2), (604, [1.0, 2.0], 3), (606, [], 3), (609, [1e7] * 8, 3)]
+    data += [(600, None, 1), (601, [1.0, None] * 4, 1), (602, [float("nan")] * 8, 1), (603, [float("inf")] * 8, 1), (None, [1.0] * 8, 1), (7, data[7][1], 1), (9, [9.0] * 8, 2), (604, [1.0, 2.0], 3), (606, [], 3), (609, [1e7] * 8, 3), (612, [3e38, 1.0], 3), (615, [2.0**20 - 1] * 8, 3)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, score int")
-    monkeypatch.setattr(maxscore, "FIRST_CHUNK", 8)
     monkeypatch.setattr(maxscore, "SHARD_ROWS", 100)
-    monkeypatch.setattr(maxscore, "BLOCK_QUERIES", 40)
     got = maxscore.top_k(df, F.col("vec_id") % 3 == 0, 20).collect()
     assert sorted(map(tuple, got)) == brute(data, 20)
     assert maxscore.top_k(df.limit(0), F.col("vec_id") % 3 == 0).count() == 0
@@ -37,13 +35,31 @@ def test_top_k_brute_force(spark, monkeypatch):
     assert len(few) == 4
 
 
-def test_probing_is_partial():
-    """With a threshold known, most vectors are dropped on the essential postings."""
+def test_shards_blocks_and_thresholds():
+    """Shard after shard, with and without a threshold to start from, and with one that leaves whole blocks out."""
     rng = np.random.default_rng(0)
     w = rng.integers(-20, 20, (4000, 32))
+    w[:200] += rng.integers(20, 60, (1, 32))
     q = w[:10] * 2
-    who, score, vec = maxscore.search_shard(np.arange(10) + 10**6, q, np.arange(4000), w, 5)
     full = q @ w.T
+    shards = [maxscore.Postings(np.arange(low, low + 1000), w[low : low + 1000]) for low in range(0, 4000, 1000)]
     for i in range(10):
-        want = sorted(zip(-full[i], range(4000), strict=True))[:5]
-        assert [(-s, v) for s, v in zip(score[who == i], vec[who == i], strict=True)] == want
+        want = sorted((-s, v) for v, s in enumerate(full[i].tolist()) if v != i)[:5]
+        for threshold in (None, -want[-1][0] - 3, -want[-1][0]):
+            found = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for shard in shards:
+                found = maxscore.search(shard, i, q[i], 5, found, threshold)
+            assert [(-s, v) for s, v in zip(*found, strict=True)] == want
+    # non-essential terms are not traversed, and no vector of a block that cannot reach the threshold is
+    read = []
+
+    class Lists(np.ndarray):
+        def __getitem__(self, key):
+            read.append(np.asarray(super().__getitem__(key)).size)
+            return np.asarray(super().__getitem__(key))
+
+    shard = shards[0]
+    typed = shard.typed(np.float32)
+    shard._typed = {np.float32: (typed[0].view(Lists), *typed[1:])}
+    maxscore.search(shard, 0, q[0].astype(np.int64), 5, (np.zeros(0, np.int64), np.zeros(0, np.int64)), int(np.sort(full[0][:1000])[-6]))
+    assert sum(read) < 0.5 * w[:1000].size
