@@ -30,12 +30,31 @@ def test_round_trip(spark, sf, monkeypatch):
         directory = warc.archive(df, least)
         got = warc.read_archives(directory).collect()
         assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == brute(data, least)
+        got = warc.look_up(directory, df).collect()
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == brute(data, least)
     by_id = {p: h for p, _, h in data}
     assert all(bytes(r.payload).decode() == (by_id[r.page_id] or "") for r in got if r.record_type == "response" and r.page_id is not None)
     assert len(warc.find(directory, "http://hot.example.com/a")) == 31 and warc.find(directory, "http://absent.example.com/") == []
     for page, url, _ in data[:20]:
         assert page in [x["page_id"] for x in warc.find(directory, url)]
-    assert warc.read_archives(warc.archive(df.limit(0))).count() == 0
+    empty = warc.archive(df.limit(0))
+    assert warc.read_archives(empty).count() == 0 and warc.look_up(empty, df).count() == 0 and warc.find(empty, "http://x.org") == []
+    assert warc.look_up(directory, df.limit(0)).count() == 0
+
+
+def test_binary_search_over_blocks(tmp_path):
+    """Keys that fill several blocks, keys that begin inside one, and keys between, before and after all of them."""
+    lines = sorted([("b", p) for p in [None, *range(25)]] + [("c", 1), ("e", None), ("e", 7)], key=lambda x: warc._place(*x))
+    index = warc.Index([])
+    blocks = [lines[i : i + 4] for i in range(0, len(lines), 4)]
+    index.entries = [(*b[0], i, 0, 0) for i, b in enumerate(blocks)]
+    index.starts = [warc._place(*b[0]) for b in blocks]
+    index._lines = lambda at: [[*x, f"{x[0]}{x[1]}", 0, 0] for x in blocks[at]]
+    for key in "abcdef":
+        pages = [p for k, p in lines if k == key]
+        assert [c[0] for c in index.captures(key, every=True)] == [f"{key}{p}" for p in pages]
+        for p in [None, *range(-1, 27)]:
+            assert [c[0] for c in index.captures(key, p)] == ([f"{key}{p}"] if p in pages else [])
 
 
 def test_keys_and_members():
