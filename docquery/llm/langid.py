@@ -8,25 +8,26 @@ calibrates the probabilities.
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquery.llm import common
 
 BUCKETS = 1 << 15
-#: Labelled rows that the weights are fitted on, for each language at most about this many.
+#: Distinct labelled texts that the weights are fitted on, for each language at most this many, and their bytes at most.
 SAMPLE_PER_LANGUAGE = 1500
+SAMPLE_BYTES = 64_000_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.6, 1.0, 2e-4, 1e-6
 #: One in so many sampled rows fits the temperature and not the weights.
 CALIBRATION_SHARE = 5
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters that are counted at once.
+PART = 1 << 20
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SHIFT = np.uint64(64 - 15)
 #: ASCII other than letters counts as a space.
@@ -34,20 +35,25 @@ _PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint64
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
-
-
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the text's one- to three-character grams, and 1 + ln(count) of each."""
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    plain = code < 128
-    code[plain] = _PLAIN[code[plain]]
-    code = np.concatenate([[np.uint64(32)], code, [np.uint64(32)]])
-    grams, parts = np.zeros(len(code), np.uint64), []
-    for n in range(3):
-        grams = (grams[: len(code) - n] << np.uint64(21)) ^ code[n:]
-        parts.append((grams + np.uint64(n + 1)) * _MULTIPLIERS[n] >> _SHIFT)
-    counts = np.bincount(np.concatenate(parts).view(np.int64), minlength=BUCKETS)
+    """A letter is a character of the Unicode categories L; numbers such as 1/2 or roman numeral signs are none."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
+def features(text: str, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the text's one- to three-character grams, and 1 + ln(count) of each; long texts are counted in parts."""
+    counts = np.zeros(BUCKETS, np.int64)
+    text = f" {text.lower()} "
+    for low in range(0, len(text), part):
+        # a part begins with the two characters before it, as its first grams do
+        begin = max(0, low - 2)
+        code = np.frombuffer(text[begin : low + part].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        plain = code < 128
+        code[plain] = _PLAIN[code[plain]]
+        grams = np.zeros(len(code), np.uint64)
+        for n in range(3):
+            grams = (grams[: max(0, len(code) - n)] << np.uint64(21)) ^ code[n:]
+            own = grams[max(0, low - begin - n) :]
+            counts += np.bincount(((own + np.uint64(n + 1)) * _MULTIPLIERS[n] >> _SHIFT).view(np.int64), minlength=BUCKETS)
     at = np.flatnonzero(counts)
     return at, 1 + np.log(counts[at])
 
@@ -145,8 +151,17 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
     return df, languages
 
 
-def train(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on rows (text, lang): frequencies on all of them, weights on a sample of about per_language for each language."""
+def bounded_sample(rows: DataFrame, by: str, per_value: int, most_bytes: int) -> DataFrame:
+    """Of rows (text, h, ...), those with the smallest h of each value of `by`: at most per_value, and of all at most most_bytes bytes of text."""
+    order = Window.partitionBy(by).orderBy("h")
+    sized = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_value).withColumn("size", F.octet_length("text"))
+    # the first of each value come first, so that bytes run out for all values alike; at most per_value rows of each meet
+    total = F.sum("size").over(Window.orderBy("nth", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return sized.withColumn("total", total).filter(F.col("total") <= most_bytes).drop("nth", "size", "total")
+
+
+def train(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on rows (text, lang): frequencies on all of them, weights on a sample of distinct texts, at most per_language of each language."""
     spark = rows.sparkSession
     df, counts = _document_frequencies(rows)
     names = sorted(counts)
@@ -154,10 +169,14 @@ def train(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     idf = np.log((1 + total) / (1 + df)) + 1
     if not names:
         return Model([], np.zeros((0, BUCKETS), np.float32), idf, 1.0)
+    keyed = rows.select("text", "lang", F.xxhash64("text").alias("h"))
+    distinct = {r.lang: r.n for r in keyed.groupBy("lang", "h").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     scale = 1 << 30
-    limits = spark.createDataFrame([(x, min(scale, per_language * scale // counts[x]), i) for i, x in enumerate(names)], "lang string, most long, y int")
-    keyed = rows.select("text", "lang", F.xxhash64("text").alias("h")).join(F.broadcast(limits), "lang")  # one row for each language
-    sample = keyed.filter(F.pmod(F.col("h"), F.lit(scale)) < F.col("most")).select("text", "y", "h")
+    limits = spark.createDataFrame([(x, min(scale, 2 * per_language * scale // distinct[x]), i) for i, x in enumerate(names)], "lang string, most long, y int")
+    drawn = keyed.join(F.broadcast(limits), "lang").filter(F.pmod(F.col("h"), F.lit(scale)) < F.col("most"))
+    # copies meet before they are moved: of each text and language one stays, about 2 * per_language for each language
+    drawn = drawn.groupBy("y", "h").agg(F.min("text").alias("text"))
+    sample = bounded_sample(drawn, "y", per_language, most_bytes)
 
     def fit(batches):
         held = sorted((h, y, t) for b in batches for t, y, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) if has_letter(t))
@@ -169,8 +188,7 @@ def train(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
         t = temperature(logits, np.array([data[i][2] for i in check], int))
         yield pa.RecordBatch.from_pydict({"weights": [w.tobytes()], "facts": [json.dumps({"temperature": t})]})
 
-    # the sample's size is a parameter's multiple, whatever the corpus
-    (found,) = sample.repartition(1).mapInArrow(fit, "weights binary, facts string").collect()
+    (found,) = sample.select("text", "y", "h").repartition(1).mapInArrow(fit, "weights binary, facts string").collect()
     weights = np.frombuffer(found.weights, np.float32).reshape(len(names), BUCKETS)
     return Model(names, weights, idf, json.loads(found.facts)["temperature"])
 
@@ -190,8 +208,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def identify(docs: DataFrame, may_learn: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """Learn from the rows where may_learn holds, lang is not null and text has a letter; predict every row.
 
-    Without such rows every prediction is `und`. Repeated rows and null ids are predicted as any other row; columns
-    other than doc_id, text and lang are ignored.
+    Without such rows every prediction is `und`, and so are null texts and those without a letter. Equally likely
+    languages go to the first by name. Repeated rows and null ids are predicted as any other row (equal texts teach
+    the weights once); very long texts are counted in parts; columns other than doc_id, text and lang are ignored.
     """
     model = train(docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"), per_language)
     return predict(docs, model)
@@ -202,6 +221,7 @@ def held_out() -> Column:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document. Nulls, long texts, ties, repeated rows, empty tables and extra columns: as identify states."""
     found = identify(common.table(spark, sf_dir, "documents"), ~held_out())
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 

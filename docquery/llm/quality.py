@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquery.llm import common
+from docquery.llm import common, langid
 
-#: Labelled documents that the network is fitted on, at most about this many of each label.
+#: Labelled documents that the network is fitted on, of each label at most this many, and their bytes at most.
 SAMPLE_PER_LABEL = 3000
+SAMPLE_BYTES = 64_000_000
 #: Bytes of a passage; the last of a document is what is left.
 PASSAGE = 512
+#: Bytes of texts that are encoded at once.
+PART = 1 << 18
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE = 25, 64, 0.01
 
@@ -33,35 +36,47 @@ def _kinds() -> np.ndarray:
 
 KINDS = _kinds()
 N_KINDS = 14
+WHITE = common.byte_class([(0, 32)])
 WIDTH = N_KINDS * N_KINDS + 32 + 3
 
 
-def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of the texts, and the number of passages of each text (at least one)."""
+def passages(texts: pa.Array, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages of the texts, and the number of passages of each text (at least one). Texts are encoded `part` bytes at a time."""
     data, offsets = common.text_buffer(texts)
-    sizes = np.diff(offsets)
-    per = np.maximum(1, -(-sizes // PASSAGE))
-    first = np.concatenate([[0], np.cumsum(per)])
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    of = first[row] + (np.arange(len(data)) - offsets[:-1][row]) // PASSAGE
-    kind = KINDS[data].astype(np.int64)
-    n = int(first[-1])
+    per = np.maximum(1, -(-np.diff(offsets) // PASSAGE))
+    edges = [np.append(np.arange(a, max(b, a + 1), PASSAGE), b) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    starts = np.concatenate([np.zeros(0, np.int64), *(e[:-1] for e in edges)])
+    stops = np.concatenate([np.zeros(0, np.int64), *(e[1:] for e in edges)])
+    out = np.zeros((len(starts), WIDTH), np.float32)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(stops, starts[low] + part, side="right")))
+        a = starts[low]
+        out[low:high] = _encoded(data[a : stops[high - 1]], np.append(starts[low:high], stops[high - 1]) - a)
+        low = high
+    return out, per
+
+
+def _encoded(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Features of passages that are laid end to end."""
+    n, pairs = len(offsets) - 1, N_KINDS * N_KINDS
+    of = np.repeat(np.arange(n), np.diff(offsets))
     out = np.zeros((n, WIDTH), np.float32)
-    lengths = np.bincount(of, minlength=n).astype(np.float32)
+    lengths = np.diff(offsets).astype(np.float32)
     safe = np.maximum(lengths, 1)[:, None]
-    pairs = N_KINDS * N_KINDS
     if len(data):
+        kind = KINDS[data].astype(np.int64)
         same = of[1:] == of[:-1]
         out[:, :pairs] = np.bincount((of[:-1] * pairs + kind[:-1] * N_KINDS + kind[1:])[same], minlength=n * pairs).reshape(n, pairs) / safe
         out[:, pairs : pairs + 32] = np.bincount(of * 32 + (common.LOWER[data] & 31), minlength=n * 32).reshape(n, 32) / safe
         # hashes of each word, for the share of words that the passage repeats
-        starts, ends, _ = common.word_bounds(data, offsets, common.byte_class([(0, 32)]))
+        starts, ends, _ = common.word_bounds(data, offsets, WHITE)
         words = np.unique(np.stack([of[starts].astype(np.uint64), common.span_hash(common.prefix_hash(data), starts, ends)]), axis=1)
         total = np.bincount(of[starts], minlength=n)
         out[:, pairs + 32] = np.bincount(words[0].astype(np.int64), minlength=n) / np.maximum(total, 1)
         out[:, pairs + 33] = np.log1p(lengths / np.maximum(total, 1))
     out[:, pairs + 34] = np.log1p(lengths)
-    return out, per
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -127,20 +142,25 @@ def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, decay: floa
     return net.p | {"mean": mean, "spread": spread}
 
 
-def train(docs: DataFrame, known: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> dict[str, np.ndarray] | None:
-    """Fit on documents (doc_id, text) with labels (doc_id, y in 0 and 1): about per_label of each. None without both labels.
+def train(docs: DataFrame, known: DataFrame, per_label: int = SAMPLE_PER_LABEL, most_bytes: int = SAMPLE_BYTES) -> dict[str, np.ndarray] | None:
+    """Fit on documents (doc_id, text) with labels (doc_id, y in 0 and 1), at most per_label of each. None without both labels.
 
-    The sample is drawn from the labels, so that only its rows' texts are moved.
+    The sample is drawn from the labels, so that only its rows' texts are moved. A doc_id counts once: with its larger
+    label and, of several texts, with the smallest.
     """
+    known = known.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     if set(counts) != {0, 1}:
         return None
     scale = 1 << 30
-    share = {y: min(scale, per_label * scale // n) for y, n in counts.items()}
+    share = {y: min(scale, 2 * per_label * scale // n) for y, n in counts.items()}
     most = F.when(F.col("y") == 1, share[1]).otherwise(share[0])
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < most)
-    # about twice per_label rows, whatever the corpus
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("text").alias("h"))
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < most)
+    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # distinct doc_ids, at most per_label of each label: small enough to be broadcast, whatever the corpus
+    chosen = F.broadcast(drawn.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_label).drop("nth"))
+    texts = docs.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = langid.bounded_sample(texts.select("text", "y", F.xxhash64("doc_id").alias("h")), "y", per_label, most_bytes).select("text", "y", "h")
     weight = {y: counts[y] / sum(counts.values()) for y in (0, 1)}
 
     def run(batches):
@@ -181,8 +201,9 @@ def predict(docs: DataFrame, params: dict[str, np.ndarray] | None) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
     """Learn quality from the labels where may_learn (a condition on doc_id) holds, and score every whole text.
 
-    Null and empty texts are one empty passage. Labels other than 0 and 1 teach nothing; a document that is labelled
-    more than once counts each time. Repeated rows and null ids are scored as any other row; other columns are ignored.
+    Null and empty texts are one empty passage; very long texts are encoded in parts. Labels other than 0 and 1 teach
+    nothing; a document that is labelled more than once counts once, with the larger label. Without both labels every
+    score is 0.5. Repeated rows and null ids are scored as any other row; other columns are ignored.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & may_learn).select("doc_id", F.col("quality").alias("y"))
     params = train(docs.select("doc_id", "text"), known, per_label)
@@ -194,5 +215,6 @@ def held_out() -> Column:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document. Nulls, long texts, ties (0.3 itself is predicted 1), repeated rows, empty tables and extra columns: as score states."""
     found = score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), ~held_out())
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -33,6 +33,45 @@ def test_passages_cover_whole_texts():
     assert np.allclose(np.expm1(x[:, -1]), [0, 0, 512, 512, 276, 16], atol=1e-2)
 
 
+def test_passages_against_plain_counts():
+    texts = ["", None, "Hello, WORLD! 42 " * 90, "日本語 the the THE", "a" * 513, "x y" * 300]
+    kinds = quality.KINDS.tolist()
+    want, n_passages = [], []
+    for text in texts:
+        raw = (text or "").encode()
+        cut = [raw[i : i + 512] for i in range(0, len(raw), 512)] or [b""]
+        n_passages.append(len(cut))
+        for p in cut:
+            row = [0.0] * quality.WIDTH
+            for a, b in zip(p, p[1:], strict=False):
+                row[kinds[a] * 14 + kinds[b]] += 1 / len(p)
+            for b in p:
+                row[196 + ((b + 32 if 65 <= b <= 90 else b) & 31)] += 1 / len(p)
+            words = "".join(chr(b) if b > 32 else " " for b in p).split(" ")
+            words = [w for w in words if w]
+            row[228] = len(set(words)) / max(1, len(words))
+            row[229] = np.log1p(len(p) / max(1, len(words))) if p else 0.0
+            row[230] = np.log1p(len(p))
+            want.append(row)
+    for part in (1, 600, 2000, 1 << 18):
+        x, per = quality.passages(pa.array(texts, pa.string()), part)
+        assert per.tolist() == n_passages and np.allclose(x, want, atol=1e-5)
+
+
+def test_forward_against_plain_loops():
+    rng = np.random.default_rng(1)
+    net = quality.Network.start(2)
+    bags = [rng.normal(size=(k, quality.WIDTH)) for k in (1, 4, 2)]
+    got, _ = net.forward(np.concatenate(bags), np.repeat(np.arange(3), [1, 4, 2]), 3)
+    p = net.p
+    for bag, score in zip(bags, got, strict=True):
+        h = [np.tanh(x @ p["We"] + p["be"]) for x in bag]
+        e = [float((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"]) for v in h]
+        a = [np.exp(v) / sum(np.exp(e)) for v in e]
+        z = sum(u * v for u, v in zip(a, h, strict=True))
+        assert abs(1 / (1 + np.exp(-float(z @ p["c"] + p["b"][0]))) - score) < 1e-9
+
+
 def test_held_out_accuracy(spark, sf):
     got = {r.doc_id: r for r in quality.op5_quality_classifier(spark, sf).collect()}
     labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if got[r.doc_id].held_out]
