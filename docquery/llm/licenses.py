@@ -2,7 +2,8 @@
 
 A rule is a regular expression over the text's words joined by single spaces. It runs only where all of its keywords
 occur. Detections are taken in the rules' order (most specific first); one that lies inside an accepted detection is
-suppressed. The four base phrases are always reported. Rules come from two tables, families and sentence forms.
+suppressed. The four base phrases are always reported. Rules are hand-written signatures (license_signatures), whose
+keywords are words that each match must hold, and names of license families in some sentence forms.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from docquery.llm import common
+from docquery.llm.license_signatures import signatures
 
 SEPARATORS = common.byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
@@ -88,15 +90,10 @@ FORMS = [
     (r"(?:{name})(?: (?:{version}))?", (), 0.6),
 ]
 
-#: Notices without a license's name: label, pattern, keywords, how sure.
-NOTICES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ("permission", "granted"), 0.95),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", ("permission", "purpose"), 0.95),
-    ("bsd", "redistribution and use in source and binary forms with or without modification", ("redistribution", "binary"), 0.95),
-    ("apache", "you may not use this file except in compliance with the license", ("compliance", "license"), 0.9),
-    ("public-domain", "(?:released into|dedicated to|in) the public domain", ("public", "domain"), 0.7),
-    ("proprietary", "all rights reserved", ("rights", "reserved"), 0.4),
-]
+#: Signatures at least as sure as this come before the families' forms, the others after them.
+STRONG = 0.85
+#: Keywords of a signature: so many of the longest words that it cannot match without.
+KEYWORDS = 3
 
 
 @dataclass(frozen=True)
@@ -112,21 +109,44 @@ class Rule:
 
 
 def _rule(label: str, text: str, all_of, any_of, sure: float) -> Rule:
-    return Rule(label, re.compile(rf"(?<!\S)(?:{text})(?!\S)"), frozenset(all_of), frozenset(any_of), sure)
+    return Rule(label, re.compile(rf"(?<!\S)(?:{text})(?!\S)".encode()), frozenset(all_of), frozenset(any_of), sure)
+
+
+_GROUP = re.compile(r"\(\?:((?:[^()]|(\((?:[^()])*\)))*)\)(\?|\{|)")
+
+
+def must_hold(pattern: str) -> set[str]:
+    """Words that every match of the pattern holds: those that stand alone outside its groups, without a mark that makes them vary."""
+    # an optional group that brings its own space leaves the words beside it whole
+    own_space = lambda m: "" if m[3] == "?" and (m[1][0] == " " or m[1][-1] == " ") else "\0"
+    flat = _GROUP.sub(own_space, pattern).split(" ")
+    return {w for w, after in zip(flat, [*flat[1:], ""], strict=True) if re.fullmatch("[a-z0-9]+", w) and not after.startswith("?")}
+
+
+def keywords(pattern: str) -> tuple[set[str], set[str]]:
+    """Words of which all must occur in a text that the pattern matches, and words of which one must."""
+    longest = lambda words: sorted(words, key=lambda w: (-len(w), w))
+    if words := must_hold(pattern):
+        every = set(longest(words)[:KEYWORDS])
+        return every, every
+    for m in _GROUP.finditer(pattern):
+        one_of = [longest(must_hold(x.strip())) for x in m[1].split("|")]
+        if m[3] == "" and all(one_of):
+            return set(), {x[0] for x in one_of}
+    raise ValueError(f"no keyword for {pattern}")
 
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules in order of priority: full notices, then by form and family, then weak notices."""
-    notices = [_rule(label, text, words, words, sure) for label, text, words, sure in NOTICES]
+    """All rules in order of priority: strong signatures, then by form and family, then weak signatures."""
+    signed = [_rule(label, text, *keywords(text), sure) for label, sure, text in signatures()]
     named = [
         _rule(label, form.format(name=name, version=version or "(?!)", lic=LIC, label=label.replace("-", " ")), words, [*any_of.split(), *(label.split("-")[:1] if "{label}" in form else [])], sure)
         for form, words, sure in FORMS
         for label, name, any_of, version in FAMILIES
         if version or "{name}) (?:version |v)(?:{version})" not in form
     ]
-    strong = [r for r in notices if r.sure >= 0.9]
-    return (*strong, *named, *(r for r in notices if r.sure < 0.9))
+    return (*(r for r in signed if r.sure >= STRONG), *named, *(r for r in signed if r.sure < STRONG))
 
 
 @cache
@@ -135,10 +155,8 @@ def gate_words() -> frozenset[str]:
     return frozenset().union(*(r.all_of | r.any_of for r in rules()), (p.split()[0] for p in BASE))
 
 
-def detect(words: list[str], present: set[str] | frozenset[str]) -> list[tuple[int, int, Rule]]:
-    """Accepted detections (first word, last word + 1, rule) in a text's words; `present`: the gate words among them."""
-    text = " ".join(words)
-    starts = np.cumsum([0] + [len(w) + 1 for w in words])
+def detect_in(text: bytes, starts: np.ndarray, present: set[str] | frozenset[str]) -> list[tuple[int, int, Rule]]:
+    """Accepted detections (first word, last word + 1, rule) in words joined by single spaces; starts: of each word, and one past the end."""
     kept: list[tuple[int, int, Rule]] = []
     for rule in rules():
         if not rule.may_match(present):
@@ -150,13 +168,27 @@ def detect(words: list[str], present: set[str] | frozenset[str]) -> list[tuple[i
     return kept
 
 
-def base_places(words: list[str]) -> list[tuple[int, str]]:
-    """Every place where the words of a base phrase stand consecutively."""
-    out = []
-    for phrase, label in BASE.items():
-        w = phrase.split()
-        out += [(i, label) for i in range(len(words) - len(w) + 1) if words[i] == w[0] and words[i : i + len(w)] == w]
-    return sorted(out)
+def detect(words: list[str], present: set[str] | frozenset[str]) -> list[tuple[int, int, Rule]]:
+    """As detect_in, for a list of words; `present`: the gate words among them."""
+    coded = [w.encode() for w in words]
+    return detect_in(b" ".join(coded), np.cumsum([0] + [len(w) + 1 for w in coded]), present)
+
+
+_PHRASES = [(re.compile(rf"(?<!\S){phrase}(?!\S)".encode()), label) for phrase, label in BASE.items()]
+
+
+def base_places(text: bytes, starts: np.ndarray) -> list[tuple[int, str]]:
+    """Every place where the words of a base phrase stand consecutively (no phrase overlaps itself)."""
+    return sorted((int(np.searchsorted(starts, m.start())), label) for pattern, label in _PHRASES for m in pattern.finditer(text))
+
+
+def joined(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Words of a buffer with single spaces between them, and where each begins there; one start more, past the end."""
+    sizes = stops - starts + 1
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    out = data[np.repeat(starts - edges[:-1], sizes) + np.arange(edges[-1])] if len(data) > stops[-1] else np.append(data, np.uint8(32))[np.repeat(starts - edges[:-1], sizes) + np.arange(edges[-1])]
+    out[edges[1:] - 1] = 32
+    return out[:-1].tobytes(), edges
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -165,16 +197,17 @@ def scan(docs: DataFrame) -> DataFrame:
     Result: doc_id, n_words, n_base, first_word, last_word (null without base places), base_labels, labels (sorted,
     comma-joined, empty if none), score (1 less the product of the detections' doubts, 0 if none) and spans, the
     accepted detections as first word, last word and label. Null and empty texts have no words. Rows are scanned one
-    by one, so repeated rows and null ids give rows of their own; other columns are ignored.
+    by one, so repeated rows and null ids give rows of their own; of detections of the same words the first rule's
+    stays; an empty table gives no rows; other columns are ignored.
     """
     shape = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<first:long,last:long,label:string>>"
     arrow = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in ("n_words", "n_base", "first_word", "last_word")], ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("label", pa.string())])))])
 
     def run(batches):
         gates, leads = sorted(gate_words()), {p.split()[0] for p in BASE}
-        joined = np.frombuffer("".join(gates).encode(), np.uint8)
+        letters = np.frombuffer("".join(gates).encode(), np.uint8)
         ends = np.cumsum([len(g) for g in gates])
-        hashes = common.span_hash(common.prefix_hash(joined), ends - [len(g) for g in gates], ends)
+        hashes = common.span_hash(common.prefix_hash(letters), ends - [len(g) for g in gates], ends)
         by_hash = dict(zip(hashes.tolist(), gates, strict=True))
         maybe = np.zeros(1 << 16, bool)
         maybe[hashes & np.uint64(0xFFFF)] = True
@@ -195,8 +228,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 if (seen := present.get(row, set())).isdisjoint(leads) and not any(r.may_match(seen) for r in rules()):
                     continue
                 low, high = int(before[row]), int(before[row + 1])
-                words = [data[a:b].tobytes().decode() for a, b in zip(starts[low:high].tolist(), stops[low:high].tolist(), strict=True)]
-                places, found = base_places(words), detect(words, seen)
+                own = joined(data, starts[low:high], stops[low:high])
+                places, found = base_places(*own), detect_in(*own, seen)
                 base = {label for _, label in places}
                 labels = base | {r.label for _, _, r in found}
                 doubt = float(np.prod([1 - r.sure for _, _, r in found])) * (0.4 if base and not found else 1.0)
@@ -212,4 +245,5 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses in all documents. Nulls, long texts, ties, repeated rows, empty tables and extra columns: as scan states."""
     return scan(common.table(spark, sf_dir, "documents")).drop("spans")
