@@ -10,13 +10,14 @@ _FULLWIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _FROM = "ёЁİأإآةى" + _FULLWIDTH + "".join(chr(c) for c in range(0x064B, 0x0653)) + "ـ"
 _TO = "еЕIاااهي" + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 
-#: Letters of each script, as a character class; ties between scripts go to the earlier.
-SCRIPTS = {
-    "latin": r"[A-Za-zÀ-ÖØ-öø-ɏ]",
-    "cyrillic": r"[Ѐ-ӿ]",
-    "cjk": r"[぀-ヿ㐀-䶿一-鿿가-힯]",
-    "arabic": r"[ء-يٮ-ۓ]",
+# The code points of each script, of which its alphabetic characters count; ties go to the earlier script.
+_RANGES = {
+    "latin": r"\x{41}-\x{24F}\x{1E00}-\x{1EFF}",
+    "cyrillic": r"\x{400}-\x{52F}",
+    "cjk": r"\x{1100}-\x{11FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{FF66}-\x{FF9F}",
+    "arabic": r"\x{600}-\x{6FF}\x{750}-\x{77F}",
 }
+SCRIPTS = {name: rf"[{r}&&\p{{IsAlphabetic}}]" for name, r in _RANGES.items()}
 
 TOKEN = r"[\p{L}\p{N}]+"
 SNIPPET_CHARS = 240
@@ -41,6 +42,25 @@ def script_of(text: Column | str) -> Column:
     return out
 
 
+def script_runs(text: Column | str) -> Column:
+    """Parts of one script each, split before a letter of another script; digits and marks stay with the part before them."""
+    out = F.col(text) if isinstance(text, str) else text
+    other = rf"[\P{{IsAlphabetic}}[^{''.join(_RANGES.values())}]]"
+    for name, letter in SCRIPTS.items():
+        foreign = "".join(r for n, r in _RANGES.items() if n != name)
+        out = F.regexp_replace(out, rf"({letter}{other}*+)(?=[{foreign}&&\p{{IsAlphabetic}}])", "$1\u0001")
+    return F.split(out, "\u0001")
+
+
+def stem_language(word: Column | str) -> Column:
+    """Language whose stems a word may take (en, ru or ar), or null: short, all-capital, camel-case and mixed words are protected."""
+    word = F.col(word) if isinstance(word, str) else word
+    plain = (F.length(word) > 3) & word.rlike(r"^\p{L}+$") & (word != F.upper(word)) & ~word.rlike(r"\p{Ll}\p{Lu}|\p{Lu}\p{Lu}\p{Ll}")
+    unicase = word.rlike(r"^\p{Lo}+$") & (F.length(word) > 3)
+    script = script_of(word)
+    return F.when(plain | unicase, F.when(script == "latin", "en").when(script == "cyrillic", "ru").when(script == "arabic", "ar"))
+
+
 def simple_tokens(text: Column | str) -> Column:
     """Lower-cased runs of letters and digits, in order."""
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))

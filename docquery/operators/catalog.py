@@ -95,16 +95,20 @@ def coverage(chunks: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     return distinct.join(present, key, "left").agg(F.count("*").alias("total"), F.count("present").alias("present"))
 
 
-def lru_keep(entries: DataFrame, most: int, most_bytes: int, leased: DataFrame | None = None, groups: str = "model_id") -> DataFrame:
-    """What an eviction leaves of each group: the newest entries while count and bytes stay within the caps, and those under a lease.
+def lru_keep(entries: DataFrame, most: int, most_bytes: int, leases: DataFrame | None = None, now: int = 0, groups: str = "model_id") -> DataFrame:
+    """What an eviction leaves of each group: rows under a live lease, and the newest others while all kept rows stay within the caps.
 
-    entries: the group, key, used_at and bytes. Among equal used_at the smaller key is older.
+    entries: the group, key, used_at and bytes. leases: the group, key and expires_at; one that expires at `now` or
+    before is none. Leased rows count first, and stay even where they alone exceed the caps. Among equal used_at the
+    smaller key is older.
     """
-    newest = Window.partitionBy(groups).orderBy(F.desc("used_at"), F.desc("key"))
-    running = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = entries.withColumn("nth", F.row_number().over(newest)).withColumn("total", F.sum("bytes").over(running))
-    fits = (F.col("nth") <= most) & (F.col("total") <= most_bytes)
-    if leased is None:
-        return ranked.filter(fits).drop("nth", "total")
-    held = leased.select(groups, "key", F.lit(True).alias("held")).distinct()
-    return ranked.join(held, [groups, "key"], "left").filter(fits | F.col("held")).drop("nth", "total", "held")
+    if leases is None:
+        held = entries.withColumn("held", F.lit(False))
+    else:
+        live = leases.filter(F.col("expires_at") > now).select(groups, "key", F.lit(True).alias("held")).distinct()
+        held = entries.join(live, [groups, "key"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    # the leased come first in the running sums, then the others from the newest on
+    order = Window.partitionBy(groups).orderBy(F.desc("held"), F.desc("used_at"), F.desc("key"))
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.withColumn("nth", F.row_number().over(order)).withColumn("total", F.sum("bytes").over(running))
+    return ranked.filter(F.col("held") | ((F.col("nth") <= most) & (F.col("total") <= most_bytes))).drop("nth", "total", "held")

@@ -1,12 +1,16 @@
-"""Exact cosine search: a bounded set of query vectors against every row, in the tasks that read the rows."""
+"""Exact cosine search: query vectors against every row, in the tasks that read the rows."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquery.session import shared_root
+
 #: Query vectors of a block; larger query sets are searched block after block.
 BLOCK_QUERIES = 4096
 
@@ -21,52 +25,52 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.where(ok, x / np.where(ok, norm, 1), 0.0)
 
 
-def cosine_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 10, exclude_self: bool = True, digits: int = 9) -> DataFrame:
-    """query_id, vec_id, score and rank of the k nearest rows of each query. Zero and non-finite vectors score 0; null vectors are left out; other dimensions than the queries' are an error. Ties go to the smaller id."""
-    spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
-    found = spark.createDataFrame([], schema)
-    for low in range(0, len(queries), BLOCK_QUERIES):
-        block = queries[low : low + BLOCK_QUERIES]
-        shared = spark.sparkContext.broadcast((np.array([q[0] for q in block]), _unit(np.array([q[1] for q in block], float))))
-
-        def search(batches, shared=shared):
-            ids, q = shared.value
-            for batch in batches:
-                vec, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-                if not len(vec):
-                    continue
-                score = np.round(q @ _unit(x).T, digits)
-                if exclude_self:
-                    score[ids[:, None] == vec[None, :]] = -np.inf
-                take = np.lexsort((np.broadcast_to(vec, score.shape), -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, take, axis=1)
-                who = np.repeat(ids, take.shape[1])
-                keep = np.isfinite(best.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(who[keep]), pa.array(vec[take.ravel()][keep]), pa.array(best.ravel()[keep])], names=["query_id", "vec_id", "score"])
-
-        rows = vectors.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding")
-        found = found.union(rows.mapInArrow(search, schema))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def _query_blocks(paths: list[str]):
+    """Ids and unit vectors of the stored queries, some at a time."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    for uri in paths:
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=BLOCK_QUERIES):
+                yield batch.column(0).to_numpy(), _unit(_matrix(batch.column(1)))
 
 
-def ann_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 8, bucket: float = 0.7, reach: float = 1.6) -> DataFrame:
-    """Approximate tier: candidates that share a random-projection bucket on unit vectors, scored exactly; query_id, vec_id, score, rank.
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = True, digits: int = 9) -> DataFrame:
+    """query_id, vec_id, score and rank of the k nearest rows of each query (query_id, embedding).
 
-    reach is the largest Euclidean distance of unit vectors that counts; rows further away are not returned.
+    Zero and non-finite vectors score 0; null vectors are left out; other dimensions than the queries' are an error.
+    Ties go to the smaller id. Rows stay where they are: each task reads the queries from the shared folder, block by
+    block, and returns its k best of each.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    unit = Normalizer(inputCol="raw", outputCol="unit")
-    ready = lambda df: unit.transform(df.filter(F.col("embedding").isNotNull()).select("vec_id", array_to_vector("embedding").alias("raw"))).select("vec_id", "unit")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=bucket, numHashTables=tables, seed=7).fit(ready(vectors))
-    near = model.approxSimilarityJoin(ready(queries), ready(vectors), reach, "distance")
-    score = 1 - F.col("distance") * F.col("distance") / 2
-    rows = near.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), F.round(score, 9).alias("score")).filter("query_id != vec_id")
+    spark = vectors.sparkSession
+    folder = f"{shared_root(spark)}/docquery-queries/{uuid.uuid4().hex}"
+    queries.filter(F.col("embedding").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "embedding").write.parquet(folder)
+    paths = spark.read.parquet(folder).inputFiles()
+
+    def search(batches):
+        held = [(batch.column(0).to_numpy(), _unit(_matrix(batch.column(1)))) for batch in batches if batch.num_rows]
+        for ids, q in _query_blocks(paths) if held else ():
+            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for vec, x in held:
+                score = np.round(q @ x.T, digits)
+                if exclude_self:
+                    score[ids[:, None] == vec[None, :]] = -np.inf
+                n = min(k, len(vec))
+                least = np.partition(score, len(vec) - n, axis=1)[:, len(vec) - n]  # ties with the k-th stay for now
+                who, what = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                best.append((who, vec[what], score[who, what]))
+            who, vec, score = (np.concatenate(c) for c in zip(*best, strict=True))
+            order = np.lexsort((vec, -score, who))
+            who, vec, score = who[order], vec[order], score[order]
+            keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who[keep]]), pa.array(vec[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+
+    rows = vectors.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    found = rows.mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def embed_missing(texts: DataFrame, known: DataFrame, embed, dim: int) -> DataFrame:

@@ -83,8 +83,25 @@ def pareto(points: DataFrame, quality: str, cost: str, by: str) -> DataFrame:
     return points.join(kept, [by, cost]).filter(F.col(quality) == F.col("level")).drop("level")
 
 
-def jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_id, right_id and similarity of the token sets (columns id, tokens) of all pairs that share a token."""
-    side = lambda df, name: df.select(F.col("id").alias(name), F.size(F.array_distinct("tokens")).alias(f"{name}_n"), F.explode(F.array_distinct("tokens")).alias("token"))
-    shared = side(left, "left_id").join(side(right, "right_id"), "token").groupBy("left_id", "right_id").agg(F.count("*").alias("n"), F.first("left_id_n").alias("a"), F.first("right_id_n").alias("b"))
-    return shared.select("left_id", "right_id", F.round(F.col("n") / (F.col("a") + F.col("b") - F.col("n")), 6).alias("similarity"))
+def jaccard(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """left_id, right_id and similarity of all pairs of token sets (columns id, tokens) that are alike by `least` (above 0) or more.
+
+    Of sets in order of rarity, two that are so alike share a token of both prefixes of n - ceil(least * n) + 1
+    tokens; only such pairs whose sizes allow it are compared in full. Two sets without tokens are alike by 1.
+    """
+    sets = {name: df.select(F.col("id").alias(name), F.array_distinct("tokens").alias("w")) for name, df in (("left_id", left), ("right_id", right))}
+    each = {name: df.select(name, F.size("w").alias("n"), F.explode("w").alias("token")) for name, df in sets.items()}
+    counts = each["left_id"].select("token").union(each["right_id"].select("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    def prefix(name: str) -> DataFrame:
+        order = Window.partitionBy(name).orderBy("df", "token")
+        ranked = each[name].join(counts, "token").withColumn("nth", F.row_number().over(order))
+        return ranked.filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(name, F.col("n").alias(f"{name}_n"), "token")
+
+    fits = (F.col("left_id_n") >= least * F.col("right_id_n") - 1e-9) & (F.col("right_id_n") >= least * F.col("left_id_n") - 1e-9)
+    pairs = prefix("left_id").join(prefix("right_id"), "token").filter(fits).select("left_id", "right_id").distinct()
+    both = pairs.join(sets["left_id"].withColumnRenamed("w", "a"), "left_id").join(sets["right_id"].withColumnRenamed("w", "b"), "right_id")
+    n = F.size(F.array_intersect("a", "b"))
+    found = both.select("left_id", "right_id", (n / (F.size("a") + F.size("b") - n)).alias("similarity")).filter(F.col("similarity") >= least)
+    bare = sets["left_id"].filter(F.size("w") == 0).select("left_id", F.lit(0).alias("w")).join(sets["right_id"].filter(F.size("w") == 0).select("right_id", F.lit(0).alias("w")), "w")
+    return found.select("left_id", "right_id", F.round("similarity", 6).alias("similarity")).union(bare.select("left_id", "right_id", F.lit(1.0)))

@@ -1,4 +1,4 @@
-"""Inverted index and BM25 as Spark plans, for whole batches of queries."""
+"""BM25, phrases and boolean clauses over a stored index, for whole batches of queries."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.functions.text import simple_tokens
+from docquery.operators.index import PRUNED_TERMS, Index
 
+# The ranking formula, the length past which a chunk counts half, and the most rows of a query.
 K1, B = 1.2, 0.75
 LONG_CHUNK_CHARS, LONG_CHUNK_FACTOR = 1650, 0.5
 MAX_LIMIT = 1000
+# What a field's score counts in the sum.
+FIELD_BOOSTS = {"text": 1.0, "title": 2.0, "heading_path": 1.5, "identifiers": 2.5}
 #: Query terms up to which their table is broadcast (some tens of bytes each).
 BROADCAST_TERMS = 200_000
 
@@ -25,11 +29,6 @@ def postings(docs: DataFrame) -> DataFrame:
     return analyzed(docs).select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def positions(docs: DataFrame) -> DataFrame:
-    """doc_id, term and position (from 0): one row for each token."""
-    return analyzed(docs).select("doc_id", F.posexplode("tokens").alias("position", "term"))
-
-
 def term_df(docs: DataFrame) -> DataFrame:
     """Documents that contain each term."""
     return analyzed(docs).select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -39,32 +38,57 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
-def bm25(docs: DataFrame, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+def words_as_terms(text: Column | str) -> Column:
+    """Tokens of the distinct words of a query. Words of other spelling count again: `A a` are two clauses, `a a` is one."""
+    words = F.array_distinct(F.split(text, r"\s+"))
+    return F.flatten(F.transform(words, simple_tokens))
+
+
+def _idf(index: Index, terms: DataFrame, boosts: dict[str, float]) -> DataFrame:
+    """The terms (with a column term, and field where it is not null) with each field's weight: boost times idf, and average length."""
+    boost = F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair])
+    stats = index.stats.filter(F.col("field").isin(list(boosts)))
+    rows = terms.withColumnRenamed("field", "only") if "field" in terms.columns else terms.withColumn("only", F.lit(None).cast("string"))
+    joined = rows.join(index.df, "term").filter(F.col("only").isNull() | (F.col("only") == F.col("field"))).join(F.broadcast(stats), "field")  # a row for each field
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return joined.withColumn("weight", boost[F.col("field")] * idf).withColumn("average", F.col("total") / F.col("n")).drop("only", "df", "n", "total")
+
+
+def _gain(tf: Column | str) -> Column:
+    tf = F.col(tf) if isinstance(tf, str) else tf
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("average")))
+
+
+def _halved(score: Column | str, n_chars: str = "n_chars") -> Column:
+    score = F.col(score) if isinstance(score, str) else score
+    return F.when(F.col(n_chars) > LONG_CHUNK_CHARS, score * LONG_CHUNK_FACTOR).otherwise(score)
+
+
+def _few(terms: DataFrame, n: int) -> list[str] | None:
+    """The terms themselves where they are few, so that only their postings are read."""
+    return [r.term for r in terms.collect()] if n <= PRUNED_TERMS else None
+
+
+def bm25(index: Index, queries: DataFrame, scope: DataFrame | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
     """query_id, doc_id and score of every document that shares a term with a query.
 
-    queries: query_id and terms (an array; each distinct term is a clause). Statistics cover all documents; a scope
-    (doc_id) only restricts which are scored. Long documents count half.
+    queries: query_id and terms (an array; each entry is a clause). Scores of the fields are added with their boosts.
+    Statistics cover the whole index; a scope (doc_id) only restricts which documents are scored. Long ones count half.
     """
-    clauses = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = clauses.select("term").distinct()
-    n_wanted = wanted.count()
-    base = analyzed(docs)
-    n, total = base.agg(F.count("*"), F.sum("dl")).first()  # one row
-    average = (total or 0) / n if n else 1.0
-    hits = (
-        base.select("doc_id", "dl", "n_chars", F.explode("tokens").alias("term"))
-        .join(_small(wanted, n_wanted), "term", "left_semi")
-        .groupBy("doc_id", "term")
-        .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("n_chars").alias("n_chars"))
-    )
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    boosts = {"text": 1.0} if boosts is None else boosts
+    clauses = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    terms = clauses.select("term").distinct()
+    n, n_clauses = terms.count(), clauses.count()
+    weights = _idf(index, terms, boosts)
+    hits = index.of(_few(terms, n)).select("doc_id", "field", "term", "tf", "dl", "n_chars")
     if scope is not None:
         hits = hits.join(scope.select("doc_id"), "doc_id", "left_semi")
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
-    scored = hits.join(_small(df, n_wanted), "term").withColumn("part", part).join(_small(clauses, n_wanted), "term")
-    out = scored.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.first("n_chars").alias("n_chars"))
-    return out.withColumn("score", F.when(F.col("n_chars") > LONG_CHUNK_CHARS, F.col("score") * LONG_CHUNK_FACTOR).otherwise(F.col("score"))).drop("n_chars")
+    parts = hits.join(_small(weights, n * len(boosts)), ["field", "term"]).select("doc_id", "term", "n_chars", (F.col("weight") * _gain("tf")).alias("part"))
+    # fields of a document and term are added before the queries that share the term multiply them
+    if len(boosts) > 1:
+        parts = parts.groupBy("doc_id", "term").agg(F.sum("part").alias("part"), F.first("n_chars").alias("n_chars"))
+    scored = parts.join(_small(clauses, n_clauses), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"), F.first("n_chars").alias("n_chars"))
+    return scored.select("query_id", "doc_id", _halved("score").alias("score"))
 
 
 def top(scored: DataFrame, limit: int = 10, by: str = "query_id", key: str = "doc_id", digits: int = 6) -> DataFrame:
@@ -74,54 +98,83 @@ def top(scored: DataFrame, limit: int = 10, by: str = "query_id", key: str = "do
     return rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= min(limit, MAX_LIMIT))
 
 
-def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrase_id, doc_id and n (places where the terms of the array `terms` stand consecutively)."""
-    terms = phrases.filter(F.size("terms") > 0).select("phrase_id", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
-    n = terms.count()
-    places = positions(docs).join(_small(terms, n), "term").withColumn("start", F.col("position") - F.col("offset"))
-    whole = places.groupBy("phrase_id", "doc_id", "start", "size").agg(F.count("*").alias("found")).filter("found = size")
-    return whole.groupBy("phrase_id", "doc_id").agg(F.count("*").alias("n"))
+def matched_terms(index: Index, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id and n: distinct terms of the query that the document holds."""
+    clauses = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    hits = index.postings.select("doc_id", "term").distinct() if len(index.fields()) > 1 else index.postings.select("doc_id", "term")
+    return hits.join(_small(clauses, clauses.count()), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
 
 
-def boolean(docs: DataFrame, must: list[str], should: list[str], must_not: list[str]) -> DataFrame:
+def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:
+    """phrase_id, doc_id, field and n (places where the entries of the array `terms` stand consecutively).
+
+    The positions of a phrase's rarest term are read first, and those of its other terms only where they can follow.
+    """
+    sized = phrases.filter(F.size("terms") > 0).select("phrase_id", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    n = sized.count()
+    frequency = index.df.groupBy("term").agg(F.sum("df").alias("df"))
+    known = sized.join(frequency, "term", "left")
+    # a phrase with a term that no document has stands nowhere
+    lead = known.groupBy("phrase_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "term")).alias("lead"), F.first("size").alias("size")).filter("lead.df > 0")
+    lead = lead.select("phrase_id", "size", F.col("lead.term").alias("term"), F.col("lead.offset").alias("offset"))
+    starts = index.postings.join(_small(lead, n), "term").select("phrase_id", "size", "doc_id", "field", "offset", F.explode("positions").alias("position"))
+    starts = starts.select("phrase_id", "doc_id", "field", "size", "offset", (F.col("position") - F.col("offset")).alias("start")).filter("start >= 0")
+    rest = sized.join(lead.select("phrase_id", F.col("offset").alias("first")), "phrase_id").filter("offset != first").select("phrase_id", "offset", "term")
+    wanted = starts.filter("size > 1").select("phrase_id", "doc_id", "field", "size", "start").join(_small(rest, n), "phrase_id")
+    held = index.postings.select("doc_id", "field", "term", "positions")
+    # sorted positions of a term in a document come once for all starts that ask for them
+    checked = wanted.groupBy("doc_id", "field", "term", "phrase_id", "size", "offset").agg(F.collect_list("start").alias("starts")).join(held, ["doc_id", "field", "term"])
+    found = checked.select("phrase_id", "doc_id", "field", "size", F.explode(F.array_intersect("starts", F.transform("positions", lambda p: p - F.col("offset")))).alias("start"))
+    whole = found.groupBy("phrase_id", "doc_id", "field", "start", "size").agg(F.count("*").alias("met")).filter("met = size - 1")
+    single = starts.filter("size = 1").select("phrase_id", "doc_id", "field", "start")
+    return whole.select("phrase_id", "doc_id", "field", "start").union(single).groupBy("phrase_id", "doc_id", "field").agg(F.count("*").alias("n"))
+
+
+def boolean(index: Index, must: list[str], should: list[str], must_not: list[str]) -> DataFrame:
     """doc_id and matched (number of clauses met) under required, optional and forbidden terms."""
-    tokens = F.array_distinct("tokens")
-    has = lambda words: F.array_intersect(tokens, F.array(*map(F.lit, words)).cast("array<string>"))
-    out = analyzed(docs).select("doc_id", F.size(has(must)).alias("m"), F.size(has(should)).alias("s"), F.size(has(must_not)).alias("x"))
+    words = list({*must, *should, *must_not})
+    rows = index.of(words).select("doc_id", "term").distinct()
+    count = lambda some: F.count(F.when(F.col("term").isin(list(some)), 1)) if some else F.lit(0)
+    out = rows.groupBy("doc_id").agg(count(set(must)).alias("m"), count(set(should)).alias("s"), count(set(must_not)).alias("x"))
     wanted = (F.col("m") == len(set(must))) & (F.col("x") == 0) & ((F.col("s") > 0) | F.lit(bool(must)))
     return out.filter(wanted).select("doc_id", (F.col("m") + F.col("s")).alias("matched"))
 
 
-# What a field's score counts in the sum.
-FIELD_BOOSTS = {"text": 1.0, "title": 2.0, "heading_path": 1.5, "identifiers": 2.5}
-
-
-def fielded_bm25(chunks: DataFrame, queries: DataFrame, scope: DataFrame | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
-    """query_id, doc_id and score over several text fields: BM25 of each field times its boost, long chunks counting half.
+def score_clauses(index: Index, clauses: DataFrame, scope: DataFrame | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
+    """query_id, doc_id and score for queries given as clauses (see plans.clauses): query_id, clause, team, occur, field and terms.
 
-    chunks: doc_id and the fields; queries: query_id and terms. One pass: each row gives its tokens field by field, and
-    document frequency, length and average length are those of the field.
+    A clause of several terms is a phrase. A team's required clauses must all be met; of a query's teams one must be,
+    every clause of the team None too, and none that is forbidden. Met clauses that are not forbidden add their scores.
     """
     boosts = FIELD_BOOSTS if boosts is None else boosts
-    clauses = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = clauses.select("term").distinct()
-    n_wanted = wanted.count()
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(b).alias("boost"), simple_tokens(f).alias("tokens")) for f, b in boosts.items()])
-    rows = chunks.select("doc_id", F.length("text").alias("n_chars"), F.inline(fields)).withColumn("dl", F.size("tokens"))
-    stats = {r.field: (r.n, r.total) for r in rows.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()}  # a row for each field
-    average = F.create_map(*[F.lit(x) for f, (n, total) in stats.items() for x in (f, max((total or 0) / n, 1e-9))]) if stats else F.lit(None)
-    n_docs = max((n for n, _ in stats.values()), default=0)
-    hits = (
-        rows.select("doc_id", "n_chars", "field", "boost", "dl", F.explode("tokens").alias("term"))
-        .join(_small(wanted, n_wanted), "term", "left_semi")
-        .groupBy("doc_id", "field", "term")
-        .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("boost").alias("boost"), F.first("n_chars").alias("n_chars"))
-    )
-    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    keys = ["query_id", "clause"]
+    single = clauses.filter(F.size("terms") == 1).select(*keys, "field", F.element_at("terms", 1).alias("term"))
+    terms = single.select("term", "field").distinct()
+    weights = single.join(_idf(index, terms, boosts).withColumnRenamed("field", "on"), "term").filter(F.col("field").isNull() | (F.col("field") == F.col("on")))
+    weights = weights.select(*keys, "term", F.col("on").alias("field"), "weight", "average").distinct()
+    n = clauses.count()
+    ones = index.postings.join(_small(weights, n * len(boosts)), ["term", "field"]).select(*keys, "doc_id", "n_chars", (F.col("weight") * _gain("tf")).alias("part"))
+
+    phrases = clauses.filter(F.size("terms") > 1).withColumn("phrase_id", F.struct(*keys))
+    idf = _idf(index, phrases.select(*keys, "field", F.explode("terms").alias("term")), boosts).groupBy(*keys, "field").agg(F.sum("weight").alias("weight"), F.first("average").alias("average"))
+    places = phrase_matches(index, phrases.select("phrase_id", "terms")).select("phrase_id.*", "doc_id", "field", F.col("n").alias("tf"))
+    many = places.join(_small(idf, n * len(boosts)), [*keys, "field"]).join(index.lengths, ["doc_id", "field"]).select(*keys, "doc_id", "n_chars", (F.col("weight") * _gain("tf")).alias("part"))
+
+    hits = ones.union(many)
     if scope is not None:
         hits = hits.join(scope.select("doc_id"), "doc_id", "left_semi")
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average[F.col("field")]))
-    scored = hits.join(_small(df, n_wanted), ["field", "term"]).withColumn("part", part).join(_small(clauses, n_wanted), "term")
-    out = scored.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.first("n_chars").alias("n_chars"))
-    return out.withColumn("score", F.when(F.col("n_chars") > LONG_CHUNK_CHARS, F.col("score") * LONG_CHUNK_FACTOR).otherwise(F.col("score"))).drop("n_chars")
+    met = hits.groupBy(*keys, "doc_id").agg(F.sum("part").alias("part"), F.first("n_chars").alias("n_chars"))
+    met = met.join(_small(clauses.select(*keys, "team", "occur"), n), keys)
+    wanted = clauses.groupBy("query_id", "team").agg(F.count(F.when(F.col("occur") == "must", 1)).alias("musts"), F.count(F.when(F.col("occur") == "should", 1)).alias("shoulds"))
+    teams = met.groupBy("query_id", "doc_id", "team").agg(
+        F.sum(F.when(F.col("occur") != "must_not", F.col("part")).otherwise(0.0)).alias("part"), F.count(F.when(F.col("occur") == "must", 1)).alias("m"),
+        F.count(F.when(F.col("occur") == "should", 1)).alias("s"), F.count(F.when(F.col("occur") == "must_not", 1)).alias("x"), F.first("n_chars").alias("n_chars"),
+    ).join(_small(wanted, n), ["query_id", "team"])
+    good = (F.col("m") == F.col("musts")) & ((F.col("musts") > 0) | (F.col("s") > 0))
+    rule = F.col("team") < 0
+    totals = teams.groupBy("query_id", "doc_id").agg(
+        F.sum(F.when(good, F.col("part")).otherwise(0.0)).alias("score"), F.count(F.when(good & ~rule, 1)).alias("teams"), F.count(F.when(good & rule, 1)).alias("rules"), F.sum("x").alias("x"), F.first("n_chars").alias("n_chars")
+    )
+    needs = wanted.groupBy("query_id").agg(F.count(F.when(rule & (F.col("musts") > 0), 1)).alias("need_rules"), F.count(F.when(~rule & (F.col("musts") + F.col("shoulds") > 0), 1)).alias("need_teams"))
+    held = totals.join(_small(needs, n), "query_id").filter("x = 0 AND rules = need_rules AND (teams > 0 OR need_rules > 0)")
+    return held.select("query_id", "doc_id", _halved("score").alias("score"))

@@ -37,22 +37,3 @@ def rerank(ranked: DataFrame, scores: DataFrame, by: str = "query_id", key: str
     joined = ranked.join(new, [by, key], "left")
     order = Window.partitionBy(by).orderBy(F.col("provider_score").isNull(), F.desc("provider_score"), "rank")
     return joined.select(by, key, F.coalesce("provider_score", F.lit(0.0)).alias("score"), F.row_number().over(order).alias("rank"))
-
-
-def refill_plan(docs_in_rank_order: list[int], limit: int, per_doc: int, fetch: int, ceiling: int = 1000) -> tuple[int, str]:
-    """How many candidates a search with a per-document cap reads, replayed on one query's ranked document ids (at most `ceiling`).
-
-    The window grows fourfold until the capped rows fill the limit. Also returned: why it stopped.
-    """
-    ceiling = max(fetch, ceiling)
-    while True:
-        seen: dict[int, int] = {}
-        for d in docs_in_rank_order[:fetch]:
-            seen[d] = seen.get(d, 0) + 1
-        if sum(min(n, per_doc) for n in seen.values()) >= limit:
-            return fetch, "satisfied"
-        if fetch >= len(docs_in_rank_order):
-            return fetch, "source-exhausted"
-        if fetch >= ceiling:
-            return fetch, "candidate-budget"
-        fetch = min(4 * fetch, ceiling)

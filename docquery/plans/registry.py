@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquery.functions import analyzer
 from docquery.functions import text as T
 from docquery.operators import catalog, chunking, dense, evaluate, lexical, ranking
+from docquery.plans import clauses, search, stored
 from docquery.sources.tables import chunks, docs, table
 from docquery.streaming import debounce
 
@@ -17,7 +18,8 @@ ORACLE_SQL: dict[str, str] = {}
 # SQL fragments that several statements share
 _DOCS = "d AS (SELECT doc_id, source || '/' || doc_id || '.md' AS rel_path, source AS project, lang, source, strlen(text) AS size, text FROM documents)"
 _TOKENS = r"t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w, length(text) AS n_chars FROM documents)"
-_QUERIES = r"q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:3] AS w FROM benchmark)"
+_WORDS = r"flatten(list_transform(list_distinct(regexp_split_to_array(text, '\s+')), lambda x: regexp_extract_all(lower(x), '[\p{L}\p{N}]+')))"
+_QUERIES = f"q AS (SELECT item_id AS query_id, {_WORDS} AS w FROM benchmark)"
 
 
 def query(sql: str | None = None):
@@ -30,9 +32,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _queries(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
-    """The first words of every benchmark item as query terms."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.simple_tokens("text"), 1, n).alias("terms"))
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every benchmark item as query terms."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), lexical.words_as_terms("text").alias("terms"))
 
 
 # --- catalog and scope
@@ -103,10 +105,12 @@ def prune_jobs(spark, sf_dir):
     return catalog.prune_jobs(_jobs(spark, sf_dir), 5)
 
 
-@query("WITH e AS (SELECT user_id AS model_id, event_id AS key, CAST(epoch_us(ts) AS BIGINT) AS used_at, CAST(strlen(props) AS BIGINT) AS bytes FROM events), r AS (SELECT *, row_number() OVER w AS nth, sum(bytes) OVER (PARTITION BY model_id ORDER BY used_at DESC, key DESC ROWS UNBOUNDED PRECEDING) AS total FROM e WINDOW w AS (PARTITION BY model_id ORDER BY used_at DESC, key DESC)) SELECT model_id, key, used_at, bytes FROM r WHERE (nth <= 20 AND total <= 400) OR key % 50 = 0")
+@query("WITH e AS (SELECT user_id AS model_id, event_id AS key, CAST(epoch_us(ts) AS BIGINT) AS used_at, CAST(strlen(props) AS BIGINT) AS bytes, event_type = 'error' AND value > 20 AS leased FROM events), l AS (SELECT model_id, count(*) FILTER (leased) AS n, coalesce(sum(bytes) FILTER (leased), 0) AS b FROM e GROUP BY 1), r AS (SELECT *, row_number() OVER w AS nth, sum(bytes) OVER (PARTITION BY model_id ORDER BY used_at DESC, key DESC ROWS UNBOUNDED PRECEDING) AS total FROM e WHERE NOT leased WINDOW w AS (PARTITION BY model_id ORDER BY used_at DESC, key DESC)) SELECT model_id, key, used_at, bytes FROM e WHERE leased UNION ALL SELECT model_id, key, used_at, bytes FROM r JOIN l USING (model_id) WHERE nth + n <= 20 AND total + b <= 400")
 def lru_evict(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("model_id"), F.col("event_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("used_at"), F.octet_length("props").cast("long").alias("bytes"))
-    return catalog.lru_keep(e, 20, 400, e.filter("key % 50 = 0")).select("model_id", "key", "used_at", "bytes")
+    """Cache entries from events; errors hold leases, of which those of a value up to 20 have expired."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("model_id"), F.col("event_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("used_at"), F.octet_length("props").cast("long").alias("bytes"), "event_type", "value")
+    leases = e.filter("event_type = 'error'").select("model_id", "key", F.col("value").alias("expires_at"))
+    return catalog.lru_keep(e.select("model_id", "key", "used_at", "bytes"), 20, 400, leases, now=20)
 
 
 @query("SELECT sha256(text) AS chunk_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0) GROUP BY 1")
@@ -123,23 +127,29 @@ def vector_coverage(spark, sf_dir):
 # --- text
 
 
-@query(None)
-def fold_text(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.fold("text").alias("folded"))
+# The folding table and the letters of each script, stated again for the SQL.
+_FOLD_FROM = "ёЁİأإآةى！＂＃＄％＆＇（）＊＋，－．／０１２３４５６７８９：；＜＝＞？＠ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ［＼］＾＿｀ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ｛｜｝～"
+_FOLD_TO = r"""еЕIاااهي!"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\]^_`abcdefghijklmnopqrstuvwxyz{|}~"""
+_FOLD_GONE = "ًٌٍَُِّْـ"
+_LETTERS = {
+    "latin": "[A-Za-zªµºÀ-ÖØ-öø-ɏḀ-ỿ]",
+    "cyrillic": "[Ѐ-ҁҊ-ԯ]",
+    "cjk": "[ᄀ-ᇿぁ-ゖゝ-ゟァ-ヺー-ヿ㐀-䶿一-鿿가-힣ｦ-ﾟ]",
+    "arabic": "[ؐ-ؚؠ-ٗٙ-ٟٮ-ۓە-ۜۡ-ۭۨ-ۯۺ-ۼۿݐ-ݿ]",
+}
+_COUNTS = ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS n_{n}" for n, p in _LETTERS.items())
 
 
-ORACLE_SQL["fold_text"] = f"SELECT doc_id, translate(text, '{T._FROM}', '{T._TO.replace(chr(39), chr(39) * 2)}') AS folded FROM documents"
+@query(f"SELECT doc_id, translate(text, '{_FOLD_FROM}{_FOLD_GONE}', '{_FOLD_TO}') AS folded FROM documents")
+def fold_text(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.fold("text").alias("folded"))
 
 
-@query(None)
+@query(f"WITH c AS (SELECT doc_id, {_COUNTS} FROM documents), m AS (SELECT *, greatest(n_latin, n_cyrillic, n_cjk, n_arabic) AS m FROM c) SELECT doc_id, CASE WHEN m = 0 THEN 'other' WHEN n_latin = m THEN 'latin' WHEN n_cyrillic = m THEN 'cyrillic' WHEN n_cjk = m THEN 'cjk' ELSE 'arabic' END AS script, n_latin, n_cyrillic, n_cjk, n_arabic FROM m")
 def script_of_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.script_of("text").alias("script"), *[c.cast("long").alias(f"n_{n}") for n, c in zip(T.SCRIPTS, T.script_counts("text"), strict=True)])
 
 
-_COUNTS = ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS n_{n}" for n, p in T.SCRIPTS.items())
-ORACLE_SQL["script_of_text"] = f"WITH c AS (SELECT doc_id, {_COUNTS} FROM documents), m AS (SELECT *, greatest(n_latin, n_cyrillic, n_cjk, n_arabic) AS m FROM c) SELECT doc_id, CASE WHEN m = 0 THEN 'other' WHEN n_latin = m THEN 'latin' WHEN n_cyrillic = m THEN 'cyrillic' WHEN n_cjk = m THEN 'cjk' ELSE 'arabic' END AS script, n_latin, n_cyrillic, n_cjk, n_arabic FROM m"
-
-
 @query(r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]') AND regexp_matches(w, '[^\p{L}\p{N}]')), ' ') AS identifiers FROM documents")
 def identifier_words(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.identifier_words("text").alias("identifiers"))
@@ -173,12 +183,12 @@ def doc_len(spark, sf_dir):
 # --- search
 
 _BM25 = f"""
-WITH {_TOKENS}, {_QUERIES}, c AS (SELECT DISTINCT query_id, unnest(w) AS term FROM q),
+WITH {_TOKENS}, {_QUERIES}, c AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(w) AS term FROM q) GROUP BY 1, 2),
 p AS (SELECT doc_id, u AS term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS u FROM t) WHERE u IN (SELECT term FROM c) GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
 x AS (
-  SELECT query_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t.w) / avgdl))) AS score, any_value(n_chars) AS n_chars
+  SELECT query_id, p.doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t.w) / avgdl))) AS score, any_value(n_chars) AS n_chars
   FROM p JOIN df USING (term) JOIN c USING (term) JOIN t ON t.doc_id = p.doc_id, s
   WHERE {{scope}} GROUP BY 1, 2
 ), r AS (SELECT query_id, doc_id, round(score * CASE WHEN n_chars > 1650 THEN 0.5 ELSE 1.0 END, 6) AS score FROM x),
@@ -189,75 +199,143 @@ _ALL, _SCOPED = _BM25.replace("{scope}", "true"), _BM25.replace("{scope}", "p.do
 
 @query(_ALL + "SELECT * FROM k WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return lexical.top(lexical.bm25(docs(spark, sf_dir), _queries(spark, sf_dir)))
+    return lexical.top(lexical.bm25(stored.index(spark, sf_dir), _queries(spark, sf_dir)))
 
 
 @query(_SCOPED + "SELECT * FROM k WHERE rank <= 10")
 def bm25_scoped_topk(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return lexical.top(lexical.bm25(d, _queries(spark, sf_dir), catalog.path_prefix(d, "src1")))
+    inside = catalog.path_prefix(docs(spark, sf_dir), "src1")
+    return lexical.top(lexical.bm25(stored.index(spark, sf_dir), _queries(spark, sf_dir), inside))
 
 
-@query(f"WITH {_TOKENS}, {_QUERIES}, g AS (SELECT doc_id, unnest(range(1, len(w))) AS i, w FROM t) SELECT query_id AS phrase_id, doc_id, count(*) AS n FROM g JOIN q ON g.w[i] = q.w[1] AND g.w[i + 1] = q.w[2] GROUP BY 1, 2")
+@query(rf"WITH {_TOKENS}, i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark), ph AS (SELECT item_id * 10000 + j AS phrase_id, w[j : j + 2] AS a FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS j FROM i)), g AS (SELECT doc_id, w[j : j + 2] AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS j FROM t)) SELECT phrase_id, doc_id, count(*) AS n FROM ph JOIN g USING (a) GROUP BY 1, 2")
 def phrase_match(spark, sf_dir):
-    p = _queries(spark, sf_dir, 2).withColumnRenamed("query_id", "phrase_id").filter(F.size("terms") == 2)
-    return lexical.phrase_matches(docs(spark, sf_dir), p)
+    """Every three consecutive words of every item as a phrase."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.simple_tokens("text").alias("w")).filter(F.size("w") >= 3)
+    at = items.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 2)).alias("j"))
+    phrases = at.select((F.col("item_id") * 10000 + F.col("j")).alias("phrase_id"), F.slice("w", F.col("j"), 3).alias("terms"))
+    return lexical.phrase_matches(stored.index(spark, sf_dir), phrases).select("phrase_id", "doc_id", "n")
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id, CAST(1 + CASE WHEN list_contains(w, 'of') THEN 1 ELSE 0 END + CASE WHEN list_contains(w, 'and') THEN 1 ELSE 0 END AS BIGINT) AS matched FROM t WHERE list_contains(w, 'the') AND NOT list_contains(w, 'it')")
 def bool_and_or_not(spark, sf_dir):
-    return lexical.boolean(docs(spark, sf_dir), ["the"], ["of", "and"], ["it"]).withColumn("matched", F.col("matched").cast("long"))
+    return lexical.boolean(stored.index(spark, sf_dir), ["the"], ["of", "and"], ["it"]).withColumn("matched", F.col("matched").cast("long"))
 
 
 @query(_ALL + ", z AS (SELECT query_id, doc_id, source, rank FROM k JOIN documents USING (doc_id) WHERE rank <= 50) SELECT query_id, doc_id, source, rank FROM z QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) <= 2")
 def dedupe_per_source(spark, sf_dir):
-    hits = lexical.top(lexical.bm25(docs(spark, sf_dir), _queries(spark, sf_dir)), 50)
+    hits = lexical.top(lexical.bm25(stored.index(spark, sf_dir), _queries(spark, sf_dir)), 50)
     named = hits.join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
     return ranking.cap_per_document(named, 2, doc="source").select("query_id", "doc_id", "source", "rank")
 
 
-_FIELDED = rf"""
-WITH t AS (
-  SELECT (conv_id << 32) + turn AS doc_id, 'text' AS field, 1.0::DOUBLE AS boost, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w, length(text) AS n_chars FROM conversations
-  UNION ALL SELECT (conv_id << 32) + turn, 'title', 2.0, regexp_extract_all(lower(role), '[\p{{L}}\p{{N}}]+'), length(text) FROM conversations
-), q AS (SELECT item_id AS query_id, list_append(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')[1:3], 'user') AS w FROM benchmark),
-c AS (SELECT DISTINCT query_id, unnest(w) AS term FROM q),
-p AS (SELECT doc_id, field, u AS term, count(*) AS tf FROM (SELECT doc_id, field, unnest(w) AS u FROM t) WHERE u IN (SELECT term FROM c) GROUP BY 1, 2, 3),
+# tables that the statements on turns share: field tokens with positions, lengths, and statistics by field
+_TURNS = r"""
+t AS (
+  SELECT (conv_id << 32) + turn AS doc_id, 'text' AS field, 1.0::DOUBLE AS boost, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w, length(text) AS n_chars FROM conversations
+  UNION ALL SELECT (conv_id << 32) + turn, 'title', 2.0, regexp_extract_all(lower(role), '[\p{L}\p{N}]+'), length(text) FROM conversations
+),
+p AS (SELECT doc_id, field, u AS term, count(*) AS tf FROM (SELECT doc_id, field, unnest(w) AS u FROM t) GROUP BY 1, 2, 3),
 df AS (SELECT field, term, count(*) AS df FROM p GROUP BY 1, 2),
-s AS (SELECT field, count(*) AS n, avg(len(w)) AS avgdl FROM t GROUP BY 1),
-x AS (
-  SELECT query_id, p.doc_id, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t.w) / avgdl))) AS score, any_value(n_chars) AS n_chars
-  FROM p JOIN df USING (field, term) JOIN c USING (term) JOIN t ON t.doc_id = p.doc_id AND t.field = p.field JOIN s ON s.field = p.field GROUP BY 1, 2
-), r AS (SELECT query_id, doc_id, round(score * CASE WHEN n_chars > 1650 THEN 0.5 ELSE 1.0 END, 6) AS score FROM x)
-SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10
+s AS (SELECT field, any_value(boost) AS boost, count(*) AS n, avg(len(w)) AS avgdl FROM t GROUP BY 1),
+g AS (SELECT p.doc_id, p.field, p.term, t.n_chars, s.boost * ln(1 + (n - df + 0.5) / (df + 0.5)) AS weight, tf, len(t.w) AS dl, avgdl
+  FROM p JOIN df USING (field, term) JOIN t ON t.doc_id = p.doc_id AND t.field = p.field JOIN s ON s.field = p.field)
 """
 
 
-@query(_FIELDED)
+@query(f"WITH {_TURNS}, q AS (SELECT item_id AS query_id, list_append({_WORDS}, 'user') AS w FROM benchmark), c AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(w) AS term FROM q) GROUP BY 1, 2), x AS (SELECT query_id, doc_id, sum(times * weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, any_value(n_chars) AS n_chars FROM g JOIN c USING (term) GROUP BY 1, 2), r AS (SELECT query_id, doc_id, round(score * CASE WHEN n_chars > 1650 THEN 0.5 ELSE 1.0 END, 6) AS score FROM x) SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10")
 def bm25_fielded_topk(spark, sf_dir):
     """Turns by their text and their role as title, with the title's boost."""
-    c = table(spark, sf_dir, "conversations").select(F.shiftleft(F.col("conv_id"), 32).alias("base"), "turn", "text", F.col("role").alias("title"))
-    c = c.select((F.col("base") + F.col("turn")).alias("doc_id"), "text", "title")
     q = _queries(spark, sf_dir).withColumn("terms", F.concat("terms", F.array(F.lit("user"))))
-    return lexical.top(lexical.fielded_bm25(c, q, boosts={"text": 1.0, "title": 2.0}))
+    return lexical.top(lexical.bm25(stored.index(spark, sf_dir, "conversations"), q, boosts=stored.TURN_BOOSTS))
+
+
+# clauses of literal words: one for each distinct word, a phrase where it has several tokens
+_LITERAL = r"""
+c0 AS (SELECT item_id AS query_id, word, regexp_extract_all(lower(word), '[\p{L}\p{N}]+') AS w FROM (SELECT item_id, unnest(list_distinct(regexp_split_to_array(text, '\s+'))) AS word FROM benchmark)),
+one AS (SELECT query_id, word, doc_id, n_chars, weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS part FROM c0 JOIN g ON len(c0.w) = 1 AND g.term = c0.w[1]),
+ph AS (SELECT DISTINCT w FROM c0 WHERE len(w) > 1),
+pl AS (SELECT doc_id, field, w AS words, unnest(range(1, len(w) + 1)) AS i FROM t),
+tfs AS (SELECT ph.w, doc_id, field, count(*) AS tf FROM ph JOIN pl ON pl.words[i] = ph.w[1] AND pl.words[i : i + len(ph.w) - 1] = ph.w GROUP BY 1, 2, 3),
+pw AS (SELECT w, df.field, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5))) AS weight FROM (SELECT w, unnest(w) AS term FROM ph) JOIN df USING (term) JOIN s ON s.field = df.field GROUP BY 1, 2),
+many AS (SELECT query_id, word, t.doc_id, t.n_chars, weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t.w) / avgdl)) AS part
+  FROM c0 JOIN tfs USING (w) JOIN pw ON pw.w = tfs.w AND pw.field = tfs.field JOIN t ON t.doc_id = tfs.doc_id AND t.field = tfs.field JOIN s ON s.field = tfs.field),
+x AS (SELECT query_id, doc_id, sum(part) AS score, any_value(n_chars) AS n_chars FROM (FROM one UNION ALL FROM many) GROUP BY 1, 2),
+r AS (SELECT query_id, doc_id, round(score * CASE WHEN n_chars > 1650 THEN 0.5 ELSE 1.0 END, 6) AS score FROM x)
+"""
 
 
-@query()
-def chunk_documents(spark, sf_dir):
-    """Every chunk of every document with its lines, kind and heading path."""
-    out = chunking.chunk(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "seq", "kind", "lang", "line_start", "line_end", F.array_join("heading_path", " > ").alias("heading_path"), F.sha2("text", 256).alias("chunk_hash"))
+@query(f"WITH {_DOCS}, {_TURNS}, {_LITERAL}, k AS (SELECT query_id, doc_id AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS nth FROM r WHERE (doc_id >> 32) IN (SELECT doc_id FROM d WHERE starts_with(rel_path, 'src'))), m AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id >> 32 ORDER BY nth) <= 2), f AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY nth) AS INTEGER) AS rank FROM m QUALIFY rank <= 10) SELECT query_id, rank, score, chunk_id, rel_path AS path, role AS heading, turn + 1 AS line, CASE WHEN substr(v.text, 240, 2) = chr(13) || chr(10) THEN substr(v.text, 1, 239) ELSE substr(v.text, 1, 240) END AS snippet, length(v.text) > 240 AS snippet_truncated FROM f JOIN conversations v ON (conv_id << 32) + turn = chunk_id JOIN d ON d.doc_id = conv_id")
+def search_turns(spark, sf_dir):
+    """Search of whole items as literal words over turns: two fields, a scope, at most two turns of a conversation, citations and snippets."""
+    d, c = docs(spark, sf_dir), stored.turns(spark, sf_dir)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    args = search.SearchArgs(limit=10, path_prefix="src", per_document=2, snippets=True)
+    found = search.search(d, c, stored.index(spark, sf_dir, "conversations"), queries, args, boosts=stored.TURN_BOOSTS)
+    return found.select("query_id", "rank", "score", "chunk_id", "path", F.col("heading_path")[0].alias("heading"), F.col("lines")[0].alias("line"), "snippet", "snippet_truncated")
+
+
+#: Query syntax over the words of two turns' roles and common words; each text shows one form.
+_FORMS = {
+    1: "the of", 2: "the OR of", 3: "the AND of", 4: "the AND of OR title:user", 5: "title:assistant AND text:the", 6: '"of the"', 7: "the -of", 8: "+of the", 9: "the NOT and", 10: 'title:user AND "in the"', 11: "THE the", 12: '-title:user "to the"',
+}
+def _form_sql() -> str:
+    """Each form as a condition on a turn's tokens (x: text, y: title) and the clauses that it adds."""
+    has = lambda c, w: f"list_contains({c}, '{w}')"
+    any_ = lambda w: f"({has('x', w)} OR {has('y', w)})"
+    after = lambda a, b: f"len(list_filter(range(1, len(x)), lambda i: x[i] = '{a}' AND x[i + 1] = '{b}')) > 0"
+    one = lambda w, field=None, times=1: f"coalesce((SELECT sum({times} * weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) FROM g WHERE g.doc_id = h.doc_id AND term = '{w}'{'' if field is None else f' AND field = ' + repr(field)}), 0)"
+    idf = lambda w: f"(SELECT boost * ln(1 + (n - df + 0.5) / (df + 0.5)) FROM df JOIN s USING (field) WHERE field = 'text' AND term = '{w}')"
+    two = lambda a, b: f"(SELECT ({idf(a)} + {idf(b)}) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / avgdl)) FROM (SELECT len(list_filter(range(1, len(x)), lambda i: x[i] = '{a}' AND x[i + 1] = '{b}')) AS tf), s WHERE s.field = 'text')"
+    both = f"{any_('the')} AND {any_('of')}"
+    forms = {
+        1: (f"{any_('the')} OR {any_('of')}", f"{one('the')} + {one('of')}"), 2: (f"{any_('the')} OR {any_('of')}", f"{one('the')} + {one('of')}"), 3: (both, f"{one('the')} + {one('of')}"),
+        4: (f"({both}) OR {has('y', 'user')}", f"CASE WHEN {both} THEN {one('the')} + {one('of')} ELSE 0 END + {one('user', 'title')}"),
+        5: (f"{has('y', 'assistant')} AND {has('x', 'the')}", f"{one('assistant', 'title')} + {one('the', 'text')}"), 6: (after("of", "the"), two("of", "the")),
+        7: (f"{any_('the')} AND NOT {any_('of')}", one("the")), 8: (any_("of"), f"{one('of')} + {one('the')}"), 9: (f"{any_('the')} AND NOT {any_('and')}", one("the")),
+        10: (f"{has('y', 'user')} AND {after('in', 'the')}", f"{one('user', 'title')} + {two('in', 'the')}"), 11: (any_("the"), one("the", None, 2)), 12: (f"{after('to', 'the')} AND NOT {has('y', 'user')}", two("to", "the")),
+    }
+    rows = " UNION ALL ".join(f"SELECT {k} AS query_id, doc_id, n_chars, {score} AS score FROM h WHERE {condition}" for k, (condition, score) in forms.items())
+    return f"WITH {_TURNS}, h AS (SELECT a.doc_id, a.n_chars, a.w AS x, b.w AS y FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.field = 'text' AND b.field = 'title'), z AS ({rows}) SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(score * CASE WHEN n_chars > 1650 THEN 0.5 ELSE 1.0 END, 6) AS score FROM z"
+
+
+@query(_form_sql())
+def query_syntax(spark, sf_dir):
+    """Every turn that each form of the query language finds, with its score."""
+    forms = spark.createDataFrame(list(_FORMS.items()), "query_id long, text string")
+    scored = lexical.score_clauses(stored.index(spark, sf_dir, "conversations"), clauses.syntax(forms), boosts=stored.TURN_BOOSTS)
+    return scored.withColumn("score", F.round("score", 6))
+
+
+_LIST2 = """b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM (SELECT query_id, p.doc_id, count(*) AS hits FROM p JOIN c USING (term) GROUP BY 1, 2) QUALIFY rank <= 50)"""
+_RRF = _ALL + f""", a AS (SELECT query_id, doc_id, rank, score FROM k WHERE rank <= 50), {_LIST2},
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS ra, b.rank AS rb, a.score AS sa,
+  round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 12) AS score
+  FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, (ra IS NOT NULL AND rb IS NOT NULL) DESC, least(ra, rb), sa DESC NULLS LAST, doc_id) AS INTEGER) AS rank FROM f
+"""
 
 
-@query()
-def analyzer_terms(spark, sf_dir):
-    """Frequency of every analyzed term of every document."""
-    return analyzer.tokens(docs(spark, sf_dir)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+@query(_RRF)
+def rrf_fuse(spark, sf_dir):
+    """BM25's list fused with a list by the number of query terms that a document holds."""
+    index, q = stored.index(spark, sf_dir), _queries(spark, sf_dir)
+    lex = lexical.top(lexical.bm25(index, q), 50)
+    other = lexical.top(lexical.matched_terms(index, q).select("query_id", "doc_id", F.col("n").cast("double").alias("score")), 50)
+    return ranking.rrf(lex, other)
+
+
+@query(_ALL + ", o AS (SELECT query_id, p.doc_id, count(*) AS n FROM p JOIN c USING (term) SEMI JOIN labels ON labels.doc_id = p.doc_id GROUP BY 1, 2) SELECT query_id, doc_id, coalesce(CAST(n AS DOUBLE), 0) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n IS NULL, n DESC, rank) AS INTEGER) AS rank FROM k LEFT JOIN o USING (query_id, doc_id) WHERE k.rank <= 20")
+def rerank_overlap(spark, sf_dir):
+    """A provider that scores the labelled documents, by shared terms."""
+    index, q = stored.index(spark, sf_dir), _queries(spark, sf_dir)
+    hits = lexical.top(lexical.bm25(index, q), 20)
+    scored = lexical.matched_terms(index, q).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return ranking.rerank(hits, scored.select("query_id", "doc_id", F.col("n").cast("double").alias("provider_score")))
 
 
 def _query_vectors(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0 AND embedding IS NOT NULL").select("vec_id", "embedding").orderBy("vec_id")
-    return [(r.vec_id, list(r.embedding)) for r in rows.toLocalIterator()]
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0 AND embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 _COSINE = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)"
@@ -273,34 +351,17 @@ def cosine_scoped(spark, sf_dir):
     return dense.cosine_top_k(table(spark, sf_dir, "embeddings").filter("label IN (1, 2)"), _query_vectors(spark, sf_dir))
 
 
-_RRF = _ALL + """, a AS (SELECT query_id, doc_id, rank, score FROM k WHERE rank <= 50),
-b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM (SELECT query_id, p.doc_id, count(*) AS hits FROM p JOIN c USING (term) GROUP BY 1, 2) QUALIFY rank <= 50),
-f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS ra, b.rank AS rb, a.score AS sa,
-  round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 12) AS score
-  FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
-SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, (ra IS NOT NULL AND rb IS NOT NULL) DESC, least(ra, rb), sa DESC NULLS LAST, doc_id) AS INTEGER) AS rank FROM f
-"""
-
-
-@query(_RRF)
-def rrf_fuse(spark, sf_dir):
-    """BM25's list fused with a list by the number of query terms that a document holds."""
-    d, q = docs(spark, sf_dir), _queries(spark, sf_dir)
-    lex = lexical.top(lexical.bm25(d, q), 50)
-    terms = q.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    held = lexical.analyzed(d).select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term")
-    other = lexical.top(held.groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")), 50)
-    return ranking.rrf(lex, other)
+@query()
+def chunk_documents(spark, sf_dir):
+    """Every chunk of every document with its lines, kind and heading path."""
+    out = chunking.chunk(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "seq", "kind", "lang", "line_start", "line_end", F.array_join("heading_path", " > ").alias("heading_path"), F.sha2("text", 256).alias("chunk_hash"))
 
 
-@query(_ALL + ", o AS (SELECT query_id, p.doc_id, count(*) AS n FROM p JOIN c USING (term) WHERE p.doc_id % 3 <> 0 GROUP BY 1, 2) SELECT query_id, doc_id, coalesce(CAST(n AS DOUBLE), 0) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n IS NULL, n DESC, rank) AS INTEGER) AS rank FROM k LEFT JOIN o USING (query_id, doc_id) WHERE k.rank <= 20")
-def rerank_overlap(spark, sf_dir):
-    """A provider that scores two thirds of the documents by shared terms."""
-    d, q = docs(spark, sf_dir), _queries(spark, sf_dir)
-    hits = lexical.top(lexical.bm25(d, q), 20)
-    terms = q.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    scored = lexical.postings(d.filter("doc_id % 3 <> 0")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("provider_score"))
-    return ranking.rerank(hits, scored)
+@query()
+def analyzer_terms(spark, sf_dir):
+    """Frequency of every analyzed term of every document."""
+    return analyzer.tokens(docs(spark, sf_dir)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 # --- evaluation
@@ -361,10 +422,12 @@ def pareto(spark, sf_dir):
     return evaluate.pareto(rows, "p_size", "p_retailprice", "p_brand").select("p_brand", "p_partkey", "p_size", "p_retailprice")
 
 
-@query(r"WITH b AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark) SELECT l.id AS left_id, r.id AS right_id, round(len(list_intersect(l.w, r.w)) / (len(l.w) + len(r.w) - len(list_intersect(l.w, r.w))), 6) AS similarity FROM b l JOIN b r ON len(list_intersect(l.w, r.w)) > 0")
+@query(r"WITH b AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark), d AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents), x AS (SELECT b.id AS left_id, d.id AS right_id, CASE WHEN len(b.w) + len(d.w) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(b.w, d.w)) / (len(b.w) + len(d.w) - len(list_intersect(b.w, d.w))) END AS s FROM b JOIN d ON len(d.w) >= 0.3 * len(b.w) AND len(b.w) >= 0.3 * len(d.w)) SELECT left_id, right_id, round(s, 6) AS similarity FROM x WHERE s >= 0.3")
 def jaccard_pairs(spark, sf_dir):
+    """Items and documents whose token sets are alike by 0.3 or more; two sets without tokens are alike by 1."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), T.simple_tokens("text").alias("tokens"))
-    return evaluate.jaccard(b, b)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.simple_tokens("text").alias("tokens"))
+    return evaluate.jaccard(b, d, 0.3)
 
 
 # --- change events

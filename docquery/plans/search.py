@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.functions.text import SNIPPET_CHARS, identifier_words, simple_tokens, snippet
-from docquery.operators import catalog, chunking, lexical, ranking
+from docquery.operators import catalog, chunking, index, lexical, ranking
+from docquery.plans import clauses
+from docquery.plans.clauses import QueryError
 from docquery.sources.tables import chunk_id
 
 
-class QueryError(ValueError):
-    """A query without terms, or an argument out of range."""
-
-
 @dataclass
 class SearchArgs:
     limit: int = 10
@@ -41,33 +39,45 @@ def build(docs: DataFrame, cap: int = chunking.CAP_CHARS) -> tuple[DataFrame, Da
     return docs.select("doc_id", "rel_path").join(front, "doc_id"), ready
 
 
-def literal(spark, texts: dict[int, str]) -> DataFrame:
-    """Queries by id as terms: distinct words, no operators. A query without a word is an error."""
-    out = spark.createDataFrame(list(texts.items()), "query_id long, text string").select("query_id", simple_tokens("text").alias("terms"))
-    if not texts or any(not any(c.isalnum() for c in t) for t in texts.values()):
-        raise QueryError("a query has no terms")
-    return out
+def write_index(chunks: DataFrame, root: str) -> index.Index:
+    """Store the index of the chunks' fields as the root's next generation."""
+    rows = chunks.select(F.col("chunk_id").alias("doc_id"), *lexical.FIELD_BOOSTS)
+    index.write(chunks.sparkSession, root, rows, {f: simple_tokens(f) for f in lexical.FIELD_BOOSTS})
+    return index.Index(chunks.sparkSession, root)
+
+
+def fetched(args: SearchArgs, dense: bool, window: int) -> int:
+    """Candidates that are read before the cap: four times the limit with a cap alone, the window with fusion; at most MAX_LIMIT."""
+    if dense:
+        return min(max(args.limit, window), lexical.MAX_LIMIT)
+    return args.limit if args.per_document is None else min(4 * args.limit, lexical.MAX_LIMIT)
+
+
+def score_scale(dense: bool, reranked: bool) -> str:
+    """What the scores of a search are: of the last step that ran."""
+    return "rerank" if reranked else "rrf" if dense else "bm25"
 
 
-def search(docs: DataFrame, chunks: DataFrame, queries: DataFrame, args: SearchArgs | None = None, dense: DataFrame | None = None, window: int = 50) -> DataFrame:
+def search(docs: DataFrame, chunks: DataFrame, stored: index.Index, queries: DataFrame, args: SearchArgs | None = None, dense: DataFrame | None = None, window: int = 50, syntax: bool = False, boosts: dict[str, float] | None = None) -> DataFrame:
     """query_id, rank, score, chunk_id, path, headings, lines and, if asked for, a snippet of the best chunks.
 
-    The scope restricts candidates before the top is taken, and statistics stay those of the whole index. dense is a
-    second ranked list (query_id, chunk_id, rank, score) to fuse with.
+    queries: query_id and text, as literal words or in query syntax. The scope restricts candidates before the top is
+    taken, and statistics stay those of the whole index. A per-document cap reads more candidates until the limit is
+    filled or none are left. dense is a second ranked list (query_id, chunk_id, rank, score) to fuse with.
     """
     args = args or SearchArgs()
     scoped = catalog.has_tags(catalog.path_prefix(docs, args.path_prefix), args.tags)
     inside = chunks.join(scoped.select("doc_id"), "doc_id", "left_semi").select(F.col("chunk_id").alias("doc_id")) if args.path_prefix or args.tags else None
-    fields = chunks.select(F.col("chunk_id").alias("doc_id"), "text", "title", "heading_path", "identifiers")
-    scored = lexical.fielded_bm25(fields, queries, inside)
-    fetch = args.limit if dense is None and args.per_document is None else lexical.MAX_LIMIT if args.per_document else max(args.limit, window)
-    ranked = lexical.top(scored, fetch).withColumnRenamed("doc_id", "chunk_id")
+    parsed = clauses.syntax(queries) if syntax else clauses.literal(queries)
+    scored = lexical.score_clauses(stored, parsed, inside, boosts).withColumnRenamed("doc_id", "chunk_id")
+    named = scored.withColumn("score", F.round("score", 6)).withColumn("doc_id", F.shiftright("chunk_id", 32))
     if dense is not None:
-        ranked = ranking.rrf(ranked, dense, key="chunk_id")
-    named = ranked.withColumn("doc_id", F.shiftright("chunk_id", 32))
+        named = ranking.rrf(lexical.top(scored, fetched(args, True, window), key="chunk_id"), dense, key="chunk_id").withColumn("doc_id", F.shiftright("chunk_id", 32))
+    named = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))) if dense is None else named
     if args.per_document:
+        # the cap comes before the top, so the window never has to be widened for a document with very many hits
         named = ranking.cap_per_document(named, args.per_document)
-        named = lexical.top(named.drop("rank"), args.limit, key="chunk_id", digits=12)
+        named = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     best = named.filter(F.col("rank") <= args.limit)
     # text is joined only for the rows that are returned
     cited = best.drop("doc_id").join(chunks.select("chunk_id", "doc_id", "headings", "line_start", "line_end", "text"), "chunk_id").join(docs.select("doc_id", F.col("rel_path").alias("path")), "doc_id")

@@ -22,6 +22,24 @@ def session(app: str = "docquery", **conf: str) -> SparkSession:
     return builder.config(map=defaults | conf).getOrCreate()
 
 
+_own_roots: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only local sessions may do without it, with a temporary one."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if context.applicationId not in _own_roots:
+            _own_roots[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="docquery-")
+        root = _own_roots[context.applicationId]
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 _shipped: set[str] = set()
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from docquery.plans import registry
+from docquery.plans import judging, registry, upkeep  # noqa: F401 - they register their queries
 from tests.duck import compare
 
 

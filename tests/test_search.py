@@ -1,22 +1,29 @@
 import pytest
 
+from docquery.operators import index as stored
 from docquery.operators import lexical
+from docquery.plans import clauses
 from docquery.plans import search as S
 
 
 @pytest.fixture(scope="module")
-def index(spark):
+def index(spark, tmp_path_factory):
     data = [
         (1, "auth/login.md", "---\ntitle: Login\ntags: [auth]\n---\n# Login flow\nusers sign in with passwords\n## Tokens\nrefresh_token rotation"),
         (2, "auth/oauth.md", "# OAuth\n" + "\n".join(f"## Step {i}\npasswords step {i}" for i in range(6))),
         (3, "cad/mesh.md", "# Mesh\ntriangles and passwords once"),
     ]
     docs, chunks = S.build(spark.createDataFrame(data, "doc_id long, rel_path string, text string"))
-    return docs.cache(), chunks.cache()
+    chunks = chunks.cache()
+    return docs.cache(), chunks, S.write_index(chunks, f"file://{tmp_path_factory.mktemp('index')}")
 
 
 def run(spark, index, text, **kw):
-    return S.search(*index, S.literal(spark, {1: text}), S.SearchArgs(**kw)).orderBy("rank").collect()
+    return S.search(*index, texts(spark, {1: text}), S.SearchArgs(**kw)).orderBy("rank").collect()
+
+
+def texts(spark, by_id):
+    return spark.createDataFrame(list(by_id.items()), "query_id long, text string")
 
 
 def test_citations(spark, index):
@@ -39,22 +46,52 @@ def test_scope_and_cap(spark, index):
 def test_fusion(spark, index):
     (mesh,) = run(spark, index, "triangles")
     dense = spark.createDataFrame([(1, mesh.chunk_id, 1, 0.9)], "query_id long, chunk_id long, rank int, score double")
-    got = S.search(*index, S.literal(spark, {1: "rotation"}), dense=dense).collect()
+    got = S.search(*index, texts(spark, {1: "rotation"}), dense=dense).collect()
     assert {r.path for r in got} == {"auth/login.md", "cad/mesh.md"}
 
 
 def test_errors(spark):
-    for bad in ({1: " "}, {1: "..."}, {}):
+    for bad in (" ", "..."):
+        with pytest.raises(S.QueryError):
+            clauses.literal(texts(spark, {1: bad}))
+    for bad in ("", "  ", 'a "b', "nowhere:a", "a AND", "OR a", "a AND OR b", "(a b)", "a^2", "a*", "[a TO b]", "-a", "..."):
         with pytest.raises(S.QueryError):
-            S.literal(spark, bad)
+            clauses.syntax(texts(spark, {1: bad}))
     with pytest.raises(S.QueryError):
         S.SearchArgs(per_document=11)
 
 
-def test_field_boosts(spark):
-    rows = [(1, "x", "", "", "needle"), (2, "needle", "", "", "x"), (3, "x", "", "needle", "x"), (4, "x", "needle", "", "x")]
+def test_clauses(spark):
+    got = clauses.syntax(texts(spark, {1: 'a AND b OR title:c -d +"e f" NOT g snake_case a'})).orderBy("clause").collect()
+    assert [(r.team, r.occur, r.field, r.terms) for r in got] == [
+        (1, "must", None, ["a"]), (1, "must", None, ["b"]), (2, "should", "title", ["c"]), (-1, "must_not", None, ["d"]), (-1, "must", None, ["e", "f"]), (-1, "must_not", None, ["g"]), (6, "should", None, ["snake", "case"]), (7, "should", None, ["a"]),
+    ]
+    same = lambda t: [(r.occur, r.terms) for r in clauses.syntax(texts(spark, {1: t})).orderBy("clause").collect()]
+    assert [(r.occur, r.terms) for r in clauses.literal(texts(spark, {1: "AND -x title:y"})).orderBy("clause").collect()] == [("should", ["and"]), ("should", ["x"]), ("should", ["title", "y"])]
+    assert same("alpha beta") == [("should", ["alpha"]), ("should", ["beta"])] and same("ALPHA alpha") == [("should", ["alpha"])] * 2
+
+
+def test_syntax_search(spark, index):
+    found = lambda t, **kw: {(r.path, r.heading_path[-1]) for r in S.search(*index, texts(spark, {1: t}), syntax=True, **kw).collect()}
+    assert found("passwords AND triangles") == {("cad/mesh.md", "Mesh")}
+    assert found("passwords -step -triangles") == {("auth/login.md", "Login flow")}
+    assert found('"sign in with"') == {("auth/login.md", "Login flow")} and found('"in sign"') == set()
+    assert found("title:mesh OR refresh_token") == {("cad/mesh.md", "Mesh"), ("auth/login.md", "Tokens")}
+    literal = {r.chunk_id: r.score for r in S.search(*index, texts(spark, {1: "passwords step"})).collect()}
+    assert literal == {r.chunk_id: r.score for r in S.search(*index, texts(spark, {1: "passwords step"}), syntax=True).collect()}
+
+
+def test_plan_of_a_search():
+    assert S.fetched(S.SearchArgs(limit=10), False, 50) == 10 and S.fetched(S.SearchArgs(limit=10, per_document=2), False, 50) == 40
+    assert S.fetched(S.SearchArgs(limit=700, per_document=2), False, 50) == 1000 and S.fetched(S.SearchArgs(limit=10), True, 50) == 50
+    assert [S.score_scale(*x) for x in ((False, False), (True, False), (True, True))] == ["bm25", "rrf", "rerank"]
+
+
+def test_field_boosts(spark, tmp_path):
+    """Of four documents that hold the word in one field each, the field's boost decides, and by its ratio."""
+    rows = [(i, *["needle" if j == i else "pad" for j in range(4)]) for i in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, title string, heading_path string, identifiers string")
-    got = lexical.fielded_bm25(df, spark.createDataFrame([(1, ["needle"])], "query_id long, terms array<string>")).collect()
-    assert {r.doc_id for r in got} == {1, 2, 3, 4}
-    by = {r.doc_id: r.score for r in got}
-    assert by[1] / by[2] == pytest.approx(2.5, rel=0.05)
+    stored.write(spark, f"file://{tmp_path}", df, {f: S.simple_tokens(f) for f in lexical.FIELD_BOOSTS})
+    queries = spark.createDataFrame([(1, ["needle"])], "query_id long, terms array<string>")
+    by = {r.doc_id: r.score for r in lexical.bm25(stored.Index(spark, f"file://{tmp_path}"), queries, boosts=lexical.FIELD_BOOSTS).collect()}
+    assert [round(by[i] / by[0], 6) for i in range(4)] == [1.0, 2.0, 1.5, 2.5]
