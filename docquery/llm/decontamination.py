@@ -85,7 +85,9 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_wind
 
     Result: doc_id, h (text_hash), n_words, n_hit (words inside any occurrence of a window), n_items, item_ids (sorted
     as strings), contaminated. Null texts have no words; null item ids count as hits but not as items; equal rows give equal rows,
-    one each; an empty items table leaves all documents clean. Other columns are ignored.
+    one each; an empty items table leaves all documents clean, an empty documents table gives no rows. Of equally rare
+    words of a window the first by spelling is its prefix, which changes no result. Very long texts are one array of
+    words. Other columns are ignored.
     """
     windows = item_windows(items, window)
     small = windows.count() <= broadcast_windows
@@ -110,6 +112,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_wind
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document shares with the benchmark. Nulls, long texts, ties, repeated rows, empty tables and extra columns: as scan states."""
     found = scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 

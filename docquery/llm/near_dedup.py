@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set (d1, d2) and its band hashes; no bands for an empty set."""
 
     def run(batches):
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, 128):
             sets = shingle_sets(batch.column(1), size)
             digest = [(int(common.signed(common.mix(s ^ _DIGESTS[0])).sum()), int(common.signed(common.mix(s ^ _DIGESTS[1])).sum())) for s in sets]
             bands = [common.signed(band_hashes(sketch(s))) if len(s) else np.zeros(0, np.int64) for s in sets]
@@ -99,7 +99,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """node and shingles of the documents named in nodes."""
 
     def run(batches):
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, 128):
             sets = [common.signed(s) for s in shingle_sets(batch.column(1), size)]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate(sets) if sets else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"])
@@ -174,7 +174,9 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     of those, and after HUB_ROUNDS rounds all pairs between components of a bucket are (in blocks, where it is large),
     so no candidate is left out and a group that a hub connects is never paired within itself.
     Null and empty texts have an empty set and are linked with nothing. Rows with the same doc_id are one node. A
-    null doc_id is a node of its own that takes no part and keeps a null component. Other columns are ignored.
+    null doc_id is a node of its own that takes no part and keeps a null component. Very long texts are one set as any
+    other; of equal sets the smallest doc_id names the node, and equally weighted hubs the smaller one. Other columns
+    are ignored; an empty table gives no rows.
     """
     signs = common.stored(signatures(docs, size), "signatures")
     nodes = signs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -229,6 +231,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents. Nulls, long texts, ties, repeated rows, empty tables and extra columns: as link states."""
     found = link(common.table(spark, sf_dir, "documents"), size=4, percent=80)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -22,7 +22,7 @@ from docquery.llm import common, tokens
 CAPACITY = 1024
 ROUNDS = 200
 #: Rows whose texts share the encoder's dictionary of words.
-ROWS = 4096
+ROWS = 1024
 #: Configurations taken at one set of prices: the least covered lengths, each with its best-priced company.
 SEEDS = 32
 #: Shares of the program's solution that rounding tries.

@@ -175,6 +175,7 @@ def _each_bucket(messages: DataFrame, run, schema: str | StructType) -> DataFram
         first = next(batches, None)
         if first is not None:
             yield from run(first.column("bucket")[0].as_py(), _chain(first, batches))
+        common.give_back()
 
     return spread.groupBy("bucket").applyInArrow(one, schema)
 

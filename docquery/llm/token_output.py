@@ -27,7 +27,7 @@ PERCENTILE = 90
 FILE_IDS = 8_000_000
 CHUNK_BLOCKS = 4096
 #: Rows whose texts share the encoder's dictionary of words.
-ROWS = 4096
+ROWS = 1024
 
 _HEADER = struct.Struct("<4sIQ")
 

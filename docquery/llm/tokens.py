@@ -13,8 +13,9 @@ from docquery.llm import common
 #: Bytes of text that share a dictionary of words, and bytes that the tokenizer sees in one call.
 GROUP = 1 << 24
 CALL = 1 << 18
-#: Words whose ids are laid out at once.
-WORDS = 1 << 18
+#: Words whose ids are laid out at once, and bytes in which spaces are looked for at once.
+WORDS = 1 << 17
+WINDOW = 1 << 19
 
 _SPACE = 0x20
 _ASCII_WHITE = common.byte_class([(0x09, 0x0D), (0x1C, 0x20)])
@@ -45,12 +46,15 @@ def _white(data: np.ndarray, at: np.ndarray, before: bool) -> np.ndarray:
 
 def safe_cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Places of the spaces between two characters of a row that are not white space: there its ids may be taken apart."""
-    edge = np.zeros(len(data) + 2, bool)
-    edge[edges] = True
-    at = np.flatnonzero(data == _SPACE)
-    at = at[~(edge[at] | edge[at + 1])]
-    at = at[~_white(data, at, True)]
-    return at[~_white(data, at + 1, False)]
+    found = [np.zeros(0, np.int32)]
+    for low in range(0, len(data), WINDOW):
+        at = np.flatnonzero(data[low : low + WINDOW] == _SPACE) + low
+        near = np.searchsorted(edges, at)  # the first edge at or after the space
+        near = edges[np.minimum(near, len(edges) - 1)]
+        at = at[(near != at) & (near != at + 1) & (at > 0) & (at + 1 < len(data))]
+        at = at[~_white(data, at, True)]
+        found.append(at[~_white(data, at + 1, False)].astype(np.int32))
+    return np.concatenate(found)
 
 
 class TextEncoder:
@@ -121,11 +125,11 @@ class TextEncoder:
 
     def _segment(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids of the rows of a group in parts, and the number of ids of each row."""
-        rows = offsets[:-1][np.diff(offsets) > 0]
+        rows = offsets[:-1][np.diff(offsets) > 0].astype(np.int32)
         cuts = np.sort(np.concatenate([safe_cuts(data, offsets), rows]), kind="stable")
         if not len(cuts):
             return [], np.zeros(len(offsets) - 1, np.int64)
-        words = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        words = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(data)).astype(np.int32, copy=False)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = words.dictionary_encode()
         ids, counts = self._word_ids(coded.dictionary)
         starts, which = np.cumsum(counts) - counts, coded.indices.to_numpy()
