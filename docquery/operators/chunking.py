@@ -1,19 +1,28 @@
 """Markdown documents to chunks with heading paths and line ranges, as operations on lines.
 
-A document is exploded into lines; running windows over a document's lines find front matter, fences, headings and
-sections, and a fold over a section's blocks packs them up to the cap. Headings are ATX; fences toggle; a fence or a
-table is never cut.
+A document is exploded into lines; windows over a document's lines find front matter, fences, headings (ATX and setext)
+and sections. A section over the cap is cut into pieces by the sizes of its parts, which a small vectorized helper packs:
+prose by lines, whole fences and tables, long lines after a token. A heading alone joins what follows it, and a piece of
+prose begins with the end of the one before.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CAP_CHARS = 1500
+# The cap of a chunk and the most that is repeated from the chunk before.
+CAP_CHARS, OVERLAP_CHARS = 1500, 150
 LEVELS = range(1, 7)
 _FRONT = r"(?s)\A---\r?\n(.*?\r?\n)?---[ \t]*(?:\r?\n|\z)"
 _HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
+_FENCE = r"^ {0,3}(`{3,}|~{3,})(.*)$"
+_UNDERLINE = r"^ {0,3}(?:=+|-+)[ \t]*$"
+#: Lines that cannot be part of a paragraph: empty ones, rules, headings, tables, quotes, lists and indented code.
+_NOT_PROSE = r"^\s*$|^ {0,3}(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$|^ {0,3}#{1,6}(?:[ \t]|$)|^\s*\||^ {0,3}>|^ {0,3}(?:[-*+]|\d{1,9}[.)])[ \t]|^(?: {4}|\t)"
+#: White space and ASCII marks but the underscore: after these a line may be cut, and a repeated end may begin.
+_EDGE = r"[\s!-/:-@\[-^`{-~]"
 
 
 def _unquote(x: Column) -> Column:
@@ -37,20 +46,52 @@ def front_matter(docs: DataFrame) -> DataFrame:
     )
 
 
+def _fences(lines: DataFrame) -> DataFrame:
+    """doc_id, opens and closes (null: at the end) of every fence: it closes at the same mark, as long or longer, with nothing after it."""
+    mark = F.regexp_extract("content", _FENCE, 1)
+    marks = lines.filter(F.col("content").rlike(_FENCE)).select("doc_id", F.struct("line", F.substring(mark, 1, 1).alias("c"), F.length(mark).alias("n"), F.trim(F.regexp_extract("content", _FENCE, 2)).alias("rest")).alias("m"))
+    listed = marks.groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("marks"))
+    start = F.struct(F.lit(0).alias("line"), F.lit("").alias("c"), F.lit(0).alias("n"), F.array().cast("array<struct<opens:int,closes:int>>").alias("done"))
+
+    def step(now: Column, m: Column) -> Column:
+        opens = (now.n == 0) & ((m.c == "~") | ~F.contains(m.rest, F.lit("`")))
+        closes = (now.n > 0) & (m.c == now.c) & (m.n >= now.n) & (m.rest == "")
+        pick = lambda field, fresh, shut: F.when(opens, fresh).when(closes, shut).otherwise(now[field]).alias(field)
+        span = F.struct(now.line.alias("opens"), m.line.cast("int").alias("closes"))
+        return F.struct(pick("line", m.line.cast("int"), F.lit(0)), pick("c", m.c, F.lit("")), pick("n", m.n.cast("int"), F.lit(0)), F.when(closes, F.concat(now.done, F.array(span))).otherwise(now.done).alias("done"))
+
+    def finish(now: Column) -> Column:
+        left = F.array(F.struct(now.line.alias("opens"), F.lit(None).cast("int").alias("closes")))
+        return F.when(now.n > 0, F.concat(now.done, left)).otherwise(now.done)
+
+    return listed.select("doc_id", F.inline(F.aggregate("marks", start, step, finish)))
+
+
 def marked_lines(bodies: DataFrame) -> DataFrame:
-    """doc_id, line (from 1, in the whole file), content, fenced, level (0: no heading), heading and section."""
-    lines = bodies.select("doc_id", "skipped", F.posexplode(F.split("body", "\n")).alias("i", "content")).filter(F.col("content").isNotNull())
-    lines = lines.withColumn("content", F.regexp_replace("content", r"\r$", "")).withColumn("line", F.col("i") + 1 + F.col("skipped"))
+    """doc_id, line (from 1, in the whole file), content, last (no line follows), fence (its first line or null), level (0: no heading), heading and section."""
+    split = bodies.select("doc_id", "skipped", F.split("body", "\n").alias("all"))
+    lines = split.select("doc_id", "skipped", F.size("all").alias("n"), F.posexplode("all").alias("i", "content")).filter(F.col("content").isNotNull())
+    lines = lines.select("doc_id", F.regexp_replace("content", r"\r$", "").alias("content"), (F.col("i") + 1 + F.col("skipped")).cast("int").alias("line"), (F.col("i") == F.col("n") - 1).alias("last"))
     order = Window.partitionBy("doc_id").orderBy("line")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mark = F.col("content").rlike(r"^ {0,3}(```|~~~)")
-    lines = lines.withColumn("marks", F.sum(mark.cast("int")).over(so_far))
-    lines = lines.withColumn("fenced", (F.col("marks") % 2 == 1) | mark).withColumn("fence", F.floor((F.col("marks") + 1) / 2))
-    heading = ~F.col("fenced") & F.col("content").rlike(_HEADING)
-    lines = lines.withColumn("level", F.when(heading, F.length(F.regexp_extract("content", _HEADING, 1))).otherwise(0))
-    lines = lines.withColumn("heading", F.when(heading, F.regexp_replace(F.trim(F.regexp_extract("content", _HEADING, 2)), r"[`*]|\s+", " ")))
-    lines = lines.withColumn("heading", F.trim(F.regexp_replace("heading", r"\s+", " ")))
-    return lines.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(so_far))
+    fences = _fences(lines).withColumn("line", F.col("opens"))
+    lines = lines.join(fences, ["doc_id", "line"], "left")
+    newest = F.last(F.when(F.col("opens").isNotNull(), F.struct("opens", F.coalesce("closes", F.lit(2**31 - 1)).alias("closes"))), ignorenulls=True).over(so_far)
+    lines = lines.withColumn("f", newest).withColumn("fence", F.when(F.col("line") <= F.col("f.closes"), F.col("f.opens"))).drop("f", "opens", "closes")
+    free = F.col("fence").isNull()
+    prose = free & ~F.col("content").rlike(_NOT_PROSE)
+    lines = lines.withColumn("prose", prose & ~F.col("content").rlike(_UNDERLINE) | prose & F.col("content").rlike(_UNDERLINE) & ~F.coalesce(F.lag(prose).over(order), F.lit(False)))
+    before = F.coalesce(F.lag("prose").over(order), F.lit(False))
+    lines = lines.withColumn("under", F.when(before & free & F.col("content").rlike(_UNDERLINE) & ~F.col("prose"), F.when(F.trim("content").startswith("="), 1).otherwise(2)))
+    lines = lines.withColumn("paragraph", F.sum((F.col("prose") & ~before).cast("int")).over(so_far))
+    whole = Window.partitionBy("doc_id", "paragraph")
+    lines = lines.withColumn("setext", F.max("under").over(whole)).withColumn("title", F.when(F.col("setext").isNotNull(), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("prose"), F.struct("line", "content"))).over(whole)), lambda x: F.trim(x.content)), " ")))
+    atx = free & F.col("content").rlike(_HEADING)
+    first = F.col("prose") & ~before & F.col("setext").isNotNull()
+    lines = lines.withColumn("level", F.when(atx, F.length(F.regexp_extract("content", _HEADING, 1))).when(first, F.col("setext")).otherwise(0))
+    text = F.when(atx, F.regexp_extract("content", _HEADING, 2)).when(first, F.col("title"))
+    lines = lines.withColumn("heading", F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"[`*]", " "), r"\s+", " ")))
+    return lines.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(so_far)).select("doc_id", "line", "content", "last", "fence", "level", "heading", "section")
 
 
 def _paths(lines: DataFrame) -> DataFrame:
@@ -67,44 +108,100 @@ def _paths(lines: DataFrame) -> DataFrame:
     return heads.select("doc_id", "section", F.array_compact(F.array(*alive)).alias("heading_path"))
 
 
+def pack_sizes(sizes: list[int], wholes: list[int], alone: list[bool], atomic: list[bool], bare: list[bool], blank: list[bool], cap: int) -> list[tuple[int, int, bool]]:
+    """Pieces of a section's parts: first part, last part + 1, and whether the end of the piece before is repeated.
+
+    wholes: of the line that a part belongs to; alone: a part of a long line but for its last; atomic: a fence or
+    table; bare: only headings and empty lines; blank: white space only.
+    """
+    pieces: list[list] = []  # first, end, atomic, joined with a heading
+
+    def push(a: int, b: int) -> None:
+        if a < b and not all(blank[a:b]):
+            pieces.append([a, b, False, False])
+
+    i = 0
+    while i < len(sizes):
+        if atomic[i]:
+            caption = pieces and not pieces[-1][2] and pieces[-1][1] == i and all(bare[pieces[-1][0] : i])
+            pieces.append([pieces.pop()[0] if caption else i, i + 1, True, True])
+            i += 1
+            continue
+        a = i
+        size = 0
+        while i < len(sizes) and not atomic[i]:
+            if size and size + wholes[i] > cap:
+                push(a, i)
+                a, size = i, 0
+            if alone[i]:
+                push(i, i + 1)
+                a = i + 1
+            else:
+                size += sizes[i]
+            i += 1
+        push(a, i)
+    joined: list[list] = []
+    for piece in pieces:
+        joined.append(piece)
+        while len(joined) > 1:
+            (a, b, fixed, _), (c, d, next_fixed, _) = joined[-2:]
+            if fixed or next_fixed or b != c or sum(sizes[a:d]) > cap + OVERLAP_CHARS or not all(bare[a:b]):
+                break
+            joined[-2:] = [[a, d, False, True]]
+    return [(a, b, k > 0 and not any(x for p in joined[k - 1 : k + 1] for x in p[2:])) for k, (a, b, _, _) in enumerate(joined)]
+
+
+def _packed(parts: Column, cap: int) -> Column:
+    @F.pandas_udf("array<struct<a:int,b:int,repeat:boolean>>")
+    def pack(sections: pd.Series) -> pd.Series:
+        keys = ("n", "whole", "alone", "atomic", "bare", "blank")
+        return sections.map(lambda section: [{"a": a, "b": b, "repeat": r} for a, b, r in pack_sizes(*([p[k] for p in section] for k in keys), cap)])
+
+    return pack(F.transform(parts, lambda p: F.struct(*[p[k].alias(k) for k in ("n", "whole", "alone", "atomic", "bare", "blank")])))
+
+
 def chunk(docs: DataFrame, cap: int = CAP_CHARS) -> DataFrame:
     """doc_id, seq, heading_path, kind, lang, line_start, line_end and text of every chunk.
 
-    A section up to the cap is one chunk. A longer one is packed block by block: prose lines, whole fences and whole
-    tables; a line longer than the cap is cut there. Chunks of white space only are dropped; lines are those of the file.
+    A section up to the cap is one chunk. A longer one is packed: prose lines up to the cap, whole fences and whole
+    tables; a line longer than the cap is cut after a token, or hard where it has none. Chunks of white space only are
+    dropped; lines are those of the file.
     """
     lines = marked_lines(front_matter(docs))
     paths = _paths(lines)
+    lines = lines.withColumn("t", F.when(F.col("last"), F.col("content")).otherwise(F.concat("content", F.lit("\n"))))
     by_line = Window.partitionBy("doc_id", "section").orderBy("line")
-    table = ~F.col("fenced") & F.col("content").startswith("|")
-    kind = F.when(F.col("fenced"), F.concat(F.lit("f"), F.col("fence").cast("string"))).when(table, "t").otherwise(F.concat(F.lit("p"), F.col("line").cast("string")))
-    lines = lines.withColumn("kind", kind)
-    lines = lines.withColumn("block", F.sum(F.coalesce((F.col("kind") != F.lag("kind").over(by_line)).cast("int"), F.lit(1))).over(by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x.content), "\n")
-    blocks = lines.groupBy("doc_id", "section", "block").agg(F.min("line").alias("a"), F.max("line").alias("b"), text_of.alias("t"), F.first("kind").alias("kind"))
-    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length("t") - 1) / cap), F.lit(0))), lambda i: F.substring("t", i * cap + 1, F.lit(cap)))
-    parts = blocks.select("doc_id", "section", "block", "a", "b", "kind", F.posexplode(F.when(F.col("kind").startswith("p"), cuts).otherwise(F.array("t"))).alias("cut", "t"))
-    parts = parts.withColumn("glue", F.when(F.col("cut") > 0, "").otherwise("\n"))
-    ordered = F.array_sort(F.collect_list(F.struct("block", "cut", "a", "b", "glue", "t")))
-    sections = parts.groupBy("doc_id", "section").agg(ordered.alias("parts"))
-    piece = "struct<a:int,b:int,t:string>"
-    start = F.array().cast(f"array<{piece}>")
-
-    def pack(done, p):
-        last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (F.length(last.t) + F.length(p.t) + F.length(p.glue) <= cap)
-        one = F.struct(p.a.cast("int").alias("a"), p.b.cast("int").alias("b"), p.t.alias("t"))
-        grown = F.struct(last.a.alias("a"), p.b.cast("int").alias("b"), F.concat(last.t, p.glue, p.t).alias("t"))
-        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(one)))
-
-    packed = sections.select("doc_id", "section", F.posexplode(F.aggregate("parts", start, pack)).alias("nth", "p"))
+    table = F.col("fence").isNull() & F.trim("content").startswith("|")
+    kind = F.when(F.col("fence").isNotNull(), F.concat(F.lit("f"), F.col("fence").cast("string"))).when(table, "t").otherwise(F.concat(F.lit("p"), F.col("line").cast("string")))
+    lines = lines.withColumn("kind", kind).withColumn("block", F.sum(F.coalesce((F.col("kind") != F.lag("kind").over(by_line)).cast("int"), F.lit(1))).over(by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x.t), "")
+    blocks = lines.groupBy("doc_id", "section", "block").agg(F.min("line").alias("first"), F.max("line").alias("last"), joined.alias("t"), (~F.first("kind").startswith("p")).alias("atomic"))
+    pieces = F.when(F.col("atomic") | (F.length("t") <= cap), F.array("t")).otherwise(F.regexp_extract_all("t", F.lit(rf"(?s).{{1,{cap}}}\z|.{{1,{cap}}}(?<={_EDGE})|.{{1,{cap}}}"), F.lit(0)))
+    parts = blocks.select("doc_id", "section", "block", "first", "last", "atomic", F.length("t").alias("whole"), F.size(pieces).alias("m"), F.posexplode(pieces).alias("nth", "t"))
+    part = F.struct(
+        "block", "nth", "first", "last", "t", F.length("t").alias("n"), "whole", (F.col("nth") < F.col("m") - 1).alias("alone"), "atomic",
+        F.ltrim("t").rlike(r"\A(?:#|\s*\z)").alias("bare"), (F.trim(F.regexp_replace("t", r"\s+", "")) == "").alias("blank"),
+    )
+    sections = parts.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.sum(F.length("t")).alias("total"))
+    one = F.array(F.struct(F.lit(0).alias("a"), F.size("parts").alias("b"), F.lit(False).alias("repeat")))
+    cuts = sections.filter(F.col("total") <= cap).select("doc_id", "section", "parts", one.alias("cuts")).union(sections.filter(F.col("total") > cap).select("doc_id", "section", "parts", _packed(F.col("parts"), cap).alias("cuts")))
+    text_of = lambda c: F.array_join(F.transform(F.slice("parts", c.a + 1, c.b - c.a), lambda p: p.t), "")
+    texts = F.transform("cuts", lambda c: F.struct(text_of(c).alias("t"), F.element_at("parts", c.a + 1)["first"].alias("first"), F.element_at("parts", c.b)["last"].alias("last"), c["repeat"].alias("repeat")))
+    packed = cuts.select("doc_id", "section", texts.alias("pieces"))
+    before = F.try_element_at("pieces", F.col("nth")).t
+    take = min(OVERLAP_CHARS, cap // 10)
+    tail = F.when(F.length(before) <= take, before).otherwise(F.regexp_extract(F.substring(before, -(take + 1), take + 1), rf"(?s)\A.*?{_EDGE}(?=.*\S)(.*)\z", 1))
+    packed = packed.select("doc_id", "section", "pieces", F.posexplode("pieces").alias("nth", "p"))
+    packed = packed.withColumn("tail", F.when(F.col("p.repeat") & (F.col("nth") > 0), F.coalesce(tail, F.lit(""))).otherwise(""))
     packed = packed.filter(F.trim(F.regexp_replace("p.t", r"\s", "")) != "").join(paths, ["doc_id", "section"], "left")
+    text = F.regexp_replace(F.concat("tail", "p.t"), r"\n\z", "")
+    start = F.col("p.first") - (F.length("tail") - F.length(F.replace("tail", F.lit("\n"), F.lit(""))))
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "nth")) - 1
-    body = F.regexp_replace("p.t", r"\A[ \t]*#[^\n]*\n+", "")
-    fence = F.regexp_extract(body, r"(?s)\A {0,3}(?:```|~~~)[`~]*[ \t]*([^\n]*)\n.*\n? {0,3}(?:```|~~~)[`~]*\s*\z", 1)
-    code = body.rlike(r"(?s)\A {0,3}(?:```|~~~).*\n {0,3}(?:```|~~~)[`~]*\s*\z")
-    kind = F.when(code, "code").when(F.startswith(body, F.lit("|")), "table").otherwise("prose")
+    body = F.regexp_replace(text, r"\A[ \t]*#[^\n]*\n+", "")
+    info = F.regexp_extract(body, r"(?s)\A {0,3}(?:`{3,}|~{3,})[ \t]*([^\n]*)\n", 1)
+    code = body.rlike(r"(?s)\A {0,3}(`{3,}|~{3,})[^\n]*\n(?:.*\n)? {0,3}\1[`~]*\s*\z")
+    kind = F.when(code, "code").when(F.startswith(F.ltrim(body), F.lit("|")), "table").otherwise("prose")
     return packed.select(
         "doc_id", seq.alias("seq"), F.coalesce("heading_path", F.array().cast("array<string>")).alias("heading_path"), kind.alias("kind"),
-        F.when(code & (F.trim(fence) != ""), F.trim(fence)).alias("lang"), F.col("p.a").alias("line_start"), F.col("p.b").alias("line_end"), F.col("p.t").alias("text"),
+        F.when(code & (F.trim(info) != ""), F.trim(info)).alias("lang"), start.cast("int").alias("line_start"), F.col("p.last").alias("line_end"), text.alias("text"),
     )

@@ -197,6 +197,13 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 _ALL, _SCOPED = _BM25.replace("{scope}", "true"), _BM25.replace("{scope}", "p.doc_id IN (SELECT doc_id FROM documents WHERE starts_with(source, 'src1'))")
 
 
+@query(f"WITH {_TOKENS} SELECT u AS term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS u FROM t) GROUP BY 1")
+def index_build(spark, sf_dir):
+    """Write the index of all documents, and what it holds of every term."""
+    built = stored.index(spark, sf_dir)
+    return built.postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
 @query(_ALL + "SELECT * FROM k WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
     return lexical.top(lexical.bm25(stored.index(spark, sf_dir), _queries(spark, sf_dir)))
