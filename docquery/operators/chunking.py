@@ -30,11 +30,13 @@ def _unquote(x: Column) -> Column:
 
 
 def front_matter(docs: DataFrame) -> DataFrame:
-    """doc_id, title (null if none), tags and body, and the lines before the body. Tags may be inline or a block list."""
-    block = F.regexp_extract("text", _FRONT, 1)
+    """doc_id, title (null if none), tags and body, and the lines before the body. Tags may be inline or a block list, whose items share an indent."""
+    raw = F.regexp_extract("text", _FRONT, 1)
+    # the first key's indent is that of the root; deeper and shallower lines are no keys
+    block = F.regexp_replace(raw, F.concat(F.lit("(?m)^"), F.regexp_extract(raw, r"(?m)^([ \t]*)[^\s#:][^:\n]*:", 1)), F.lit(""))
     value = lambda key: F.regexp_extract("block", rf"(?mi)^{key}[ \t]*:[ \t]*(.*?)[ \t]*\r?$", 1)
     inline = F.split(F.regexp_replace(value("tags"), r"^\[|\]$", ""), ",")
-    listed = F.regexp_extract_all(F.regexp_extract("block", r"(?mi)^tags[ \t]*:[ \t]*\r?\n((?:[ \t]*(?:-[ \t].*|#.*)?\r?(?:\n|\z))+)", 1), F.lit(r"(?m)^[ \t]*-[ \t]+(?!-)(.+?)(?:[ \t]+#.*)?[ \t]*\r?$"), F.lit(1))
+    listed = F.regexp_extract_all(F.regexp_extract("block", r"(?mi)^tags[ \t]*:[ \t]*\r?\n((?:[ \t]*(?:#[^\n]*)?\r?\n)*([ \t]*)-[ \t][^\n]*(?:\n(?:\2-[ \t][^\n]*|[ \t]*(?:#[^\n]*)?\r?(?=\n|\z)))*)", 1), F.lit(r"(?m)^[ \t]*-[ \t]+(?!-)(.+?)(?:[ \t]+#.*)?[ \t]*\r?$"), F.lit(1))
     clean = lambda a: F.filter(F.transform(a, _unquote), lambda t: t != "")
     rows = docs.withColumn("block", block).withColumn("body", F.regexp_replace("text", _FRONT, ""))
     head = F.expr("substring(text, 1, length(text) - length(body))")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquery.functions.text import line_count
+
 # Directories that are never indexed, and the default size limit in bytes.
 IGNORED_DIRS = ["node_modules", "target", "vendor", "dist", "build", ".git"]
 MAX_FILE_SIZE = 1_048_576
@@ -16,22 +20,74 @@ def pruned(rel_path: Column) -> Column:
     return F.exists(parts, lambda p: p.isin(IGNORED_DIRS) | p.startswith("."))
 
 
-def scan(spark: SparkSession, root: str, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """rel_path, size, mtime, text and warning of every Markdown file below root that is not pruned.
+def _pattern(glob: str) -> str:
+    """A regular expression for one ignore pattern on paths below the root; one that leads out of the root is an error."""
+    if ".." in glob.replace("\\", "/").split("/"):
+        raise ValueError(f"an ignore pattern leaves the root: {glob}")
+    body = glob.strip("/")
+    marks = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    text = "".join(marks.get(x, re.escape(x)) for x in re.findall(r"/\*\*/|\*\*/|/\*\*|\*\*|\*|\?|[^*?/]+|/", body))
+    start = "^" if "/" in glob.rstrip("/") else "(?:^|/)"
+    return start + text + ("/" if glob.endswith("/") else "(?:/|$)")
+
+
+def ignored(rel_path: Column, patterns: list[str]) -> Column:
+    """Whether ignore patterns leave a path out: `*` and `?` inside a name, `**` across names, a leading or inner slash for the root, a final one for folders, `!` to take back; the last that matches decides."""
+    out = F.lit(False)
+    for p in (x.strip() for x in patterns):
+        if p and not p.startswith("#"):
+            out = F.when(rel_path.rlike(_pattern(p.removeprefix("!"))), F.lit(not p.startswith("!"))).otherwise(out)
+    return out
+
+
+def ignore_file(spark: SparkSession, root: str, name: str = ".gitignore") -> list[str]:
+    """Patterns of the root's ignore file; none where there is no such file, and an error where it is larger than a file may be."""
+    # Spark's readers pass over names that begin with a dot, so the file comes through the file system that they use
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root, name)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    if system.getFileStatus(path).getLen() > MAX_FILE_SIZE:
+        raise ValueError(f"{name} is too large")
+    stream = system.open(path)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
+
+
+def inside(root: str, rel_path: str) -> str:
+    """The path of a document below the root; one that is empty, absolute, leaves the root or is no Markdown file is an error."""
+    parts = rel_path.replace("\\", "/").split("/")
+    if not rel_path or rel_path.startswith(("/", "\\")) or ".." in parts or ":" in parts[0] or not rel_path.lower().endswith(".md"):
+        raise ValueError(f"not a document of this root: {rel_path!r}")
+    return f"{root.rstrip('/')}/{'/'.join(p for p in parts if p not in ('', '.'))}"
+
+
+def scan(spark: SparkSession, root: str, max_file_size: int = MAX_FILE_SIZE, patterns: list[str] | None = None, recursive: bool = True) -> DataFrame:
+    """rel_path, size, mtime, text and warning of every Markdown file below root (or in it alone) that is not pruned or ignored.
 
     Files over the limit or not in UTF-8 have a null text and a warning, and do not stop the scan. Paths use '/'.
+    patterns: ignore patterns besides those of the root's .gitignore.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.[mM][dD]").load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
     rel = F.translate(F.expr(f"substring(path, {len(full) + 1})"), "\\", "/")
-    named = files.withColumn("rel_path", rel).filter(~pruned(F.col("rel_path")))
+    named = files.withColumn("rel_path", rel).filter(~pruned(F.col("rel_path")) & ~ignored(F.col("rel_path"), [*ignore_file(spark, root), *(patterns or [])]))
     large = F.col("length") > max_file_size
     text = F.when(~large, F.try_validate_utf8(F.col("content").cast("string")))
     warning = F.when(large, "too large").when(text.isNull(), "not UTF-8")
     return named.select("rel_path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), text.alias("text"), warning.alias("warning"))
 
 
+def one_document(docs: DataFrame, rel_path: str) -> DataFrame:
+    """Path, content, size in bytes and lines of one document of a scan."""
+    inside("", rel_path)
+    return docs.filter(F.col("rel_path") == rel_path).select("rel_path", F.col("text").alias("content"), F.octet_length("text").alias("size"), line_count(F.col("text")).alias("lines"))
+
+
 def beir(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Corpus (doc_id, title, text), queries (query_id, text) and judgements (query_id, doc_id, grade) of a BEIR directory."""
     corpus = spark.read.schema("_id string, title string, text string").json(f"{folder}/corpus.jsonl")

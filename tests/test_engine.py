@@ -16,6 +16,20 @@ def test_scan(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     got = {r.rel_path: (r.text, r.warning) for r in files.scan(spark, str(tmp_path), 40).collect()}
     assert got == {"a.md": ("hi", None), "sub/B.MD": ("x", None), "bad.md": (None, "not UTF-8"), "big.md": (None, "too large")}
+    assert {r.rel_path for r in files.scan(spark, str(tmp_path), recursive=False).collect()} == {"a.md", "bad.md", "big.md"}
+    (tmp_path / ".gitignore").write_text("# out\nb*.md\n!big.md\nsub/\n")
+    assert {r.rel_path for r in files.scan(spark, str(tmp_path)).collect()} == {"a.md", "big.md"}
+    assert {r.rel_path for r in files.scan(spark, str(tmp_path), patterns=["/a.md"]).collect()} == {"big.md"}
+    (one,) = files.one_document(files.scan(spark, str(tmp_path)), "a.md").collect()
+    assert tuple(one) == ("a.md", "hi", 2, 1)
+    for bad in ("", "/a.md", "../a.md", "x/../../a.md", "a.txt", "c:/a.md"):
+        with pytest.raises(ValueError, match="not a document"):
+            files.inside("/root", bad)
+    with pytest.raises(ValueError, match="leaves the root"):
+        files.ignored(F.col("x"), ["../x"])
+    paths = ["a/b/c.md", "c.md", "a/c.md", "docs/x/y.md", "docs/y.md"]
+    hit = lambda p: [x for x in paths if spark.range(1).select(files.ignored(F.lit(x), [p])).first()[0]]
+    assert hit("c.md") == paths[:3] and hit("/c.md") == ["c.md"] and hit("a/**/c.md") == ["a/b/c.md", "a/c.md"] and hit("docs/*.md") == ["docs/y.md"] and hit("docs/**") == paths[3:] and hit("?.md") == paths[:3] + paths[3:]
 
 
 def test_generations(spark, tmp_path):

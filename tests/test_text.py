@@ -84,11 +84,12 @@ def chunks(spark, text, **kw):
 
 
 def test_front_matter(spark):
-    data = [(1, MARKDOWN), (2, "---\ntags:\n  - x\n  - 'y z'\n---\nbody"), (3, "no front"), (4, "---\nunclosed"), (5, None), (6, "---\r\ntitle: T\r\n---\r\nB")]
+    data = [(1, MARKDOWN), (2, "---\ntags:\n  - x\n  - 'y z'\n---\nbody"), (3, "no front"), (4, "---\nunclosed"), (5, None), (6, "---\r\ntitle: T\r\n---\r\nB"), (7, "---\n  title: In\n  tags:\n    # some\n    - p\n\n    - q # note\n      - deeper\n    - r\n  other: x\n---\n")]
     got = {r.doc_id: r for r in chunking.front_matter(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert (got[1].title, got[1].tags, got[1].skipped) == ("Tide Notes", ["a", "b"], 4)
     assert (got[2].title, got[2].tags, got[2].body) == (None, ["x", "y z"], "body")
     assert (got[3].title, got[3].tags, got[3].body) == (None, [], "no front")
+    assert (got[7].title, got[7].tags) == ("In", ["p", "q"])
     assert got[4].body == "---\nunclosed" and (got[6].title, got[6].body) == ("T", "B")
 
 
