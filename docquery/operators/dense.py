@@ -90,3 +90,9 @@ def embed_missing(texts: DataFrame, known: DataFrame, embed, dim: int) -> DataFr
 
     made = missing.mapInArrow(run, "chunk_hash string, vector array<float>")
     return known.select("chunk_hash", "vector").join(distinct.select("chunk_hash"), "chunk_hash", "left_semi").unionByName(made)
+
+
+def embed_all(texts: DataFrame, known: DataFrame, embed, dim: int) -> DataFrame:
+    """doc_id and vector of every text: each distinct one is embedded once, and its vector goes to all that share it."""
+    found = embed_missing(texts, known, embed, dim)
+    return texts.select("doc_id", F.sha2("text", 256).alias("chunk_hash")).join(found, "chunk_hash").select("doc_id", "vector")

@@ -37,3 +37,8 @@ def rerank(ranked: DataFrame, scores: DataFrame, by: str = "query_id", key: str
     joined = ranked.join(new, [by, key], "left")
     order = Window.partitionBy(by).orderBy(F.col("provider_score").isNull(), F.desc("provider_score"), "rank")
     return joined.select(by, key, F.coalesce("provider_score", F.lit(0.0)).alias("score"), F.row_number().over(order).alias("rank"))
+
+
+def capped_count(ranked: DataFrame, n: int, by: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """Rows that a cap of n for each document leaves of each query."""
+    return ranked.groupBy(by, doc).agg(F.least(F.count("*"), F.lit(n)).alias("n")).groupBy(by).agg(F.sum("n").alias("capacity"))

@@ -128,7 +128,7 @@ def still_there(hits: DataFrame, docs: DataFrame, prefix: str | None, tags: list
 
 def keyset_page(chunks: DataFrame, after: tuple[int, int] | None = None, size: int = KEYSET_PAGE) -> DataFrame:
     """Chunks in order of document and number after the pair."""
-    rows = chunks if after is None else chunks.filter(F.struct("doc_id", "seq") > F.struct(F.lit(after[0]).cast("long"), F.lit(after[1]).cast("int")))
+    rows = chunks if after is None else chunks.filter(F.struct(F.col("doc_id").cast("long"), F.col("seq").cast("long")) > F.struct(F.lit(after[0]).cast("long"), F.lit(after[1]).cast("long")))
     return rows.orderBy("doc_id", "seq").limit(size)
 
 
@@ -154,6 +154,18 @@ def removals(stored: DataFrame, gone: DataFrame, present: DataFrame) -> DataFram
     return below.join(present.select("rel_path"), "rel_path", "left_anti")
 
 
+def finalize(batch: DataFrame, present: DataFrame, most: int = 10_000) -> DataFrame:
+    """rel_path and purge of a closed batch (key, path): files that are there, those below a folder that is there (at most `most` of a path, in order), and paths of which nothing is left, as purge marks."""
+    parts = F.split("rel_path", "/")
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    wanted = batch.select("key", "path").distinct()
+    below = present.select("rel_path", F.explode(ancestors).alias("path")).join(wanted, "path")
+    nth = F.row_number().over(Window.partitionBy("key", "path").orderBy("rel_path"))
+    kept = below.withColumn("nth", nth).filter(F.col("nth") <= most).select("key", "rel_path").distinct()
+    gone = wanted.join(below.select("key", "path").distinct(), ["key", "path"], "left_anti")
+    return kept.select("key", "rel_path", F.lit(False).alias("purge")).union(gone.select("key", F.col("path").alias("rel_path"), F.lit(True)))
+
+
 def survey_removals(stored: DataFrame, walked: DataFrame, walk_errors: DataFrame) -> DataFrame:
     """Stored paths that a full walk did not find; none if the walk had any error."""
     gone = stored.select("rel_path").join(walked.select("rel_path"), "rel_path", "left_anti")

@@ -279,7 +279,7 @@ def search_turns(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     args = search.SearchArgs(limit=10, path_prefix="src", per_document=2, snippets=True)
     found = search.search(d, c, stored.index(spark, sf_dir, "conversations"), queries, args, boosts=stored.TURN_BOOSTS)
-    return found.select("query_id", "rank", "score", "chunk_id", "path", F.col("heading_path")[0].alias("heading"), F.col("lines")[0].alias("line"), "snippet", "snippet_truncated")
+    return found.select("query_id", "rank", "score", "chunk_id", "path", F.col("heading_path")[0].alias("heading"), F.col("lines")[0].cast("long").alias("line"), "snippet", "snippet_truncated")
 
 
 #: Query syntax over the words of two turns' roles and common words; each text shows one form.

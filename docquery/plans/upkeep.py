@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquery.functions import text as T
-from docquery.operators import upkeep
+from docquery.operators import dense, ranking, upkeep
 from docquery.plans.registry import query
 from docquery.sources.tables import chunks, docs, table
 
@@ -109,7 +109,7 @@ def post_filter(spark, sf_dir):
 
 @query("SELECT conv_id AS doc_id, turn AS seq FROM conversations WHERE (conv_id, turn) > (3, 1) ORDER BY 1, 2 LIMIT 400")
 def keyset_chunks(spark, sf_dir):
-    c = chunks(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("int").alias("seq"))
+    c = chunks(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"))
     return upkeep.keyset_page(c, (3, 1))
 
 
@@ -126,6 +126,14 @@ def incremental_removals(spark, sf_dir):
     return upkeep.removals(d, gone, d.filter("doc_id % 9 = 0"))
 
 
+@query(f"WITH {_D}, b AS (SELECT DISTINCT lang AS key, source || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '/' || doc_id || '.md' END AS path FROM d WHERE lang IS NOT NULL), here AS (SELECT rel_path FROM d WHERE doc_id % 3 <> 0), f AS (SELECT key, path, rel_path FROM b JOIN here ON rel_path = path OR starts_with(rel_path, path || '/')) SELECT DISTINCT key, rel_path, false AS purge FROM f UNION ALL SELECT key, path, true FROM b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.key = b.key AND f.path = b.path)")
+def finalized_batches(spark, sf_dir):
+    """Batches by language that name files and folders, of which a third of the files are gone."""
+    d = docs(spark, sf_dir)
+    path = F.concat("source", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))))
+    return upkeep.finalize(d.filter("lang IS NOT NULL").select(F.col("lang").alias("key"), path.alias("path")), d.filter("doc_id % 3 <> 0"))
+
+
 @query(f"WITH {_D} SELECT rel_path FROM d WHERE doc_id % 4 = 1")
 def survey_removals(spark, sf_dir):
     d = docs(spark, sf_dir)
@@ -199,6 +207,21 @@ def embedding_batches(spark, sf_dir):
     return upkeep.embedding_batches(d, 8, 20_000)
 
 
+@query("SELECT query_id, CAST(sum(n) AS BIGINT) AS capacity FROM (SELECT user_id AS query_id, event_type, least(count(*), 2) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+def capped_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("doc_id"))
+    return ranking.capped_count(e, 2)
+
+
+@query("SELECT doc_id, strlen(text) AS first, length(text) AS second FROM documents WHERE text IS NOT NULL")
+def embed_fan_out(spark, sf_dir):
+    """Distinct texts embedded by their lengths; every document gets the vector of its text."""
+    d = docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", "text")
+    none = spark.createDataFrame([], "chunk_hash string, vector array<float>")
+    out = dense.embed_all(d, none, lambda texts: [[float(len(t.encode())), float(len(t))] for t in texts], 2)
+    return out.select("doc_id", F.col("vector")[0].cast("long").alias("first"), F.col("vector")[1].cast("long").alias("second"))
+
+
 @query("SELECT doc_id, CASE WHEN lang IS NOT NULL THEN sha256('{\"title\":\"' || source || '\",\"tags\":[\"' || lang || '\"]}') END AS metadata FROM documents")
 def metadata_json(spark, sf_dir):
     front = docs(spark, sf_dir).select("doc_id", F.when(F.col("lang").isNotNull(), F.col("source")).alias("title"), F.array_compact(F.array("lang")).alias("tags"))
