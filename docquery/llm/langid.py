@@ -21,6 +21,8 @@ BUCKETS = 1 << 15
 #: Distinct labelled texts that the weights are fitted on, for each language at most this many, and their bytes at most.
 SAMPLE_PER_LANGUAGE = 1500
 SAMPLE_BYTES = 64_000_000
+#: Percent of a sample that is drawn by hash, so that it is full after the surplus has been dropped.
+DRAWN = 125
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.6, 1.0, 2e-4, 1e-6
 #: One in so many sampled rows fits the temperature and not the weights.
@@ -172,9 +174,9 @@ def train(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most_bytes:
     keyed = rows.select("text", "lang", F.xxhash64("text").alias("h"))
     distinct = {r.lang: r.n for r in keyed.groupBy("lang", "h").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     scale = 1 << 30
-    limits = spark.createDataFrame([(x, min(scale, 2 * per_language * scale // distinct[x]), i) for i, x in enumerate(names)], "lang string, most long, y int")
+    limits = spark.createDataFrame([(x, min(scale, DRAWN * per_language * scale // (100 * distinct[x])), i) for i, x in enumerate(names)], "lang string, most long, y int")
     drawn = keyed.join(F.broadcast(limits), "lang").filter(F.pmod(F.col("h"), F.lit(scale)) < F.col("most"))
-    # copies meet before they are moved: of each text and language one stays, about 2 * per_language for each language
+    # copies meet before they are moved: of each text and language one stays, about DRAWN percent of per_language for each language
     drawn = drawn.groupBy("y", "h").agg(F.min("text").alias("text"))
     sample = bounded_sample(drawn, "y", per_language, most_bytes)
 

@@ -153,7 +153,7 @@ def train(docs: DataFrame, known: DataFrame, per_label: int = SAMPLE_PER_LABEL,
     if set(counts) != {0, 1}:
         return None
     scale = 1 << 30
-    share = {y: min(scale, 2 * per_label * scale // n) for y, n in counts.items()}
+    share = {y: min(scale, langid.DRAWN * per_label * scale // (100 * n)) for y, n in counts.items()}
     most = F.when(F.col("y") == 1, share[1]).otherwise(share[0])
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < most)
     order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
