@@ -36,16 +36,16 @@ def build(rows: DataFrame, fields: dict[str, Column] | None = None) -> dict[str,
     return {"postings": postings.withColumn("bucket", bucket("term")), "lengths": lengths}
 
 
-def write(spark: SparkSession, root: str, rows: DataFrame, fields: dict[str, Column] | None = None) -> int:
-    """Write an index of the rows and publish it as the root's next generation."""
-    tables = build(rows, fields)
+def write(spark: SparkSession, root: str, documents: DataFrame, fields: dict[str, Column] | None = None) -> int:
+    """Write an index of the documents and publish it as the root's next generation."""
+    tables = build(documents, fields)
     # the hash of a term deals the postings, so that those of one term lie together and a very frequent one is one file
     postings = tables["postings"].repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term", "field", "doc_id")
-    store.commit(spark, root, {"postings": postings, "lengths": tables["lengths"]}, {"postings": ["bucket"]})
-    # statistics are counted from what was written, and published last: a search reads none of an unfinished index
-    df = store.read(spark, root, "postings").groupBy("field", "term").agg(F.count("*").alias("df"))
-    stats = store.read(spark, root, "lengths").groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
-    return store.commit(spark, root, {"df": df, "stats": stats})
+    rows = store.put(spark, root, {"postings": postings, "lengths": tables["lengths"]}, {"postings": ["bucket"]})
+    # statistics are counted from what was written, and all four are published together
+    df = store.written(spark, rows[0]).groupBy("field", "term").agg(F.count("*").alias("df"))
+    stats = store.written(spark, rows[1]).groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+    return store.publish(spark, root, rows + store.put(spark, root, {"df": df, "stats": stats}))
 
 
 class Index:
