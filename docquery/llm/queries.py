@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquery.llm import decontamination, langid, licenses, maxscore, near_dedup, packing, quality, substring_dedup, token_output, warc
+from docquery.llm import decontamination, langid, licenses, maxscore, mixing, near_dedup, packing, quality, substring_dedup, token_output, warc
 
 QUERIES = {
     "op1_exact_top_k": maxscore.op1_exact_top_k,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_array_dedup": substring_dedup.op8_suffix_array_dedup,
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_license_scans": licenses.op10_license_scans,
+    "op13_mixing": mixing.op13_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
