@@ -18,7 +18,7 @@ SLICE_ROWS = 512
 
 MASK = (1 << 64) - 1
 #: Bases of two unrelated hashes of byte spans; where 64 bits may not do, both are used.
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,20 +115,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base)) for base in _BASES]
+_BYTE_VALUES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base)) for base in BASES]
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def _power(family: int, inverse: bool, n: int) -> np.ndarray:
     have = _powers.get((family, inverse))
     if have is None or len(have) < n:
-        base = _BASES[family]
+        base = BASES[family]
         factor = np.full(max(n, 1 << 16), pow(base, -1, 1 << 64) if inverse else base, np.uint64)
         factor[0] = 1
         have = _powers[family, inverse] = np.cumprod(factor, dtype=np.uint64)
     return have[:n]
 
 
+def powers(family: int, n: int) -> np.ndarray:
+    """The family's base to the powers 0 to n - 1, modulo 2^64."""
+    return _power(family, False, n)
+
+
 def prefix_hash(data: np.ndarray, family: int = 0) -> np.ndarray:
     """Sums of byte value times base^position modulo 2^64, before each byte and at the end."""
     out = np.zeros(len(data) + 1, np.uint64)
