@@ -11,6 +11,7 @@ to start from; no candidate is moved, and the shards' lists are merged at the en
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,29 +19,35 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquery.llm import common
+from docquery.llm import common, ranks
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 128
 #: Queries that a task holds at once.
 BLOCK_QUERIES = 2048
-#: Components that are as large make a vector take no part: sums of products could leave the range of a long.
-LARGEST = 1 << 20
+#: Shards that a task holds at once.
+HELD_SHARDS = 8
+#: Vectors with a weight of this size or more are in shards of their own, so that no other sum needs wide numbers.
+WIDE = 1 << 26
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Integer rows of a list column, shorter ones filled with zeros."""
+    """Whole-numbered rows of a list column as doubles, shorter ones filled with zeros."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(lengths), width), np.int64)
+    out = np.zeros((len(lengths), width))
     row = np.repeat(np.arange(len(lengths)), lengths)
     out[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
-def _number_type(largest_query: int, largest_weight: int, width: int):
-    """The smallest type whose sums of these products are exact."""
-    most = largest_query * largest_weight * max(1, width)
-    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+def _number_type(largest_query: float, largest_weight: float, width: int):
+    """The smallest type whose sums of these products are exact; Python's own numbers where 64 bits may not do."""
+    most = int(largest_query) * int(largest_weight) * max(1, width)
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
+
+
+def _as(kind, x: np.ndarray) -> np.ndarray:
+    return np.frompyfunc(int, 1, 1)(x) if kind is object else x.astype(kind)
 
 
 class Postings:
@@ -48,7 +55,7 @@ class Postings:
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray):
         order = np.argsort(np.abs(weights).argmax(axis=1), kind="stable") if weights.size else np.arange(len(ids))
-        self.ids, self.largest = ids[order], int(np.abs(weights).max(initial=0))
+        self.ids, self.largest = ids[order], float(np.abs(weights).max(initial=0))
         self.lists = np.ascontiguousarray(weights[order].T)
         self.edges = np.arange(0, len(ids), BLOCK_ROWS)
         self.high = np.maximum.reduceat(self.lists, self.edges, axis=1)
@@ -57,7 +64,7 @@ class Postings:
 
     def typed(self, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if kind not in self._typed:
-            self._typed = {kind: tuple(x.astype(kind) for x in (self.lists, self.high, self.low))}
+            self._typed = {kind: tuple(_as(kind, x) for x in (self.lists, self.high, self.low))}
         return self._typed[kind]
 
 
@@ -69,9 +76,9 @@ def search(postings: Postings, query_id: int, query: np.ndarray, k: int, found:
     scores, ids = found
     if len(scores) == k:
         threshold = int(scores[-1]) if threshold is None else max(threshold, int(scores[-1]))
-    kind = _number_type(int(np.abs(query).max(initial=0)), postings.largest, len(query))
+    kind = _number_type(float(np.abs(query).max(initial=0)), postings.largest, len(query))
     lists, high, low = postings.typed(kind)
-    q = query.astype(kind)
+    q = _as(kind, query)
     by_block = np.maximum(q[:, None] * high, q[:, None] * low)
     bound = by_block.max(axis=1)
     if threshold is None:
@@ -98,8 +105,12 @@ def search(postings: Postings, query_id: int, query: np.ndarray, k: int, found:
             near = np.flatnonzero(score >= threshold)
             live, score = live[near], score[near]
     own = postings.ids[live] != query_id
-    scores = np.concatenate([scores, np.rint(score[own]).astype(np.int64) if kind is not np.int64 else score[own]])
+    score = score[own]
+    scores = np.concatenate([scores, score if kind in (object, np.int64) else np.rint(score).astype(np.int64)])
     ids = np.concatenate([ids, postings.ids[live[own]]])
+    if scores.dtype == object:
+        best = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+        return _narrow(scores[best]), ids[best]
     if len(scores) > 4 * k:  # those that cannot be among the k best go before the rest is sorted
         keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
         scores, ids = scores[keep], ids[keep]
@@ -107,73 +118,106 @@ def search(postings: Postings, query_id: int, query: np.ndarray, k: int, found:
     return scores[best], ids[best]
 
 
+def _narrow(scores: np.ndarray) -> np.ndarray:
+    """As 64-bit integers, where all fit."""
+    return scores.astype(np.int64) if all(-(1 << 63) <= x < 1 << 63 for x in scores) else scores
+
+
 def _rows_of(edges: np.ndarray, n: int) -> np.ndarray:
     rows = (edges[:, None] + np.arange(BLOCK_ROWS)).ravel()
     return rows[rows < n]
 
 
 def vectors(embeddings: DataFrame, scale: int) -> DataFrame:
-    """vec_id and integer weights floor(scale * x). Left out: null vectors, and those with a component that is null, not finite or LARGEST or more in size; a repeated vec_id counts once, with its smallest vector."""
-    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))
-    weights = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
-    rows = embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(whole)
+    """vec_id and whole weights floor(scale * x), as doubles, which hold them exactly. Left out: null vectors, and those with a component that is null or not finite; a repeated vec_id counts once, with its smallest vector."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    # from 2^52 on doubles are whole; floor of smaller ones is a long
+    whole = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+    weights = F.transform("embedding", lambda x: whole(x.cast("double") * scale))
+    rows = embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(finite)
     return rows.groupBy("vec_id").agg(F.min(weights).alias("weights"))
 
 
-def _query_blocks(paths: list[str], width: int) -> Iterator[tuple[list[int], np.ndarray, list[int | None]]]:
-    """Ids, weights and starting thresholds of the stored queries, some at a time."""
+def _stored_blocks(paths: list[str], width: int, columns: list[str], rows: int) -> Iterator[tuple]:
+    """Ids, weights and further columns of stored rows, some at a time."""
     for uri in paths:
         system, path = common.file_at(uri)
         with system.open_input_file(path) as source:
-            for batch in pq.ParquetFile(source).iter_batches(batch_size=BLOCK_QUERIES, columns=["vec_id", "weights", "threshold"]):
-                yield batch.column(0).to_pylist(), _matrix(batch.column(1), width), batch.column(2).to_pylist()
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=rows, columns=["vec_id", "weights", *columns]):
+                yield batch.column(0).to_numpy(), _matrix(batch.column(1), width), *[batch.column(2 + i).to_pylist() for i in range(len(columns))]
+
+
+def _shards(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[Postings]:
+    """Shards of about SHARD_ROWS rows, those with wide weights apart."""
+    waiting: dict[bool, list] = {False: [], True: []}
+    for ids, weights in blocks:
+        wide = np.abs(weights).max(axis=1, initial=0) >= WIDE
+        for kind in (False, True):
+            if (wide == kind).any():
+                waiting[kind].append((ids[wide == kind], weights[wide == kind]))
+                if sum(len(w[0]) for w in waiting[kind]) >= SHARD_ROWS:
+                    yield Postings(*(np.concatenate(x) for x in zip(*waiting[kind], strict=True)))
+                    waiting[kind] = []
+    for kind in (False, True):
+        if waiting[kind]:
+            yield Postings(*(np.concatenate(x) for x in zip(*waiting[kind], strict=True)))
+
+
+def _found(queries: Iterator[tuple[int, np.ndarray, int | None]], shards: list[Postings], k: int) -> pa.RecordBatch:
+    out = [(np.zeros(0, np.int64),) * 3]
+    for query_id, query, threshold in queries:
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for shard in shards:
+            found = search(shard, query_id, query, k, found, threshold)
+        if found[0].dtype == object:
+            raise ValueError(f"a score of vector {query_id} leaves the range of a long")
+        out.append((np.full(len(found[0]), query_id), found[1], found[0]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+
+FOUND = "query_id long, vec_id long, score long"
+
+
+def _search_first(queries: DataFrame, shard: DataFrame, k: int, width: int) -> DataFrame:
+    """The k best rows of one shard, which each task reads from its files, for every query; the queries are dealt to tasks."""
+    paths = shard.inputFiles()
+
+    def run(batches):
+        shards = list(_shards(_stored_blocks(paths, width, [], SHARD_ROWS)))
+        for batch in common.slices(batches):
+            yield _found(zip(batch.column(0).to_pylist(), _matrix(batch.column(1), width), [None] * batch.num_rows, strict=True), shards, k)
+
+    return queries.select("vec_id", "weights").repartition(ranks.tasks_for(queries.count(), BLOCK_QUERIES)).mapInArrow(run, FOUND)
 
 
 def _search_all(rows: DataFrame, queries: DataFrame, k: int, width: int) -> DataFrame:
-    """query_id, vec_id and score of the k best rows of each task for every query; rows stay where they are, and each task reads the queries from their files."""
+    """query_id, vec_id and score of the k best rows of some shards of each task for every query; rows stay where they are, and each task reads the queries from their files."""
     paths = queries.inputFiles()
 
     def run(batches):
-        shards, held = [], 0
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for low in range(0, batch.num_rows, SHARD_ROWS):
-                part = batch.slice(low, SHARD_ROWS)
-                waiting.append((part.column(0).to_numpy(), _matrix(part.column(1), width)))
-                held += part.num_rows
-                if held >= SHARD_ROWS:
-                    shards.append(Postings(*(np.concatenate(x) for x in zip(*waiting, strict=True))))
-                    waiting, held = [], 0
-        if held:
-            shards.append(Postings(*(np.concatenate(x) for x in zip(*waiting, strict=True))))
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for ids, weights, thresholds in _query_blocks(paths, width) if shards else ():
-            out = []
-            for query_id, query, threshold in zip(ids, weights, thresholds, strict=True):
-                found = none
-                for shard in shards:
-                    found = search(shard, query_id, query, k, found, threshold)
-                out.append((np.full(len(found[0]), query_id), found[1], found[0]))
-            columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    return rows.select("vec_id", "weights").mapInArrow(run, "query_id long, vec_id long, score long")
+        blocks = ((part.column(0).to_numpy(), _matrix(part.column(1), width)) for part in common.slices(batches, SHARD_ROWS))
+        shards = _shards(blocks)
+        while held := list(islice(shards, HELD_SHARDS)):
+            for ids, weights, thresholds in _stored_blocks(paths, width, ["threshold"], BLOCK_QUERIES):
+                yield _found(zip(ids.tolist(), weights, thresholds, strict=True), held, k)
+
+    return rows.select("vec_id", "weights").mapInArrow(run, FOUND)
 
 
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k highest inner products; ties go to the smaller vec_id.
 
     Queries are the rows for which the condition is_query on vec_id holds; candidates are all rows but the query's
-    own. A query with fewer candidates gets all of them; an empty table gives no rows. Vectors with null, non-finite
-    or huge components (LARGEST) take no part, and a repeated vec_id counts once. Other columns are ignored.
+    own. A query with fewer candidates gets all of them; an empty table gives no rows. Vectors with null or non-finite
+    components take no part, and a repeated vec_id counts once. Sums are exact at any size; where one of the k best does
+    not fit a long, that is an error. Other columns are ignored.
     """
     rows = common.stored(vectors(embeddings, scale), "vectors")
     n, width = rows.agg(F.count("*"), F.max(F.size("weights"))).first()
     asked = rows.filter(is_query)
     first = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // SHARD_ROWS))) == 0
-    start = common.stored(asked.withColumn("threshold", F.lit(None).cast("long")), "queries")
     # about SHARD_ROWS rows of any table: the k-th score among them is one that the k best of all rows reach
-    sample = common.stored(_search_all(rows.filter(first).repartition(1), start, k, width or 0), "first-shard")
+    sample = common.stored(_search_first(asked, common.stored(rows.filter(first), "first-shard"), k, width or 0), "first-scores")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     reached = sample.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("threshold"))
     queries = common.stored(asked.join(reached, "vec_id", "left").select("vec_id", "weights", "threshold"), "queries")
@@ -188,17 +232,17 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS w
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT))) AS w
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x) OR abs(x) >= 1048576)) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
   GROUP BY vec_id
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(range(1, least(len(q.w), len(c.w)) + 1), lambda i: q.w[i] * c.w[i])) AS BIGINT) AS score
+         list_sum(list_transform(range(1, least(len(q.w), len(c.w)) + 1), lambda i: q.w[i] * c.w[i])) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
-SELECT * FROM r WHERE rank <= 20
+SELECT query_id, rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 20
 """
