@@ -153,13 +153,32 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
     return df, languages
 
 
+def affordable(rows: list[tuple], most_bytes: int) -> list[tuple]:
+    """Of (value, key, size), in order, those that fit in the bytes that are left; larger ones are passed over. A value of which none fits keeps its smallest."""
+    out, left = [], most_bytes
+    for value, key, size in rows:
+        if size <= left:
+            out.append((value, key))
+            left -= size
+    least: dict = {}
+    for value, key, size in rows:
+        least[value] = min(least.get(value, (size, key)), (size, key))
+    return out + [(value, least[value][1]) for value in least.keys() - {v for v, _ in out}]
+
+
 def bounded_sample(rows: DataFrame, by: str, per_value: int, most_bytes: int) -> DataFrame:
-    """Of rows (text, h, ...), those with the smallest h of each value of `by`: at most per_value, and of all at most most_bytes bytes of text."""
+    """Of rows (text, h, ...), those with the smallest h of each value of `by`: at most per_value, and of all at most most_bytes bytes of text.
+
+    The first of each value come first, so that bytes run out for all values alike. A text that is larger than what is
+    left is passed over; a value of which no text fits keeps its shortest, so that no value is lost.
+    """
     order = Window.partitionBy(by).orderBy("h")
-    sized = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_value).withColumn("size", F.octet_length("text"))
-    # the first of each value come first, so that bytes run out for all values alike; at most per_value rows of each meet
-    total = F.sum("size").over(Window.orderBy("nth", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return sized.withColumn("total", total).filter(F.col("total") <= most_bytes).drop("nth", "size", "total")
+    drawn = common.stored(rows.withColumn("size", F.octet_length("text")), "drawn-texts")
+    sized = drawn.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_value).select(by, "h", "size", "nth")
+    # at most per_value numbers for each value
+    kept = affordable([(r[0], r.h, r.size) for r in sorted(sized.collect(), key=lambda r: (r.nth, r.h))], most_bytes)
+    chosen = drawn.sparkSession.createDataFrame(kept, f"{by} {drawn.schema[by].dataType.simpleString()}, h long")
+    return drawn.join(F.broadcast(chosen), [by, "h"], "left_semi").drop("size")
 
 
 def train(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES) -> Model:
@@ -212,7 +231,8 @@ def identify(docs: DataFrame, may_learn: Column, per_language: int = SAMPLE_PER_
 
     Without such rows every prediction is `und`, and so are null texts and those without a letter. Equally likely
     languages go to the first by name. Repeated rows and null ids are predicted as any other row (equal texts teach
-    the weights once); very long texts are counted in parts; columns other than doc_id, text and lang are ignored.
+    the weights once); very long texts are counted in parts, and teach the weights only where the sample's bytes allow them or
+    their language has no shorter one; columns other than doc_id, text and lang are ignored.
     """
     model = train(docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"), per_language)
     return predict(docs, model)

@@ -201,7 +201,8 @@ def predict(docs: DataFrame, params: dict[str, np.ndarray] | None) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
     """Learn quality from the labels where may_learn (a condition on doc_id) holds, and score every whole text.
 
-    Null and empty texts are one empty passage; very long texts are encoded in parts. Labels other than 0 and 1 teach
+    Null and empty texts are one empty passage; very long texts are encoded in parts, and teach only where the sample's
+    bytes allow them or their label has no shorter one. Labels other than 0 and 1 teach
     nothing; a document that is labelled more than once counts once, with the larger label. Without both labels every
     score is 0.5. Repeated rows and null ids are scored as any other row; other columns are ignored.
     """

@@ -105,3 +105,22 @@ def test_document_frequencies_and_sample(spark):
     got = langid.bounded_sample(many.dropDuplicates(["h"]), "y", 7, 10**6).collect()
     assert sorted((r.y, r.h) for r in got) == sorted((y, h) for y in (0, 1) for h in range(y, 14, 2))
     assert sum(len(r.text) for r in langid.bounded_sample(many.dropDuplicates(["h"]), "y", 7, 20).collect()) <= 20
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    rows = [(i, "x" * (5000 if i == 0 else 100), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "h long, text string, y int")
+    got = langid.bounded_sample(df, "y", 20, 3000)
+    assert sorted(r.h for r in got.collect()) == list(range(1, 31))
+    assert sorted((r.y, r.h) for r in langid.bounded_sample(df, "y", 20, 10).collect()) == [(0, 2), (1, 1)]
+    assert langid.bounded_sample(df.limit(0), "y", 20, 10).count() == 0
+
+
+def test_small_budget_still_tells_languages_apart(spark):
+    """With a budget below every text, one of each language teaches; nobody is answered the first language by name alone."""
+    words = {"aa": "lorem ipsum dolor ", "bb": "zwart kwik vuur ", "cc": "être déjà çà "}
+    rows = [(i, words[x] * (3 + i % 5), x) for i, x in enumerate(["aa", "bb", "cc"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df.select("text", "lang"), most_bytes=10)
+    got = langid.predict(df, model).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 50
