@@ -3,7 +3,7 @@
 The plan is a configuration linear program: a configuration is a set of lengths that fits one sequence, and the
 program covers every length's count with as few as possible. Multiplicative weights hold a price for each length,
 falling with its coverage; a knapsack by dynamic programming finds the best-priced configurations. The solution is
-rounded down and solved again for the rest; what is left then goes to the fullest sequence that has room (best fit, longest first). All of it sees at
+rounded and solved again for the rest, until few pieces are left, which go to the fullest sequence that has room (best fit, longest first). All of it sees at
 most `capacity` lengths, so the driver's work and the plan's size do not grow with the documents.
 """
 
@@ -26,7 +26,9 @@ ROWS = 1024
 #: Configurations taken at one set of prices: the least covered lengths, each with its best-priced company.
 SEEDS = 32
 #: Shares of the program's solution that rounding tries.
-SHARES = (1.0, 0.75, 0.5, 0.25)
+SHARES = (1.0, 0.7)
+#: Pieces that are not solved for any more, but placed best fit.
+LAST = 256
 
 Config = tuple[tuple[int, int], ...]
 
@@ -46,8 +48,8 @@ def _price_table(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple
     return pick, np.maximum.accumulate(filled)
 
 
-def cover(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, eta: float = 12.0) -> dict[Config, float]:
-    """A fractional cover of counts[length] pieces by configurations ((length, copies), ...), by multiplicative weights."""
+def cover(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, eta: float = 4.0) -> dict[Config, float]:
+    """A fractional solution for counts[length] pieces by configurations ((length, copies), ...), by multiplicative weights; it covers nearly all, and rounding leaves the rest to the next solution."""
     lengths = np.flatnonzero(counts)
     if not len(lengths):
         return {}
@@ -104,10 +106,10 @@ def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Config,
 
 
 def _rounded(fractional: dict[Config, float], counts: np.ndarray, share: float) -> tuple[list[tuple[Config, int]], np.ndarray]:
-    """Whole numbers of a share of each configuration, and the pieces that are left."""
+    """Whole numbers nearest to a share of each configuration, as far as there are pieces, and the pieces that are left."""
     rest, chosen = counts.copy(), []
     for config, x in sorted(fractional.items(), key=lambda x: (-x[1], x[0])):
-        n = min([int(share * x + 1e-9), *(int(rest[length]) // copies for length, copies in config)])
+        n = min([int(share * x + 0.5), *(int(rest[length]) // copies for length, copies in config)])
         if n > 0:
             chosen.append((config, n))
             for length, copies in config:
@@ -115,18 +117,30 @@ def _rounded(fractional: dict[Config, float], counts: np.ndarray, share: float)
     return chosen, rest
 
 
+def program(counts: np.ndarray, capacity: int = CAPACITY, share: float = 1.0) -> tuple[list[tuple[Config, int]], np.ndarray]:
+    """Sequences from the program: solved and rounded, then again for what is left, until LAST pieces are or rounding takes none."""
+    chosen, rest = [], counts
+    while rest.sum() > LAST:
+        more, left = _rounded(cover(rest, capacity), rest, share)
+        if not more:
+            break
+        chosen, rest = chosen + more, left
+    return chosen, rest
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Config, int]]:
     """How many sequences hold which lengths; every counted piece has a place exactly once.
 
-    The program's solution is rounded down at some shares; what the largest leaves is also solved again and rounded.
-    The rest of each goes best fit, and the plan with the fewest sequences is taken (ties: the larger share).
+    The program's sequences at some shares of its solution, each with its last pieces placed best fit, are compared, and the
+    fewest are taken (ties: the larger share). Where best fit of all pieces needs still fewer, as it may where many short
+    pieces fill every gap, that is taken: the plan never has more sequences than best fit.
     """
-    fractional = cover(counts, capacity)
-    plans = [_rounded(fractional, counts, share) for share in SHARES]
-    chosen, rest = plans[0]
-    more, left = _rounded(cover(rest, capacity, ROUNDS // 2), rest, 1.0)
-    plans.append((chosen + more, left))
-    return min((chosen + best_fit(rest, capacity) for chosen, rest in plans), key=lambda p: sum(n for _, n in p))
+    plans = []
+    for share in SHARES:
+        chosen, rest = program(counts, capacity, share)
+        plans.append(chosen + best_fit(rest, capacity))
+    plans.append(best_fit(counts, capacity))
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def slots(chosen: list[tuple[Config, int]], capacity: int = CAPACITY) -> dict[str, np.ndarray]:

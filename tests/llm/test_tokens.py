@@ -126,3 +126,21 @@ def test_plan_covers_exactly(lengths):
             assert copies > 0
             used[length] += n * copies
     assert (used == counts).all()
+
+
+def test_plan_is_never_worse_than_best_fit_and_better_where_that_loses():
+    rng = np.random.default_rng(6)
+    used = lambda p: sum(n for _, n in p)
+    for low, high, n in ((1, 1024, 400), (200, 700, 900), (300, 420, 900), (5, 90, 700)):
+        counts = np.bincount(rng.integers(low, high, n), minlength=1025)
+        chosen = packing.plan(counts)
+        held = np.zeros(1025, np.int64)
+        for config, n_seq in chosen:
+            assert sum(length * k for length, k in config) <= 1024
+            for length, k in config:
+                held[length] += n_seq * k
+        assert (held == counts).all() and used(chosen) <= used(packing.best_fit(counts))
+    # 51 + 26 + 23 and 27 + 27 + 23 + 23 are full; longest first pairs 51 with 27
+    counts = np.zeros(101, np.int64)
+    counts[[51, 27, 26]], counts[23] = 600, 1200
+    assert used(packing.best_fit(counts, 100)) == 1100 and used(packing.plan(counts, 100)) == 900
