@@ -1,67 +1,251 @@
-"""A stored inverted index: postings with positions, document frequencies and field statistics, written once for each generation."""
+"""A stored inverted index in segments: immutable postings with positions, a table of deleted documents, and merging by size.
+
+A document is live in the newest segment that has it, unless it was deleted later. An update writes one segment with
+its documents and one list of their ids, which ends their rows in all older segments; nothing else is written. Statistics
+count live documents only. Segments of like size are merged, which drops the rows that no search sees.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import replace
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.functions.text import simple_tokens
 from docquery.sources import store
+from docquery.sources.store import Conflict, Part, Snapshot
 
 #: Folders that postings are dealt to by a hash of their term; a search for few terms reads few of them.
 BUCKETS = 32
-#: Looked-up terms up to which only their folders are read.
+#: The folder of the rows that stand for whole documents.
+LENGTHS = -1
+#: Looked-up terms up to which the terms themselves are compared in the files.
 PRUNED_TERMS = 64
+#: Rows (deleted ids, terms) up to which a table is broadcast (some tens of bytes each).
+BROADCAST_ROWS = 200_000
+#: Segments of one size class that are merged, and how many times larger the next class is.
+MERGED = 4
+TIER = 4
+#: Rows of an Arrow batch whose tokens are grouped at once.
+SLICE_ROWS = 512
+
+ENTRY = "doc_id long, field string, term string, tf long, positions array<int>, dl int, n_chars int, bucket int"
 
 
 def bucket(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def build(rows: DataFrame, fields: dict[str, Column] | None = None) -> dict[str, DataFrame]:
-    """Tables of an index over rows (doc_id, text, ...): postings, lengths, df and stats.
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, n_chars, field, tokens): one row for each term with its positions, and one without a term for the row itself."""
+    names = ["doc_id", "field", "term", "tf", "positions", "dl", "n_chars"]
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(start, SLICE_ROWS)
+            doc, chars, field, tokens = part.columns
+            dl = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(dl) - dl
+            coded = tokens.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(dl)), dl)
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            key = row * max(1, len(coded.dictionary)) + code
+            order = np.argsort(key, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
+            at, positions = row[order][cuts], (np.arange(len(row)) - first[row])[order]
+            tf = np.diff(np.r_[cuts, len(key)])
+            rows = np.r_[at, np.arange(len(dl))]
+            none = np.zeros(len(dl), np.int64)
+            terms = pa.concat_arrays([coded.dictionary.take(pa.array(code[order][cuts])).cast(pa.string()), pa.nulls(len(dl), pa.string())])
+            offsets = np.r_[0, np.cumsum(np.r_[tf, none])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(positions.astype(np.int32)))
+            take = pa.array(rows)
+            columns = [doc.take(take), field.take(take), terms, pa.array(np.r_[tf, none]), lists, pa.array(dl[rows].astype(np.int32)), chars.take(take)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def build(rows: DataFrame, fields: dict[str, Column] | None = None) -> DataFrame:
+    """Entries of an index over rows (doc_id, text, ...), texts being tokenized once.
 
     fields names the token arrays that are indexed (text alone if none are given). A posting is a term of a field of a
-    document: tf, positions (from 0), dl (tokens of the field) and n_chars (of the text). lengths has a row for each
-    document and field, stats one for each field: n documents and total tokens.
+    document: tf, positions (from 0), dl (tokens of the field) and n_chars (of the text). A row without a term, in the
+    folder LENGTHS, stands for each document and field. Null token arrays are empty.
     """
     fields = {"text": simple_tokens("text")} if fields is None else fields
-    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens.alias("tokens")) for f, tokens in fields.items()])
-    tokens = rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), F.inline(each)).withColumn("dl", F.size("tokens"))
-    lengths = tokens.select("doc_id", "field", "dl", "n_chars")
-    places = tokens.select("doc_id", "field", "dl", "n_chars", F.posexplode("tokens").alias("position", "term"))
-    postings = places.groupBy("doc_id", "field", "term").agg(
-        F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"), F.first("n_chars").alias("n_chars")
-    )
-    return {"postings": postings.withColumn("bucket", bucket("term")), "lengths": lengths}
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")) for f, tokens in fields.items()])
+    tokens = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), F.inline(each))
+    entries = tokens.mapInArrow(_entries, ENTRY.rpartition(",")[0])
+    return entries.withColumn("bucket", F.when(F.col("term").isNull(), LENGTHS).otherwise(bucket("term")))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _put_entries(spark: SparkSession, root: str, entries: DataFrame) -> list[Part]:
+    # the hash of a term deals the postings, so that those of one term lie together and a very frequent one is some files
+    dealt = entries.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term", "field", "doc_id")
+    (part,) = store.put(spark, root, {"segment": dealt}, {"segment": ["bucket"]})
+    df = store.written(spark, part).filter(F.col("bucket") != LENGTHS).groupBy("field", "term").agg(F.count("*").alias("df"))
+    (terms,) = store.put(spark, root, {"df": df})
+    rows = store.written(spark, part).filter(F.col("bucket") == LENGTHS).select("doc_id").distinct().count()
+    return [replace(part, facts={"rows": rows}), replace(terms, facts={"segment": part.path})]
+
+
+def _put_ids(spark: SparkSession, root: str, ids: DataFrame) -> Part:
+    (part,) = store.put(spark, root, {"gone": ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()})
+    return replace(part, facts={"rows": store.written(spark, part).count()})
+
+
+def _with_stats(spark: SparkSession, root: str, parts: list[Part], now: Snapshot) -> list[Part]:
+    """The parts with a part `stats` that states, for each field, how many live documents they have and of how many tokens.
+
+    Only rows that stand for documents are read, and none but those of new segments where no document ends.
+    """
+    parts = [p for p in parts if p.name != "stats"]
+    view = Index(spark, root, Snapshot(now.generation + 1, tuple(replace(p, seq=now.generation + 1) if p.seq is None else p for p in parts)), stats=False)
+    rows = view.lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()  # a row for each field
+    return [*parts, Part("stats", "", "", None, {r.field: [r.n, r.total] for r in rows})]
 
 
 def write(spark: SparkSession, root: str, documents: DataFrame, fields: dict[str, Column] | None = None) -> int:
-    """Write an index of the documents and publish it as the root's next generation."""
-    tables = build(documents, fields)
-    # the hash of a term deals the postings, so that those of one term lie together and a very frequent one is one file
-    postings = tables["postings"].repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term", "field", "doc_id")
-    rows = store.put(spark, root, {"postings": postings, "lengths": tables["lengths"]}, {"postings": ["bucket"]})
-    # statistics are counted from what was written, and all four are published together
-    df = store.written(spark, rows[0]).groupBy("field", "term").agg(F.count("*").alias("df"))
-    stats = store.written(spark, rows[1]).groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
-    return store.publish(spark, root, rows + store.put(spark, root, {"df": df, "stats": stats}))
+    """Write an index of the documents and publish it as the root's next generation, in place of all segments."""
+    parts = _put_entries(spark, root, build(documents, fields))
+    kept = lambda now: [p for p in now.parts if p.name not in ("segment", "df", "gone", "stats")]
+    return store.publish(spark, root, lambda now: _with_stats(spark, root, [*kept(now), *parts], now))
 
 
-class Index:
-    """A generation of a stored index."""
+def upsert(spark: SparkSession, root: str, documents: DataFrame, fields: dict[str, Column] | None = None) -> int:
+    """Put the documents in place of those with the same doc_id: one segment and one list of ids are written.
+
+    Of two writers that bring the same document, the one that is published later wins.
+    """
+    parts = [*_put_entries(spark, root, build(documents, fields)), _put_ids(spark, root, documents)]
+    return store.publish(spark, root, lambda now: _with_stats(spark, root, [*now.parts, *parts], now))
+
+
+def delete(spark: SparkSession, root: str, ids: DataFrame) -> int:
+    """End the documents with these ids (doc_id): one list of ids is written. Unknown ids change nothing that a search sees."""
+    part = _put_ids(spark, root, ids)
+    return store.publish(spark, root, lambda now: _with_stats(spark, root, [*now.parts, part], now) if now.of("segment") else now.parts)
+
+
+def due(segments: list[Part]) -> list[Part]:
+    """The segments of the smallest size class that has MERGED of them, or none. A class holds up to TIER times the documents of the one below."""
+    classes: dict[int, list[Part]] = {}
+    for p in segments:
+        size, tier = max(1, p.facts["rows"]), 0
+        while size >= TIER:
+            size, tier = size // TIER, tier + 1
+        classes.setdefault(tier, []).append(p)
+    return next((classes[t] for t in sorted(classes) if len(classes[t]) >= MERGED), [])
 
-    def __init__(self, spark: SparkSession, root: str, at: int | None = None):
-        self.spark = spark
-        self.generation = store.generation(spark, root) if at is None else at
-        self.postings, self.lengths, self.df, self.stats = (store.read(spark, root, name, self.generation) for name in ("postings", "lengths", "df", "stats"))
+
+def merge(spark: SparkSession, root: str, everything: bool = False) -> int:
+    """Merge the segments that are due (or all) into one that has their live rows, and drop the lists of ids that end no row any more.
+
+    A merge that another writer has overtaken by merging the same segments starts anew.
+    """
+    while True:
+        now = store.snapshot(spark, root)
+        old = now.of("segment") if everything else due(now.of("segment"))
+        if len(old) < 2 and not (everything and now.of("gone")):
+            return now.generation
+        seq = max(p.seq for p in old)
+        merged = _put_entries(spark, root, Index(spark, root, now).entries(old).drop("seq"))
+        merged = [replace(p, seq=seq) for p in merged]
+        paths = {p.path for p in old}
+
+        def change(newest: Snapshot, paths=paths, merged=merged) -> list[Part]:
+            if not paths <= {p.path for p in newest.parts}:
+                raise Conflict
+            parts = [p for p in newest.parts if p.path not in paths and p.facts.get("segment") not in paths] + merged
+            oldest = min(p.seq for p in parts if p.name == "segment")
+            return _with_stats(spark, root, [p for p in parts if p.name != "gone" or p.seq > oldest], newest)
+
+        try:
+            return store.publish(spark, root, change)
+        except Conflict:
+            continue
+
+
+class Index:
+    """One generation of a stored index: searches see its segments and deletions, whatever is published meanwhile."""
+
+    def __init__(self, spark: SparkSession, root: str, at: int | Snapshot | None = None, stats: bool = True):
+        self.spark, self.root = spark, root
+        self.snapshot = at if isinstance(at, Snapshot) else store.snapshot(spark, root, at)
+        self.generation = self.snapshot.generation
+        self.segments, self.gone = self.snapshot.of("segment"), self.snapshot.of("gone")
+        if not self.segments:
+            raise KeyError("segment")
+        if stats:
+            (facts,) = [p.facts for p in self.snapshot.of("stats")]
+            self.stats = spark.createDataFrame([(f, n, total) for f, (n, total) in sorted(facts.items())], "field string, n long, total long")
+            self._fields = sorted(facts)
 
     def fields(self) -> list[str]:
-        return sorted(r.field for r in self.stats.select("field").collect())  # a row for each field
+        return self._fields
+
+    def _ended(self) -> tuple[DataFrame, int]:
+        """doc_id and ended: rows of older segments than that are dead; and how many ids there are at most."""
+        lists = [store.written(self.spark, p).withColumn("ended", F.lit(p.seq).cast("long")) for p in self.gone]
+        return reduce(DataFrame.unionByName, lists).groupBy(F.col("doc_id").alias("__doc")).agg(F.max("ended").alias("ended")), sum(p.facts["rows"] for p in self.gone)
+
+    def _split(self, rows: DataFrame, live: bool) -> DataFrame:
+        ended, n = self._ended()
+        return rows.join(_small(ended, n), (F.col("doc_id") == F.col("__doc")) & (F.col("seq") < F.col("ended")), "left_anti" if live else "left_semi")
+
+    def _all(self, segments: list[Part]) -> DataFrame:
+        return reduce(DataFrame.unionByName, (store.written(self.spark, p).withColumn("seq", F.lit(p.seq).cast("long")) for p in segments))
+
+    def entries(self, segments: list[Part] | None = None) -> DataFrame:
+        """Live rows of the segments with their seq."""
+        rows = self._all(self.segments if segments is None else segments)
+        return self._split(rows, True) if self.gone else rows
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.entries().filter(F.col("bucket") != LENGTHS)
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.entries().filter(F.col("bucket") == LENGTHS).select("doc_id", "field", "dl", "n_chars")
+
+    def within(self, terms: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+        """Postings (or rows) of the terms (a table with a column term) alone: only the folders that they are dealt to are read."""
+        rows = self.postings if rows is None else rows
+        wanted = terms.select("term").distinct()
+        buckets = [r.b for r in wanted.select(bucket("term").alias("b")).distinct().collect()]  # BUCKETS rows at most
+        n = wanted.count()
+        rows = rows.filter(F.col("bucket").isin(buckets) if buckets else F.lit(False))
+        if n <= PRUNED_TERMS:
+            return rows.filter(F.col("term").isin([r.term for r in wanted.collect()]))
+        return rows.join(_small(wanted, n), "term", "left_semi")
 
     def of(self, terms: list[str] | None) -> DataFrame:
-        """Postings; of few terms, from their folders alone."""
-        if terms is None or len(terms) > PRUNED_TERMS:
-            return self.postings
-        wanted = self.spark.createDataFrame([(t,) for t in terms], "term string").select("term", bucket("term").alias("b")).collect()
-        return self.postings.filter(F.col("bucket").isin([r.b for r in wanted]) & F.col("term").isin(terms))
+        """Postings of the named terms, or of all."""
+        return self.postings if terms is None else self.within(self.spark.createDataFrame([(t,) for t in terms], "term string"))
+
+    @property
+    def df(self) -> DataFrame:
+        return self.df_of()
+
+    def df_of(self, terms: DataFrame | None = None) -> DataFrame:
+        """field, term and df (live documents) of the terms, or of all: what the segments counted less what has ended."""
+        parts = [store.written(self.spark, p) for p in self.snapshot.of("df")]
+        counted = reduce(DataFrame.unionByName, parts)
+        if terms is not None:
+            wanted = terms.select("term").distinct()
+            counted = counted.join(_small(wanted, wanted.count()), "term", "left_semi").select("field", "term", "df")
+        if len(parts) == 1 and not self.gone:
+            return counted
+        if self.gone:
+            rows = self._all(self.segments).filter(F.col("bucket") != LENGTHS)
+            dead = self._split(rows if terms is None else self.within(terms, rows), False).groupBy("field", "term").agg((-F.count("*")).alias("df"))
+            counted = counted.unionByName(dead)
+        return counted.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")

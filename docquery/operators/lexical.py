@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.functions.text import simple_tokens
-from docquery.operators.index import PRUNED_TERMS, Index
+from docquery.operators.index import Index
 
 # The ranking formula, the length past which a chunk counts half, and the most rows of a query.
 K1, B = 1.2, 0.75
@@ -49,7 +49,7 @@ def _idf(index: Index, terms: DataFrame, boosts: dict[str, float]) -> DataFrame:
     boost = F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair])
     stats = index.stats.filter(F.col("field").isin(list(boosts)))
     rows = terms.withColumnRenamed("field", "only") if "field" in terms.columns else terms.withColumn("only", F.lit(None).cast("string"))
-    joined = rows.join(index.df, "term").filter(F.col("only").isNull() | (F.col("only") == F.col("field"))).join(F.broadcast(stats), "field")  # a row for each field
+    joined = rows.join(index.df_of(terms), "term").filter(F.col("only").isNull() | (F.col("only") == F.col("field"))).join(F.broadcast(stats), "field")  # a row for each field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return joined.withColumn("weight", boost[F.col("field")] * idf).withColumn("average", F.col("total") / F.col("n")).drop("only", "df", "n", "total")
 
@@ -64,11 +64,6 @@ def _halved(score: Column | str, n_chars: str = "n_chars") -> Column:
     return F.when(F.col(n_chars) > LONG_CHUNK_CHARS, score * LONG_CHUNK_FACTOR).otherwise(score)
 
 
-def _few(terms: DataFrame, n: int) -> list[str] | None:
-    """The terms themselves where they are few, so that only their postings are read."""
-    return [r.term for r in terms.collect()] if n <= PRUNED_TERMS else None
-
-
 def bm25(index: Index, queries: DataFrame, scope: DataFrame | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
     """query_id, doc_id and score of every document that shares a term with a query.
 
@@ -80,7 +75,7 @@ def bm25(index: Index, queries: DataFrame, scope: DataFrame | None = None, boost
     terms = clauses.select("term").distinct()
     n, n_clauses = terms.count(), clauses.count()
     weights = _idf(index, terms, boosts)
-    hits = index.of(_few(terms, n)).select("doc_id", "field", "term", "tf", "dl", "n_chars")
+    hits = index.within(terms).select("doc_id", "field", "term", "tf", "dl", "n_chars")
     if scope is not None:
         hits = hits.join(scope.select("doc_id"), "doc_id", "left_semi")
     parts = hits.join(_small(weights, n * len(boosts)), ["field", "term"]).select("doc_id", "term", "n_chars", (F.col("weight") * _gain("tf")).alias("part"))
@@ -101,7 +96,8 @@ def top(scored: DataFrame, limit: int = 10, by: str = "query_id", key: str = "do
 def matched_terms(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, doc_id and n: distinct terms of the query that the document holds."""
     clauses = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    hits = index.postings.select("doc_id", "term").distinct() if len(index.fields()) > 1 else index.postings.select("doc_id", "term")
+    hits = index.within(clauses).select("doc_id", "term")
+    hits = hits.distinct() if len(index.fields()) > 1 else hits
     return hits.join(_small(clauses, clauses.count()), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
 
 
@@ -112,16 +108,17 @@ def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:
     """
     sized = phrases.filter(F.size("terms") > 0).select("phrase_id", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
     n = sized.count()
-    frequency = index.df.groupBy("term").agg(F.sum("df").alias("df"))
+    frequency = index.df_of(sized).groupBy("term").agg(F.sum("df").alias("df"))
     known = sized.join(frequency, "term", "left")
     # a phrase with a term that no document has stands nowhere
     lead = known.groupBy("phrase_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "term")).alias("lead"), F.first("size").alias("size")).filter("lead.df > 0")
     lead = lead.select("phrase_id", "size", F.col("lead.term").alias("term"), F.col("lead.offset").alias("offset"))
-    starts = index.postings.join(_small(lead, n), "term").select("phrase_id", "size", "doc_id", "field", "offset", F.explode("positions").alias("position"))
+    starts = index.within(lead).join(_small(lead, n), "term").select("phrase_id", "size", "doc_id", "field", "offset", F.explode("positions").alias("position"))
     starts = starts.select("phrase_id", "doc_id", "field", "size", "offset", (F.col("position") - F.col("offset")).alias("start")).filter("start >= 0")
     rest = sized.join(lead.select("phrase_id", F.col("offset").alias("first")), "phrase_id").filter("offset != first").select("phrase_id", "offset", "term")
     wanted = starts.filter("size > 1").select("phrase_id", "doc_id", "field", "size", "start").join(_small(rest, n), "phrase_id")
-    held = index.postings.select("doc_id", "field", "term", "positions")
+    # only postings of the phrases' own terms move
+    held = index.within(rest).select("doc_id", "field", "term", "positions")
     # sorted positions of a term in a document come once for all starts that ask for them
     checked = wanted.groupBy("doc_id", "field", "term", "phrase_id", "size", "offset").agg(F.collect_list("start").alias("starts")).join(held, ["doc_id", "field", "term"])
     found = checked.select("phrase_id", "doc_id", "field", "size", F.explode(F.array_intersect("starts", F.transform("positions", lambda p: p - F.col("offset")))).alias("start"))
@@ -133,7 +130,7 @@ def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:
 def boolean(index: Index, must: list[str], should: list[str], must_not: list[str]) -> DataFrame:
     """doc_id and matched (number of clauses met) under required, optional and forbidden terms."""
     words = list({*must, *should, *must_not})
-    rows = index.of(words).select("doc_id", "term").distinct()
+    rows = index.within(index.spark.createDataFrame([(w,) for w in words], "term string")).select("doc_id", "term").distinct()
     count = lambda some: F.count(F.when(F.col("term").isin(list(some)), 1)) if some else F.lit(0)
     out = rows.groupBy("doc_id").agg(count(set(must)).alias("m"), count(set(should)).alias("s"), count(set(must_not)).alias("x"))
     wanted = (F.col("m") == len(set(must))) & (F.col("x") == 0) & ((F.col("s") > 0) | F.lit(bool(must)))
@@ -153,7 +150,7 @@ def score_clauses(index: Index, clauses: DataFrame, scope: DataFrame | None = No
     weights = single.join(_idf(index, terms, boosts).withColumnRenamed("field", "on"), "term").filter(F.col("field").isNull() | (F.col("field") == F.col("on")))
     weights = weights.select(*keys, "term", F.col("on").alias("field"), "weight", "average").distinct()
     n = clauses.count()
-    ones = index.postings.join(_small(weights, n * len(boosts)), ["term", "field"]).select(*keys, "doc_id", "n_chars", (F.col("weight") * _gain("tf")).alias("part"))
+    ones = index.within(terms).join(_small(weights, n * len(boosts)), ["term", "field"]).select(*keys, "doc_id", "n_chars", (F.col("weight") * _gain("tf")).alias("part"))
 
     phrases = clauses.filter(F.size("terms") > 1).withColumn("phrase_id", F.struct(*keys))
     idf = _idf(index, phrases.select(*keys, "field", F.explode("terms").alias("term")), boosts).groupBy(*keys, "field").agg(F.sum("weight").alias("weight"), F.first("average").alias("average"))

@@ -215,6 +215,12 @@ def bm25_scoped_topk(spark, sf_dir):
     return lexical.top(lexical.bm25(stored.index(spark, sf_dir), _queries(spark, sf_dir), inside))
 
 
+@query((_ALL + "SELECT * FROM k WHERE rank <= 10").replace("FROM documents)", "FROM documents WHERE source IS DISTINCT FROM 'src7')"))
+def bm25_updated(spark, sf_dir):
+    """The search over an index in segments, after one source was brought anew, one was deleted and segments were merged."""
+    return lexical.top(lexical.bm25(stored.updated(spark, sf_dir), _queries(spark, sf_dir)))
+
+
 @query(rf"WITH {_TOKENS}, i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark), ph AS (SELECT item_id * 10000 + j AS phrase_id, w[j : j + 2] AS a FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS j FROM i)), g AS (SELECT doc_id, w[j : j + 2] AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS j FROM t)) SELECT phrase_id, doc_id, count(*) AS n FROM ph JOIN g USING (a) GROUP BY 1, 2")
 def phrase_match(spark, sf_dir):
     """Every three consecutive words of every item as a phrase."""

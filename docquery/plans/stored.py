@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.functions.text import simple_tokens
-from docquery.operators.index import Index, write
+from docquery.operators.index import Index, delete, merge, upsert, write
 from docquery.session import shared_root
 from docquery.sources.tables import table
 
@@ -25,10 +26,15 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@cache
-def _root(app: str, sf_dir: str, name: str, shared: str) -> str:
-    import uuid
+def _version(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """What the table's files are: path, length and time of each, so that changed files are another table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in files.listStatus(path)))
+
 
+@cache
+def _root(app: str, sf_dir: str, name: str, shared: str, version: tuple) -> str:
     spark = SparkSession.getActiveSession()
     root = f"{shared}/docquery-index/{name}-{uuid.uuid4().hex}"
     if name == "documents":
@@ -41,4 +47,22 @@ def _root(app: str, sf_dir: str, name: str, shared: str) -> str:
 
 def index(spark: SparkSession, sf_dir: str, name: str = "documents") -> Index:
     """The stored index of `documents` or `conversations`; the first call of a session writes it."""
-    return Index(spark, _root(spark.sparkContext.applicationId, sf_dir, name, shared_root(spark)))
+    return Index(spark, _root(spark.sparkContext.applicationId, sf_dir, name, shared_root(spark), _version(spark, sf_dir, name)))
+
+
+def updated(spark: SparkSession, sf_dir: str) -> Index:
+    """documents as an index that was made of old texts (half as long for one source) and of others, then brought up to date.
+
+    One source's documents come anew, another's are deleted, further ones come in parts, and the small segments are merged.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    root = f"{shared_root(spark)}/docquery-index/updated-{uuid.uuid4().hex}"
+    late = F.col("source").isin("src4", "src5", "src6")
+    old = F.expr("CASE WHEN source = 'src3' THEN left(text, length(text) DIV 2) ELSE text END")
+    write(spark, root, docs.filter(~F.coalesce(late, F.lit(False))).select("doc_id", old.alias("text")))
+    upsert(spark, root, docs.filter("source = 'src3'"))
+    delete(spark, root, docs.filter("source = 'src7'"))
+    for source in ("src4", "src5", "src6"):
+        upsert(spark, root, docs.filter(F.col("source") == source))
+    merge(spark, root)
+    return Index(spark, root)
