@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquery.functions import analyzer
 from docquery.functions import text as T
-from docquery.operators import catalog, chunking, dense, evaluate, lexical, ranking
+from docquery.operators import catalog, chunking, dense, evaluate, lexical, ranking, vectors
 from docquery.plans import clauses, search, stored
 from docquery.sources.tables import chunks, docs, table
 from docquery.streaming import debounce
@@ -364,6 +364,32 @@ def cosine_scoped(spark, sf_dir):
     return dense.cosine_top_k(table(spark, sf_dir, "embeddings").filter("label IN (1, 2)"), _query_vectors(spark, sf_dir))
 
 
+@query()
+def ann_topk(spark, sf_dir):
+    """The nearest vectors of every 100th one from the stored index of all: about those of cosine_topk, with exact scores."""
+    return stored.vector_index(spark, sf_dir).top_k(_query_vectors(spark, sf_dir))
+
+
+@query("""
+WITH c AS (
+  SELECT 'label ' || label AS project, count(*) AS chunks, count(embedding) AS vectors, max(len(embedding)) AS dim FROM embeddings GROUP BY 1
+  UNION ALL
+  SELECT source, count(*), count(embedding), coalesce(max(len(embedding)), 0) FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY 1
+)
+SELECT project, chunks, vectors, dim,
+       CASE WHEN vectors > 54 OR vectors * dim * 4 > 15000 THEN 'stream' WHEN vectors >= 46 AND vectors >= chunks AND vectors * (dim * 4 + ceil(dim / 4.0) + 12) <= 15000 THEN 'ann' ELSE 'exact' END AS tier,
+       CASE WHEN vectors > 54 OR vectors * dim * 4 > 15000 THEN 'exact_fallback' WHEN vectors < chunks THEN 'partial_coverage' END AS degraded
+FROM c
+""")
+def dense_tiers(spark, sf_dir):
+    """How a search of each group is answered, with limits that the small tables reach: groups of vectors by label, and of documents by source."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    held = [F.count("*").alias("chunks"), F.count("embedding").alias("vectors"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim")]
+    by_label = e.groupBy(F.concat(F.lit("label "), F.col("label").cast("string")).alias("project")).agg(*held)
+    by_source = d.join(e, d.doc_id == e.vec_id, "left").groupBy(F.col("source").alias("project")).agg(*held)
+    return vectors.tiers(by_label.union(by_source), min_vectors=46, max_vectors=54, max_bytes=15_000)
+
+
 @query()
 def chunk_documents(spark, sf_dir):
     """Every chunk of every document with its lines, kind and heading path."""

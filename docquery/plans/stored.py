@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.functions.text import simple_tokens
+from docquery.operators import vectors
 from docquery.operators.index import Index, delete, merge, upsert, write
 from docquery.session import shared_root
 from docquery.sources.tables import table
@@ -37,7 +38,9 @@ def _version(spark: SparkSession, sf_dir: str, name: str) -> tuple:
 def _root(app: str, sf_dir: str, name: str, shared: str, version: tuple) -> str:
     spark = SparkSession.getActiveSession()
     root = f"{shared}/docquery-index/{name}-{uuid.uuid4().hex}"
-    if name == "documents":
+    if name == "embeddings":
+        vectors.build(spark, root, table(spark, sf_dir, "embeddings"))
+    elif name == "documents":
         write(spark, root, table(spark, sf_dir, "documents").select("doc_id", "text"))
     else:
         rows = turns(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), "text", "title")
@@ -50,6 +53,11 @@ def index(spark: SparkSession, sf_dir: str, name: str = "documents") -> Index:
     return Index(spark, _root(spark.sparkContext.applicationId, sf_dir, name, shared_root(spark), _version(spark, sf_dir, name)))
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
+    """The stored index of `embeddings`; the first call of a session writes it."""
+    return vectors.VectorIndex(spark, _root(spark.sparkContext.applicationId, sf_dir, "embeddings", shared_root(spark), _version(spark, sf_dir, "embeddings")))
+
+
 def updated(spark: SparkSession, sf_dir: str) -> Index:
     """documents as an index that was made of old texts (half as long for one source) and of others, then brought up to date.
 
