@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.functions.text import simple_tokens
 from docquery.operators.index import Index
+from docquery.session import shared_root
 
 # The ranking formula, the length past which a chunk counts half, and the most rows of a query.
 K1, B = 1.2, 0.75
@@ -141,7 +145,8 @@ def score_clauses(index: Index, clauses: DataFrame, scope: DataFrame | None = No
     """query_id, doc_id and score for queries given as clauses (see plans.clauses): query_id, clause, team, occur, field and terms.
 
     A clause of several terms is a phrase. A team's required clauses must all be met; of a query's teams one must be,
-    every clause of the team None too, and none that is forbidden. Met clauses that are not forbidden add their scores.
+    every clause of the team -1 too, and none that is forbidden. Met clauses that are not forbidden add their scores. Groups
+    (brackets) are scored likewise, from the inside out, and add what they score to the group around them.
     """
     boosts = FIELD_BOOSTS if boosts is None else boosts
     keys = ["query_id", "clause"]
@@ -161,17 +166,34 @@ def score_clauses(index: Index, clauses: DataFrame, scope: DataFrame | None = No
     if scope is not None:
         hits = hits.join(scope.select("doc_id"), "doc_id", "left_semi")
     met = hits.groupBy(*keys, "doc_id").agg(F.sum("part").alias("part"), F.first("n_chars").alias("n_chars"))
-    met = met.join(_small(clauses.select(*keys, "team", "occur"), n), keys)
-    wanted = clauses.groupBy("query_id", "team").agg(F.count(F.when(F.col("occur") == "must", 1)).alias("musts"), F.count(F.when(F.col("occur") == "should", 1)).alias("shoulds"))
-    teams = met.groupBy("query_id", "doc_id", "team").agg(
+    if "group" not in clauses.columns:
+        clauses = clauses.withColumns({"group": F.lit(-1), "depth": F.lit(0)})
+    deepest = clauses.agg(F.max("depth")).first()[0] or 0
+    if deepest:  # every depth reads what the words and phrases have found
+        path = f"{shared_root(index.spark)}/docquery-queries/{uuid.uuid4().hex}"
+        met.write.parquet(path)
+        met = index.spark.read.schema(met.schema).parquet(path)
+    found = None
+    # brackets from the inside out: what a group finds is a clause of the group around it
+    for depth in range(deepest, -1, -1):
+        inner = [] if found is None else [found.select("query_id", F.col("group").alias("clause"), "doc_id", "part", "n_chars")]
+        found = _groups(reduce(DataFrame.unionByName, inner, met), clauses.filter(F.col("depth") == depth), n)
+    return found.select("query_id", "doc_id", _halved("part").alias("score"))
+
+
+def _groups(met: DataFrame, clauses: DataFrame, n: int) -> DataFrame:
+    """query_id, group, doc_id, part and n_chars of the documents that each group of these clauses finds."""
+    group = ["query_id", "group"]
+    met = met.join(_small(clauses.select("query_id", "clause", "group", "team", "occur"), n), ["query_id", "clause"])
+    wanted = clauses.groupBy(*group, "team").agg(F.count(F.when(F.col("occur") == "must", 1)).alias("musts"), F.count(F.when(F.col("occur") == "should", 1)).alias("shoulds"))
+    teams = met.groupBy(*group, "doc_id", "team").agg(
         F.sum(F.when(F.col("occur") != "must_not", F.col("part")).otherwise(0.0)).alias("part"), F.count(F.when(F.col("occur") == "must", 1)).alias("m"),
         F.count(F.when(F.col("occur") == "should", 1)).alias("s"), F.count(F.when(F.col("occur") == "must_not", 1)).alias("x"), F.first("n_chars").alias("n_chars"),
-    ).join(_small(wanted, n), ["query_id", "team"])
+    ).join(_small(wanted, n), [*group, "team"])
     good = (F.col("m") == F.col("musts")) & ((F.col("musts") > 0) | (F.col("s") > 0))
     rule = F.col("team") < 0
-    totals = teams.groupBy("query_id", "doc_id").agg(
-        F.sum(F.when(good, F.col("part")).otherwise(0.0)).alias("score"), F.count(F.when(good & ~rule, 1)).alias("teams"), F.count(F.when(good & rule, 1)).alias("rules"), F.sum("x").alias("x"), F.first("n_chars").alias("n_chars")
+    totals = teams.groupBy(*group, "doc_id").agg(
+        F.sum(F.when(good, F.col("part")).otherwise(0.0)).alias("part"), F.count(F.when(good & ~rule, 1)).alias("teams"), F.count(F.when(good & rule, 1)).alias("rules"), F.sum("x").alias("x"), F.first("n_chars").alias("n_chars")
     )
-    needs = wanted.groupBy("query_id").agg(F.count(F.when(rule & (F.col("musts") > 0), 1)).alias("need_rules"), F.count(F.when(~rule & (F.col("musts") + F.col("shoulds") > 0), 1)).alias("need_teams"))
-    held = totals.join(_small(needs, n), "query_id").filter("x = 0 AND rules = need_rules AND (teams > 0 OR need_rules > 0)")
-    return held.select("query_id", "doc_id", _halved("score").alias("score"))
+    needs = wanted.groupBy(*group).agg(F.count(F.when(rule & (F.col("musts") > 0), 1)).alias("need_rules"), F.count(F.when(~rule & (F.col("musts") + F.col("shoulds") > 0), 1)).alias("need_teams"))
+    return totals.join(_small(needs, n), group).filter("x = 0 AND rules = need_rules AND (teams > 0 OR need_rules > 0)").select(*group, "doc_id", "part", "n_chars")

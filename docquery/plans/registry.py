@@ -292,7 +292,13 @@ def search_turns(spark, sf_dir):
 _FORMS = {
     1: "the of", 2: "the OR of", 3: "the AND of", 4: "the AND of OR title:user", 5: "title:assistant AND text:the", 6: '"of the"', 7: "the -of", 8: "+of the", 9: "the NOT and", 10: 'title:user AND "in the"', 11: "THE the", 12: '-title:user "to the"',
 }
-def _form_sql() -> str:
+#: Brackets in brackets.
+_TREES = {
+    1: "(the OR of) AND (and OR in)", 2: "the AND NOT (of OR title:user)", 3: "+(the of) -(and AND in)", 4: "((the AND of) OR (and AND in)) AND title:assistant", 5: "the ((of))", 6: 'title:user AND ("in the" OR (of -the))', 7: "(title:user AND (of OR (in AND NOT (the AND (and OR to)))))",
+}
+
+
+def _form_sql(trees: bool = False) -> str:
     """Each form as a condition on a turn's tokens (x: text, y: title) and the clauses that it adds."""
     has = lambda c, w: f"list_contains({c}, '{w}')"
     any_ = lambda w: f"({has('x', w)} OR {has('y', w)})"
@@ -308,6 +314,17 @@ def _form_sql() -> str:
         7: (f"{any_('the')} AND NOT {any_('of')}", one("the")), 8: (any_("of"), f"{one('of')} + {one('the')}"), 9: (f"{any_('the')} AND NOT {any_('and')}", one("the")),
         10: (f"{has('y', 'user')} AND {after('in', 'the')}", f"{one('user', 'title')} + {two('in', 'the')}"), 11: (any_("the"), one("the", None, 2)), 12: (f"{after('to', 'the')} AND NOT {has('y', 'user')}", two("to", "the")),
     }
+    if trees:
+        pair = lambda a, b: f"CASE WHEN {any_(a)} AND {any_(b)} THEN {one(a)} + {one(b)} ELSE 0 END"
+        rest = f"({any_('in')} AND NOT ({any_('the')} AND ({any_('and')} OR {any_('to')})))"
+        forms = {
+            1: (f"({any_('the')} OR {any_('of')}) AND ({any_('and')} OR {any_('in')})", " + ".join(one(w) for w in ("the", "of", "and", "in"))), 2: (f"{any_('the')} AND NOT ({any_('of')} OR {has('y', 'user')})", one("the")),
+            3: (f"({any_('the')} OR {any_('of')}) AND NOT ({any_('and')} AND {any_('in')})", f"{one('the')} + {one('of')}"),
+            4: (f"(({both}) OR ({any_('and')} AND {any_('in')})) AND {has('y', 'assistant')}", f"{pair('the', 'of')} + {pair('and', 'in')} + {one('assistant', 'title')}"),
+            5: (f"{any_('the')} OR {any_('of')}", f"{one('the')} + {one('of')}"),
+            6: (f"{has('y', 'user')} AND ({after('in', 'the')} OR ({any_('of')} AND NOT {any_('the')}))", f"{one('user', 'title')} + {two('in', 'the')} + CASE WHEN {any_('the')} THEN 0 ELSE {one('of')} END"),
+            7: (f"{has('y', 'user')} AND ({any_('of')} OR {rest})", f"{one('user', 'title')} + {one('of')} + CASE WHEN {rest} THEN {one('in')} ELSE 0 END"),
+        }
     rows = " UNION ALL ".join(f"SELECT {k} AS query_id, doc_id, n_chars, {score} AS score FROM h WHERE {condition}" for k, (condition, score) in forms.items())
     return f"WITH {_TURNS}, h AS (SELECT a.doc_id, a.n_chars, a.w AS x, b.w AS y FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.field = 'text' AND b.field = 'title'), z AS ({rows}) SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(score * CASE WHEN n_chars > 1650 THEN 0.5 ELSE 1.0 END, 6) AS score FROM z"
 
@@ -320,6 +337,14 @@ def query_syntax(spark, sf_dir):
     return scored.withColumn("score", F.round("score", 6))
 
 
+@query(_form_sql(trees=True))
+def query_trees(spark, sf_dir):
+    """Every turn that each form with nested brackets finds, with its score."""
+    forms = spark.createDataFrame(list(_TREES.items()), "query_id long, text string")
+    scored = lexical.score_clauses(stored.index(spark, sf_dir, "conversations"), clauses.syntax(forms), boosts=stored.TURN_BOOSTS)
+    return scored.withColumn("score", F.round("score", 6))
+
+
 _LIST2 = """b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM (SELECT query_id, p.doc_id, count(*) AS hits FROM p JOIN c USING (term) GROUP BY 1, 2) QUALIFY rank <= 50)"""
 _RRF = _ALL + f""", a AS (SELECT query_id, doc_id, rank, score FROM k WHERE rank <= 50), {_LIST2},
 f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS ra, b.rank AS rb, a.score AS sa,

@@ -54,7 +54,7 @@ def test_errors(spark):
     for bad in (" ", "..."):
         with pytest.raises(S.QueryError):
             clauses.literal(texts(spark, {1: bad}))
-    for bad in ("", "  ", 'a "b', "nowhere:a", "a AND", "OR a", "a AND OR b", "(a b)", "a^2", "a*", "[a TO b]", "-a", "..."):
+    for bad in ("", "  ", 'a "b', "nowhere:a", "a AND", "OR a", "a AND OR b", "(a b", "a^2", "a*", "[a TO b]", "-a", "..."):
         with pytest.raises(S.QueryError):
             clauses.syntax(texts(spark, {1: bad}))
     with pytest.raises(S.QueryError):
@@ -95,3 +95,25 @@ def test_field_boosts(spark, tmp_path):
     queries = spark.createDataFrame([(1, ["needle"])], "query_id long, terms array<string>")
     by = {r.doc_id: r.score for r in lexical.bm25(stored.Index(spark, f"file://{tmp_path}"), queries, boosts=lexical.FIELD_BOOSTS).collect()}
     assert [round(by[i] / by[0], 6) for i in range(4)] == [1.0, 2.0, 1.5, 2.5]
+
+
+def test_brackets(spark, tmp_path):
+    """Nested brackets against the same expression over each document's words; brackets that make no sense are errors."""
+    from docquery.operators import index
+
+    words = ["ant", "bee", "cat", "dog", "elk"]
+    rows = [(i, " ".join(w for j, w in enumerate(words) if i >> j & 1)) for i in range(1, 32)]
+    index.write(spark, f"file://{tmp_path}/i", spark.createDataFrame(rows, "doc_id long, text string"))
+    built = index.Index(spark, f"file://{tmp_path}/i")
+    forms = {
+        1: ("(ant OR bee) AND (cat OR dog)", lambda a, b, c, d, e: (a or b) and (c or d)), 2: ("ant AND NOT (bee OR (cat AND dog))", lambda a, b, c, d, e: a and not (b or (c and d))),
+        3: ("((((elk))))", lambda a, b, c, d, e: e), 4: ("+(ant bee) -(cat AND (dog OR elk)) dog", lambda a, b, c, d, e: (a or b) and not (c and (d or e))),
+        5: ("(ant AND (bee OR (cat AND NOT (dog AND elk))))", lambda a, b, c, d, e: a and (b or (c and not (d and e)))), 6: ('("ant bee" OR cat) AND (dog -elk)', lambda a, b, c, d, e: ((a and b) or c) and d and not e),
+        7: ("(ant)(bee)AND(cat)", lambda a, b, c, d, e: a or (b and c)),
+    }
+    asked = spark.createDataFrame([(k, t) for k, (t, _) in forms.items()], "query_id int, text string")
+    found = {(r.query_id, r.doc_id) for r in lexical.score_clauses(built, clauses.syntax(asked, ["text"]), boosts={"text": 1.0}).collect()}
+    assert found == {(k, i) for k, (_, f) in forms.items() for i, _ in rows if f(*[bool(i >> j & 1) for j in range(5)])}
+    for bad in ("(ant", "ant)", ")ant(", "()", "ant AND ()", "(-ant) bee", "(ant OR)", "(" * 9 + "ant" + ")" * 9, "text:(ant)", "(NOT ant) OR bee"):
+        with pytest.raises(clauses.QueryError):
+            clauses.syntax(spark.createDataFrame([(1, bad)], "query_id int, text string"))
