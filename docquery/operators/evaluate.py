@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +87,62 @@ def pareto(points: DataFrame, quality: str, cost: str, by: str) -> DataFrame:
     return points.join(kept, [by, cost]).filter(F.col(quality) == F.col("level")).drop("level")
 
 
+#: Distinct points of a group that one task reduces at first.
+SKYLINE_ROWS = 10_000
+
+
+def _sweep(points: np.ndarray) -> np.ndarray:
+    """Which of the distinct rows (quality, cost, latency) no other beats: in falling quality, each against a staircase of costs and latencies."""
+    order = np.lexsort((points[:, 2], points[:, 1], -points[:, 0]))
+    costs: list[float] = []
+    latencies: list[float] = []
+    kept = np.zeros(len(points), bool)
+    for i in order:
+        _, cost, latency = points[i]
+        at = bisect_right(costs, cost)
+        if at and latencies[at - 1] <= latency:
+            continue
+        kept[i] = True
+        # steps that cost as much or more and are no faster are covered by this one
+        first = bisect_left(costs, cost)
+        last = first
+        while last < len(costs) and latencies[last] >= latency:
+            last += 1
+        costs[first:last], latencies[first:last] = [cost], [latency]
+    return kept
+
+
+def skyline(points: DataFrame, quality: str, cost: str, latency: str, by: str) -> DataFrame:
+    """Points of each group that no other point beats: none of at least their quality at no more cost and latency, and better in one.
+
+    Distinct points are reduced in blocks of a group, and what the blocks keep is met again, half as many blocks at a
+    time; a last block holds no more than two times what stays. Points with a null or NaN objective are left out; equal
+    points stay or go together.
+    """
+    names = [quality, cost, latency]
+    rows = points.filter(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(double(`{c}`))" for c in names))
+    best = rows.select(F.col(by).alias("g"), *[F.col(c).cast("double").alias(x) for c, x in zip(names, "xyz", strict=True)]).distinct()
+
+    def reduce_block(key: tuple, table: pa.Table) -> pa.Table:
+        x = np.column_stack([table.column(c).to_numpy() for c in "xyz"])
+        return table.filter(pa.array(_sweep(x)))
+
+    largest = best.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = 1 << max(0, (-(-largest // SKYLINE_ROWS) - 1)).bit_length()
+    best = best.withColumn("block", F.pmod(F.xxhash64("x", "y", "z"), F.lit(blocks)).cast("int"))
+    while True:
+        best = best.groupBy("g", "block").applyInArrow(reduce_block, best.schema)
+        if blocks == 1:
+            break
+        blocks //= 2
+        best = best.withColumn("block", F.pmod("block", F.lit(blocks)).cast("int"))
+    keys = best.select(F.col("g").alias("__g"), *[F.col(c).alias(f"__{c}") for c in "xyz"])
+    same = F.col(by).eqNullSafe(F.col("__g"))
+    for c, x in zip(names, "xyz", strict=True):
+        same &= F.col(c).cast("double") == F.col(f"__{x}")
+    return rows.join(keys, same, "left_semi")
+
+
 def jaccard(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """left_id, right_id and similarity of all pairs of token sets (columns id, tokens) that are alike by `least` (above 0) or more.
 

@@ -96,8 +96,15 @@ def cache_size(entries: DataFrame) -> DataFrame:
 
 
 def set_digest(rows: DataFrame, by: str, id_: str, content: str) -> DataFrame:
-    """A digest of each group's (id, hash) pairs that does not depend on their order."""
-    return rows.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(id_).alias("i"), F.col(content).alias("h")))), lambda x: F.concat(x.i.cast("string"), F.lit(":"), x.h)), ","), 256).alias("digest"))
+    """A digest of each group's (id, hash) pairs that does not depend on their order.
+
+    Four words of 32 bits of each pair's hash are added, so every task sends one row for each group, whatever its size.
+    Equal pairs count each; a null id or hash is an empty one.
+    """
+    text = F.concat_ws(":", F.coalesce(F.col(id_).cast("string"), F.lit("")), F.coalesce(F.col(content), F.lit("")))
+    words = [F.conv(F.substring(F.sha2(text, 256), 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)").alias(f"w{i}") for i in range(4)]
+    sums = rows.select(by, *words).groupBy(by).agg(F.count("*").alias("n"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(4)])
+    return sums.select(by, F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[F.pmod(f"w{i}", F.lit(1 << 32)).cast("bigint").cast("string") for i in range(4)]), 256).alias("digest"))
 
 
 # --- guards

@@ -486,6 +486,13 @@ def pareto(spark, sf_dir):
     return evaluate.pareto(rows, "p_size", "p_retailprice", "p_brand").select("p_brand", "p_partkey", "p_size", "p_retailprice")
 
 
+@query("WITH p AS (SELECT p_brand, p_partkey, p_size, p_retailprice, length(p_name) AS words FROM part) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.p_brand = p.p_brand AND o.p_size >= p.p_size AND o.p_retailprice <= p.p_retailprice AND o.words <= p.words AND (o.p_size > p.p_size OR o.p_retailprice < p.p_retailprice OR o.words < p.words))")
+def skyline(spark, sf_dir):
+    """Parts of each brand that none beats in size, price and length of name."""
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", "p_retailprice", F.length("p_name").cast("long").alias("words"))
+    return evaluate.skyline(rows, "p_size", "p_retailprice", "words", "p_brand")
+
+
 @query(r"WITH b AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark), d AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents), x AS (SELECT b.id AS left_id, d.id AS right_id, CASE WHEN len(b.w) + len(d.w) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(b.w, d.w)) / (len(b.w) + len(d.w) - len(list_intersect(b.w, d.w))) END AS s FROM b JOIN d ON len(d.w) >= 0.3 * len(b.w) AND len(b.w) >= 0.3 * len(d.w)) SELECT left_id, right_id, round(s, 6) AS similarity FROM x WHERE s >= 0.3")
 def jaccard_pairs(spark, sf_dir):
     """Items and documents whose token sets are alike by 0.3 or more; two sets without tokens are alike by 1."""

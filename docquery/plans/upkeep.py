@@ -83,7 +83,10 @@ def cache_size(spark, sf_dir):
     return upkeep.cache_size(table(spark, sf_dir, "events").select(F.octet_length("props").alias("bytes")))
 
 
-@query("SELECT source AS project, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+_WORD = "CAST(sum(CAST('0x' || substr(h, {i}, 8) AS BIGINT)) % 4294967296 AS BIGINT)"
+
+
+@query(f"SELECT source AS project, sha256(count(*) || ':' || {" || ':' || ".join(_WORD.format(i=1 + 8 * i) for i in range(4))}) AS digest FROM (SELECT source, sha256(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(sha256(text), '')) AS h FROM documents) GROUP BY 1")
 def set_digests(spark, sf_dir):
     return upkeep.set_digest(docs(spark, sf_dir), "project", "doc_id", "content_hash")
 
