@@ -119,6 +119,18 @@ def write(spark: SparkSession, root: str, documents: DataFrame, fields: dict[str
     return store.publish(spark, root, lambda now: _with_stats(spark, root, [*kept(now), *parts], now))
 
 
+def update_parts(spark: SparkSession, root: str, documents: DataFrame | None, ended: DataFrame | None, fields: dict[str, Column] | None = None) -> list[Part]:
+    """Written but unpublished: a segment of the documents, and the ids of theirs and of those that end."""
+    ids = [d.select(F.col("doc_id").cast("long").alias("doc_id")) for d in (documents, ended) if d is not None]
+    entries = [] if documents is None else _put_entries(spark, root, build(documents, fields))
+    return [*entries, _put_ids(spark, root, reduce(DataFrame.unionByName, ids))]
+
+
+def with_parts(spark: SparkSession, root: str, now: Snapshot, parts: list[Part]) -> list[Part]:
+    """The snapshot's parts with these and the statistics of what is live then; for a change that store.publish makes."""
+    return _with_stats(spark, root, [*now.parts, *parts], now)
+
+
 def upsert(spark: SparkSession, root: str, documents: DataFrame, fields: dict[str, Column] | None = None) -> int:
     """Put the documents in place of those with the same doc_id: one segment and one list of ids are written.
 
