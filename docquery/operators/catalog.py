@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquery.sources.tables import chunk_id
 
+# Rows of a page, neighbours of a chunk, and jobs that are kept.
 PAGE_DEFAULT, PAGE_MOST = 50, 1000
 NEIGHBOURS_MOST = 100
 JOBS_KEPT = 50

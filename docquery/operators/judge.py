@@ -105,6 +105,7 @@ def bootstrap(pairs: DataFrame) -> DataFrame:
         deltas = (table["b"].to_numpy() - table["a"].to_numpy())[order]
         n, mask, x = len(deltas), (1 << 64) - 1, SEED
         draws = np.empty(RESAMPLES * n, np.int64)
+        # fixed values: the generator's shifts and its multiplier
         for i in range(len(draws)):
             x ^= x >> 12
             x ^= x << 25 & mask
@@ -124,14 +125,20 @@ def latency_gate(base: DataFrame, current: DataFrame, by: str, slack: float = 1.
     return both.select(by, F.round("base_p95", 6).alias("base_p95"), F.round("p95", 6).alias("p95"), F.round("allowed", 6).alias("allowed"), (F.col("p95") <= F.col("allowed")).alias("ok"))
 
 
+# Most of the cases that may be saturated, and the least that must differ by configuration and by reranking.
+SATURATED_MOST, DISAGREEMENTS_LEAST, RERANKED_LEAST = 0.70, 3, 1
+
+
 def discrimination(outcomes: DataFrame) -> DataFrame:
-    """Per slice, over configurations (outcomes: slice, case_id, config, hit): cases, saturated (all hit), not saturated, disagreements, and cases in which reranking changes bm25's hit."""
+    """Per slice, over configurations (outcomes: slice, case_id, config, hit): cases, saturated (all hit), not saturated, disagreements, cases in which reranking changes bm25's hit, and whether the slice tells configurations apart (discriminates)."""
     one = lambda config: F.max(F.when(F.col("config") == config, F.col("hit").cast("int")))
     cases = outcomes.groupBy("slice", "case_id").agg(F.min(F.col("hit").cast("int")).alias("low"), F.max(F.col("hit").cast("int")).alias("high"), one("bm25").alias("plain"), one("bm25_rerank").alias("reranked"))
     count = lambda c: F.count(F.when(c, 1))
-    return cases.groupBy("slice").agg(
+    counted = cases.groupBy("slice").agg(
         F.count("*").alias("cases"), count(F.col("low") == 1).alias("saturated"), count(F.col("low") == 0).alias("non_saturated"), count(F.col("low") != F.col("high")).alias("disagreements"), count(F.col("plain") != F.col("reranked")).alias("rerank_disagreements")
     )
+    apart = (F.col("saturated") <= SATURATED_MOST * F.col("cases")) & (F.col("disagreements") >= DISAGREEMENTS_LEAST) & (F.col("rerank_disagreements") >= RERANKED_LEAST)
+    return counted.withColumn("discriminates", apart)
 
 
 def common_misses(outcomes: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def latency_gate(spark, sf_dir):
     return judge.latency_gate(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "event_type")
 
 
-@query(_REPORTS + ", c AS (SELECT slice, case_id, min(CAST(hit AS INTEGER)) AS low, max(CAST(hit AS INTEGER)) AS high, bool_or(hit) FILTER (config = 'bm25') AS p, bool_or(hit) FILTER (config = 'bm25_rerank') AS q FROM reports GROUP BY 1, 2) SELECT slice, count(*) AS cases, count(*) FILTER (low = 1) AS saturated, count(*) FILTER (low = 0) AS non_saturated, count(*) FILTER (low <> high) AS disagreements, count(*) FILTER (p <> q) AS rerank_disagreements FROM c GROUP BY 1")
+@query(_REPORTS + ", c AS (SELECT slice, case_id, min(CAST(hit AS INTEGER)) AS low, max(CAST(hit AS INTEGER)) AS high, bool_or(hit) FILTER (config = 'bm25') AS p, bool_or(hit) FILTER (config = 'bm25_rerank') AS q FROM reports GROUP BY 1, 2) SELECT slice, count(*) AS cases, count(*) FILTER (low = 1) AS saturated, count(*) FILTER (low = 0) AS non_saturated, count(*) FILTER (low <> high) AS disagreements, count(*) FILTER (p <> q) AS rerank_disagreements, count(*) FILTER (low = 1) <= 0.70 * count(*) AND count(*) FILTER (low <> high) >= 3 AND count(*) FILTER (p <> q) >= 1 AS discriminates FROM c GROUP BY 1")
 def discrimination(spark, sf_dir):
     return judge.discrimination(_reports(spark, sf_dir))
 
