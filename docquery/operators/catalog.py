@@ -113,3 +113,28 @@ def lru_keep(entries: DataFrame, most: int, most_bytes: int, leases: DataFrame |
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = held.withColumn("nth", F.row_number().over(order)).withColumn("total", F.sum("bytes").over(running))
     return ranked.filter(F.col("held") | ((F.col("nth") <= most) & (F.col("total") <= most_bytes))).drop("nth", "total", "held")
+
+
+def pin(leases: DataFrame, new: DataFrame) -> DataFrame:
+    """Leases (project, holder, expires_at) with the new ones: a holder that pins a project again keeps the later end. Null ends are none."""
+    return leases.unionByName(new).filter("expires_at IS NOT NULL").groupBy("project", "holder").agg(F.max("expires_at").alias("expires_at"))
+
+
+def unpin(leases: DataFrame, released: DataFrame) -> DataFrame:
+    """Leases without those that their holders (project, holder) release; a release of what is not held changes nothing."""
+    return leases.join(released.select("project", "holder").distinct(), ["project", "holder"], "left_anti")
+
+
+def unexpired(leases: DataFrame, now) -> DataFrame:
+    """Leases that end after the timestamp `now`."""
+    return leases.filter(F.col("expires_at") > now)
+
+
+def upsert_documents(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored documents (project, rel_path, ...) with the new ones in place of those of the same path."""
+    return stored.join(new.select("project", "rel_path").distinct(), ["project", "rel_path"], "left_anti").unionByName(new.dropDuplicates(["project", "rel_path"]))
+
+
+def delete_project(stored: DataFrame, project: str) -> DataFrame:
+    """What is left when all of a project's rows are deleted; rows without a project stay."""
+    return stored.filter(~F.coalesce(F.col("project") == project, F.lit(False)))

@@ -486,6 +486,35 @@ def pareto(spark, sf_dir):
     return evaluate.pareto(rows, "p_size", "p_retailprice", "p_brand").select("p_brand", "p_partkey", "p_size", "p_retailprice")
 
 
+@query("""
+WITH e AS (SELECT 'src' || user_id % 20 AS project, event_type AS holder, ts FROM events),
+n AS (SELECT project, holder, max(ts + CASE WHEN holder = 'click' THEN INTERVAL 6 HOUR ELSE INTERVAL 9 HOUR END) AS expires_at FROM e WHERE holder NOT IN ('error', 'signup') GROUP BY ALL),
+u AS (SELECT DISTINCT project FROM e WHERE holder = 'error' AND ts >= TIMESTAMP '2024-01-30 12:00:00')
+SELECT project, holder, epoch_us(expires_at) AS expires_us FROM n WHERE expires_at > TIMESTAMP '2024-01-30 20:00:00' AND NOT (holder = 'view' AND project IN (SELECT project FROM u))
+""")
+def live_leases(spark, sf_dir):
+    """Pins by clicks (six hours), then by views and purchases (nine); late errors release their project's views; what has not ended in the evening of the last day."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("project"), F.col("event_type").alias("holder"), F.col("ts").cast("timestamp").alias("ts"))
+    pins = lambda kinds, span: e.filter(F.col("holder").isin(*kinds)).select("project", "holder", (F.col("ts") + F.expr(f"INTERVAL {span} HOURS")).alias("expires_at"))
+    held = catalog.pin(pins(["click"], 6), pins(["view", "purchase"], 9))
+    released = e.filter((F.col("holder") == "error") & (F.col("ts") >= F.lit("2024-01-30 12:00:00").cast("timestamp"))).select("project", F.lit("view").alias("holder"))
+    live = catalog.unexpired(catalog.unpin(held, released), F.lit("2024-01-30 20:00:00").cast("timestamp"))
+    return live.select("project", "holder", F.unix_micros("expires_at").alias("expires_us"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, source AS project, source || '/' || doc_id || '.md' AS rel_path, sha256(text) AS content_hash FROM documents WHERE source IS DISTINCT FROM 'src9')
+SELECT doc_id, project, rel_path, CASE WHEN project = 'src3' THEN sha256('anew ' || content_hash) ELSE content_hash END AS content_hash FROM d WHERE project IS DISTINCT FROM 'src7'
+UNION ALL SELECT -doc_id, project, 'new/' || rel_path, content_hash FROM d WHERE project = 'src2'
+""")
+def upserted_documents(spark, sf_dir):
+    """The catalog after one source's documents came anew, another's came under new paths too, and two sources were deleted."""
+    d = docs(spark, sf_dir).select("doc_id", "project", "rel_path", "content_hash")
+    anew = d.filter("project = 'src3'").withColumn("content_hash", F.sha2(F.concat(F.lit("anew "), "content_hash"), 256))
+    more = d.filter("project = 'src2'").withColumns({"doc_id": -F.col("doc_id"), "rel_path": F.concat(F.lit("new/"), "rel_path")})
+    return catalog.delete_project(catalog.delete_project(catalog.upsert_documents(d, anew.unionByName(more)), "src7"), "src9")
+
+
 @query("WITH p AS (SELECT p_brand, p_partkey, p_size, p_retailprice, length(p_name) AS words FROM part) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.p_brand = p.p_brand AND o.p_size >= p.p_size AND o.p_retailprice <= p.p_retailprice AND o.words <= p.words AND (o.p_size > p.p_size OR o.p_retailprice < p.p_retailprice OR o.words < p.words))")
 def skyline(spark, sf_dir):
     """Parts of each brand that none beats in size, price and length of name."""
