@@ -1,8 +1,10 @@
 """Identifier-aware tokens with positions, as column expressions.
 
 A white-space segment gives its lower-cased self, the identifier inside its punctuation, its runs of letters and
-digits and the words of camel case, all at one position. A segment mostly of CJK gives bigrams at positions of their
-own. Stems are not built in; a table of (term, stem) may replace terms.
+digits and the words of camel case, all at one position. Runs are parted where their script changes. A run of CJK gives
+overlapping pairs of characters at positions of their own, which begin at the segment's; a segment mostly of CJK has no
+token of its whole self. Segments whose tokens are all too long keep their position, so that phrases do not close up
+over them. Stems are not built in; a table of (term, stem) may replace terms.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquery.functions.text import SCRIPTS, fold, script_of
+from docquery.functions.text import SCRIPTS, fold, script_of, script_runs
 
 LONGEST_TOKEN = 40
 _ALNUM = r"[\p{L}\p{N}]"
@@ -26,32 +28,60 @@ def _words(run: Column) -> Column:
     return F.concat(F.array(F.lower(run)), F.transform(F.split(run, _CAMEL), F.lower))
 
 
-def variants(segment: Column) -> Column:
-    """Distinct tokens of a segment in order: whole, identifier, runs and their camel-case words."""
+def _pairs(run: Column) -> Column:
+    """Overlapping pairs of a run's characters; a single character stands alone."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2)))
+
+
+def _parts(segment: Column) -> Column:
+    """terms: distinct tokens at the segment's own position (whole, identifier, runs and their camel-case words); pairs: those of its CJK runs in order."""
+    plain = ~segment.rlike(r"[^\x00-\x7F]")
+    cjk = lambda run: run.rlike(SCRIPTS["cjk"])
     runs = F.regexp_extract_all(segment, F.lit(f"{_ALNUM}+"), F.lit(0))
-    span = F.lower(F.regexp_extract(segment, _SPAN, 1))
-    every = F.concat(F.array(F.lower(segment), span), F.flatten(F.transform(runs, _words)))
-    return F.array_distinct(F.filter(every, lambda t: F.length(t).between(1, LONGEST_TOKEN)))
+    runs = F.when(plain, runs).otherwise(F.flatten(F.transform(runs, script_runs)))
+    words = F.flatten(F.transform(F.filter(runs, lambda r: ~cjk(r)), _words))
+    whole = F.array(F.lower(segment), F.lower(F.regexp_extract(segment, _SPAN, 1)))
+    every = F.when(plain | (script_of(segment) != "cjk"), F.concat(whole, words)).otherwise(words)
+    terms = F.array_distinct(F.filter(every, lambda t: F.length(t).between(1, LONGEST_TOKEN)))
+    pairs = F.when(plain, F.array().cast("array<string>")).otherwise(F.flatten(F.transform(F.filter(runs, cjk), _pairs)))
+    return F.struct(terms.alias("terms"), pairs.alias("pairs"))
+
+
+def _gaps(parts: Column) -> Column:
+    tokens = F.concat(parts["terms"], parts["pairs"])
+    here = F.size(parts["terms"])
+    token = lambda gap, term: F.struct(gap.alias("gap"), term.alias("term"))
+    # the first token moves on from the segment before; the first pair stands with the terms, the others follow it
+    each = F.transform(tokens, lambda t, i: token(F.when(i == 0, 1).when(i <= here, 0).otherwise(1), t))
+    return F.when(F.size(tokens) > 0, each).otherwise(F.array(token(F.lit(1), F.lit(None).cast("string"))))
+
+
+def lattice(text: Column | str, folded: bool = True) -> Column:
+    """Tokens in order as (gap, term): gap is how far a token's position lies behind the one before it (0: the same).
+
+    The first position is 0, which a first gap of 1 stands for. A null term is a position without a token. Null text: null.
+    """
+    source = F.col(text) if isinstance(text, str) else text
+    return F.flatten(F.transform(F.transform(segments(fold(source) if folded else source), _parts), _gaps))
+
 
+def phrase(text: Column | str, folded: bool = True) -> Column:
+    """The tokens of a query's word or phrase as (term, offset), offsets counted from the first token.
 
-def bigrams(segment: Column) -> Column:
-    """Overlapping pairs of each CJK run; a single character stands alone."""
-    runs = F.regexp_extract_all(segment, F.lit(f"{SCRIPTS['cjk']}+"), F.lit(0))
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, pairs))
+    Sums are taken anew for each token, which is for queries: the tokens of a document get their positions in the index.
+    """
+    tokens = lattice(text, folded)
+    gaps = F.transform(tokens, lambda t: t["gap"])
+    at = F.transform(tokens, lambda t, i: F.struct(t["term"].alias("term"), F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, b: a + b).alias("offset")))
+    known = F.filter(at, lambda t: t["term"].isNotNull())
+    return F.transform(known, lambda t: F.struct(t["term"].alias("term"), (t["offset"] - known[0]["offset"]).alias("offset")))
 
 
 def tokens(docs: DataFrame, text: str = "text", folded: bool = True, stems: DataFrame | None = None) -> DataFrame:
     """doc_id, position and term of every token; segments without a letter or digit take no position."""
-    source = fold(text) if folded else F.col(text)
-    parts = docs.select("doc_id", F.posexplode(segments(source)).alias("nth", "segment"))
-    cjk = script_of("segment") == "cjk"
-    parts = parts.select("doc_id", "nth", cjk.alias("cjk"), F.when(cjk, bigrams(F.col("segment"))).otherwise(variants(F.col("segment"))).alias("terms"))
-    before = Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    width = F.when(F.col("cjk"), F.size("terms")).otherwise(1)
-    placed = parts.withColumn("base", F.coalesce(F.sum(width).over(before), F.lit(0)))
-    out = placed.select("doc_id", "base", "cjk", F.posexplode("terms").alias("i", "term"))
-    out = out.select("doc_id", (F.col("base") + F.when(F.col("cjk"), F.col("i")).otherwise(0)).alias("position"), "term")
+    parts = docs.select("doc_id", F.posexplode(lattice(text, folded)).alias("nth", "token"))
+    before = Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parts.select("doc_id", (F.sum("token.gap").over(before) - 1).alias("position"), F.col("token.term").alias("term")).filter("term IS NOT NULL")
     if stems is None:
         return out
     return out.join(stems, "term", "left").select("doc_id", "position", F.coalesce("stem", "term").alias("term")).distinct()

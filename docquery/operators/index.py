@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,20 @@ def bucket(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _placed(tokens: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Row, term and position of every token: tokens are terms in order, or (gap, term) as the analyzer gives them."""
+    held = pc.fill_null(tokens.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, first, flat = np.repeat(np.arange(len(held)), held), np.cumsum(held) - held, tokens.flatten()
+    if not pa.types.is_struct(flat.type):
+        return row, flat, np.arange(len(row)) - first[row]
+    gap, term = flat.flatten()
+    steps = np.r_[0, np.cumsum(gap.to_numpy(zero_copy_only=False).astype(np.int64))]
+    positions = steps[1:] - steps[first[row]] - 1
+    known = term.is_valid()
+    there = known.to_numpy(zero_copy_only=False)
+    return row[there], term.filter(known), positions[there]
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (doc_id, n_chars, field, tokens): one row for each term with its positions, and one without a term for the row itself."""
     names = ["doc_id", "field", "term", "tf", "positions", "dl", "n_chars"]
@@ -48,35 +63,35 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(start, SLICE_ROWS)
             doc, chars, field, tokens = part.columns
-            dl = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            first = np.cumsum(dl) - dl
-            coded = tokens.flatten().dictionary_encode()
-            row = np.repeat(np.arange(len(dl)), dl)
+            row, terms, positions = _placed(tokens)
+            dl = np.bincount(row, minlength=part.num_rows).astype(np.int64)
+            coded = terms.dictionary_encode()
             code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             key = row * max(1, len(coded.dictionary)) + code
             order = np.argsort(key, kind="stable")
             cuts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
-            at, positions = row[order][cuts], (np.arange(len(row)) - first[row])[order]
+            at, positions = row[order][cuts], positions[order]
             tf = np.diff(np.r_[cuts, len(key)])
             rows = np.r_[at, np.arange(len(dl))]
             none = np.zeros(len(dl), np.int64)
-            terms = pa.concat_arrays([coded.dictionary.take(pa.array(code[order][cuts])).cast(pa.string()), pa.nulls(len(dl), pa.string())])
+            named = pa.concat_arrays([coded.dictionary.take(pa.array(code[order][cuts])).cast(pa.string()), pa.nulls(len(dl), pa.string())])
             offsets = np.r_[0, np.cumsum(np.r_[tf, none])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(positions.astype(np.int32)))
             take = pa.array(rows)
-            columns = [doc.take(take), field.take(take), terms, pa.array(np.r_[tf, none]), lists, pa.array(dl[rows].astype(np.int32)), chars.take(take)]
+            columns = [doc.take(take), field.take(take), named, pa.array(np.r_[tf, none]), lists, pa.array(dl[rows].astype(np.int32)), chars.take(take)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def build(rows: DataFrame, fields: dict[str, Column] | None = None) -> DataFrame:
     """Entries of an index over rows (doc_id, text, ...), texts being tokenized once.
 
-    fields names the token arrays that are indexed (text alone if none are given). A posting is a term of a field of a
+    fields names the token arrays that are indexed (simple tokens of text if none are given): terms in order or, for all
+    fields alike, the (gap, term) of the analyzer, of which several may stand at one position. A posting is a term of a field of a
     document: tf, positions (from 0), dl (tokens of the field) and n_chars (of the text). A row without a term, in the
     folder LENGTHS, stands for each document and field. Null token arrays are empty.
     """
     fields = {"text": simple_tokens("text")} if fields is None else fields
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")) for f, tokens in fields.items()])
+    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens.alias("tokens")) for f, tokens in fields.items()])
     tokens = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), F.inline(each))
     entries = tokens.mapInArrow(_entries, ENTRY.rpartition(",")[0])
     return entries.withColumn("bucket", F.when(F.col("term").isNull(), LENGTHS).otherwise(bucket("term")))

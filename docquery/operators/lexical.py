@@ -106,25 +106,29 @@ def matched_terms(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:
-    """phrase_id, doc_id, field and n (places where the entries of the array `terms` stand consecutively).
+    """phrase_id, doc_id, field and n (places where the entries of the array `terms` stand at their places).
 
-    The positions of a phrase's rarest term are read first, and those of its other terms only where they can follow.
+    An array `offsets`, if there is one, says how far behind the first place each term stands (0, 0, 1 ...: two terms at one
+    position and one at the next); otherwise terms are consecutive. The positions of a phrase's rarest term are read
+    first, and those of its other terms only where they can follow.
     """
-    sized = phrases.filter(F.size("terms") > 0).select("phrase_id", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    offsets = F.col("offsets") if "offsets" in phrases.columns else F.transform("terms", lambda t, i: i)
+    entries = F.arrays_zip(F.col("terms").alias("term"), offsets.alias("offset"))
+    sized = phrases.filter(F.size("terms") > 0).select("phrase_id", F.size("terms").alias("size"), F.posexplode(entries).alias("nth", "entry")).select("phrase_id", "size", "nth", "entry.*")
     n = sized.count()
     frequency = index.df_of(sized).groupBy("term").agg(F.sum("df").alias("df"))
     known = sized.join(frequency, "term", "left")
     # a phrase with a term that no document has stands nowhere
-    lead = known.groupBy("phrase_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "term")).alias("lead"), F.first("size").alias("size")).filter("lead.df > 0")
-    lead = lead.select("phrase_id", "size", F.col("lead.term").alias("term"), F.col("lead.offset").alias("offset"))
+    lead = known.groupBy("phrase_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "nth", "offset", "term")).alias("lead"), F.first("size").alias("size")).filter("lead.df > 0")
+    lead = lead.select("phrase_id", "size", "lead.nth", "lead.term", "lead.offset")
     starts = index.within(lead).join(_small(lead, n), "term").select("phrase_id", "size", "doc_id", "field", "offset", F.explode("positions").alias("position"))
-    starts = starts.select("phrase_id", "doc_id", "field", "size", "offset", (F.col("position") - F.col("offset")).alias("start")).filter("start >= 0")
-    rest = sized.join(lead.select("phrase_id", F.col("offset").alias("first")), "phrase_id").filter("offset != first").select("phrase_id", "offset", "term")
-    wanted = starts.filter("size > 1").select("phrase_id", "doc_id", "field", "size", "start").join(_small(rest, n), "phrase_id")
+    starts = starts.select("phrase_id", "doc_id", "field", "size", (F.col("position") - F.col("offset")).alias("start")).filter("start >= 0")
+    rest = sized.join(lead.select("phrase_id", F.col("nth").alias("first")), "phrase_id").filter("nth != first").select("phrase_id", "nth", "offset", "term")
+    wanted = starts.filter("size > 1").join(_small(rest, n), "phrase_id")
     # only postings of the phrases' own terms move
     held = index.within(rest).select("doc_id", "field", "term", "positions")
     # sorted positions of a term in a document come once for all starts that ask for them
-    checked = wanted.groupBy("doc_id", "field", "term", "phrase_id", "size", "offset").agg(F.collect_list("start").alias("starts")).join(held, ["doc_id", "field", "term"])
+    checked = wanted.groupBy("doc_id", "field", "term", "phrase_id", "size", "nth", "offset").agg(F.collect_list("start").alias("starts")).join(held, ["doc_id", "field", "term"])
     found = checked.select("phrase_id", "doc_id", "field", "size", F.explode(F.array_intersect("starts", F.transform("positions", lambda p: p - F.col("offset")))).alias("start"))
     whole = found.groupBy("phrase_id", "doc_id", "field", "start", "size").agg(F.count("*").alias("met")).filter("met = size - 1")
     single = starts.filter("size = 1").select("phrase_id", "doc_id", "field", "start")
@@ -144,7 +148,7 @@ def boolean(index: Index, must: list[str], should: list[str], must_not: list[str
 def score_clauses(index: Index, clauses: DataFrame, scope: DataFrame | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
     """query_id, doc_id and score for queries given as clauses (see plans.clauses): query_id, clause, team, occur, field and terms.
 
-    A clause of several terms is a phrase. A team's required clauses must all be met; of a query's teams one must be,
+    A clause of several terms is a phrase, whose terms stand at its offsets if it has them. A team's required clauses must all be met; of a query's teams one must be,
     every clause of the team -1 too, and none that is forbidden. Met clauses that are not forbidden add their scores. Groups
     (brackets) are scored likewise, from the inside out, and add what they score to the group around them.
     """
@@ -159,7 +163,7 @@ def score_clauses(index: Index, clauses: DataFrame, scope: DataFrame | None = No
 
     phrases = clauses.filter(F.size("terms") > 1).withColumn("phrase_id", F.struct(*keys))
     idf = _idf(index, phrases.select(*keys, "field", F.explode("terms").alias("term")), boosts).groupBy(*keys, "field").agg(F.sum("weight").alias("weight"), F.first("average").alias("average"))
-    places = phrase_matches(index, phrases.select("phrase_id", "terms")).select("phrase_id.*", "doc_id", "field", F.col("n").alias("tf"))
+    places = phrase_matches(index, phrases.select("phrase_id", "terms", *[c for c in ("offsets",) if c in phrases.columns])).select("phrase_id.*", "doc_id", "field", F.col("n").alias("tf"))
     many = places.join(_small(idf, n * len(boosts)), [*keys, "field"]).join(index.lengths, ["doc_id", "field"]).select(*keys, "doc_id", "n_chars", (F.col("weight") * _gain("tf")).alias("part"))
 
     hits = ones.union(many)

@@ -1,7 +1,7 @@
 """Queries as clause tables: the words, phrases, fields and operators of many query texts, taken apart by Spark.
 
 A clause has query_id, clause (its number), group, depth, team, occur (must, should or must_not), field (null: all) and
-terms; several terms are a phrase. Clauses joined by AND are one team, and a document must meet all of one team; `+x`, `-x` and
+terms with their offsets; several terms are a phrase. Clauses joined by AND are one team, and a document must meet all of one team; `+x`, `-x` and
 `NOT x` stand outside the teams (team -1) and hold for the whole group. A group is what stands in one pair of brackets, or in
 none (ROOT), and is itself a clause, without terms, of the group around it. Boosts, ranges, slop and wildcards are errors,
 and so are brackets that do not match, hold nothing that can be found, or are nested more than MOST_DEPTH deep.
@@ -10,8 +10,9 @@ and so are brackets that do not match, hold nothing that can be found, or are ne
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.functions.text import simple_tokens
@@ -32,6 +33,11 @@ MOST_DEPTH = 8
 ROOT = -1
 
 
+def _columns() -> list[Column]:
+    """terms and offsets of a clause's entries."""
+    return [F.transform("entries", lambda e: e["term"]).alias("terms"), F.transform("entries", lambda e: e["offset"]).alias("offsets")]
+
+
 def _fail(bad: DataFrame, what: str) -> None:
     rows = bad.select("query_id").limit(3).collect()
     if rows:
@@ -45,15 +51,23 @@ def _kept(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def literal(queries: DataFrame) -> DataFrame:
-    """Clauses of queries (query_id, text) whose words are only words: each distinct one is a clause that may match."""
+def simple_phrase(text: Column | str) -> Column:
+    """Simple tokens as (term, offset): what an index of simple tokens is asked for. Of the analyzer's, analyzer.phrase."""
+    return F.transform(simple_tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("offset")))
+
+
+def literal(queries: DataFrame, tokens: Callable[[Column | str], Column] = simple_phrase) -> DataFrame:
+    """Clauses of queries (query_id, text) whose words are only words: each distinct one is a clause that may match.
+
+    tokens gives (term, offset) of a word, as the index that is searched was tokenized.
+    """
     words = queries.select("query_id", F.posexplode(F.array_distinct(F.split("text", r"\s+"))).alias("clause", "word"))
-    clauses = _kept(words.select("query_id", "clause", F.col("clause").alias("team"), F.lit("should").alias("occur"), F.lit(None).cast("string").alias("field"), simple_tokens("word").alias("terms")).filter(F.size("terms") > 0))
+    clauses = _kept(words.select("query_id", "clause", F.col("clause").alias("team"), F.lit("should").alias("occur"), F.lit(None).cast("string").alias("field"), tokens("word").alias("entries")).filter(F.size("entries") > 0).select("*", *_columns()).drop("entries"))
     _fail(queries.join(clauses, "query_id", "left_anti"), "a query has no searchable terms")
     return clauses
 
 
-def syntax(queries: DataFrame, fields: list[str] | None = None) -> DataFrame:
+def syntax(queries: DataFrame, fields: list[str] | None = None, tokens: Callable[[Column | str], Column] = simple_phrase) -> DataFrame:
     """Clauses of queries (query_id, text) with AND, OR, NOT, +, -, field:word, "phrases" and brackets around any of them; other words may match."""
     fields = list(FIELD_BOOSTS) if fields is None else fields
     text = F.coalesce("text", F.lit(""))
@@ -76,12 +90,12 @@ def syntax(queries: DataFrame, fields: list[str] | None = None) -> DataFrame:
     words = words.withColumn("team", F.when(F.col("whole").isNotNull(), -1).otherwise(F.sum(begins).over(order)))
     joined_by_and = F.coalesce(F.col("before") == "AND", F.lit(False)) | F.coalesce(F.col("after") == "AND", F.lit(False))
     occur = F.coalesce("whole", F.when(joined_by_and, "must").otherwise("should"))
-    terms = F.when(F.col("opens"), F.array().cast("array<string>")).otherwise(simple_tokens("word"))
-    clauses = words.select("query_id", F.col("at").alias("clause"), "group", "depth", "team", occur.alias("occur"), "field", terms.alias("terms"), F.when(F.col("opens"), F.concat(F.lit("("), F.col("at"))).otherwise(F.col("word")).alias("word"), "opens")
-    clauses = clauses.filter((F.size("terms") > 0) | F.col("opens"))
+    entries = F.when(~F.col("opens"), tokens("word")).otherwise(F.array().cast("array<struct<term:string,offset:int>>"))
+    clauses = words.select("query_id", F.col("at").alias("clause"), "group", "depth", "team", occur.alias("occur"), "field", entries.alias("entries"), F.when(F.col("opens"), F.concat(F.lit("("), F.col("at"))).otherwise(F.col("word")).alias("word"), "opens")
+    clauses = clauses.filter((F.size("entries") > 0) | F.col("opens")).select("*", *_columns())
     # words of equal spelling are one clause of their group
-    clauses = clauses.groupBy("query_id", "group", "depth", "team", "occur", "field", "word", "opens").agg(F.min("clause").alias("clause"), F.first("terms").alias("terms"))
-    clauses = _kept(clauses.select("query_id", "clause", "group", "depth", "team", "occur", "field", "terms"))
+    clauses = clauses.groupBy("query_id", "group", "depth", "team", "occur", "field", "word", "opens").agg(F.min("clause").alias("clause"), F.first("terms").alias("terms"), F.first("offsets").alias("offsets"))
+    clauses = _kept(clauses.select("query_id", "clause", "group", "depth", "team", "occur", "field", "terms", "offsets"))
     finding = clauses.filter("occur != 'must_not'").select("query_id", "group")
     _fail(queries.join(finding.filter(F.col("group") == ROOT), "query_id", "left_anti"), "a query has no searchable terms")
     _fail(pieces.filter("opens").select("query_id", F.col("at").alias("group")).join(finding, ["query_id", "group"], "left_anti"), "brackets without searchable terms")

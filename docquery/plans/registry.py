@@ -263,31 +263,58 @@ def bm25_fielded_topk(spark, sf_dir):
     return lexical.top(lexical.bm25(stored.index(spark, sf_dir, "conversations"), q, boosts=stored.TURN_BOOSTS))
 
 
-# clauses of literal words: one for each distinct word, a phrase where it has several tokens
-_LITERAL = r"""
-c0 AS (SELECT item_id AS query_id, word, regexp_extract_all(lower(word), '[\p{L}\p{N}]+') AS w FROM (SELECT item_id, unnest(list_distinct(regexp_split_to_array(text, '\s+'))) AS word FROM benchmark)),
-one AS (SELECT query_id, word, doc_id, n_chars, weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS part FROM c0 JOIN g ON len(c0.w) = 1 AND g.term = c0.w[1]),
-ph AS (SELECT DISTINCT w FROM c0 WHERE len(w) > 1),
-pl AS (SELECT doc_id, field, w AS words, unnest(range(1, len(w) + 1)) AS i FROM t),
-tfs AS (SELECT ph.w, doc_id, field, count(*) AS tf FROM ph JOIN pl ON pl.words[i] = ph.w[1] AND pl.words[i : i + len(ph.w) - 1] = ph.w GROUP BY 1, 2, 3),
+# the analyzer's tokens of a segment in SQL; the given texts have Latin letters alone, so no run is parted by scripts and none gives pairs
+def _segment_sql(x: str) -> str:
+    camel = rf"string_split(regexp_replace(regexp_replace(r, '([\p{{Ll}}0-9])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), ' ')"
+    runs = rf"flatten(list_transform(regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+'), lambda r: list_prepend(lower(r), list_transform({camel}, lambda y: lower(y)))))"
+    span = r"'^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)[^\p{L}\p{N}_]*$'"
+    return f"list_distinct(list_filter(list_concat([lower({x}), lower(regexp_extract({x}, {span}, 1))], {runs}), lambda y: length(y) BETWEEN 1 AND 40))"
+
+
+def _segments_sql(text: str) -> str:
+    return rf"list_transform(list_filter(regexp_split_to_array({text}, '\s+'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')), lambda x: {_segment_sql('x')})"
+
+
+# turns by the analyzer: tokens of each segment, and clauses of literal words, whose tokens must stand in one segment
+_ANALYZED = rf"""
+t AS (
+  SELECT (conv_id << 32) + turn AS doc_id, 'text' AS field, 1.0::DOUBLE AS boost, {_segments_sql("text")} AS segs, length(text) AS n_chars FROM conversations
+  UNION ALL SELECT (conv_id << 32) + turn, 'title', 2.0, {_segments_sql("role")}, length(text) FROM conversations
+),
+l AS (SELECT *, len(flatten(segs)) AS dl FROM t),
+sg AS (SELECT doc_id, field, s, unnest(s) AS term FROM (SELECT doc_id, field, unnest(segs) AS s FROM t)),
+p AS (SELECT doc_id, field, term, count(*) AS tf FROM sg GROUP BY 1, 2, 3),
+df AS (SELECT field, term, count(*) AS df FROM p GROUP BY 1, 2),
+s AS (SELECT field, any_value(boost) AS boost, count(*) AS n, avg(dl) AS avgdl FROM l GROUP BY 1),
+c0 AS (SELECT query_id, word, {_segment_sql("word")} AS w FROM (SELECT item_id AS query_id, unnest(list_distinct(regexp_split_to_array(text, '\s+'))) AS word FROM benchmark) WHERE regexp_matches(word, '[\p{{L}}\p{{N}}]')),
+ph AS (SELECT DISTINCT w FROM c0 WHERE len(w) > 0),
+tfs AS (SELECT w, doc_id, field, count(*) AS tf FROM ph JOIN sg ON sg.term = w[1] AND list_has_all(sg.s, w) GROUP BY 1, 2, 3),
 pw AS (SELECT w, df.field, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5))) AS weight FROM (SELECT w, unnest(w) AS term FROM ph) JOIN df USING (term) JOIN s ON s.field = df.field GROUP BY 1, 2),
-many AS (SELECT query_id, word, t.doc_id, t.n_chars, weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t.w) / avgdl)) AS part
-  FROM c0 JOIN tfs USING (w) JOIN pw ON pw.w = tfs.w AND pw.field = tfs.field JOIN t ON t.doc_id = tfs.doc_id AND t.field = tfs.field JOIN s ON s.field = tfs.field),
-x AS (SELECT query_id, doc_id, sum(part) AS score, any_value(n_chars) AS n_chars FROM (FROM one UNION ALL FROM many) GROUP BY 1, 2),
+x AS (SELECT query_id, l.doc_id, sum(weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l.dl / avgdl))) AS score, any_value(n_chars) AS n_chars
+  FROM c0 JOIN tfs USING (w) JOIN pw ON pw.w = tfs.w AND pw.field = tfs.field JOIN l ON l.doc_id = tfs.doc_id AND l.field = tfs.field JOIN s ON s.field = tfs.field GROUP BY 1, 2),
 r AS (SELECT query_id, doc_id, round(score * CASE WHEN n_chars > 1650 THEN 0.5 ELSE 1.0 END, 6) AS score FROM x)
 """
 
 
-@query(f"WITH {_DOCS}, {_TURNS}, {_LITERAL}, k AS (SELECT query_id, doc_id AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS nth FROM r WHERE (doc_id >> 32) IN (SELECT doc_id FROM d WHERE starts_with(rel_path, 'src'))), m AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id >> 32 ORDER BY nth) <= 2), f AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY nth) AS INTEGER) AS rank FROM m QUALIFY rank <= 10) SELECT query_id, rank, score, chunk_id, rel_path AS path, role AS heading, turn + 1 AS line, CASE WHEN substr(v.text, 240, 2) = chr(13) || chr(10) THEN substr(v.text, 1, 239) ELSE substr(v.text, 1, 240) END AS snippet, length(v.text) > 240 AS snippet_truncated FROM f JOIN conversations v ON (conv_id << 32) + turn = chunk_id JOIN d ON d.doc_id = conv_id")
+@query(f"WITH {_DOCS}, {_ANALYZED}, k AS (SELECT query_id, doc_id AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS nth FROM r WHERE (doc_id >> 32) IN (SELECT doc_id FROM d WHERE starts_with(rel_path, 'src'))), m AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id >> 32 ORDER BY nth) <= 2), f AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY nth) AS INTEGER) AS rank FROM m QUALIFY rank <= 10) SELECT query_id, rank, score, chunk_id, rel_path AS path, role AS heading, turn + 1 AS line, CASE WHEN substr(v.text, 240, 2) = chr(13) || chr(10) THEN substr(v.text, 1, 239) ELSE substr(v.text, 1, 240) END AS snippet, length(v.text) > 240 AS snippet_truncated FROM f JOIN conversations v ON (conv_id << 32) + turn = chunk_id JOIN d ON d.doc_id = conv_id")
 def search_turns(spark, sf_dir):
-    """Search of whole items as literal words over turns: two fields, a scope, at most two turns of a conversation, citations and snippets."""
+    """Search of whole items as literal words over turns, by the analyzer's tokens and positions: two fields, a scope, at most two turns of a conversation, citations and snippets."""
     d, c = docs(spark, sf_dir), stored.turns(spark, sf_dir)
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     args = search.SearchArgs(limit=10, path_prefix="src", per_document=2, snippets=True)
-    found = search.search(d, c, stored.index(spark, sf_dir, "conversations"), queries, args, boosts=stored.TURN_BOOSTS)
+    found = search.search(d, c, stored.index(spark, sf_dir, "analyzed turns"), queries, args, boosts=stored.TURN_BOOSTS)
     return found.select("query_id", "rank", "score", "chunk_id", "path", F.col("heading_path")[0].alias("heading"), F.col("lines")[0].cast("long").alias("line"), "snippet", "snippet_truncated")
 
 
+@query()
+def search_chunks(spark, sf_dir):
+    """Search of whole items as literal words over the chunks of all documents, by the analyzer: four fields, at most two chunks of a document, citations."""
+    chunks, index = stored.chunk_index(spark, sf_dir)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = search.search(docs(spark, sf_dir).select("doc_id", "rel_path"), chunks, index, queries, search.SearchArgs(limit=10, per_document=2))
+    return found.select("query_id", "rank", "score", "chunk_id", "path", F.array_join("heading_path", " > ").alias("heading_path"), F.col("lines")[0].cast("long").alias("first_line"), F.col("lines")[1].cast("long").alias("last_line"))
+
+
 #: Query syntax over the words of two turns' roles and common words; each text shows one form.
 _FORMS = {
     1: "the of", 2: "the OR of", 3: "the AND of", 4: "the AND of OR title:user", 5: "title:assistant AND text:the", 6: '"of the"', 7: "the -of", 8: "+of the", 9: "the NOT and", 10: 'title:user AND "in the"', 11: "THE the", 12: '-title:user "to the"',

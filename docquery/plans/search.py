@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquery.functions.text import SNIPPET_CHARS, identifier_words, simple_tokens, snippet
+from docquery.functions import analyzer
+from docquery.functions.text import SNIPPET_CHARS, identifier_words, snippet
 from docquery.operators import catalog, chunking, index, lexical, ranking
 from docquery.plans import clauses
 from docquery.plans.clauses import QueryError
@@ -39,10 +41,10 @@ def build(docs: DataFrame, cap: int = chunking.CAP_CHARS) -> tuple[DataFrame, Da
     return docs.select("doc_id", "rel_path").join(front, "doc_id"), ready
 
 
-def write_index(chunks: DataFrame, root: str) -> index.Index:
-    """Store the index of the chunks' fields as the root's next generation."""
+def write_index(chunks: DataFrame, root: str, tokens: Callable[[str], Column] = analyzer.lattice) -> index.Index:
+    """Store the index of the chunks' fields as the root's next generation; by the analyzer, or by other tokens."""
     rows = chunks.select(F.col("chunk_id").alias("doc_id"), *lexical.FIELD_BOOSTS)
-    index.write(chunks.sparkSession, root, rows, {f: simple_tokens(f) for f in lexical.FIELD_BOOSTS})
+    index.write(chunks.sparkSession, root, rows, {f: tokens(f) for f in lexical.FIELD_BOOSTS})
     return index.Index(chunks.sparkSession, root)
 
 
@@ -58,17 +60,17 @@ def score_scale(dense: bool, reranked: bool) -> str:
     return "rerank" if reranked else "rrf" if dense else "bm25"
 
 
-def search(docs: DataFrame, chunks: DataFrame, stored: index.Index, queries: DataFrame, args: SearchArgs | None = None, dense: DataFrame | None = None, window: int = 50, syntax: bool = False, boosts: dict[str, float] | None = None) -> DataFrame:
+def search(docs: DataFrame, chunks: DataFrame, stored: index.Index, queries: DataFrame, args: SearchArgs | None = None, dense: DataFrame | None = None, window: int = 50, syntax: bool = False, boosts: dict[str, float] | None = None, tokens: Callable[[Column | str], Column] = analyzer.phrase) -> DataFrame:
     """query_id, rank, score, chunk_id, path, headings, lines and, if asked for, a snippet of the best chunks.
 
     queries: query_id and text, as literal words or in query syntax. The scope restricts candidates before the top is
     taken, and statistics stay those of the whole index. A per-document cap reads more candidates until the limit is
-    filled or none are left. dense is a second ranked list (query_id, chunk_id, rank, score) to fuse with.
+    filled or none are left. tokens gives the (term, offset) of a query's word as the index was tokenized. dense is a second ranked list (query_id, chunk_id, rank, score) to fuse with.
     """
     args = args or SearchArgs()
     scoped = catalog.has_tags(catalog.path_prefix(docs, args.path_prefix), args.tags)
     inside = chunks.join(scoped.select("doc_id"), "doc_id", "left_semi").select(F.col("chunk_id").alias("doc_id")) if args.path_prefix or args.tags else None
-    parsed = clauses.syntax(queries) if syntax else clauses.literal(queries)
+    parsed = clauses.syntax(queries, tokens=tokens) if syntax else clauses.literal(queries, tokens)
     scored = lexical.score_clauses(stored, parsed, inside, boosts).withColumnRenamed("doc_id", "chunk_id")
     named = scored.withColumn("score", F.round("score", 6)).withColumn("doc_id", F.shiftright("chunk_id", 32))
     if dense is not None:

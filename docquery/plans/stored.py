@@ -8,11 +8,13 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquery.functions import analyzer
 from docquery.functions.text import simple_tokens
 from docquery.operators import vectors
 from docquery.operators.index import Index, delete, merge, upsert, write
+from docquery.plans import search
 from docquery.session import shared_root
-from docquery.sources.tables import table
+from docquery.sources.tables import docs, table
 
 #: Fields of a turn and what each counts: its text, and its role as the title.
 TURN_BOOSTS = {"text": 1.0, "title": 2.0}
@@ -37,25 +39,44 @@ def _version(spark: SparkSession, sf_dir: str, name: str) -> tuple:
 @cache
 def _root(app: str, sf_dir: str, name: str, shared: str, version: tuple) -> str:
     spark = SparkSession.getActiveSession()
-    root = f"{shared}/docquery-index/{name}-{uuid.uuid4().hex}"
+    root = f"{shared}/docquery-index/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
     if name == "embeddings":
         vectors.build(spark, root, table(spark, sf_dir, "embeddings"))
     elif name == "documents":
         write(spark, root, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    elif name == "chunks":
+        _, chunks = search.build(docs(spark, sf_dir).select("doc_id", "rel_path", "text"))
+        chunks.write.parquet(f"{root}/chunks")
+        search.write_index(spark.read.schema(chunks.schema).parquet(f"{root}/chunks"), f"{root}/index")
     else:
         rows = turns(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), "text", "title")
-        write(spark, root, rows, {f: simple_tokens(f) for f in TURN_BOOSTS})
+        tokens = analyzer.lattice if name == "analyzed turns" else simple_tokens
+        write(spark, root, rows, {f: tokens(f) for f in TURN_BOOSTS})
     return root
 
 
+#: Tables of the indexes that are not named as their tables are.
+TABLES = {"analyzed turns": "conversations", "chunks": "documents"}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> str:
+    return _root(spark.sparkContext.applicationId, sf_dir, name, shared_root(spark), _version(spark, sf_dir, TABLES.get(name, name)))
+
+
 def index(spark: SparkSession, sf_dir: str, name: str = "documents") -> Index:
-    """The stored index of `documents` or `conversations`; the first call of a session writes it."""
-    return Index(spark, _root(spark.sparkContext.applicationId, sf_dir, name, shared_root(spark), _version(spark, sf_dir, name)))
+    """The stored index of `documents` or `conversations`, or the analyzer's of `analyzed turns`; the first call of a session writes it."""
+    return Index(spark, _stored(spark, sf_dir, name))
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index]:
+    """The stored chunks of `documents` and the analyzer's index of their fields; the first call of a session writes both."""
+    root = _stored(spark, sf_dir, "chunks")
+    return spark.read.parquet(f"{root}/chunks"), Index(spark, f"{root}/index")
 
 
 def vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
     """The stored index of `embeddings`; the first call of a session writes it."""
-    return vectors.VectorIndex(spark, _root(spark.sparkContext.applicationId, sf_dir, "embeddings", shared_root(spark), _version(spark, sf_dir, "embeddings")))
+    return vectors.VectorIndex(spark, _stored(spark, sf_dir, "embeddings"))
 
 
 def updated(spark: SparkSession, sf_dir: str) -> Index:

@@ -1,5 +1,6 @@
 import pytest
 
+from docquery.functions.text import simple_tokens
 from docquery.operators import index as stored
 from docquery.operators import lexical
 from docquery.plans import clauses
@@ -91,7 +92,7 @@ def test_field_boosts(spark, tmp_path):
     """Of four documents that hold the word in one field each, the field's boost decides, and by its ratio."""
     rows = [(i, *["needle" if j == i else "pad" for j in range(4)]) for i in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, title string, heading_path string, identifiers string")
-    stored.write(spark, f"file://{tmp_path}", df, {f: S.simple_tokens(f) for f in lexical.FIELD_BOOSTS})
+    stored.write(spark, f"file://{tmp_path}", df, {f: simple_tokens(f) for f in lexical.FIELD_BOOSTS})
     queries = spark.createDataFrame([(1, ["needle"])], "query_id long, terms array<string>")
     by = {r.doc_id: r.score for r in lexical.bm25(stored.Index(spark, f"file://{tmp_path}"), queries, boosts=lexical.FIELD_BOOSTS).collect()}
     assert [round(by[i] / by[0], 6) for i in range(4)] == [1.0, 2.0, 1.5, 2.5]
