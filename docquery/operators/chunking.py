@@ -96,10 +96,10 @@ def marked_lines(bodies: DataFrame) -> DataFrame:
     return lines.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(so_far)).select("doc_id", "line", "content", "last", "fence", "level", "heading", "section")
 
 
-def _paths(lines: DataFrame) -> DataFrame:
-    """doc_id, section and heading_path: the headings above each section, outermost first."""
-    heads = lines.filter("level > 0").select("doc_id", "section", "level", "heading")
+def _with_paths(sections: DataFrame) -> DataFrame:
+    """The sections (level 0: text before any heading) with heading_path: the headings above each, outermost first."""
     so_far = Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heads = sections
     for n in LEVELS:
         here = F.when(F.col("level") == n, F.struct("section", "heading"))
         heads = heads.withColumn(f"h{n}", F.last(here, ignorenulls=True).over(so_far))
@@ -107,7 +107,7 @@ def _paths(lines: DataFrame) -> DataFrame:
     for n in LEVELS:
         newer = [F.coalesce(F.col(f"h{m}.section"), F.lit(-1)) for m in LEVELS if m < n]
         alive.append(F.when((F.col("level") >= n) & F.col(f"h{n}").isNotNull() & (F.greatest(F.lit(-1), F.lit(-1), *newer) < F.col(f"h{n}.section")), F.col(f"h{n}.heading")))
-    return heads.select("doc_id", "section", F.array_compact(F.array(*alive)).alias("heading_path"))
+    return heads.select(*sections.columns, F.array_compact(F.array(*alive)).alias("heading_path"))
 
 
 def pack_sizes(sizes: list[int], wholes: list[int], alone: list[bool], atomic: list[bool], bare: list[bool], blank: list[bool], cap: int) -> list[tuple[int, int, bool]]:
@@ -153,13 +153,15 @@ def pack_sizes(sizes: list[int], wholes: list[int], alone: list[bool], atomic: l
     return [(a, b, k > 0 and not any(x for p in joined[k - 1 : k + 1] for x in p[2:])) for k, (a, b, _, _) in enumerate(joined)]
 
 
-def _packed(parts: Column, cap: int) -> Column:
+def _packed(parts: Column, wanted: Column, cap: int) -> Column:
+    """Pieces of the sections that are wanted, null for the others; only numbers go to Python."""
+
     @F.pandas_udf("array<struct<a:int,b:int,repeat:boolean>>")
     def pack(sections: pd.Series) -> pd.Series:
         keys = ("n", "whole", "alone", "atomic", "bare", "blank")
-        return sections.map(lambda section: [{"a": a, "b": b, "repeat": r} for a, b, r in pack_sizes(*([p[k] for p in section] for k in keys), cap)])
+        return sections.map(lambda section: None if section is None else [{"a": a, "b": b, "repeat": r} for a, b, r in pack_sizes(*([p[k] for p in section] for k in keys), cap)])
 
-    return pack(F.transform(parts, lambda p: F.struct(*[p[k].alias(k) for k in ("n", "whole", "alone", "atomic", "bare", "blank")])))
+    return pack(F.when(wanted, F.transform(parts, lambda p: F.struct(*[p[k].alias(k) for k in ("n", "whole", "alone", "atomic", "bare", "blank")]))))
 
 
 def chunk(docs: DataFrame, cap: int = CAP_CHARS) -> DataFrame:
@@ -170,32 +172,32 @@ def chunk(docs: DataFrame, cap: int = CAP_CHARS) -> DataFrame:
     dropped; lines are those of the file.
     """
     lines = marked_lines(front_matter(docs))
-    paths = _paths(lines)
     lines = lines.withColumn("t", F.when(F.col("last"), F.col("content")).otherwise(F.concat("content", F.lit("\n"))))
     by_line = Window.partitionBy("doc_id", "section").orderBy("line")
     table = F.col("fence").isNull() & F.trim("content").startswith("|")
     kind = F.when(F.col("fence").isNotNull(), F.concat(F.lit("f"), F.col("fence").cast("string"))).when(table, "t").otherwise(F.concat(F.lit("p"), F.col("line").cast("string")))
     lines = lines.withColumn("kind", kind).withColumn("block", F.sum(F.coalesce((F.col("kind") != F.lag("kind").over(by_line)).cast("int"), F.lit(1))).over(by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x.t), "")
-    blocks = lines.groupBy("doc_id", "section", "block").agg(F.min("line").alias("first"), F.max("line").alias("last"), joined.alias("t"), (~F.first("kind").startswith("p")).alias("atomic"))
+    blocks = lines.groupBy("doc_id", "section", "block").agg(F.min("line").alias("first"), F.max("line").alias("last"), joined.alias("t"), (~F.first("kind").startswith("p")).alias("atomic"), F.max("level").alias("level"), F.max("heading").alias("heading"))
     pieces = F.when(F.col("atomic") | (F.length("t") <= cap), F.array("t")).otherwise(F.regexp_extract_all("t", F.lit(rf"(?s).{{1,{cap}}}\z|.{{1,{cap}}}(?<={_EDGE})|.{{1,{cap}}}"), F.lit(0)))
-    parts = blocks.select("doc_id", "section", "block", "first", "last", "atomic", F.length("t").alias("whole"), F.size(pieces).alias("m"), F.posexplode(pieces).alias("nth", "t"))
+    parts = blocks.select("doc_id", "section", "block", "first", "last", "atomic", "level", "heading", F.length("t").alias("whole"), F.size(pieces).alias("m"), F.posexplode(pieces).alias("nth", "t"))
     part = F.struct(
         "block", "nth", "first", "last", "t", F.length("t").alias("n"), "whole", (F.col("nth") < F.col("m") - 1).alias("alone"), "atomic",
         F.ltrim("t").rlike(r"\A(?:#|\s*\z)").alias("bare"), (F.trim(F.regexp_replace("t", r"\s+", "")) == "").alias("blank"),
     )
-    sections = parts.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.sum(F.length("t")).alias("total"))
+    sections = parts.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.sum(F.length("t")).alias("total"), F.max("level").alias("level"), F.max("heading").alias("heading"))
     one = F.array(F.struct(F.lit(0).alias("a"), F.size("parts").alias("b"), F.lit(False).alias("repeat")))
-    cuts = sections.filter(F.col("total") <= cap).select("doc_id", "section", "parts", one.alias("cuts")).union(sections.filter(F.col("total") > cap).select("doc_id", "section", "parts", _packed(F.col("parts"), cap).alias("cuts")))
+    fits = F.col("total") <= cap
+    cuts = _with_paths(sections).select("doc_id", "section", "heading_path", "parts", F.when(fits, one).otherwise(_packed(F.col("parts"), ~fits, cap)).alias("cuts"))
     text_of = lambda c: F.array_join(F.transform(F.slice("parts", c.a + 1, c.b - c.a), lambda p: p.t), "")
     texts = F.transform("cuts", lambda c: F.struct(text_of(c).alias("t"), F.element_at("parts", c.a + 1)["first"].alias("first"), F.element_at("parts", c.b)["last"].alias("last"), c["repeat"].alias("repeat")))
-    packed = cuts.select("doc_id", "section", texts.alias("pieces"))
+    packed = cuts.select("doc_id", "section", "heading_path", texts.alias("pieces"))
     before = F.try_element_at("pieces", F.col("nth")).t
     take = min(OVERLAP_CHARS, cap // 10)
     tail = F.when(F.length(before) <= take, before).otherwise(F.regexp_extract(F.substring(before, -(take + 1), take + 1), rf"(?s)\A.*?{_EDGE}(?=.*\S)(.*)\z", 1))
-    packed = packed.select("doc_id", "section", "pieces", F.posexplode("pieces").alias("nth", "p"))
+    packed = packed.select("doc_id", "section", "heading_path", "pieces", F.posexplode("pieces").alias("nth", "p"))
     packed = packed.withColumn("tail", F.when(F.col("p.repeat") & (F.col("nth") > 0), F.coalesce(tail, F.lit(""))).otherwise(""))
-    packed = packed.filter(F.trim(F.regexp_replace("p.t", r"\s", "")) != "").join(paths, ["doc_id", "section"], "left")
+    packed = packed.filter(F.trim(F.regexp_replace("p.t", r"\s", "")) != "")
     text = F.regexp_replace(F.concat("tail", "p.t"), r"\n\z", "")
     start = F.col("p.first") - (F.length("tail") - F.length(F.replace("tail", F.lit("\n"), F.lit(""))))
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "nth")) - 1
@@ -204,6 +206,6 @@ def chunk(docs: DataFrame, cap: int = CAP_CHARS) -> DataFrame:
     code = body.rlike(r"(?s)\A {0,3}(`{3,}|~{3,})[^\n]*\n(?:.*\n)? {0,3}\1[`~]*\s*\z")
     kind = F.when(code, "code").when(F.startswith(F.ltrim(body), F.lit("|")), "table").otherwise("prose")
     return packed.select(
-        "doc_id", seq.alias("seq"), F.coalesce("heading_path", F.array().cast("array<string>")).alias("heading_path"), kind.alias("kind"),
+        "doc_id", seq.alias("seq"), "heading_path", kind.alias("kind"),
         F.when(code & (F.trim(info) != ""), F.trim(info)).alias("lang"), start.cast("int").alias("line_start"), F.col("p.last").alias("line_end"), text.alias("text"),
     )
