@@ -32,10 +32,13 @@ BROADCAST_ROWS = 200_000
 #: Segments of one size class that are merged, and how many times larger the next class is.
 MERGED = 4
 TIER = 4
-#: Rows of an Arrow batch whose tokens are grouped at once.
-SLICE_ROWS = 512
+#: Rows and tokens of an Arrow batch that are grouped at once (one row's tokens may be more).
+SLICE_ROWS = 8192
+SLICE_TOKENS = 1_000_000
 
-ENTRY = "doc_id long, field string, term string, tf long, positions array<int>, dl int, n_chars int, bucket int"
+#: A block: postings of one term and field, those of some documents. doc_id is the first of them, places are the positions
+#: of all of them in order, and ends says where in places each one's end.
+BLOCK = "doc_id long, field string, term string, docs array<long>, ends array<int>, places array<int>, dls array<int>, chars array<int>"
 
 
 def bucket(term: Column | str) -> Column:
@@ -56,34 +59,71 @@ def _placed(tokens: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return row[there], term.filter(known), positions[there]
 
 
+def _blocks(doc: pa.Array, field: pa.Array, term: pa.Array, tf: np.ndarray, places: pa.Array, dl: pa.Array, chars: pa.Array) -> pa.RecordBatch:
+    """Postings as blocks: neighbours of equal field and term are one."""
+    codes = [pc.fill_null(c.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) for c in (field, term)]
+    new = [np.diff(c) != 0 for c in codes]
+    cuts = np.flatnonzero(np.r_[True, new[0] | new[1]]) if len(doc) else np.zeros(0, np.int64)
+    offsets, at, total = np.r_[cuts, len(doc)], pa.array(cuts), np.r_[0, np.cumsum(tf, dtype=np.int64)]
+    ends = total[1:] - np.repeat(total[cuts], np.diff(offsets))
+    listed = lambda values, cut: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), values)
+    lists = [listed(doc, offsets), listed(pa.array(ends.astype(np.int32)), offsets), listed(places, total[offsets]), listed(dl, offsets), listed(chars, offsets)]
+    return pa.RecordBatch.from_arrays([doc.take(at), field.take(at), term.take(at), *lists], names=["doc_id", "field", "term", "docs", "ends", "places", "dls", "chars"])
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (doc_id, n_chars, field, tokens): one row for each term with its positions, and one without a term for the row itself."""
-    names = ["doc_id", "field", "term", "tf", "positions", "dl", "n_chars"]
+    """Of rows (doc_id, n_chars, field, tokens): blocks of postings by term, and blocks without a term for the rows themselves."""
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(start, SLICE_ROWS)
+        held = np.cumsum(pc.fill_null(batch.column(3).value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            most = (held[start - 1] if start else 0) + SLICE_TOKENS
+            stop = min(max(start + 1, int(np.searchsorted(held, most, "right"))), start + SLICE_ROWS)
+            part = batch.slice(start, stop - start)
+            start = stop
             doc, chars, field, tokens = part.columns
             row, terms, positions = _placed(tokens)
-            dl = np.bincount(row, minlength=part.num_rows).astype(np.int64)
+            dl = np.bincount(row, minlength=part.num_rows).astype(np.int32)
             coded = terms.dictionary_encode()
             code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            key = row * max(1, len(coded.dictionary)) + code
+            kind = field.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            # by field and term, then by row: a block's postings lie together, and each posting's positions stay in order
+            key = (kind[row] * max(1, len(coded.dictionary)) + code) * part.num_rows + row
             order = np.argsort(key, kind="stable")
             cuts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
-            at, positions = row[order][cuts], positions[order]
-            tf = np.diff(np.r_[cuts, len(key)])
-            rows = np.r_[at, np.arange(len(dl))]
-            none = np.zeros(len(dl), np.int64)
+            whole = np.argsort(kind, kind="stable")
+            rows, none = np.r_[row[order][cuts], whole], np.zeros(len(dl), np.int64)
+            tf = np.r_[np.diff(np.r_[cuts, len(key)]), none].astype(np.int32)
             named = pa.concat_arrays([coded.dictionary.take(pa.array(code[order][cuts])).cast(pa.string()), pa.nulls(len(dl), pa.string())])
-            offsets = np.r_[0, np.cumsum(np.r_[tf, none])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(positions.astype(np.int32)))
             take = pa.array(rows)
-            columns = [doc.take(take), field.take(take), named, pa.array(np.r_[tf, none]), lists, pa.array(dl[rows].astype(np.int32)), chars.take(take)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield _blocks(doc.take(take), field.take(take), named, tf, pa.array(positions[order].astype(np.int32)), pa.array(dl[rows]), chars.take(take))
 
 
-def build(rows: DataFrame, fields: dict[str, Column] | None = None) -> DataFrame:
-    """Entries of an index over rows (doc_id, text, ...), texts being tokenized once.
+def _repacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings (doc_id, field, term, tf, positions, dl, n_chars) that come in their blocks' order."""
+    for batch in batches:
+        doc, field, term, tf, positions, dl, chars = batch.columns
+        yield _blocks(doc, field, term, tf.to_numpy(), positions.flatten(), dl, chars)
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumn("bucket", F.when(F.col("term").isNull(), LENGTHS).otherwise(bucket("term")))
+
+
+def opened(blocks: DataFrame) -> DataFrame:
+    """The postings of blocks as rows, with the blocks' other columns; lists that no one asks for are not read."""
+    lists = ["docs", "ends", "places", "dls", "chars"]
+    others = [c for c in blocks.columns if c not in (*lists, "doc_id", "field", "term")]
+    rows = blocks.select("field", "term", *lists[1:], *others, F.posexplode("docs").alias("__nth", "doc_id"))
+    at = lambda c, i: F.col(c)[i]
+    nth = F.col("__nth")
+    before = F.when(nth == 0, 0).otherwise(at("ends", F.greatest(nth - 1, F.lit(0))))
+    tf = at("ends", nth) - before
+    return rows.select("doc_id", "field", "term", tf.cast("long").alias("tf"), F.slice("places", before + 1, tf).alias("positions"), at("dls", nth).alias("dl"), at("chars", nth).alias("n_chars"), *others)
+
+
+def blocks(rows: DataFrame, fields: dict[str, Column] | None = None) -> DataFrame:
+    """Blocks of postings of an index over rows (doc_id, text, ...), texts being tokenized once.
 
     fields names the token arrays that are indexed (simple tokens of text if none are given): terms in order or, for all
     fields alike, the (gap, term) of the analyzer, of which several may stand at one position. A posting is a term of a field of a
@@ -93,8 +133,12 @@ def build(rows: DataFrame, fields: dict[str, Column] | None = None) -> DataFrame
     fields = {"text": simple_tokens("text")} if fields is None else fields
     each = F.array(*[F.struct(F.lit(f).alias("field"), tokens.alias("tokens")) for f, tokens in fields.items()])
     tokens = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), F.inline(each))
-    entries = tokens.mapInArrow(_entries, ENTRY.rpartition(",")[0])
-    return entries.withColumn("bucket", F.when(F.col("term").isNull(), LENGTHS).otherwise(bucket("term")))
+    return tokens.mapInArrow(_entries, BLOCK)
+
+
+def build(rows: DataFrame, fields: dict[str, Column] | None = None) -> DataFrame:
+    """The postings of blocks(), one in a row."""
+    return opened(_dealt(blocks(rows, fields)))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -102,12 +146,12 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _put_entries(spark: SparkSession, root: str, entries: DataFrame) -> list[Part]:
-    # the hash of a term deals the postings, so that those of one term lie together and a very frequent one is some files
-    dealt = entries.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term", "field", "doc_id")
+    # the hash of a term deals the blocks, so that those of one term lie together and a very frequent one is some files
+    dealt = _dealt(entries).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term", "field", "doc_id")
     (part,) = store.put(spark, root, {"segment": dealt}, {"segment": ["bucket"]})
-    df = store.written(spark, part).filter(F.col("bucket") != LENGTHS).groupBy("field", "term").agg(F.count("*").alias("df"))
+    df = store.written(spark, part).filter(F.col("bucket") != LENGTHS).groupBy("field", "term").agg(F.sum(F.size("docs").cast("long")).alias("df"))
     (terms,) = store.put(spark, root, {"df": df})
-    rows = store.written(spark, part).filter(F.col("bucket") == LENGTHS).select("doc_id").distinct().count()
+    rows = store.written(spark, part).filter(F.col("bucket") == LENGTHS).select(F.explode("docs").alias("doc_id")).distinct().count()
     return [replace(part, facts={"rows": rows}), replace(terms, facts={"segment": part.path})]
 
 
@@ -129,7 +173,7 @@ def _with_stats(spark: SparkSession, root: str, parts: list[Part], now: Snapshot
 
 def write(spark: SparkSession, root: str, documents: DataFrame, fields: dict[str, Column] | None = None) -> int:
     """Write an index of the documents and publish it as the root's next generation, in place of all segments."""
-    parts = _put_entries(spark, root, build(documents, fields))
+    parts = _put_entries(spark, root, blocks(documents, fields))
     kept = lambda now: [p for p in now.parts if p.name not in ("segment", "df", "gone", "stats")]
     return store.publish(spark, root, lambda now: _with_stats(spark, root, [*kept(now), *parts], now))
 
@@ -137,7 +181,7 @@ def write(spark: SparkSession, root: str, documents: DataFrame, fields: dict[str
 def update_parts(spark: SparkSession, root: str, documents: DataFrame | None, ended: DataFrame | None, fields: dict[str, Column] | None = None) -> list[Part]:
     """Written but unpublished: a segment of the documents, and the ids of theirs and of those that end."""
     ids = [d.select(F.col("doc_id").cast("long").alias("doc_id")) for d in (documents, ended) if d is not None]
-    entries = [] if documents is None else _put_entries(spark, root, build(documents, fields))
+    entries = [] if documents is None else _put_entries(spark, root, blocks(documents, fields))
     return [*entries, _put_ids(spark, root, reduce(DataFrame.unionByName, ids))]
 
 
@@ -151,7 +195,7 @@ def upsert(spark: SparkSession, root: str, documents: DataFrame, fields: dict[st
 
     Of two writers that bring the same document, the one that is published later wins.
     """
-    parts = [*_put_entries(spark, root, build(documents, fields)), _put_ids(spark, root, documents)]
+    parts = [*_put_entries(spark, root, blocks(documents, fields)), _put_ids(spark, root, documents)]
     return store.publish(spark, root, lambda now: _with_stats(spark, root, [*now.parts, *parts], now))
 
 
@@ -183,7 +227,8 @@ def merge(spark: SparkSession, root: str, everything: bool = False) -> int:
         if len(old) < 2 and not (everything and now.of("gone")):
             return now.generation
         seq = max(p.seq for p in old)
-        merged = _put_entries(spark, root, Index(spark, root, now).entries(old).drop("seq"))
+        live = Index(spark, root, now).entries(old).select("doc_id", "field", "term", "tf", "positions", "dl", "n_chars")
+        merged = _put_entries(spark, root, live.mapInArrow(_repacked, BLOCK))
         merged = [replace(p, seq=seq) for p in merged]
         paths = {p.path for p in old}
 
@@ -232,8 +277,10 @@ class Index:
 
     def entries(self, segments: list[Part] | None = None) -> DataFrame:
         """Live rows of the segments with their seq."""
-        rows = self._all(self.segments if segments is None else segments)
-        return self._split(rows, True) if self.gone else rows
+        return self._live(self._all(self.segments if segments is None else segments))
+
+    def _live(self, blocks: DataFrame) -> DataFrame:
+        return self._split(opened(blocks), True) if self.gone else opened(blocks)
 
     @property
     def postings(self) -> DataFrame:
@@ -243,17 +290,25 @@ class Index:
     def lengths(self) -> DataFrame:
         return self.entries().filter(F.col("bucket") == LENGTHS).select("doc_id", "field", "dl", "n_chars")
 
-    def within(self, terms: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-        """Postings (or rows) of the terms (a table with a column term) alone: only the folders that they are dealt to are read."""
-        rows = self.postings if rows is None else rows
+    def _blocks_of(self, terms: DataFrame) -> DataFrame:
+        """Blocks of the terms alone: only the folders that they are dealt to are read."""
         wanted = terms.select("term").distinct()
         buckets = [r.b for r in wanted.select(bucket("term").alias("b")).distinct().collect()]  # BUCKETS rows at most
         n = wanted.count()
-        rows = rows.filter(F.col("bucket").isin(buckets) if buckets else F.lit(False))
+        rows = self._all(self.segments).filter(F.col("bucket").isin(buckets) if buckets else F.lit(False))
         if n <= PRUNED_TERMS:
             return rows.filter(F.col("term").isin([r.term for r in wanted.collect()]))
         return rows.join(_small(wanted, n), "term", "left_semi")
 
+    def within(self, terms: DataFrame) -> DataFrame:
+        """Postings of the terms (a table with a column term) alone."""
+        return self._live(self._blocks_of(terms))
+
+    def marked(self, marks: DataFrame) -> DataFrame:
+        """Postings of the fields and terms of a table (field, term, id), with its id: blocks are marked before they are opened."""
+        rows = self._all(self.segments).join(_small(marks, marks.count()), ["field", "term"])
+        return self._live(rows)
+
     def of(self, terms: list[str] | None) -> DataFrame:
         """Postings of the named terms, or of all."""
         return self.postings if terms is None else self.within(self.spark.createDataFrame([(t,) for t in terms], "term string"))
@@ -272,7 +327,7 @@ class Index:
         if len(parts) == 1 and not self.gone:
             return counted
         if self.gone:
-            rows = self._all(self.segments).filter(F.col("bucket") != LENGTHS)
-            dead = self._split(rows if terms is None else self.within(terms, rows), False).groupBy("field", "term").agg((-F.count("*")).alias("df"))
+            rows = self._all(self.segments).filter(F.col("bucket") != LENGTHS) if terms is None else self._blocks_of(terms)
+            dead = self._split(opened(rows), False).groupBy("field", "term").agg((-F.count("*")).alias("df"))
             counted = counted.unionByName(dead)
         return counted.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
