@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.functions.text import simple_tokens
+from docquery.operators import scan
 from docquery.operators.index import Index
 from docquery.session import shared_root
 
@@ -20,6 +22,8 @@ MAX_LIMIT = 1000
 FIELD_BOOSTS = {"text": 1.0, "title": 2.0, "heading_path": 1.5, "identifiers": 2.5}
 #: Query terms up to which their table is broadcast (some tens of bytes each).
 BROADCAST_TERMS = 200_000
+#: Clauses, and rows of all queries' answers, that a task may hold (some tens of bytes each); more are joined by Spark.
+HELD_CLAUSES, HELD_ROWS = 1_000_000, 4_000_000
 
 
 def analyzed(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -82,6 +86,8 @@ def bm25(index: Index, queries: DataFrame, scope: DataFrame | None = None, boost
     hits = index.within(terms).select("doc_id", "field", "term", "tf", "dl", "n_chars")
     if scope is not None:
         hits = hits.join(scope.select("doc_id"), "doc_id", "left_semi")
+    # all of a document comes to one task first, so that its rows for every query do not move
+    hits = hits.repartition("doc_id")
     parts = hits.join(_small(weights, n * len(boosts)), ["field", "term"]).select("doc_id", "term", "n_chars", (F.col("weight") * _gain("tf")).alias("part"))
     # fields of a document and term are added before the queries that share the term multiply them
     if len(boosts) > 1:
@@ -90,6 +96,52 @@ def bm25(index: Index, queries: DataFrame, scope: DataFrame | None = None, boost
     return scored.select("query_id", "doc_id", _halved("score").alias("score"))
 
 
+def _gains(tf, dl, average):
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+
+
+def _lengths(n_chars):
+    return np.where(n_chars > LONG_CHUNK_CHARS, LONG_CHUNK_FACTOR, 1.0)
+
+
+def _ones(x, *others):
+    return np.ones(len(x))
+
+
+def _numbered(terms: DataFrame) -> DataFrame:
+    """The rows as a stored table with a number for each."""
+    return scan.stored(terms.withColumn("id", F.monotonically_increasing_id()))
+
+
+def _in_scope(hits: DataFrame, scope: DataFrame | None) -> DataFrame:
+    return hits if scope is None else hits.join(scope.select("doc_id"), "doc_id", "left_semi")
+
+
+def bm25_top(index: Index, queries: DataFrame, limit: int = 10, scope: DataFrame | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
+    """top(bm25(...), limit), scored in the tasks that have a document's postings, which return each query's best alone."""
+    boosts, limit = {"text": 1.0} if boosts is None else boosts, min(limit, MAX_LIMIT)
+    clauses = scan.stored(queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
+    n, n_queries = clauses.count(), clauses.select("query_id").distinct().count()
+    if n > HELD_CLAUSES or n_queries * limit > HELD_ROWS:
+        return top(bm25(index, queries, scope, boosts), limit)
+    marks = _numbered(_idf(index, clauses.select("term").distinct(), boosts))
+    asked = clauses.join(_small(marks, n * len(boosts)), "term").select("query_id", "id", (F.col("weight") * F.col("times")).alias("weight"), "average")
+    hits = _in_scope(index.marked(marks.select("field", "term", "id")).select("doc_id", "id", "tf", "dl", "n_chars"), scope)
+    return top(scan.best(hits, asked, limit, _gains, _lengths), limit)
+
+
+def matched_top(index: Index, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """top(matched_terms(...), limit) with the number of terms as the score."""
+    limit = min(limit, MAX_LIMIT)
+    clauses = scan.stored(queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")))
+    n, n_queries = clauses.count(), clauses.select("query_id").distinct().count()
+    if len(index.fields()) > 1 or n > HELD_CLAUSES or n_queries * limit > HELD_ROWS:
+        return top(matched_terms(index, queries).select("query_id", "doc_id", F.col("n").cast("double").alias("score")), limit)
+    marks = _numbered(clauses.select("term").distinct().select(F.lit(index.fields()[0]).alias("field"), "term"))
+    asked = clauses.join(_small(marks, n), "term").select("query_id", "id", F.lit(1.0).alias("weight"), F.lit(1.0).alias("average"))
+    return top(scan.best(index.marked(marks).select("doc_id", "id", "tf", "dl", "n_chars"), asked, limit, _ones, _ones), limit)
+
+
 def top(scored: DataFrame, limit: int = 10, by: str = "query_id", key: str = "doc_id", digits: int = 6) -> DataFrame:
     """The best `limit` rows of each query with their rank; ties go to the smaller key. The limit is at most MAX_LIMIT."""
     rounded = scored.withColumn("score", F.round("score", digits))
@@ -97,10 +149,14 @@ def top(scored: DataFrame, limit: int = 10, by: str = "query_id", key: str = "do
     return rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= min(limit, MAX_LIMIT))
 
 
-def matched_terms(index: Index, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id and n: distinct terms of the query that the document holds."""
+def matched_terms(index: Index, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id and n: distinct terms of the query that the document (of the scope, if there is one) holds."""
     clauses = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     hits = index.within(clauses).select("doc_id", "term")
+    if scope is not None:
+        scope = scan.stored(scope.select("doc_id").distinct())
+        hits = hits.join(_small(scope, scope.count()), "doc_id", "left_semi")
+    hits = hits.repartition("doc_id")
     hits = hits.distinct() if len(index.fields()) > 1 else hits
     return hits.join(_small(clauses, clauses.count()), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
 
@@ -109,13 +165,37 @@ def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:
     """phrase_id, doc_id, field and n (places where the entries of the array `terms` stand at their places).
 
     An array `offsets`, if there is one, says how far behind the first place each term stands (0, 0, 1 ...: two terms at one
-    position and one at the next); otherwise terms are consecutive. The positions of a phrase's rarest term are read
+    position and one at the next); otherwise terms are consecutive. The positions of a phrase's rarest term are looked at
     first, and those of its other terms only where they can follow.
     """
+    return phrase_places(index, phrases).select("phrase_id", "doc_id", "field", F.col("tf").alias("n"))
+
+
+def phrase_places(index: Index, phrases: DataFrame) -> DataFrame:
+    """phrase_matches with tf in place of n, and dl and n_chars: postings of the phrases' terms move once, by document."""
     offsets = F.col("offsets") if "offsets" in phrases.columns else F.transform("terms", lambda t, i: i)
     entries = F.arrays_zip(F.col("terms").alias("term"), offsets.alias("offset"))
     sized = phrases.filter(F.size("terms") > 0).select("phrase_id", F.size("terms").alias("size"), F.posexplode(entries).alias("nth", "entry")).select("phrase_id", "size", "nth", "entry.*")
+    sized = scan.stored(sized)
     n = sized.count()
+    if n > HELD_CLAUSES:
+        return _joined_places(index, sized, n)
+    known = index.df_of(sized)
+    numbers = _numbered(sized.select("term").distinct())
+    names = _numbered(sized.select("phrase_id").distinct()).withColumnRenamed("id", "pid")
+    frequency = known.groupBy("term").agg(F.sum("df").alias("df"))
+    rows = sized.join(F.broadcast(frequency), "term", "left").join(F.broadcast(numbers), "term").join(F.broadcast(names), "phrase_id")  # HELD_CLAUSES rows at most
+    # a phrase with a term that no document has stands nowhere
+    of, first = Window.partitionBy("pid"), Window.partitionBy("pid").orderBy("df", "nth")
+    rows = rows.withColumn("all", F.min(F.coalesce("df", F.lit(0))).over(of) > 0).withColumn("lead", F.row_number().over(first) == 1).filter("all")
+    entries = scan.stored(rows.select("pid", "nth", "id", "offset", "lead"))
+    marks = known.select("field", "term").join(F.broadcast(numbers), "term").join(F.broadcast(entries.select("id").distinct()), "id", "left_semi")
+    found = scan.places(index.marked(marks).select("doc_id", "id", "field", "positions", "dl", "n_chars"), entries)
+    return found.join(F.broadcast(names), "pid").select("phrase_id", "doc_id", "field", "tf", "dl", "n_chars")
+
+
+def _joined_places(index: Index, sized: DataFrame, n: int) -> DataFrame:
+    """phrase_places by joins, for very many phrases."""
     frequency = index.df_of(sized).groupBy("term").agg(F.sum("df").alias("df"))
     known = sized.join(frequency, "term", "left")
     # a phrase with a term that no document has stands nowhere
@@ -132,7 +212,8 @@ def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:
     found = checked.select("phrase_id", "doc_id", "field", "size", F.explode(F.array_intersect("starts", F.transform("positions", lambda p: p - F.col("offset")))).alias("start"))
     whole = found.groupBy("phrase_id", "doc_id", "field", "start", "size").agg(F.count("*").alias("met")).filter("met = size - 1")
     single = starts.filter("size = 1").select("phrase_id", "doc_id", "field", "start")
-    return whole.select("phrase_id", "doc_id", "field", "start").union(single).groupBy("phrase_id", "doc_id", "field").agg(F.count("*").alias("n"))
+    found = whole.select("phrase_id", "doc_id", "field", "start").union(single).groupBy("phrase_id", "doc_id", "field").agg(F.count("*").alias("tf"))
+    return found.join(index.lengths, ["doc_id", "field"]).select("phrase_id", "doc_id", "field", "tf", "dl", "n_chars")
 
 
 def boolean(index: Index, must: list[str], should: list[str], must_not: list[str]) -> DataFrame:
@@ -163,8 +244,8 @@ def score_clauses(index: Index, clauses: DataFrame, scope: DataFrame | None = No
 
     phrases = clauses.filter(F.size("terms") > 1).withColumn("phrase_id", F.struct(*keys))
     idf = _idf(index, phrases.select(*keys, "field", F.explode("terms").alias("term")), boosts).groupBy(*keys, "field").agg(F.sum("weight").alias("weight"), F.first("average").alias("average"))
-    places = phrase_matches(index, phrases.select("phrase_id", "terms", *[c for c in ("offsets",) if c in phrases.columns])).select("phrase_id.*", "doc_id", "field", F.col("n").alias("tf"))
-    many = places.join(_small(idf, n * len(boosts)), [*keys, "field"]).join(index.lengths, ["doc_id", "field"]).select(*keys, "doc_id", "n_chars", (F.col("weight") * _gain("tf")).alias("part"))
+    places = phrase_places(index, phrases.select("phrase_id", "terms", *[c for c in ("offsets",) if c in phrases.columns])).select("phrase_id.*", "doc_id", "field", "tf", "dl", "n_chars")
+    many = places.join(_small(idf, n * len(boosts)), [*keys, "field"]).select(*keys, "doc_id", "n_chars", (F.col("weight") * _gain("tf")).alias("part"))
 
     hits = ones.union(many)
     if scope is not None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquery.functions import analyzer
 from docquery.functions import text as T
-from docquery.operators import catalog, chunking, dense, evaluate, lexical, ranking, vectors
+from docquery.operators import catalog, chunking, dense, evaluate, lexical, ranking, scan, vectors
 from docquery.plans import clauses, search, stored
 from docquery.sources.tables import chunks, docs, table
 from docquery.streaming import debounce
@@ -206,19 +206,19 @@ def index_build(spark, sf_dir):
 
 @query(_ALL + "SELECT * FROM k WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return lexical.top(lexical.bm25(stored.index(spark, sf_dir), _queries(spark, sf_dir)))
+    return lexical.bm25_top(stored.index(spark, sf_dir), _queries(spark, sf_dir))
 
 
 @query(_SCOPED + "SELECT * FROM k WHERE rank <= 10")
 def bm25_scoped_topk(spark, sf_dir):
     inside = catalog.path_prefix(docs(spark, sf_dir), "src1")
-    return lexical.top(lexical.bm25(stored.index(spark, sf_dir), _queries(spark, sf_dir), inside))
+    return lexical.bm25_top(stored.index(spark, sf_dir), _queries(spark, sf_dir), scope=inside)
 
 
 @query((_ALL + "SELECT * FROM k WHERE rank <= 10").replace("FROM documents)", "FROM documents WHERE source IS DISTINCT FROM 'src7')"))
 def bm25_updated(spark, sf_dir):
     """The search over an index in segments, after one source was brought anew, one was deleted and segments were merged."""
-    return lexical.top(lexical.bm25(stored.updated(spark, sf_dir), _queries(spark, sf_dir)))
+    return lexical.bm25_top(stored.updated(spark, sf_dir), _queries(spark, sf_dir))
 
 
 @query(rf"WITH {_TOKENS}, i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark), ph AS (SELECT item_id * 10000 + j AS phrase_id, w[j : j + 2] AS a FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS j FROM i)), g AS (SELECT doc_id, w[j : j + 2] AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS j FROM t)) SELECT phrase_id, doc_id, count(*) AS n FROM ph JOIN g USING (a) GROUP BY 1, 2")
@@ -237,7 +237,7 @@ def bool_and_or_not(spark, sf_dir):
 
 @query(_ALL + ", z AS (SELECT query_id, doc_id, source, rank FROM k JOIN documents USING (doc_id) WHERE rank <= 50) SELECT query_id, doc_id, source, rank FROM z QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) <= 2")
 def dedupe_per_source(spark, sf_dir):
-    hits = lexical.top(lexical.bm25(stored.index(spark, sf_dir), _queries(spark, sf_dir)), 50)
+    hits = lexical.bm25_top(stored.index(spark, sf_dir), _queries(spark, sf_dir), 50)
     named = hits.join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
     return ranking.cap_per_document(named, 2, doc="source").select("query_id", "doc_id", "source", "rank")
 
@@ -260,7 +260,7 @@ g AS (SELECT p.doc_id, p.field, p.term, t.n_chars, s.boost * ln(1 + (n - df + 0.
 def bm25_fielded_topk(spark, sf_dir):
     """Turns by their text and their role as title, with the title's boost."""
     q = _queries(spark, sf_dir).withColumn("terms", F.concat("terms", F.array(F.lit("user"))))
-    return lexical.top(lexical.bm25(stored.index(spark, sf_dir, "conversations"), q, boosts=stored.TURN_BOOSTS))
+    return lexical.bm25_top(stored.index(spark, sf_dir, "conversations"), q, boosts=stored.TURN_BOOSTS)
 
 
 # the analyzer's tokens of a segment in SQL; the given texts have Latin letters alone, so no run is parted by scripts and none gives pairs
@@ -385,17 +385,17 @@ SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id OR
 def rrf_fuse(spark, sf_dir):
     """BM25's list fused with a list by the number of query terms that a document holds."""
     index, q = stored.index(spark, sf_dir), _queries(spark, sf_dir)
-    lex = lexical.top(lexical.bm25(index, q), 50)
-    other = lexical.top(lexical.matched_terms(index, q).select("query_id", "doc_id", F.col("n").cast("double").alias("score")), 50)
-    return ranking.rrf(lex, other)
+    return ranking.rrf(lexical.bm25_top(index, q, 50), lexical.matched_top(index, q, 50))
 
 
 @query(_ALL + ", o AS (SELECT query_id, p.doc_id, count(*) AS n FROM p JOIN c USING (term) SEMI JOIN labels ON labels.doc_id = p.doc_id GROUP BY 1, 2) SELECT query_id, doc_id, coalesce(CAST(n AS DOUBLE), 0) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n IS NULL, n DESC, rank) AS INTEGER) AS rank FROM k LEFT JOIN o USING (query_id, doc_id) WHERE k.rank <= 20")
 def rerank_overlap(spark, sf_dir):
     """A provider that scores the labelled documents, by shared terms."""
     index, q = stored.index(spark, sf_dir), _queries(spark, sf_dir)
-    hits = lexical.top(lexical.bm25(index, q), 20)
-    scored = lexical.matched_terms(index, q).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    hits = scan.stored(lexical.bm25_top(index, q, 20))
+    # only hits are asked for
+    labelled = table(spark, sf_dir, "labels").select("doc_id").join(hits.select("doc_id"), "doc_id", "left_semi")
+    scored = lexical.matched_terms(index, q, labelled)
     return ranking.rerank(hits, scored.select("query_id", "doc_id", F.col("n").cast("double").alias("provider_score")))
 
 
