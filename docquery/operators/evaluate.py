@@ -146,21 +146,28 @@ def skyline(points: DataFrame, quality: str, cost: str, latency: str, by: str) -
 def jaccard(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """left_id, right_id and similarity of all pairs of token sets (columns id, tokens) that are alike by `least` (above 0) or more.
 
-    Of sets in order of rarity, two that are so alike share a token of both prefixes of n - ceil(least * n) + 1
-    tokens; only such pairs whose sizes allow it are compared in full. Two sets without tokens are alike by 1.
+    Of sets in one order of tokens, two that are so alike share a token of both prefixes of n - ceil(least * n) + 1
+    tokens. Tokens that no left set has come first in that order, then rarer ones of left sets: of a right set only the
+    tokens that left sets have are looked at, and only such pairs whose sizes allow it are compared in full. Two sets
+    without tokens are alike by 1.
     """
     sets = {name: df.select(F.col("id").alias(name), F.array_distinct("tokens").alias("w")) for name, df in (("left_id", left), ("right_id", right))}
-    each = {name: df.select(name, F.size("w").alias("n"), F.explode("w").alias("token")) for name, df in sets.items()}
-    counts = each["left_id"].select("token").union(each["right_id"].select("token")).groupBy("token").agg(F.count("*").alias("df"))
+    bounds = sets["left_id"].filter(F.size("w") > 0).agg(F.min(F.size("w")).alias("low"), F.max(F.size("w")).alias("high"))
+    near = sets["right_id"].withColumn("n", F.size("w")).crossJoin(F.broadcast(bounds))  # one row
+    sets["near"] = near.filter((F.col("n") >= least * F.col("low") - 1e-9) & (F.col("high") >= least * F.col("n") - 1e-9)).select("right_id", "w")
+    each = {"left_id": sets["left_id"], "right_id": sets["near"]}
+    each = {name: df.select(name, F.size("w").alias("n"), F.explode("w").alias("token")) for name, df in each.items()}
+    counts = each["left_id"].groupBy("token").agg(F.count("*").alias("df"))
 
     def prefix(name: str) -> DataFrame:
         order = Window.partitionBy(name).orderBy("df", "token")
-        ranked = each[name].join(counts, "token").withColumn("nth", F.row_number().over(order))
+        whole = Window.partitionBy(name)
+        ranked = each[name].join(counts, "token").withColumn("nth", F.row_number().over(order) + F.col("n") - F.count("*").over(whole))
         return ranked.filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(name, F.col("n").alias(f"{name}_n"), "token")
 
     fits = (F.col("left_id_n") >= least * F.col("right_id_n") - 1e-9) & (F.col("right_id_n") >= least * F.col("left_id_n") - 1e-9)
     pairs = prefix("left_id").join(prefix("right_id"), "token").filter(fits).select("left_id", "right_id").distinct()
-    both = pairs.join(sets["left_id"].withColumnRenamed("w", "a"), "left_id").join(sets["right_id"].withColumnRenamed("w", "b"), "right_id")
+    both = pairs.join(sets["left_id"].withColumnRenamed("w", "a"), "left_id").join(sets["near"].withColumnRenamed("w", "b"), "right_id")
     n = F.size(F.array_intersect("a", "b"))
     found = both.select("left_id", "right_id", (n / (F.size("a") + F.size("b") - n)).alias("similarity")).filter(F.col("similarity") >= least)
     bare = sets["left_id"].filter(F.size("w") == 0).select("left_id", F.lit(0).alias("w")).join(sets["right_id"].filter(F.size("w") == 0).select("right_id", F.lit(0).alias("w")), "w")
