@@ -266,6 +266,31 @@ def score_clauses(index: Index, clauses: DataFrame, scope: DataFrame | None = No
     return found.select("query_id", "doc_id", _halved("part").alias("score"))
 
 
+def literal_top(index: Index, clauses: DataFrame, limit: int, scope: DataFrame | None = None, boosts: dict[str, float] | None = None, per_owner: int | None = None) -> DataFrame | None:
+    """query_id, doc_id and score of score_clauses for clauses that are optional words and phrases: each task's best, which hold each query's `limit` best.
+
+    Of the chunks of one document (chunk_id), at most per_owner are kept. None, where the queries are too many for that.
+    """
+    boosts = FIELD_BOOSTS if boosts is None else boosts
+    n, n_queries = clauses.count(), clauses.select("query_id").distinct().count()
+    if n * len(boosts) > HELD_CLAUSES or n_queries * limit > HELD_ROWS:
+        return None
+    single = clauses.filter(F.size("terms") == 1).select("query_id", F.element_at("terms", 1).alias("term"))
+    marks = _numbered(_idf(index, single.select("term").distinct(), boosts))
+    asked = single.join(F.broadcast(marks), "term").select("query_id", "id", "weight", "average")
+    columns = ["doc_id", "id", "tf", "dl", "n_chars"]
+    hits = index.marked(marks.select("field", "term", "id")).select(*columns)
+
+    # a phrase that several queries have is sought once; its ids are below those of the terms
+    several = clauses.filter(F.size("terms") > 1).select("query_id", "terms", *[c for c in ("offsets",) if c in clauses.columns])
+    phrases = _numbered(several.drop("query_id").distinct()).withColumnRenamed("id", "phrase_id")
+    idf = _idf(index, phrases.select("phrase_id", F.explode("terms").alias("term")), boosts).groupBy("phrase_id", "field").agg(F.sum("weight").alias("weight"), F.first("average").alias("average"))
+    fields = _numbered(idf).withColumn("id", -1 - F.col("id"))
+    said = several.join(F.broadcast(phrases), [c for c in several.columns if c != "query_id"]).join(F.broadcast(fields), "phrase_id").select("query_id", "id", "weight", "average")
+    found = phrase_places(index, phrases).join(F.broadcast(fields.select("phrase_id", "field", "id")), ["phrase_id", "field"]).select(*columns)
+    return scan.best(_in_scope(hits.union(found), scope), asked.union(said), limit, _gains, _lengths, lambda d: d >> 32, per_owner)
+
+
 def _groups(met: DataFrame, clauses: DataFrame, n: int) -> DataFrame:
     """query_id, group, doc_id, part and n_chars of the documents that each group of these clauses finds."""
     group = ["query_id", "group"]

@@ -71,15 +71,17 @@ def search(docs: DataFrame, chunks: DataFrame, stored: index.Index, queries: Dat
     scoped = catalog.has_tags(catalog.path_prefix(docs, args.path_prefix), args.tags)
     inside = chunks.join(scoped.select("doc_id"), "doc_id", "left_semi").select(F.col("chunk_id").alias("doc_id")) if args.path_prefix or args.tags else None
     parsed = clauses.syntax(queries, tokens=tokens) if syntax else clauses.literal(queries, tokens)
-    scored = lexical.score_clauses(stored, parsed, inside, boosts).withColumnRenamed("doc_id", "chunk_id")
+    few = None if syntax or dense is not None else lexical.literal_top(stored, parsed, args.limit, inside, boosts, args.per_document)
+    scored = (lexical.score_clauses(stored, parsed, inside, boosts) if few is None else few).withColumnRenamed("doc_id", "chunk_id")
     named = scored.withColumn("score", F.round("score", 6)).withColumn("doc_id", F.shiftright("chunk_id", 32))
     if dense is not None:
         named = ranking.rrf(lexical.top(scored, fetched(args, True, window), key="chunk_id"), dense, key="chunk_id").withColumn("doc_id", F.shiftright("chunk_id", 32))
-    named = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))) if dense is None else named
+    order = [F.desc("score"), F.col("chunk_id")] if dense is None else [F.col("rank")]
     if args.per_document:
         # the cap comes before the top, so the window never has to be widened for a document with very many hits
-        named = ranking.cap_per_document(named, args.per_document)
-        named = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+        named = ranking.cap_per_document(named, args.per_document, keys=order)
+    if dense is None or args.per_document:
+        named = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     best = named.filter(F.col("rank") <= args.limit)
     # text is joined only for the rows that are returned
     cited = best.drop("doc_id").join(chunks.select("chunk_id", "doc_id", "headings", "line_start", "line_end", "text"), "chunk_id").join(docs.select("doc_id", F.col("rel_path").alias("path")), "doc_id")
