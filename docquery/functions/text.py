@@ -19,13 +19,17 @@ _RANGES = {
 }
 SCRIPTS = {name: rf"[{r}&&\p{{IsAlphabetic}}]" for name, r in _RANGES.items()}
 
+#: A character of a script but the Latin one.
+_NOT_LATIN = "[" + "".join(r for n, r in _RANGES.items() if n != "latin") + "]"
+
 TOKEN = r"[\p{L}\p{N}]+"
 SNIPPET_CHARS = 240
 
 
 def fold(text: Column | str) -> Column:
     """Spelling variants to one form: Cyrillic yo, dotted I, full-width ASCII, Arabic letter forms; vowel marks go."""
-    return F.translate(text, _FROM, _TO)
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike(f"[{_FROM}]"), F.translate(text, _FROM, _TO)).otherwise(text)
 
 
 def script_counts(text: Column | str) -> list[Column]:
@@ -45,11 +49,12 @@ def script_of(text: Column | str) -> Column:
 def script_runs(text: Column | str) -> Column:
     """Parts of one script each, split before a letter of another script; digits and marks stay with the part before them."""
     out = F.col(text) if isinstance(text, str) else text
-    other = rf"[\P{{IsAlphabetic}}[^{''.join(_RANGES.values())}]]"
-    for name, letter in SCRIPTS.items():
-        foreign = "".join(r for n, r in _RANGES.items() if n != name)
-        out = F.regexp_replace(out, rf"({letter}{other}*+)(?=[{foreign}&&\p{{IsAlphabetic}}])", "$1\u0001")
-    return F.split(out, "\u0001")
+    # a letter and all that follows it but letters of other scripts, in one pass; the last such run ends with the text
+    foreign = {name: "".join(r for n, r in _RANGES.items() if n != name) for name in SCRIPTS}
+    runs = "|".join(rf"{letter}[\P{{IsAlphabetic}}[^{foreign[name]}]]*+" for name, letter in SCRIPTS.items())
+    marked = F.regexp_replace(out, runs, "$0\u0001")
+    marked = F.when(out.rlike("|".join(SCRIPTS.values())), F.left(marked, F.length(marked) - 1)).otherwise(marked)
+    return F.split(F.when(out.rlike(_NOT_LATIN), marked).otherwise(out), "\u0001")
 
 
 def stem_language(word: Column | str) -> Column:

@@ -266,4 +266,4 @@ def script_runs(spark, sf_dir):
     """Runs of one script in every text; those of two languages end with words of other scripts."""
     end = F.when(F.col("lang") == "en", " привет abc").when(F.col("lang") == "de", "12 文書 العربية").otherwise("")
     d = docs(spark, sf_dir).select("doc_id", F.concat("text", end).alias("text"))
-    return d.select("doc_id", (F.regexp_count("text", F.lit(T.SCRIPTS["latin"])) > 0).alias("latin"), F.size(T.script_runs("text")).alias("runs"))
+    return d.select("doc_id", F.col("text").rlike(T.SCRIPTS["latin"]).alias("latin"), F.size(T.script_runs("text")).alias("runs"))
