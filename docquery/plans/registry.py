@@ -452,7 +452,7 @@ def chunk_documents(spark, sf_dir):
 @query()
 def analyzer_terms(spark, sf_dir):
     """Frequency of every analyzed term of every document."""
-    return analyzer.tokens(docs(spark, sf_dir)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return analyzer.term_counts(docs(spark, sf_dir))
 
 
 # --- evaluation
