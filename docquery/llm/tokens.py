@@ -16,6 +16,9 @@ CALL = 1 << 18
 #: Words whose ids are laid out at once, and bytes in which spaces are looked for at once.
 WORDS = 1 << 17
 WINDOW = 1 << 19
+#: Words of earlier groups whose ids a worker keeps at most, and the longest of them in bytes.
+KNOWN = 1 << 19
+KNOWN_BYTES = 48
 
 _SPACE = 0x20
 _ASCII_WHITE = common.byte_class([(0x09, 0x0D), (0x1C, 0x20)])
@@ -63,13 +66,17 @@ class TextEncoder:
     The tokenizer never joins bytes across a space between two characters that are not white space, so a text is a
     row of words that begin with such a space. Each distinct word of a group of texts is encoded once, many in one
     call: the ids fall to the words by the number of bytes that each id stands for. Words that begin or end otherwise
-    (the first of a text, or with white space at its end) and those with a special token's string go alone.
+    (the first of a text, or with white space at its end) and those with a special token's string go alone. A word's ids
+    depend on its bytes alone, so up to `known` words keep theirs for the groups that follow; where there would be more,
+    those stay that were met again since the last time.
     """
 
-    def __init__(self, path: str, group: int = GROUP):
+    def __init__(self, path: str, group: int = GROUP, known: int = KNOWN):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.group = Tokenizer.from_file(path), group
+        self.tokenizer, self.group, self.known = Tokenizer.from_file(path), group, known
+        self.words, self.met = pa.array([], pa.binary()), np.zeros(0, bool)
+        self.ids, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int32)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -81,7 +88,33 @@ class TextEncoder:
     def _calls(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each of the distinct words has its own and how many."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.words) + np.arange(len(new))
+        self.met[at[at < len(self.words)]] = True
+        fresh = words.take(pa.array(new))
+        ids, counts = self._encoded(fresh) if len(new) else (self.ids[:0], self.counts[:0])
+        ids, counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        starts = np.cumsum(counts, dtype=np.int64) - counts
+        self._keep(fresh, ids, starts, counts)
+        return ids, starts[at], counts[at]
+
+    def _keep(self, fresh: pa.Array, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+        """Of the known words and then the fresh ones, whose ids are given, keep what later groups may look up."""
+        n = len(self.words)
+        short = np.flatnonzero(pc.less_equal(pc.binary_length(fresh), KNOWN_BYTES).to_numpy(zero_copy_only=False))[: self.known]
+        if n + len(short) > self.known:
+            old = np.flatnonzero(self.met)[: self.known - len(short)]
+            self.words, self.ids, self.counts = self.words.take(pa.array(old)), ids[_spread(starts[old], counts[old])], counts[old]
+            self.met = np.zeros(len(old), bool)
+        which = n + short
+        self.words = pa.concat_arrays([self.words, fresh.take(pa.array(short))])
+        self.met = np.concatenate([self.met, np.zeros(len(short), bool)])
+        self.ids, self.counts = np.concatenate([self.ids, ids[_spread(starts[which], counts[which])]]), np.concatenate([self.counts, counts[which]])
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words laid end to end, and how many each has."""
         offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
         data = np.frombuffer(words.buffers()[2], np.uint8)
@@ -91,7 +124,7 @@ class TextEncoder:
         alone[longer] = _white(data, begin[longer] + 1, False)
         for mark in self.special:
             alone |= pc.match_substring(words.view(pa.string()), mark).to_numpy(zero_copy_only=False)
-        counts = np.zeros(len(words), np.int64)
+        counts = np.zeros(len(words), np.int32)
         order, found = [], []
         which = np.flatnonzero(~alone)
         sizes = (end - begin)[which]
@@ -119,7 +152,7 @@ class TextEncoder:
         # the ids were found in another order than the words'
         order, ids = np.concatenate(order), np.concatenate(found)
         placed = np.empty(len(ids), np.uint32)
-        before = np.cumsum(counts) - counts
+        before = np.cumsum(counts, dtype=np.int64) - counts
         placed[_spread(before[order], counts[order])] = ids
         return placed, counts
 
@@ -131,9 +164,9 @@ class TextEncoder:
             return [], np.zeros(len(offsets) - 1, np.int64)
         words = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(data)).astype(np.int32, copy=False)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = words.dictionary_encode()
-        ids, counts = self._word_ids(coded.dictionary)
-        starts, which = np.cumsum(counts) - counts, coded.indices.to_numpy()
-        before = np.concatenate([[0], np.cumsum(counts[which])])
+        ids, starts, counts = self._word_ids(coded.dictionary)
+        which = coded.indices.to_numpy()
+        before = np.concatenate([[0], np.cumsum(counts[which], dtype=np.int64)])
         per_row = np.diff(before[np.searchsorted(cuts, offsets)])
         return [ids[_spread(starts[w], counts[w])] for w in (which[low : low + WORDS] for low in range(0, len(which), WORDS))], per_row
 
@@ -182,7 +215,8 @@ class TextEncoder:
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for counts[0] places, and so on."""
-    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    ends = np.cumsum(counts, dtype=np.int64)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 _encoders: dict[str, TextEncoder] = {}
