@@ -17,7 +17,7 @@ CALL = 1 << 18
 WORDS = 1 << 17
 WINDOW = 1 << 19
 #: Words of earlier groups whose ids a worker keeps at most, and the longest of them in bytes.
-KNOWN = 1 << 19
+KNOWN = 1 << 18
 KNOWN_BYTES = 48
 
 _SPACE = 0x20
