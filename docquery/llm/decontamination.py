@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from docquery.llm import common
 
 WINDOW = 10
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: a run of ASCII characters that are no letters or digits.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows up to which the prefix table is broadcast (about 300 bytes each); beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 100_000
 
 
 def words_of(text: Column) -> Column:
     lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.coalesce(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    # splitting is several times faster than extracting each word by an expression; only the ends can be empty
+    return F.coalesce(F.array_remove(F.split(lower, SEPARATORS), ""), F.array().cast("array<string>"))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -64,7 +66,8 @@ def occurrences(docs: DataFrame, prefix: DataFrame, small: bool) -> DataFrame:
     """One row for each place where a window stands, and one with a null key for each document; columns: row (doc_id and text hash), key, start, len, n_words."""
     base = docs.select(F.struct("doc_id", text_hash("text").alias("h")).alias("row"), words_of(F.col("text")).alias("words"))
     # no word is empty: an empty one at the end stands for the document itself, so that its count needs no second scan
-    ended = base.withColumn("ended", F.concat("words", F.array(F.lit("")))).select("row", "words", F.posexplode("ended").alias("at", "word"))
+    # (never an empty array; of an inner posexplode of a column Spark infers a filter on its size, which splits the text once more)
+    ended = base.select("row", "words", F.posexplode_outer(F.concat("words", F.array(F.lit("")))).alias("at", "word"))
     mark = prefix.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(None).cast("string").alias("key"), F.array().cast("array<string>").alias("window"), F.lit(0).alias("len"), F.lit(0).alias("offset"))
     table = prefix.select("token", "key", "window", "len", "offset").unionByName(mark)
     start = F.col("at") - F.col("offset")

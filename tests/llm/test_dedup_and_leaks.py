@@ -96,3 +96,17 @@ def test_decontamination_brute_force(spark, limit):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r.item_ids), r.contaminated) for r in got), key=str) == brute_scan(data, items)
     assert decontamination.scan(docs.limit(0), bench).count() == 0
     assert decontamination.scan(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_decontamination_words(spark):
+    texts = [None, "", "?", " \t.", "A", " A b", "a,\x00B\n", "x-y_z", "Éa ÀB\u00a0c", "日本。語 Z9", "a" * 3000 + "//" + "B" * 3000, "\x7f0\x2f9\x3aA\x40Z\x5ba\x60z\x7b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    got = {r.n: r.words for r in df.select("n", decontamination.words_of(df.text).alias("words")).collect()}
+    assert got == {n: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER)) for n, t in enumerate(texts)}
+
+
+def test_decontamination_splits_each_text_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    prefix = spark.createDataFrame([], "key string, window array<string>, len int, token string, offset int")
+    plan = decontamination.occurrences(docs, prefix, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(text") == 1 and "regexp_extract_all" not in plan
