@@ -9,6 +9,9 @@ over them. Stems are not built in; a table of (term, stem) may replace terms.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +74,26 @@ def lattice(text: Column | str, folded: bool = True) -> Column:
     return F.flatten(F.transform(F.transform(segments(fold(source) if folded else source), _parts), _gaps))
 
 
+def plain(words: pa.Array) -> np.ndarray:
+    """Which are words of small Latin letters, with a capital at most at their start and marks at most at their end."""
+    return pc.fill_null(pc.match_substring_regex(words, _WORD), False).to_numpy(zero_copy_only=False)
+
+
+def plain_tokens(words: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """For plain words: how many tokens lattice gives each, and gap and term of all of them in order."""
+    lower = pc.utf8_lower(words)
+    bare = pc.utf8_rtrim(lower, characters=".,;:!?")
+    short = lambda x: pc.less_equal(pc.utf8_length(x), LONGEST_TOKEN).to_numpy(zero_copy_only=False)
+    whole, part = short(lower), short(bare) & pc.not_equal(lower, bare).to_numpy(zero_copy_only=False)
+    n = np.maximum(1, whole.astype(np.int32) + part)
+    first = np.cumsum(n) - n
+    gap, term = np.zeros(int(n.sum()), np.int32), np.full(int(n.sum()), -1)
+    gap[first] = 1
+    term[first[whole]] = np.flatnonzero(whole)
+    term[(first + whole)[part]] = len(words) + np.flatnonzero(part)
+    return pa.array(n), pa.array(gap), pa.concat_arrays([lower, bare]).take(pa.array(term, mask=term < 0))
+
+
 def phrase(text: Column | str, folded: bool = True) -> Column:
     """The tokens of a query's word or phrase as (term, offset), offsets counted from the first token.
 

@@ -73,8 +73,8 @@ def simple_tokens(text: Column | str) -> Column:
 
 def identifier_words(text: Column | str) -> Column:
     """White-space words that hold both a letter or digit and another character, joined with spaces."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]") & w.rlike(r"[^\p{L}\p{N}]"))
-    return F.array_join(words, " ")
+    words = r"(?<!\S)(?:[\p{L}\p{N}]++[^\s\p{L}\p{N}]|[^\s\p{L}\p{N}]++[\p{L}\p{N}])\S*+"
+    return F.array_join(F.regexp_extract_all(text, F.lit(words), F.lit(0)), " ")
 
 
 def snippet(text: Column | str, chars: int = SNIPPET_CHARS) -> Column:

@@ -83,7 +83,7 @@ def bm25(index: Index, queries: DataFrame, scope: DataFrame | None = None, boost
     terms = clauses.select("term").distinct()
     n, n_clauses = terms.count(), clauses.count()
     weights = _idf(index, terms, boosts)
-    hits = index.within(terms).select("doc_id", "field", "term", "tf", "dl", "n_chars")
+    hits = index.within(terms, places=False).select("doc_id", "field", "term", "tf", "dl", "n_chars")
     if scope is not None:
         hits = hits.join(scope.select("doc_id"), "doc_id", "left_semi")
     # all of a document comes to one task first, so that its rows for every query do not move
@@ -126,8 +126,8 @@ def bm25_top(index: Index, queries: DataFrame, limit: int = 10, scope: DataFrame
         return top(bm25(index, queries, scope, boosts), limit)
     marks = _numbered(_idf(index, clauses.select("term").distinct(), boosts))
     asked = clauses.join(_small(marks, n * len(boosts)), "term").select("query_id", "id", (F.col("weight") * F.col("times")).alias("weight"), "average")
-    hits = _in_scope(index.marked(marks.select("field", "term", "id")).select("doc_id", "id", "tf", "dl", "n_chars"), scope)
-    return top(scan.best(hits, asked, limit, _gains, _lengths), limit)
+    hits = _in_scope(index.marked(marks.select("field", "term", "id"), places=False).select("doc_id", "id", "tf", "dl", "n_chars"), scope)
+    return top(scan.best(hits, asked, limit, _gains, _lengths, parts=index.parts), limit)
 
 
 def matched_top(index: Index, queries: DataFrame, limit: int = 10) -> DataFrame:
@@ -139,7 +139,7 @@ def matched_top(index: Index, queries: DataFrame, limit: int = 10) -> DataFrame:
         return top(matched_terms(index, queries).select("query_id", "doc_id", F.col("n").cast("double").alias("score")), limit)
     marks = _numbered(clauses.select("term").distinct().select(F.lit(index.fields()[0]).alias("field"), "term"))
     asked = clauses.join(_small(marks, n), "term").select("query_id", "id", F.lit(1.0).alias("weight"), F.lit(1.0).alias("average"))
-    return top(scan.best(index.marked(marks).select("doc_id", "id", "tf", "dl", "n_chars"), asked, limit, _ones, _ones), limit)
+    return top(scan.best(index.marked(marks, places=False).select("doc_id", "id", "tf", "dl", "n_chars"), asked, limit, _ones, _ones, parts=index.parts), limit)
 
 
 def top(scored: DataFrame, limit: int = 10, by: str = "query_id", key: str = "doc_id", digits: int = 6) -> DataFrame:
@@ -152,7 +152,7 @@ def top(scored: DataFrame, limit: int = 10, by: str = "query_id", key: str = "do
 def matched_terms(index: Index, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id and n: distinct terms of the query that the document (of the scope, if there is one) holds."""
     clauses = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    hits = index.within(clauses).select("doc_id", "term")
+    hits = index.within(clauses, places=False).select("doc_id", "term")
     if scope is not None:
         scope = scan.stored(scope.select("doc_id").distinct())
         hits = hits.join(_small(scope, scope.count()), "doc_id", "left_semi")
@@ -190,7 +190,7 @@ def phrase_places(index: Index, phrases: DataFrame) -> DataFrame:
     rows = rows.withColumn("all", F.min(F.coalesce("df", F.lit(0))).over(of) > 0).withColumn("lead", F.row_number().over(first) == 1).filter("all")
     entries = scan.stored(rows.select("pid", "nth", "id", "offset", "lead"))
     marks = known.select("field", "term").join(F.broadcast(numbers), "term").join(F.broadcast(entries.select("id").distinct()), "id", "left_semi")
-    found = scan.places(index.marked(marks).select("doc_id", "id", "field", "positions", "dl", "n_chars"), entries)
+    found = scan.places(index.marked(marks).select("doc_id", "id", "field", "positions", "dl", "n_chars"), entries, index.parts)
     return found.join(F.broadcast(names), "pid").select("phrase_id", "doc_id", "field", "tf", "dl", "n_chars")
 
 
@@ -219,7 +219,7 @@ def _joined_places(index: Index, sized: DataFrame, n: int) -> DataFrame:
 def boolean(index: Index, must: list[str], should: list[str], must_not: list[str]) -> DataFrame:
     """doc_id and matched (number of clauses met) under required, optional and forbidden terms."""
     words = list({*must, *should, *must_not})
-    rows = index.within(index.spark.createDataFrame([(w,) for w in words], "term string")).select("doc_id", "term").distinct()
+    rows = index.within(index.spark.createDataFrame([(w,) for w in words], "term string"), places=False).select("doc_id", "term").distinct()
     count = lambda some: F.count(F.when(F.col("term").isin(list(some)), 1)) if some else F.lit(0)
     out = rows.groupBy("doc_id").agg(count(set(must)).alias("m"), count(set(should)).alias("s"), count(set(must_not)).alias("x"))
     wanted = (F.col("m") == len(set(must))) & (F.col("x") == 0) & ((F.col("s") > 0) | F.lit(bool(must)))
@@ -240,7 +240,7 @@ def score_clauses(index: Index, clauses: DataFrame, scope: DataFrame | None = No
     weights = single.join(_idf(index, terms, boosts).withColumnRenamed("field", "on"), "term").filter(F.col("field").isNull() | (F.col("field") == F.col("on")))
     weights = weights.select(*keys, "term", F.col("on").alias("field"), "weight", "average").distinct()
     n = clauses.count()
-    ones = index.within(terms).join(_small(weights, n * len(boosts)), ["term", "field"]).select(*keys, "doc_id", "n_chars", (F.col("weight") * _gain("tf")).alias("part"))
+    ones = index.within(terms, places=False).join(_small(weights, n * len(boosts)), ["term", "field"]).select(*keys, "doc_id", "n_chars", (F.col("weight") * _gain("tf")).alias("part"))
 
     phrases = clauses.filter(F.size("terms") > 1).withColumn("phrase_id", F.struct(*keys))
     idf = _idf(index, phrases.select(*keys, "field", F.explode("terms").alias("term")), boosts).groupBy(*keys, "field").agg(F.sum("weight").alias("weight"), F.first("average").alias("average"))
@@ -279,7 +279,7 @@ def literal_top(index: Index, clauses: DataFrame, limit: int, scope: DataFrame |
     marks = _numbered(_idf(index, single.select("term").distinct(), boosts))
     asked = single.join(F.broadcast(marks), "term").select("query_id", "id", "weight", "average")
     columns = ["doc_id", "id", "tf", "dl", "n_chars"]
-    hits = index.marked(marks.select("field", "term", "id")).select(*columns)
+    hits = index.marked(marks.select("field", "term", "id"), places=False).select(*columns)
 
     # a phrase that several queries have is sought once; its ids are below those of the terms
     several = clauses.filter(F.size("terms") > 1).select("query_id", "terms", *[c for c in ("offsets",) if c in clauses.columns])
@@ -288,7 +288,7 @@ def literal_top(index: Index, clauses: DataFrame, limit: int, scope: DataFrame |
     fields = _numbered(idf).withColumn("id", -1 - F.col("id"))
     said = several.join(F.broadcast(phrases), [c for c in several.columns if c != "query_id"]).join(F.broadcast(fields), "phrase_id").select("query_id", "id", "weight", "average")
     found = phrase_places(index, phrases).join(F.broadcast(fields.select("phrase_id", "field", "id")), ["phrase_id", "field"]).select(*columns)
-    return scan.best(_in_scope(hits.union(found), scope), asked.union(said), limit, _gains, _lengths, lambda d: d >> 32, per_owner)
+    return scan.best(_in_scope(hits.union(found), scope), asked.union(said), limit, _gains, _lengths, lambda d: d >> 32, per_owner, parts=index.parts)
 
 
 def _groups(met: DataFrame, clauses: DataFrame, n: int) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from docquery.session import shared_root
 
 #: Cells (documents by queries) that are scored at once.
 CELLS = 2_000_000
+#: Rows that a task deals to parts at once, and tokens of an index for which there is one part (some tens of bytes each at most).
+DEALT_ROWS, PART_TOKENS = 1_000_000, 4_000_000
 
 
 def stored(rows: DataFrame) -> DataFrame:
@@ -27,7 +30,7 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _columns(paths: list[str], names: list[str]) -> list[np.ndarray]:
+def read(paths: list[str], names: list[str]) -> pa.Table:
     """Columns of a stored table, in a task."""
     from pyarrow import fs
     from pyarrow import parquet as pq
@@ -37,34 +40,84 @@ def _columns(paths: list[str], names: list[str]) -> list[np.ndarray]:
         system, path = fs.FileSystem.from_uri(uri)
         with system.open_input_file(path) as source:
             tables.append(pq.ParquetFile(source).read(columns=names).select(names))
-    found = pa.concat_tables(tables) if tables else pa.table({n: pa.array([], pa.int64()) for n in names})
-    return [c.to_numpy() for c in found.columns]
+    return pa.concat_tables(tables) if tables else pa.table({n: pa.array([], pa.string() if n in ("field", "term") else pa.int64()) for n in names})
+
+
+def _columns(paths: list[str], names: list[str]) -> list[np.ndarray]:
+    return [c.to_numpy() for c in read(paths, names).columns]
+
+
+def _packed(rows: pa.Table) -> bytes:
+    """Rows (doc_id first) in compressed columns; ids as steps, whose halves are small."""
+    steps = np.diff(rows.column(0).to_numpy(), prepend=0)
+    halves = [pa.array((steps >> 32).astype(np.int32)), pa.array((steps & 0xFFFFFFFF).astype(np.uint32))]
+    batch = pa.Table.from_arrays([*halves, *rows.columns[1:]], names=["high", "low", *rows.column_names[1:]]).combine_chunks().to_batches()[0]
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(pack: pa.Scalar) -> pa.Table:
+    rows = pa.ipc.open_stream(pack.as_buffer()).read_all()
+    high, low = (rows.column(c).to_numpy().astype(np.int64) for c in ("high", "low"))
+    return pa.table({"doc_id": np.cumsum((high << 32) + low)} | {c: rows.column(c) for c in rows.column_names[2:]})
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """rows with all of a document in one task, in order."""
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """rows with a doc_id (first) as packs (part, rows), all of a document in one part and all of a part in one task, in order."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packs() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).filter(pc.field("doc_id").is_valid())
+            doc = table.column(0).to_numpy()
+            part = ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
+            order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+            table, part = table.take(pa.array(order)), part[order].astype(np.int64)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1) != 0)
+            ends = np.r_[cuts[1:], len(part)]
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array([_packed(table.slice(a, b - a)) for a, b in zip(cuts, ends, strict=True)] if len(part) else [], pa.binary())], names=["part", "rows"])
+
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= DEALT_ROWS:
+                yield packs()
+                held, n = [], 0
+        if n:
+            yield packs()
+
     # by a hash of its own: an exchange that a join below made in its place might be split or read in another order at run time
-    return rows.repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id")
+    return rows.mapInArrow(deal, "part int, rows binary").repartition(F.xxhash64("part")).sortWithinPartitions("part")
 
 
 def _whole(batches: Iterator[pa.RecordBatch], rows: int = 32_768) -> Iterator[pa.Table]:
-    """Tables of about so many rows that part no document (the first column)."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n < rows:
-            continue
-        table = pa.Table.from_batches(held)
+    """Tables of about so many rows that part no document (the first column), in order of documents within each part."""
+
+    def cut(packs: list[pa.Scalar]) -> Iterator[pa.Table]:
+        table = pa.concat_tables([_unpacked(p) for p in packs])
         doc = table.column(0).to_numpy()
-        cut = int(np.searchsorted(doc, doc[-1], "left"))
-        if cut:
-            yield table.slice(0, cut)
-            held = table.slice(cut).to_batches()
-            n -= cut
-    if n:
-        yield pa.Table.from_batches(held)
+        order = np.argsort(doc, kind="stable")
+        table, doc = table.take(pa.array(order)), doc[order]
+        start = 0
+        while start < len(doc):
+            stop = int(np.searchsorted(doc, doc[min(start + rows, len(doc)) - 1], "right"))
+            yield table.slice(start, stop - start)
+            start = stop
+
+    part, held = None, []
+    for batch in batches:
+        for number, pack in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if held and number != part:
+                yield from cut(held)
+                held = []
+            part = number
+            held.append(pack)
+    if held:
+        yield from cut(held)
 
 
 def _pairs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +133,7 @@ def _first(keys: list[np.ndarray], n: int) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(new, at, 0)) < n
 
 
-def best(hits: DataFrame, clauses: DataFrame, limit: int, gain: Callable, factor: Callable, owner: Callable | None = None, per_owner: int | None = None, digits: int = 6) -> DataFrame:
+def best(hits: DataFrame, clauses: DataFrame, limit: int, gain: Callable, factor: Callable, owner: Callable | None = None, per_owner: int | None = None, digits: int = 6, parts: int = 64) -> DataFrame:
     """query_id, doc_id and score of each query's candidates for its `limit` best documents: of every task its own.
 
     hits: doc_id, id, tf, dl, n_chars. clauses: query_id, id, weight, average. A hit adds weight times gain(tf, dl, average) to
@@ -135,11 +188,11 @@ def best(hits: DataFrame, clauses: DataFrame, limit: int, gain: Callable, factor
                 least[full] = kept[3][np.cumsum(held)[full] - 1]
         yield pa.RecordBatch.from_arrays([pa.array(names[kept[0]]), pa.array(kept[2]), pa.array(kept[3])], names=["query_id", "doc_id", "score"])
 
-    rows = _dealt(hits.select("doc_id", "id", "tf", "dl", "n_chars"))
+    rows = _dealt(hits.select("doc_id", "id", F.col("tf").cast("int").alias("tf"), "dl", "n_chars"), parts)
     return rows.mapInArrow(search, "query_id long, doc_id long, score double")
 
 
-def places(postings: DataFrame, entries: DataFrame) -> DataFrame:
+def places(postings: DataFrame, entries: DataFrame, parts: int = 64) -> DataFrame:
     """pid, doc_id, field, tf, dl and n_chars: how often each phrase's terms stand at their places in a field of a document.
 
     postings: doc_id, field, id (of the term), positions, dl, n_chars. entries: pid, nth, id, offset and lead, which marks
@@ -199,5 +252,5 @@ def places(postings: DataFrame, entries: DataFrame) -> DataFrame:
                 n, row, which = np.diff(np.r_[new, len(row)]), row[new], which[new]
                 yield pa.RecordBatch.from_arrays([pa.array(pid[first[which]]), pa.array(doc[row]), field.dictionary.take(pa.array(kind[row])), pa.array(n), pa.array(dl[row]), pa.array(chars[row])], names=["pid", "doc_id", "field", "tf", "dl", "n_chars"])
 
-    rows = _dealt(postings.select("doc_id", "id", "field", "positions", "dl", "n_chars"))
+    rows = _dealt(postings.select("doc_id", "id", "field", "positions", "dl", "n_chars"), parts)
     return rows.mapInArrow(search, "pid long, doc_id long, field string, tf long, dl int, n_chars int")

@@ -44,7 +44,8 @@ def build(docs: DataFrame, cap: int = chunking.CAP_CHARS) -> tuple[DataFrame, Da
 def write_index(chunks: DataFrame, root: str, tokens: Callable[[str], Column] = analyzer.lattice) -> index.Index:
     """Store the index of the chunks' fields as the root's next generation; by the analyzer, or by other tokens."""
     rows = chunks.select(F.col("chunk_id").alias("doc_id"), *lexical.FIELD_BOOSTS)
-    index.write(chunks.sparkSession, root, rows, {f: tokens(f) for f in lexical.FIELD_BOOSTS})
+    analyzed = tokens is analyzer.lattice
+    index.write(chunks.sparkSession, root, rows, {f: F.col(f) if analyzed else tokens(f) for f in lexical.FIELD_BOOSTS}, analyzed)
     return index.Index(chunks.sparkSession, root)
 
 

@@ -46,7 +46,7 @@ def _root(app: str, sf_dir: str, name: str, shared: str, version: tuple) -> str:
         write(spark, root, table(spark, sf_dir, "documents").select("doc_id", "text"))
     elif name == "chunks":
         _, chunks = search.build(docs(spark, sf_dir).select("doc_id", "rel_path", "text"))
-        chunks.write.parquet(f"{root}/chunks")
+        chunks.write.parquet(f"{root}/chunks", compression="zstd")
         search.write_index(spark.read.schema(chunks.schema).parquet(f"{root}/chunks"), f"{root}/index")
     else:
         rows = turns(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), "text", "title")

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from docquery.functions import analyzer
 from docquery.operators import index, lexical
@@ -122,3 +123,33 @@ def test_syntax_phrases_over_segments(spark, built):
     got = {(r.query_id, r.doc_id) for r in lexical.score_clauses(stored, clauses.syntax(table, ["text"], analyzer.phrase), boosts={"text": 1.0}).collect()}
     first = {(1, d) for d, t in enumerate(texts) if _places(t, "row parse") and not _places(t, "after")}
     assert got == first | {(2, d) for d, t in enumerate(texts) if _places(t, "parseRow")}
+
+
+def test_words_of_a_slice_are_analyzed_once(spark, tmp_path, monkeypatch):
+    """The index of texts whose distinct words are analyzed is that of the tokens of every text, over odd words and small slices."""
+
+    long_ = "x" * 40
+    texts = ["Hello, hello HELLO! hello", f"{long_} {long_}! {long_}y {long_}y. end", "parse_row parseRow ABCdef a1 1a été École. ÉCOLE Straße", "日本語 x日本 ｆｕｌｌ ёлка Ёлка, مَكتَبة", " \t\x0btwo\x0cwords\r\n ... -- ", "", None, "nbsp inside line end\x85 end;: a.b.c don't ai%%% İI"]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(2, "again again")], "doc_id long, text string").withColumn("title", F.reverse("text"))
+    monkeypatch.setattr(index, "SLICE_TOKENS", 5)
+    seen = lambda df: sorted((r.doc_id, r.field, r.term or "", r.tf, tuple(r.positions), r.dl, r.n_chars) for r in index.opened(df).collect())
+    fields = ["text", "title"]
+    want = seen(index.blocks(rows, {f: analyzer.lattice(f) for f in fields}))
+    got = index.blocks(rows, {f: F.col(f) for f in fields}, analyzed=True)
+    assert len(want) > 100 and seen(got) == want
+    # only words that are not plain are taken apart by expressions
+    assert "others" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packs_hold_postings_as_they_are(spark, tmp_path):
+    """Packs give back ids of any size and none, documents that come twice, and after a merge the same rows."""
+
+    rows = [(-(2**40), "b a b"), (2**62, "a " * 300 + "b"), (7, "a c"), (7, "a c"), (None, "c"), (3, None)]
+    root = f"file://{tmp_path}/i"
+    index.write(spark, root, spark.createDataFrame(rows, "doc_id long, text string"))
+    seen = lambda: sorted((str(r.doc_id), r.term or "", r.tf, tuple(r.positions), r.dl, r.n_chars) for r in index.Index(spark, root).entries().collect())
+    want = seen()
+    assert [r[:3] for r in want if r[1] == "a"] == [(str(-(2**40)), "a", 1), (str(2**62), "a", 300), ("7", "a", 1), ("7", "a", 1)] and ("None", "c", 1, (0,), 1, 1) in want
+    index.upsert(spark, root, spark.createDataFrame([(9, "z")], "doc_id long, text string"))
+    index.merge(spark, root, everything=True)
+    assert [r for r in seen() if r[0] != "9"] == want

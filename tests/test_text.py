@@ -155,3 +155,25 @@ def test_packing_of_sizes():
     assert pack("hA") == [(0, 2, False)] and pack("phA") == [(0, 2, False), (2, 3, False)] and pack("bbA") == [(2, 3, False)]
     assert pack("hbpp") == [(0, 4, False)]  # the heading's piece joins the next
     assert pack("Apppp") == [(0, 1, False), (1, 3, False), (3, 5, True)]
+
+
+def test_chunking_moves_no_lines(spark):
+    docs = spark.createDataFrame([(1, MARKDOWN), (2, "a\n\nb")], "doc_id long, text string")
+    plan = chunking.chunk(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "Join" not in plan
+
+
+def test_rows_of_one_document_are_mixed_by_line(spark):
+    text = "# A\none\n```\ncode\n```\n## B\ntwo"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
+    got = [(r.doc_id, r.seq, tuple(r.heading_path), r.line_start, r.line_end, r.text) for r in chunking.chunk(docs).collect()]
+    assert len(set(got)) == len(got) and sorted(r[1] for r in got if r[0] == 2) == [0, 1]
+    # each line of document 1 stands twice, one after the other, so that every heading and fence does
+    assert [r[2:] for r in sorted(g for g in got if g[0] == 1)] == [(("A",), 1, 1, "# A"), (("A",), 1, 5, "# A\none\none\n```\n```\ncode\ncode\n```\n```"), (("A", "B"), 6, 6, "## B"), (("A", "B"), 6, 7, "## B\ntwotwo")]
+
+
+def test_identifier_words(spark):
+    from docquery.functions.text import identifier_words
+
+    text = "plain foo_bar, -- a.b 日本 日本。 x y 'q' ... é! 1 1% _"
+    assert spark.createDataFrame([(text,), (None,), ("",)], "text string").select(identifier_words("text").alias("w")).collect() == [("foo_bar, a.b 日本。 x y 'q' é! 1%",), (None,), ("",)]
